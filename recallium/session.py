@@ -1,0 +1,28 @@
+"""Session construction and table loading."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def local_session(app: str = "recallium", cores: int | None = None, partitions: int = 8) -> SparkSession:
+    """A local session with the settings the tests and the bench use."""
+    n = cores or int(os.environ.get("BENCH_CPUS", "8"))
+    return (
+        SparkSession.builder.master(f"local[{n}]")
+        .appName(app)
+        .config("spark.sql.shuffle.partitions", str(partitions))
+        .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "8g")
+        .config("spark.driver.host", "127.0.0.1")
+        .getOrCreate()
+    )
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
