@@ -1,0 +1,68 @@
+"""What the corpus operators share: the shared folder, stashed tables, size checks, text handling."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows in an Arrow batch; bounds what a Python worker holds when texts are long.
+ARROW_ROWS = 512
+
+
+def setup(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a batch of very long texts stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one is set where that is unset (tests, one machine)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="recallium-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stash(df: DataFrame, name: str) -> DataFrame:
+    """Write a table into the shared folder and read it again: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash_path = path
+    return out
+
+
+def unstash(df: DataFrame) -> None:
+    """Delete a stashed table that nothing will read again."""
+    path = getattr(df, "_stash_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def at_most(df: DataFrame, n: int) -> bool:
+    """Whether a table has no more than n rows; reads n + 1 at most."""
+    return df.limit(n + 1).count() <= n
+
+
+def batches(stream: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each has a bounded size (one row at least)."""
+    for b in stream:
+        if b.num_rows == 0:
+            continue
+        step = max(1, min(max_rows, b.num_rows * max_bytes // max(b.nbytes, 1)))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
+def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type) for f in schema], schema=schema)

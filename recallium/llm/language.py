@@ -1,0 +1,142 @@
+"""Language identification by nearest centroid over TF-IDF character n-grams."""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallium.llm.common import batches, record_batch, setup
+
+#: Size of the hashed n-gram space.
+BUCKETS = 1 << 13
+#: Labelled rows of each language from which the model is fitted, at most; a bound on the driver's memory.
+SAMPLE_PER_LANGUAGE = 1500
+#: Characters of each fitted row that are read; texts to be judged are always read whole.
+SAMPLE_CHARS = 20_000
+UNKNOWN = "und"
+#: Shorter texts are further from every centroid by chance: the least cosine falls with the root of their length.
+FULL_LENGTH = 400
+
+
+def gram_counts(text: str) -> np.ndarray:
+    """Counts of hashed 1-, 2- and 3-grams of the lower-cased letters, with one mark for each run of others."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = ((points >= 97) & (points <= 122)) | ((points >= 0xC0) & (points != 0xD7) & (points != 0xF7))
+    mark = np.where(letter, points, 32)
+    mark = mark[letter | np.r_[True, letter[:-1]]].astype(np.uint64) + 1  # one mark for a run
+    one = mark * np.uint64(0x9E3779B97F4A7C15)
+    two = (one[:-1] ^ (one[:-1] >> np.uint64(31))) + mark[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    three = (two[:-1] ^ (two[:-1] >> np.uint64(29))) * np.uint64(0x165667B19E3779F9) + mark[2:] * np.uint64(0x27D4EB2F165667C5)
+    top = np.uint64(64 - BUCKETS.bit_length() + 1)
+    out = np.zeros(BUCKETS)
+    for h in (one, two * np.uint64(0x9E3779B97F4A7C15), three * np.uint64(0x9E3779B97F4A7C15)):
+        if len(h):
+            out += np.bincount((h >> top).astype(np.int64), minlength=BUCKETS)
+    return out
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
+
+
+class CentroidModel:
+    """Several centroids for each language, an IDF vector and a least cosine for each language."""
+
+    def __init__(self, languages: list[str], owner: np.ndarray, centroids: np.ndarray, idf: np.ndarray, floor: dict[str, float]) -> None:
+        self.languages, self.owner, self.centroids, self.idf, self.floor = languages, owner, centroids, idf, floor
+
+    @classmethod
+    def fit(cls, rows: list[tuple[str, str]], clusters: int = 4, rounds: int = 8, slack: float = 0.6) -> CentroidModel:
+        """rows: (text, language). Clusters each language's vectors by cosine, from evenly spaced rows.
+
+        A document is rejected below ``slack`` times the least similarity but for one in a
+        hundred that fitted rows of the predicted language have.
+        """
+        rows = sorted((lang, text) for text, lang in rows if text and any(map(str.isalpha, text)))
+        if not rows:
+            return cls([], np.zeros(0, int), np.zeros((0, BUCKETS)), np.ones(BUCKETS), {})
+        counts = np.stack([gram_counts(t[:SAMPLE_CHARS]) for _, t in rows]).astype(np.float32)
+        idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1
+        x = _unit(np.log1p(counts) * idf)
+        names = np.array([lang for lang, _ in rows])
+        languages = sorted(set(names.tolist()))
+        owner, centroids, floor = [], [], {}
+        for i, lang in enumerate(languages):
+            own = x[names == lang]
+            k = min(clusters, len(own))
+            c = own[np.linspace(0, len(own) - 1, k).astype(int)].copy()
+            for _ in range(rounds):
+                to = (own @ c.T).argmax(1)
+                c = _unit(np.stack([own[to == j].sum(0) if (to == j).any() else c[j] for j in range(k)]))
+            owner += [i] * k
+            centroids.append(c)
+            floor[str(lang)] = slack * float(np.quantile((own @ c.T).max(1), 0.01))
+        return cls(languages, np.array(owner), np.concatenate(centroids), idf, floor)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
+        """For each text: the language, the cosine with its nearest centroid, and whether it is too far away."""
+        out: list[tuple[str, float, bool]] = []
+        for t in texts:
+            if not t or not self.languages or not any(map(str.isalpha, t)):
+                out.append((UNKNOWN, 0.0, True))
+                continue
+            v = np.log1p(gram_counts(t)) * self.idf
+            near = self.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+            best = int(near.argmax())
+            lang, score = self.languages[self.owner[best]], float(min(1.0, max(0.0, near[best])))
+            out.append((lang, score, score < self.floor[lang] * min(1.0, len(t) / FULL_LENGTH) ** 0.5))
+        return out
+
+
+def training_rows(docs: DataFrame) -> DataFrame:
+    """Rows to learn from: text and lang not null, crc32 of the id as text modulo 4 not 2."""
+    return docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+
+
+def fit_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CentroidModel:
+    """Fit on a bounded sample of labelled rows: for each language those with the smallest hash of the id.
+
+    The languages themselves are found over all rows. Texts are cut before they reach the driver.
+    """
+    rows = training_rows(docs).select("lang", F.crc32(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary")).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    if not sizes:
+        return CentroidModel.fit([])
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    took = rows.where(F.col("h") < F.element_at(share, F.col("lang")) * float(1 << 32)).select("text", "lang")
+    return CentroidModel.fit([(r["text"], r["lang"]) for r in took.toLocalIterator()])
+
+
+def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Predict the language of each whole text.
+
+    Returns id, lang_pred, score (cosine, 0 to 1), rejected, and the columns in ``keep``. Null
+    texts and texts without a letter give ``und``, 0 and rejected. Each row is judged alone and
+    by its text only; repeated rows, null ids and other columns have no influence. Ties between
+    centroids go to the language first in the alphabet. Without fitted rows all are ``und``.
+    """
+    spark = docs.sparkSession
+    setup(spark)
+    shared = spark.sparkContext.broadcast(model)  # clusters x languages x BUCKETS numbers
+    cols = [id_col, text_col, *[c for c in keep if c not in (id_col, text_col)]]
+    carried = [id_col, *[c for c in keep if c != id_col]]
+    src = docs.select(*[docs[c] for c in cols])
+
+    def run(stream):
+        for b in batches(stream):
+            got = shared.value.predict(b.column(1).to_pylist())
+            fields = [(c, b.column(cols.index(c)).type) for c in carried]
+            schema = pa.schema([*fields, ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+            yield record_batch(schema, {c: b.column(cols.index(c)) for c in carried} | {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got], "rejected": [g[2] for g in got]})
+
+    out = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried] + ["lang_pred string", "score double", "rejected boolean"])
+    return src.mapInArrow(run, out)
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    out = identify(docs, fit_model(docs))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")

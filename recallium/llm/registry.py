@@ -1,0 +1,21 @@
+"""The queries of this subpackage and the SQL they must equal."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from recallium.llm import bpe, language, mixing
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "op2_mix": mixing.op2_mix,
+        "op9_language": language.op9_language,
+        "op10_bpe": bpe.op10_bpe,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"op2_mix": mixing.OP2_SQL}
