@@ -1,0 +1,248 @@
+"""Approximate nearest neighbours by additive quantisation.
+
+Every codebook has full-dimensional entries; a vector is the sum of one entry of each. Encoding is
+a beam search over the residuals. The squared norm of each sum is stored, so that a cosine with a
+query needs a table of the query's products with all entries, and one look-up for each codebook.
+The best by this score are ranked again with the original vectors.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recallium.llm.common import batches, record_batch, setup, stash
+
+#: Vectors on which codebooks are fitted, at most; a bound on the driver's memory.
+SAMPLE = 8_000
+#: Codebooks and their entries.
+BOOKS, ENTRIES = 16, 256
+#: Partial sums that the beam keeps.
+BEAM = 8
+#: Distinct vectors for each query that are ranked again, and queries that are handled at once.
+SHORTLIST, QUERY_BLOCK = 200, 2_048
+
+
+def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    c = x[rng.choice(len(x), k, replace=len(x) < k)].copy()
+    for _ in range(rounds):
+        to = (x @ c.T * 2 - (c * c).sum(1)).argmax(1)
+        n = np.bincount(to, minlength=k)
+        s = np.zeros_like(c)
+        np.add.at(s, to, x)
+        c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+class AdditiveQuantiser:
+    def __init__(self, books: np.ndarray) -> None:
+        self.books = books.astype(np.float32)  # books x entries x dimensions
+        self.flat = self.books.reshape(-1, self.books.shape[2])
+        self.gram = self.flat @ self.flat.T  # products between entries of all books
+
+    def __reduce__(self):
+        return AdditiveQuantiser, (self.books,)  # the products are made anew
+
+    @classmethod
+    def fit(cls, x: np.ndarray, books: int = BOOKS, entries: int = ENTRIES, rounds: int = 2, seed: int = 0) -> AdditiveQuantiser:
+        """Residual k-means first; then, in turns, beam-search codes and least squares for all entries together."""
+        rng = np.random.default_rng(seed)
+        x = x.astype(np.float32)
+        entries = max(1, min(entries, len(x) // 4))
+        rest, found = x.copy(), []
+        for _ in range(books):
+            c = _kmeans(rest, entries, 6, rng)
+            found.append(c)
+            rest = rest - c[(rest @ c.T * 2 - (c * c).sum(1)).argmax(1)]
+        out = cls(np.stack(found))
+        for _ in range(rounds):
+            codes = out.encode(x)[0]
+            n, k = len(x), books * entries
+            cols = codes + np.arange(books) * entries
+            a = np.zeros((k, k), np.float32)
+            for i in range(books):
+                for j in range(books):
+                    np.add.at(a, (cols[:, i], cols[:, j]), 1)
+            b = np.zeros((k, x.shape[1]), np.float32)
+            for i in range(books):
+                np.add.at(b, cols[:, i], x)
+            a[np.arange(k), np.arange(k)] += 1e-2 * max(1.0, n / k)
+            b += 1e-2 * max(1.0, n / k) * out.flat
+            out = cls(np.linalg.solve(a, b).reshape(out.books.shape))
+        return out
+
+    def encode(self, x: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (uint8 for up to 256 entries) and squared norms of the sums; equal vectors get equal codes."""
+        got = [self._encode(x[i : i + 512], beam) for i in range(0, len(x), 512)]
+        return np.concatenate([c for c, _ in got]), np.concatenate([n for _, n in got])
+
+    def _encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        m, k, _ = self.books.shape
+        n = len(x)
+        own = x.astype(np.float32) @ self.flat.T  # products with all entries
+        codes = np.zeros((n, 1, 0), np.int64)
+        norm = np.zeros((n, 1), np.float32)  # of the partial sums
+        dot = np.zeros((n, 1), np.float32)
+        for i in range(m):
+            cross = np.zeros((n, codes.shape[1], k), np.float32)
+            for j in range(i):
+                cross += self.gram[j * k + codes[:, :, j], i * k : (i + 1) * k]
+            sq = self.gram.diagonal()[i * k : (i + 1) * k]
+            norms = norm[:, :, None] + sq + 2 * cross
+            dots = dot[:, :, None] + own[:, None, i * k : (i + 1) * k]
+            error = (norms - 2 * dots).reshape(n, -1)
+            width = min(beam if i < m - 1 else 1, error.shape[1])
+            best = np.argpartition(error, width - 1, axis=1)[:, :width]
+            from_, entry = best // k, best % k
+            rows = np.arange(n)[:, None]
+            codes = np.concatenate([codes[rows, from_], entry[:, :, None]], axis=2)
+            norm, dot = norms.reshape(n, -1)[rows, best], dots.reshape(n, -1)[rows, best]
+        return codes[:, 0].astype(np.uint8 if k <= 256 else np.int64), norm[:, 0]
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """For each query its products with all entries: queries x books x entries."""
+        return (q.astype(np.float32) @ self.flat.T).reshape(len(q), *self.books.shape[:2])
+
+
+def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id and v (array of doubles): rows without null id or vector, null or non-finite components, or zero vectors."""
+    d = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return d.where(finite).where(F.exists("v", lambda x: x != 0))
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shortlist: int = SHORTLIST, block: int = QUERY_BLOCK) -> DataFrame:
+    """The k nearest rows of ``vectors`` by cosine for each row of ``queries`` (both: id and vector), but itself.
+
+    Returns query_id, rank, vec_id, score double (cosine of the original vectors in double
+    precision), ties to the smaller id. Rows with null ids, null or zero vectors or with null or non-finite
+    components take no part; vectors of a length other than the most frequent sampled one take none
+    either. Codebooks are fitted on the SAMPLE rows of the smallest hash; every row is encoded.
+    Queries are taken in blocks of ``block``; each is broadcast and meets all codes, of
+    which a worker keeps the ``shortlist`` best distinct vectors and the k + 1 smallest ids of each
+    (equal vectors have equal codes and scores, so no result can lie among the other copies).
+    Repeated ids are rows of their own. With fewer candidates than k all are returned.
+    """
+    spark = vectors.sparkSession
+    setup(spark)
+    every = usable(vectors, id_col, vec_col)
+    n = every.count()
+    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not n:
+        return empty
+    share = min(1.0, SAMPLE / n)
+    picked = every.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("v").limit(2 * SAMPLE).toPandas()["v"]
+    sizes = [len(v) for v in picked] or [every.select(F.size("v")).first()[0]]
+    dim = max(set(sizes), key=lambda s: (sizes.count(s), s))
+    x = np.array([v for v in picked if len(v) == dim] or [every.where(F.size("v") == dim).first()["v"]])
+    model = AdditiveQuantiser.fit(x / np.linalg.norm(x, axis=1, keepdims=True))
+    shared = spark.sparkContext.broadcast(model)  # BOOKS x ENTRIES entries and their products
+
+    def encode(stream):
+        for b in batches(stream, max_rows=1024):
+            v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, dim)
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            codes, norm = shared.value.encode(u)
+            schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("code", pa.binary()), ("norm", pa.float32())])
+            yield record_batch(schema, {"id": b.column(0), "v": b.column(1), "code": [c.tobytes() for c in codes], "norm": norm})
+
+    coded = stash(every.where(F.size("v") == dim).mapInArrow(encode, "id long, v array<double>, code binary, norm float"), "coded")
+    asked = stash(usable(queries, id_col, vec_col).where(F.size("v") == dim).dropDuplicates(["id"]).select("id", "v", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / 1).alias("h")), "asked")
+    n_blocks = max(1, -(-asked.count() // block))
+    parts = []
+    for i in range(n_blocks):
+        one = asked.where(F.pmod("h", F.lit(n_blocks)) == i).orderBy("id").toPandas()  # about ``block`` queries
+        if len(one):
+            parts.append(stash(_block(coded, one, shared, k, shortlist), "nearest"))
+    if not parts:
+        return empty
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _block(coded: DataFrame, one, shared, k: int, shortlist: int) -> DataFrame:
+    """The result for one block of queries."""
+    spark = coded.sparkSession
+    q_ids = one["id"].to_numpy(np.int64)
+    q = np.array(one["v"].tolist(), np.float64)
+    told = spark.sparkContext.broadcast((q_ids, (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)))
+
+    def scan(stream):
+        q_ids, q = told.value
+        tables = shared.value.tables(q)
+        books = tables.shape[1]
+        # for each query the best so far: score, vector's hash, id
+        best_s = np.full((len(q), 0), 0, np.float32)
+        best_h = np.zeros((len(q), 0), np.int64)
+        best_i = np.zeros((len(q), 0), np.int64)
+        for b in batches(stream, max_rows=4096):
+            codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, books).astype(np.int64)
+            norm = 1 / np.sqrt(np.maximum(b.column(3).to_numpy(zero_copy_only=False), 1e-12))
+            ids, hashes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            keep_s, keep_h, keep_i = [], [], []
+            for j in range(len(q)):
+                s = tables[j, 0][codes[:, 0]].copy()
+                for m in range(1, books):
+                    s += tables[j, m][codes[:, m]]
+                s *= norm
+                s = np.concatenate([best_s[j], s]) if best_s.shape[1] else s
+                h = np.concatenate([best_h[j], hashes]) if best_h.shape[1] else hashes
+                d = np.concatenate([best_i[j], ids]) if best_i.shape[1] else ids
+                keep = _shortlist(s, h, d, shortlist, k + 1)
+                keep_s.append(s[keep])
+                keep_h.append(h[keep])
+                keep_i.append(d[keep])
+            best_s, best_h, best_i = _ragged(keep_s, keep_h, keep_i)
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("h", pa.int64()), ("s", pa.float32())])
+        for j in range(len(q_ids) if best_s.shape[1] else 0):
+            ok = best_s[j] > -np.inf
+            yield record_batch(schema, {"query_id": np.full(int(ok.sum()), q_ids[j]), "vec_id": best_i[j][ok], "h": best_h[j][ok], "s": best_s[j][ok]})
+
+    near = coded.select("id", F.xxhash64("v").alias("h"), "code", "norm").mapInArrow(scan, "query_id long, vec_id long, h long, s float")
+    # the shortlist over all workers: distinct vectors by score; a worker has sent at most shortlist x (k + 1) rows for a query
+    heads = near.groupBy("query_id", "h").agg(F.max("s").alias("s"))
+    chosen = heads.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "h"))).where(F.col("r") <= shortlist).select("query_id", "h")
+    near = near.select("query_id", "vec_id", "h").join(chosen, ["query_id", "h"])
+    asked = spark.createDataFrame(one[["id", "v"]].assign(v=one["v"].map(list)), "id long, v array<double>").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
+    pairs = near.where("query_id <> vec_id").join(coded.select(F.col("id").alias("vec_id"), "v", F.xxhash64("v").alias("h")), ["vec_id", "h"]).join(asked, "query_id")
+
+    def dot(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    score = dot("qv", "v") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("v", "v")))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _shortlist(s: np.ndarray, h: np.ndarray, ids: np.ndarray, n: int, copies: int) -> np.ndarray:
+    """Places of the n best distinct vectors, of each the ``copies`` smallest ids."""
+    width = n
+    while True:
+        width = min(len(s), 4 * width)
+        top = np.argpartition(-s, width - 1)[:width]
+        if width == len(s) or len(np.unique(h[top])) >= n:
+            break
+    if width < len(s):
+        top = np.flatnonzero(s >= s[top].min())  # with all that tie with the last
+    order = top[np.lexsort((ids[top], h[top], -s[top]))]
+    new = np.r_[True, h[order][1:] != h[order][:-1]]
+    group = np.cumsum(new) - 1
+    start = np.flatnonzero(new)
+    return order[(group < n) & (np.arange(len(order)) - start[group] < copies)]
+
+
+def _ragged(s: list, h: list, ids: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    width = max(map(len, s), default=0)
+    out = np.full((len(s), width), -np.inf, np.float32), np.zeros((len(s), width), np.int64), np.zeros((len(s), width), np.int64)
+    for j, x in enumerate(s):
+        out[0][j, : len(x)], out[1][j, : len(x)], out[2][j, : len(x)] = x, h[j], ids[j]
+    return out
+
+
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(e, e.where("vec_id % 50 = 0"))

@@ -12,9 +12,11 @@ from recallium.llm.common import batches, record_batch, setup
 #: Size of the hashed n-gram space.
 BUCKETS = 1 << 13
 #: Labelled rows of each language from which the model is fitted, at most; a bound on the driver's memory.
-SAMPLE_PER_LANGUAGE = 1500
+SAMPLE_PER_LANGUAGE = 600
+#: The same for all languages together.
+SAMPLE_ROWS = 3_000
 #: Characters of each fitted row that are read; texts to be judged are always read whole.
-SAMPLE_CHARS = 20_000
+SAMPLE_CHARS = 8_000
 UNKNOWN = "und"
 #: Shorter texts are further from every centroid by chance: the least cosine falls with the root of their length.
 FULL_LENGTH = 400
@@ -58,8 +60,10 @@ class CentroidModel:
         if not rows:
             return cls([], np.zeros(0, int), np.zeros((0, BUCKETS)), np.ones(BUCKETS), {})
         counts = np.stack([gram_counts(t[:SAMPLE_CHARS]) for _, t in rows]).astype(np.float32)
-        idf = np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1
-        x = _unit(np.log1p(counts) * idf)
+        idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
+        x = np.log1p(counts, out=counts)
+        x *= idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         names = np.array([lang for lang, _ in rows])
         languages = sorted(set(names.tolist()))
         owner, centroids, floor = [], [], {}
@@ -104,9 +108,10 @@ def fit_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Centr
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
     if not sizes:
         return CentroidModel.fit([])
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
+    most = max(1, min(per_language, SAMPLE_ROWS // len(sizes)))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most / n))])
     took = rows.where(F.col("h") < F.element_at(share, F.col("lang")) * float(1 << 32)).select("text", "lang")
-    return CentroidModel.fit([(r["text"], r["lang"]) for r in took.toLocalIterator()])
+    return CentroidModel.fit([(r["text"], r["lang"]) for r in took.collect()])
 
 
 def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -1,0 +1,114 @@
+"""Line dedup by distinct-site spread: sketches per line, exact counts near the threshold."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallium.llm.common import stash
+
+#: Characters that a line is stripped of before it is compared.
+EDGE = " \t\r\x0b\f"
+#: log2 of the registers of a sketch.
+LG_K = 12
+#: Sites from which a line counts as boilerplate.
+MIN_SITES = 5
+
+
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(EDGE))
+
+
+def line_keys(text: Column) -> Column:
+    """Two hashes (96 bits) of each line that isn't blank; null for a blank one."""
+    return F.transform(F.split(text, "\n"), lambda x: F.when(stripped(x) != "", F.struct(F.xxhash64(stripped(x)).alias("a"), F.crc32(stripped(x).cast("binary")).alias("b"))))
+
+
+def spread(docs: DataFrame, min_sites: int, text_col: str, site_col: str) -> DataFrame:
+    """Lines (a, b) whose sketch says that at least min_sites - 1 sites have them, with the estimate."""
+    lines = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col(text_col))))).alias("l"))
+    sketches = lines.select("site", "l.a", "l.b").where("site IS NOT NULL").groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("estimate"))
+    return sketches.where(F.col("estimate") >= max(1, min_sites - 1 - _margin(min_sites)))
+
+
+def _margin(min_sites: int) -> int:
+    """Four standard errors of a sketch at the threshold."""
+    return int(4 * 1.04 / 2 ** (LG_K / 2) * min_sites)
+
+
+def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """Where lines of at least ``min_sites`` distinct sites occur: a, b, id, text hash, first (the smallest id that has it).
+
+    Sketches are merged by partial aggregation, so a very frequent line is summed up before it is
+    shuffled. Lines whose estimate lies within one site plus four standard errors of the threshold
+    are counted exactly; only places of lines near or above the threshold are written.
+    """
+    near = max(1, 1 + _margin(min_sites))
+    wanted = stash(spread(docs, min_sites, text_col, site_col), "spread")
+    places = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col(text_col))))).alias("l")
+    ).select("id", "text_hash", "site", "l.a", "l.b")
+    places = stash(places.join(wanted, ["a", "b"]), "places")
+    sure = places.where(F.col("estimate") > min_sites + near)
+    close = places.where(F.col("estimate") <= min_sites + near)
+    sites = close.where("site IS NOT NULL").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
+    spread_out = sure.select("a", "b").distinct().unionByName(sites.where(F.col("sites") >= min_sites).select("a", "b"))
+    first = places.groupBy("a", "b").agg(F.min("id").alias("first"))
+    return places.select("a", "b", "id", "text_hash").join(first.join(spread_out, ["a", "b"], "left_semi"), ["a", "b"])
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+    """Take lines that many sites share out of all documents but the first that has them.
+
+    Adds n_lines, n_removed (long) and replaces the text; other columns stay as they are, and
+    columns called n_lines or n_removed are replaced. Lines are compared without blanks at their
+    edges; blank lines stay. With keep_first a line stays at its first place in the document of
+    the smallest id that has it (null ids last), so no content vanishes from the corpus.
+    Null sites are no sites; null texts stay null with counts 0; repeated rows get the same result.
+    """
+    docs = docs.drop("n_lines", "n_removed")
+    found = boilerplate_lines(docs, min_sites, id_col, text_col, site_col)
+    stays = (F.col("id").eqNullSafe(F.col("first"))) if keep_first else F.lit(False)
+    gone = stash(found.groupBy(F.col("id").alias("g_id"), "text_hash").agg(F.collect_set(F.struct("a", "b", stays.alias("stays"))).alias("gone")), "gone")
+    key = (docs[id_col].eqNullSafe(F.col("g_id"))) & (F.xxhash64(docs[text_col]) == F.col("text_hash"))
+    d = docs.join(gone, key, "left").drop("g_id", "text_hash")
+    key_a = F.transform("gone", lambda g: g["a"])
+    pieces = F.when(F.col("gone").isNotNull(), F.zip_with(F.split(text_col, "\n"), line_keys(F.col(text_col)), lambda t, k: F.struct(t.alias("t"), k["a"].alias("a"), k["b"].alias("b"))))
+    d = d.withColumn("pieces", pieces).withColumn("gone_a", key_a)
+    d = d.withColumn("all_a", F.transform("pieces", lambda x: x["a"]))
+
+    def kept(x: Column, i: Column) -> Column:
+        mark = F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(False).alias("stays"))
+        first_here = F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(True).alias("stays"))
+        return F.when(x["a"].isNull() | ~F.array_contains("gone_a", x["a"]), True).when(F.array_contains("gone", mark), False).when(F.array_contains("gone", first_here), F.array_position("all_a", x["a"]) == i + 1).otherwise(True)
+
+    d = d.withColumn("left_over", F.filter("pieces", kept))
+    n_lines = F.coalesce(F.size(F.array_compact(line_keys(F.col(text_col)))), F.lit(0))
+    n_removed = F.when(F.col("pieces").isNotNull(), F.size("pieces") - F.size("left_over")).otherwise(F.lit(0))
+    d = d.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long")).withColumn("n_removed", n_removed.cast("long"))
+    text = F.when(F.col("pieces").isNotNull(), F.array_join(F.transform("left_over", lambda x: x["t"]), "\n")).otherwise(F.col(text_col))
+    return d.withColumn(text_col, text).drop("gone", "gone_a", "all_a", "pieces", "left_over")
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_boilerplate(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP7_SQL = """
+WITH l AS (
+  SELECT doc_id, source, u.i AS pos, u.t AS line, trim(u.t, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s
+  FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i) u
+),
+b AS (SELECT s, min(doc_id) AS first FROM l WHERE s <> '' GROUP BY s HAVING count(DISTINCT source) >= 5),
+m AS (
+  SELECT l.*, b.s IS NOT NULL AND NOT (l.doc_id = b.first AND row_number() OVER (PARTITION BY l.doc_id, l.s ORDER BY l.pos) = 1) AS gone
+  FROM l LEFT JOIN b ON l.s = b.s
+)
+SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_removed, 0) AS n_removed,
+  sha256(coalesce(x.kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (s <> '') AS n_lines, count(*) FILTER (gone) AS n_removed, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone) AS kept
+  FROM m GROUP BY doc_id
+) x ON d.doc_id = x.doc_id
+"""

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallium.llm import bpe, language, mixing
+from recallium.llm import ann, bpe, language, lines, mixing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": ann.op1_ann,
         "op2_mix": mixing.op2_mix,
+        "op3_quality": quality.op3_quality,
+        "op6_warc": warc.op6_warc,
+        "op7_lines": lines.op7_lines,
         "op9_language": language.op9_language,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.OP2_SQL}
+    return {"op2_mix": mixing.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_lines": lines.OP7_SQL}

@@ -1,0 +1,136 @@
+"""Merkle fixity audit of WARC records: hash trees over ordered offset ranges, compared from the root down."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recallium.llm.common import stash
+
+#: Records under a leaf, and children under each other node.
+LEAF_RECORDS = 64
+FANOUT = 16
+#: What a record that a replica lacks counts as.
+ABSENT = "absent"
+
+
+def warc_record(url: Column, page_id: Column, html: Column) -> Column:
+    """A WARC/1.1 response record as text; null parts are empty."""
+    body = F.coalesce(html, F.lit(""))
+    ident = F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("")), F.coalesce(url, F.lit(""))).cast("binary"))
+    head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:"), ident, F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"))
+    return F.concat(head, F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"))
+
+
+def manifest(pages: DataFrame) -> DataFrame:
+    """One entry for each (page_id, url): copies, bytes of all copies, and a digest of them.
+
+    Repeated rows are summed up before they are shuffled; their digest does not depend on order.
+    """
+    d = pages.select(F.col("page_id"), F.coalesce("url", F.lit("")).alias("url"), warc_record(F.col("url"), F.col("page_id"), F.col("html")).alias("r"))
+    d = d.select("page_id", "url", F.octet_length("r").cast("long").alias("n"), F.sha2("r", 256).alias("h"))
+    g = d.groupBy("page_id", "url").agg(F.count("*").alias("copies"), F.sum("n").alias("n_bytes"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor(F.conv(F.substring("h", 1, 15), 16, 10).cast("long")).alias("x"))
+    digest = F.when(F.col("copies") == 1, F.col("lo")).otherwise(F.sha2(F.concat_ws(":", "copies", "lo", "hi", "x"), 256))
+    return g.select("page_id", "url", "copies", "n_bytes", digest.alias("digest"))
+
+
+def aligned(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Entries of both replicas in the order of (page_id, url), with place from 0 and offset in the first replica.
+
+    The order comes from a range partitioning of unique keys; places are a count within each
+    partition plus the sums over earlier partitions, of which there is one row each.
+    """
+    a = one.select(F.col("page_id").alias("ka"), F.col("url").alias("ua"), "copies", "n_bytes", F.col("digest").alias("digest_a"))
+    b = other.select(F.col("page_id").alias("kb"), F.col("url").alias("ub"), F.col("n_bytes").alias("bytes_b"), F.col("digest").alias("digest_b"))
+    both = a.join(b, F.col("ka").eqNullSafe(F.col("kb")) & (F.col("ua") == F.col("ub")), "full_outer")
+    both = both.select(F.coalesce("ka", "kb").alias("page_id"), F.coalesce("ua", "ub").alias("url"), F.coalesce("copies", F.lit(0)).alias("n_copies"), F.coalesce("n_bytes", F.lit(0)).alias("n_bytes"), F.coalesce("digest_a", F.lit(ABSENT)).alias("digest_a"), F.coalesce("digest_b", F.lit(ABSENT)).alias("digest_b"))
+    ordered = both.repartitionByRange("page_id", "url").sortWithinPartitions("page_id", "url")
+    ordered = stash(ordered.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "records")
+    sums = ordered.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    base = sums.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
+    within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumn("o", F.coalesce(F.sum("n_bytes").over(within), F.lit(0))).join(F.broadcast(base), "part")
+    return stash(placed.select("page_id", "url", "n_copies", "n_bytes", "digest_a", "digest_b", (F.col("seq") + F.col("rows_before")).alias("place"), (F.col("o") + F.col("bytes_before")).alias("rec_offset")), "aligned")
+
+
+def _combined(digest: str, order: str) -> Column:
+    """The digest of children's digests in order; a node has a bounded number of children."""
+    return F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, digest))), lambda x: x[digest]), ""), 256)
+
+
+def build_tree(entries: DataFrame, digest: str) -> list[DataFrame]:
+    """Levels (node, hash) of the tree over (place, digest), leaves first, the root last; none for an empty table."""
+    level = stash(entries.groupBy(F.floor(F.col("place") / LEAF_RECORDS).alias("node")).agg(_combined(digest, "place").alias("hash")), "tree")
+    out = [level]
+    last = level.agg(F.max("node")).first()[0]
+    while last:
+        level = stash(level.groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(_combined("hash", "node").alias("hash")).withColumnRenamed("parent", "node"), "tree")
+        out.append(level)
+        last //= FANOUT
+    return [] if last is None else out
+
+
+def differing_leaves(one: list[DataFrame], other: list[DataFrame]) -> DataFrame | None:
+    """Leaves whose hashes differ: the roots are compared first, and only children of nodes that differ are looked at."""
+    wanted = None
+    for a, b in zip(reversed(one), reversed(other), strict=True):
+        b = b.withColumnRenamed("hash", "hash_b")
+        if wanted is not None:
+            a = a.join(wanted, F.floor(a["node"] / FANOUT) == wanted["up"], "left_semi")
+        wanted = stash(a.join(b, "node").where("hash <> hash_b").select(F.col("node").alias("up")), "differing")
+    return wanted
+
+
+def audit(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Compare two replicas of a table of pages (page_id, url, html) record by record, through their trees.
+
+    Returns for each (page_id, url): page_id, url, n_copies and n_bytes in the first replica,
+    rec_offset long, leaf long, status: intact, corrupt, missing (from the second) or extra (only there).
+    Null ids and urls are keys like others (a null url equals an empty one); null html is an empty
+    body; other columns aren't looked at. Two empty replicas give an empty table.
+    """
+    entries = aligned(manifest(one), manifest(other))
+    trees = build_tree(entries, "digest_a"), build_tree(entries, "digest_b")
+    leaf = F.floor(F.col("place") / LEAF_RECORDS)
+    out = entries.withColumn("leaf", leaf)
+    differing = differing_leaves(*trees)
+    if differing is None:
+        return out.select("page_id", "url", "n_copies", "n_bytes", "rec_offset", "leaf", F.lit("intact").alias("status"))
+    damaged = out.join(differing, out["leaf"] == differing["up"], "left_semi").where("digest_a <> digest_b").select(
+        F.col("place").alias("p"), F.when(F.col("digest_a") == ABSENT, "extra").when(F.col("digest_b") == ABSENT, "missing").otherwise("corrupt").alias("found")
+    )
+    return out.join(damaged, out["place"] == damaged["p"], "left").select("page_id", "url", "n_copies", "n_bytes", "rec_offset", "leaf", F.coalesce("found", F.lit("intact")).alias("status"))
+
+
+def damaged_replica(pages: DataFrame) -> DataFrame:
+    """A replica for audit drills: by a hash of the id some pages have a changed byte, some are cut, some are lost."""
+    h = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
+    body = F.coalesce("html", F.lit(""))
+    html = F.when(h == "00", F.concat(F.lit("\x7f"), F.substring(body, 2, 1 << 30))).when(h == "01", F.substring(body, 1, F.floor(F.length(body) / 2).cast("int"))).otherwise(F.col("html"))
+    return pages.withColumn("html", html).where(h != "02")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return audit(pages, damaged_replica(pages))
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS h FROM pages
+),
+r AS (
+  SELECT page_id, url, h, html, CASE h WHEN '00' THEN chr(127) || substr(html, 2) WHEN '01' THEN substr(html, 1, CAST(floor(length(html) / 2) AS INT)) ELSE html END AS other,
+    octet_length(encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:uuid:' || md5(coalesce(CAST(page_id AS VARCHAR), '') || '|' || url)
+      || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(html)) || repeat(chr(13) || chr(10), 2) || html || repeat(chr(13) || chr(10), 2))) AS n
+  FROM p
+),
+g AS (
+  SELECT page_id, url, count(*) AS n_copies, CAST(sum(n) AS BIGINT) AS n_bytes, min(h) AS h, bool_or(html <> other) AS changed FROM r GROUP BY page_id, url
+),
+o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url) - 1 AS place, sum(n_bytes) OVER (ORDER BY page_id NULLS FIRST, url ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
+SELECT page_id, url, n_copies, n_bytes, CAST(coalesce(before, 0) AS BIGINT) AS rec_offset, CAST(place // 64 AS BIGINT) AS leaf,
+  CASE WHEN h = '02' THEN 'missing' WHEN changed THEN 'corrupt' ELSE 'intact' END AS status
+FROM o
+"""
