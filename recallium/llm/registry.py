@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallium.llm import ann, bpe, language, lines, mixing, quality, warc
+from recallium.llm import ann, bpe, language, lines, mixing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ann": ann.op1_ann,
         "op2_mix": mixing.op2_mix,
         "op3_quality": quality.op3_quality,
+        "op4_pii": pii.op4_pii,
         "op6_warc": warc.op6_warc,
         "op7_lines": lines.op7_lines,
         "op9_language": language.op9_language,
