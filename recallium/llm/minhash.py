@@ -1,0 +1,279 @@
+"""Near-duplicates by min-max hashing: minimum and maximum under each permutation make two values of a signature.
+
+Links are confirmed on whole shingle sets, and no link is given up within a bucket: its members
+meet the smallest one first; where that leaves a bucket in several components, every member
+outside the largest component meets the members of the others.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recallium.llm.common import at_most, batches, record_batch, setup, stash, unstash
+
+SHINGLE = 5
+#: Permutations; a signature has twice as many values. BANDS x ROWS of them make buckets.
+PERMUTATIONS, BANDS, ROWS = 65, 26, 5
+#: Links need percent * union <= 100 * intersection.
+PERCENT = 85
+#: A pair is looked at when this share of the signature agrees: 6 standard deviations below the threshold.
+AGREE = 0.65
+#: Members outside the largest component of a bucket that are compared in one round.
+ROUND = 64
+#: Ids that are broadcast at most (8 bytes each); beyond that joins shuffle.
+BROADCAST_IDS = 1_000_000
+
+_M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_BASE = 0x9FB21C651E98DF25
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, np.uint64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWERS = {"up": _powers(_BASE, 1 << 12), "down": _powers(_INVERSE, 1 << 12)}
+
+
+def _grown(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS["up"]) < n:
+        size = 1 << n.bit_length()
+        _POWERS["up"], _POWERS["down"] = _powers(_BASE, size), _powers(_INVERSE, size)
+    return _POWERS["up"], _POWERS["down"]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * _M[3]
+    x = (x ^ (x >> np.uint64(29))) * _M[4]
+    return x ^ (x >> np.uint64(32))
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, bytes]:
+    """Distinct 64-bit hashes of a text's five-word shingles, sorted, and its words joined by blanks.
+
+    A-Z are lower-cased; words are what lies between the six ASCII blanks. Texts with one to four
+    words have one shingle, texts without words none.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if not words:
+        return np.zeros(0, np.uint64), joined
+    data = np.frombuffer(joined + b" ", np.uint8)
+    up, down = _grown(len(data) + 1)
+    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)  # of a polynomial, so any word's hash is a difference
+    ends = np.flatnonzero(data == 32)
+    starts = np.r_[0, ends[:-1] + 1]
+    before = np.where(starts > 0, sums[np.maximum(starts, 1) - 1], np.uint64(0))
+    word = _mixed((sums[ends] - before) * down[starts] ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    k = min(SHINGLE, len(words))
+    n = len(words) - k + 1
+    h = np.full(n, np.uint64(k))
+    for i in range(k):
+        h = (h ^ (h >> np.uint64(31))) * _M[2] + word[i : i + n] * _M[i % 3]
+    return np.unique(_mixed(h)), joined
+
+
+def _permutations(n: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, dtype=np.uint64)
+
+
+_A, _B = _permutations()
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """Minimum and maximum of each permutation in turn, 32 bits each."""
+    lo = np.full(PERMUTATIONS, np.uint64((1 << 64) - 1))
+    hi = np.zeros(PERMUTATIONS, np.uint64)
+    for i in range(0, len(h), 2048):
+        x = h[i : i + 2048, None] * _A + _B
+        lo = np.minimum(lo, x.min(0))
+        hi = np.maximum(hi, x.max(0))
+    return (_mixed(np.stack([lo, hi], 1).reshape(-1)) >> np.uint64(32)).astype(np.uint32)
+
+
+def band_hashes(sig: np.ndarray) -> np.ndarray:
+    x = sig[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _M[0]
+    for i in range(ROWS):
+        h = _mixed(h + x[:, i] * _M[i % 3])
+    return h.view(np.int64)
+
+
+def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n_shingles, k1 and k2 (a digest of the word sequence; null without words), bands, sig."""
+
+    def run(stream):
+        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+        for b in batches(stream):
+            cols: dict = {f.name: [] for f in schema if f.name != "id"}
+            for t in b.column(1).to_pylist():
+                h, joined = shingles(t)
+                cols["n_shingles"].append(len(h))
+                if not len(h):
+                    for c in ("k1", "k2", "bands", "sig"):
+                        cols[c].append(None)
+                    continue
+                d = hashlib.blake2b(joined, digest_size=16).digest()
+                sig = signature(h)
+                cols["k1"].append(int.from_bytes(d[:8], "big", signed=True))
+                cols["k2"].append(int.from_bytes(d[8:], "big", signed=True))
+                cols["bands"].append(band_hashes(sig))
+                cols["sig"].append(sig.tobytes())
+            yield record_batch(schema, {"id": b.column(0)} | cols)
+
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col]).mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least a share AGREE."""
+    p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+
+    def run(stream):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for r in batches(stream):
+            x, y = (np.frombuffer(b"".join(r.column(i).to_pylist()), np.uint32).reshape(r.num_rows, -1) for i in (2, 3))
+            yield record_batch(schema, {"a": r.column(0), "b": r.column(1)}).filter(pa.array((x == y).mean(1) >= AGREE))
+
+    return p.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are linked by their whole sets; texts: id, text, one row for each id."""
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "ids")
+    few = at_most(ids, BROADCAST_IDS)
+    wanted = texts.join(F.broadcast(ids) if few else ids, texts["id"] == ids["i"], "left_semi")
+    p = pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+
+    def run(stream):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        last, one = None, None
+        for r in batches(stream):
+            keep = []
+            for a, text_a, text_b in zip(r.column(0).to_pylist(), r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True):
+                if a != last or one is None:
+                    last, one = a, shingles(text_a)[0]
+                other = shingles(text_b)[0]
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(100 * shared >= PERCENT * (len(one) + len(other) - shared) and shared > 0)
+            yield record_batch(schema, {"a": r.column(0), "b": r.column(1)}).filter(pa.array(keep))
+
+    return p.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label: the smallest node of its component, for the nodes of edges (a, b).
+
+    Labels fall to the least among the neighbours' and then to their own label's label, until none
+    changes; each round is written to the shared folder, and only the number of changes is looked at.
+    """
+    both = stash(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges")
+    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
+        lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        after = stash(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        changed = after.where("label <> old").limit(1).count()
+        unstash(labels)
+        labels = after.drop("old")
+        labels._stash_path = after._stash_path
+        if not changed:
+            return labels
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """n_shingles, component_id and kept for each row: id, n_shingles long, component_id, kept boolean.
+
+    Documents with a Jaccard similarity of PERCENT hundredths or more between their distinct
+    five-word shingles are linked; component_id is the smallest id reachable. Rows of one id count
+    as one document for reaching others; each of them is returned. Rows with a null id are linked with
+    nothing: component_id null, kept true. Empty and null texts have no shingles and no links.
+    """
+    setup(docs.sparkSession)
+    signed = stash(sign(docs, id_col, text_col), "signed")
+    named = signed.where("id IS NOT NULL AND k1 IS NOT NULL")
+    # equal word sequences are one class, represented by its smallest id
+    classes = stash(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    owned = named.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    members = stash(owned.where("id <> rep").select(F.col("id").alias("b"), F.col("rep").alias("a")).distinct(), "members")
+    reps = stash(owned.where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "k1", "k2", "bands", "sig"), "reps")
+    # an id that represents several classes keeps one row for each; all of them are compared
+    sigs = reps.select("id", "sig")
+    buckets = stash(reps.select(F.explode("bands").alias("bucket"), "id").distinct(), "buckets")
+    heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    shared = stash(buckets.join(heads.select("bucket", "head"), "bucket"), "shared")
+    unstash(buckets)
+    texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    first = stash(_agreeing(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs).distinct(), "pairs")
+    edges = stash(_confirmed(first, texts).distinct(), "links")
+    parts = components(edges)
+    tried, links = first, edges
+    for pairs in _rest(shared, parts):
+        fresh = stash(_agreeing(pairs, sigs).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if fresh.limit(1).count():
+            links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links"))
+            tried = tried.unionByName(fresh)
+    ends = components(links.unionByName(members.select("a", "b")))
+    out = signed.select("id", "n_shingles").join(ends, signed["id"] == ends["node"], "left")
+    component = F.coalesce("label", "id")
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id"))).alias("kept"))
+
+
+def _rest(shared: DataFrame, parts: DataFrame):
+    """Pairs of members of a bucket that are in different components, in rounds of bounded width.
+
+    Each has an end outside the bucket's largest component, so the outsiders are taken in turn,
+    ROUND in a bucket at once, and meet the members of other components.
+    """
+    placed = stash(shared.select("bucket", "id").join(parts, shared["id"] == parts["node"], "left").select("bucket", "id", F.coalesce("label", "id").alias("c")), "placed")
+    torn = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    placed = stash(placed.join(torn, "bucket"), "torn")
+    counts = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+    outside = placed.join(main, "bucket").where("c <> main").select("bucket", "id", "c")
+    ranked = stash(outside.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), "outside")
+    last = ranked.agg(F.max("r")).first()[0] or 0
+    for r in range(0, last, ROUND):
+        some = ranked.where((F.col("r") > r) & (F.col("r") <= r + ROUND)).select("bucket", F.col("id").alias("o"), F.col("c").alias("oc"))
+        yield placed.join(some, "bucket").where("c <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` that represent their near-duplicate component, with all columns.
+
+    Of rows with one id all stay or all go. Rows with a null id stay.
+    """
+    gone = link(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct()
+    gone = stash(gone, "gone")
+    return docs.join(F.broadcast(gone) if at_most(gone, BROADCAST_IDS) else gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle, in plain SQL; too slow on large tables but the same rows.
+OP5_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [list_aggregate(w, 'string_agg', ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i+4], 'string_agg', ' '))) END AS s FROM w
+),
+n AS (SELECT doc_id, len(s) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM e p JOIN e q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY p.doc_id, q.doc_id),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, c.component_id, n.doc_id = c.component_id AS kept FROM n JOIN c ON n.doc_id = c.doc_id
+"""

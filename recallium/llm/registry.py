@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallium.llm import ann, bpe, language, lines, mixing, pii, quality, warc
+from recallium.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix": mixing.op2_mix,
         "op3_quality": quality.op3_quality,
         "op4_pii": pii.op4_pii,
+        "op5_minhash": minhash.op5_minhash,
         "op6_warc": warc.op6_warc,
         "op7_lines": lines.op7_lines,
         "op9_language": language.op9_language,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.OP2_SQL, "op6_warc": warc.OP6_SQL, "op7_lines": lines.OP7_SQL}
+    return {"op2_mix": mixing.OP2_SQL, "op5_minhash": minhash.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_lines": lines.OP7_SQL}
