@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallium.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, warc
+from recallium.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_minhash": minhash.op5_minhash,
         "op6_warc": warc.op6_warc,
         "op7_lines": lines.op7_lines,
+        "op8_substrings": substrings.op8_substrings,
         "op9_language": language.op9_language,
         "op10_bpe": bpe.op10_bpe,
     }
