@@ -1,11 +1,62 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: language, lines, near-duplicates, mixture, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. SQL can't express the first stage, so there is no ORACLE_SQL; the tests
+hold the stages against plain Python.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallium.llm import bpe, language, lines, minhash, mixing
+from recallium.llm.common import stash
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; those without letters or too far from every centroid go."""
+    judged = language.identify(docs, language.fit_model(docs), keep=COLUMNS)
+    return judged.where("NOT rejected").select(*COLUMNS)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that many sources share, but for their first place; documents of which nothing is left go."""
+    cleaned = lines.remove_boilerplate(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates."""
+    return minhash.keep_one(docs).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the Poisson draw for their source says, in random order."""
+    return mixing.mix(docs).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and digests of the ids and of what they decode to."""
+    return bpe.encode_documents(docs, bpe.default_tokenizer(), decoded=False)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("source_mix", mix_sources),
+    ("bpe_encode", encode),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stash(docs, name)
     return docs

@@ -15,6 +15,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -200,11 +201,11 @@ class WordBPE:
 _MODELS: dict[int, WordBPE] = {}
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, decoded: bool = True) -> DataFrame:
     """Encode whole texts and decode them again.
 
-    Returns id, n_tokens long, ids_sha256, decoded_sha256 and, with_ids, ids array<int> and
-    decoded string. Null and empty texts have no tokens (the digests of the empty string). Rows
+    Returns id, n_tokens long, ids_sha256, decoded_sha256 and, with_ids, ids array<int> and, with
+    decoded too, decoded string. Null and empty texts have no tokens (the digests of the empty string). Rows
     are taken one by one: repeated rows and ids, null ids and other columns have no influence.
     No shuffle; a worker holds one bounded batch and CACHE_WORDS words.
     """
@@ -215,7 +216,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     kind = docs.schema[id_col].dataType
     fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     if with_ids:
-        fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+        fields += [("ids", pa.list_(pa.int32()))] + [("decoded", pa.string())] * decoded
 
     def run(stream):
         key = hash(shared.value)
@@ -226,17 +227,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
         for b in batches(stream):
             texts = [t or "" for t in b.column(1).to_pylist()]
             cols: dict = {n: [] for n, _ in fields}
-            for n, ids, decoded in model.encode(texts):
+            for n, ids, back in model.encode(texts):
                 cols["n_tokens"].append(n)
                 cols["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-                cols["decoded_sha256"].append(hashlib.sha256(decoded.encode("utf-8")).hexdigest())
+                cols["decoded_sha256"].append(hashlib.sha256(back.encode("utf-8")).hexdigest())
                 if with_ids:
-                    cols["ids"].append([int(x) for x in ids.split(" ")] if ids else [])
-                    cols["decoded"].append(decoded)
+                    cols["ids"].append(np.array(ids.split(" "), np.int32) if ids else [])
+                    if decoded:
+                        cols["decoded"].append(back)
             schema = pa.schema([b.schema.field(0).with_name(id_col), *fields])
             yield record_batch(schema, cols | {id_col: b.column(0)})
 
-    out = f"`{id_col}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    out = f"`{id_col}` {kind.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "") + (", decoded string" if with_ids and decoded else "")
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(run, out)
 
 
