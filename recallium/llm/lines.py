@@ -54,7 +54,8 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     sites = close.where("site IS NOT NULL").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
     spread_out = sure.select("a", "b").distinct().unionByName(sites.where(F.col("sites") >= min_sites).select("a", "b"))
     first = places.groupBy("a", "b").agg(F.min("id").alias("first"))
-    return places.select("a", "b", "id", "text_hash").join(first.join(spread_out, ["a", "b"], "left_semi"), ["a", "b"])
+    boilerplate = stash(first.join(spread_out, ["a", "b"], "left_semi"), "boilerplate")  # its size is known before the join is planned
+    return places.select("a", "b", "id", "text_hash").join(boilerplate, ["a", "b"])
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
