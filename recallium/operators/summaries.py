@@ -1,0 +1,33 @@
+"""Extractive summaries: a sentence's score is the mean frequency of its words in the text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recallium.functions import text as T
+
+
+def scored_sentences(texts: DataFrame) -> DataFrame:
+    """id, pos (from 0), n (sentences in the text), sentence and score, for (id, text)."""
+    s = texts.select("id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    words = s.select("id", "pos", F.explode(T.tokenize(F.col("sentence"))).alias("w"))
+    counted = words.withColumn("f", F.count("*").over(Window.partitionBy("id", "w")))
+    means = counted.groupBy("id", "pos").agg((F.sum("f") / F.count("*")).alias("score"))
+    joined = s.join(means, ["id", "pos"], "left").select("id", "pos", "sentence", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return joined.withColumn("n", F.count("*").over(Window.partitionBy("id")))
+
+
+def summaries(texts: DataFrame) -> DataFrame:
+    """id, l3 (the best sentence, 200 characters at most) and l2 (a third of the sentences, one to five, in order)."""
+    s = scored_sentences(texts)
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))
+    s = s.withColumn("r", rank)
+    keep = F.when(F.col("n") <= 2, F.lit(True)).otherwise(F.col("r") <= F.least(F.lit(5), F.greatest(F.lit(1), F.floor(F.col("n") / 3))))
+    out = s.groupBy("id").agg(
+        F.substring(F.max(F.when(F.col("r") == 1, F.col("sentence"))), 1, 200).alias("l3"),
+        F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("pos", "sentence")))), lambda x: x["sentence"]).alias("l2"),
+    )
+    empty = F.array().cast("array<string>")
+    fallback = F.when(F.col("text") == "", empty).otherwise(F.array(F.substring("text", 1, 500)))
+    return texts.join(out, "id", "left").select("id", F.coalesce("l3", F.substring("text", 1, 200), F.lit("")).alias("l3"), F.coalesce("l2", fallback, empty).alias("l2"))

@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: The modules that register queries when they are imported.
-MODULES: list[str] = []
+MODULES: list[str] = ["q_text", "q_memories"]
 
 
 def queries() -> dict[str, Query]:
