@@ -1,0 +1,87 @@
+"""Feature-hashed TF-IDF embeddings."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from recallium.functions import text as T
+
+DIM = 256
+
+
+def murmur3(data: bytes, seed: int = 0) -> int:
+    """The 32-bit x86 form of MurmurHash3, unsigned."""
+    mask, c1, c2 = 0xFFFFFFFF, 0xCC9E2D51, 0x1B873593
+    h, n = seed, len(data)
+    whole = n - n % 4
+    blocks = [int.from_bytes(data[i : i + 4], "little") for i in range(0, whole, 4)]
+    for i, k in enumerate([*blocks, int.from_bytes(data[whole:], "little")]):
+        k = k * c1 & mask
+        k = (k << 15 | k >> 17) & mask
+        h ^= k * c2 & mask
+        if i < len(blocks):
+            h = ((h << 13 | h >> 19) * 5 + 0xE6546B64) & mask
+    h ^= n
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+        h = (h ^ h >> shift) * factor & mask
+    return h
+
+
+def _place(term: str, memo: dict[str, tuple[int, float]], dim: int) -> tuple[int, float]:
+    if term not in memo:
+        if len(memo) > 500_000:
+            memo.clear()
+        b = term.encode()
+        memo[term] = murmur3(b) % dim, 1.0 if murmur3(b, 1) < 1 << 31 else -1.0
+    return memo[term]
+
+
+def vector(terms: list[str], n_docs: int = 0, frequency: dict[int, int] | None = None, dim: int = DIM, memo: dict | None = None) -> np.ndarray:
+    """Signed counts by bucket, damped by the logarithm, weighted by inverse document frequency, of length 1."""
+    memo = {} if memo is None else memo
+    v = np.zeros(dim)
+    for t in terms:
+        b, sign = _place(t, memo, dim)
+        v[b] += sign
+    hit = np.flatnonzero(v)
+    v[hit] = np.sign(v[hit]) * (1 + np.log(np.abs(v[hit])))
+    if n_docs:
+        v[hit] *= [math.log(1 + n_docs / (1 + (frequency or {}).get(int(b), 0))) for b in hit]
+    norm = np.linalg.norm(v)
+    return v / norm if norm else v
+
+
+def terms_of(text: Column) -> Column:
+    """Words and pairs of adjacent words."""
+    t = T.tokenize(text)
+    return F.concat(t, T.bigrams(t))
+
+
+def document_frequency(texts: DataFrame, dim: int = DIM) -> DataFrame:
+    """bucket and the number of texts that have it, for (id, text): at most ``dim`` rows."""
+
+    @F.pandas_udf("array<int>")
+    def buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict = {}
+        for s in parts:
+            yield s.map(lambda ts: sorted({_place(t, memo, dim)[0] for t in ts}))
+
+    return texts.select(F.explode(buckets(terms_of(F.col("text")))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+
+
+def embed(texts: DataFrame, n_docs: int = 0, frequency: dict[int, int] | None = None, dim: int = DIM) -> DataFrame:
+    """id and embedding (array of floats) for (id, text)."""
+
+    @F.pandas_udf("array<float>")
+    def make(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo: dict = {}
+        for s in parts:
+            yield s.map(lambda ts: vector(list(ts), n_docs, frequency, dim, memo).astype(np.float32))
+
+    return texts.select("id", make(terms_of(F.col("text"))).alias("embedding"))

@@ -1,0 +1,171 @@
+"""Ranked retrieval over memories and embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recallium.functions import embed as E
+from recallium.operators import retrieval as R
+from recallium.plans.data import MEMORIES_SQL, NOW, memories, now, texts
+from recallium.plans.q_memories import _AGE, _STRENGTH
+from recallium.plans.q_text import tokens_sql
+from recallium.plans.registry import query
+from recallium.session import table
+
+TERMS = ["rewh", "nd", "thtion", "oi"]
+QUERY_VECTOR = 7
+_NOW = f"TIMESTAMP '{NOW}'"
+
+
+def bm25_sql(terms: list[str]) -> str:
+    names = ", ".join(f"('{t}')" for t in terms)
+    return f"""tok AS (SELECT doc_id AS id, {tokens_sql('text')} AS t FROM documents),
+q(w) AS (VALUES {names}),
+tf AS (SELECT id, w, len(t) AS n, len(list_filter(t, lambda x: x = w)) AS f FROM tok, q),
+df AS (SELECT w, count(*) FILTER (f > 0) AS df FROM tf GROUP BY w),
+tot AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM tok),
+bm AS (SELECT id, sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM tf JOIN df USING (w), tot GROUP BY id HAVING sum(f) > 0)"""
+
+
+_VEC = f"vq AS (SELECT embedding AS q FROM embeddings WHERE vec_id = {QUERY_VECTOR}), vec AS (SELECT vec_id AS id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS score FROM embeddings, vq)"
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def query_vector(spark: SparkSession, sf: str) -> list[float]:
+    return vectors(spark, sf).where(F.col("id") == QUERY_VECTOR).first()["embedding"]
+
+
+@query("r2_bm25", f"WITH {bm25_sql(TERMS)} SELECT id, round(score, 9) AS score FROM bm ORDER BY score DESC, id LIMIT 100")
+def r2(spark: SparkSession, sf: str) -> DataFrame:
+    return R.bm25(docs(spark, sf), TERMS).orderBy(F.desc("score"), "id").limit(100).select("id", F.round("score", 9).alias("score"))
+
+
+@query("r2_postings", f"WITH t AS (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS term FROM documents) SELECT term, count(*) AS occurrences, count(DISTINCT id) AS texts FROM t GROUP BY term")
+def r2_postings(spark: SparkSession, sf: str) -> DataFrame:
+    return R.postings(docs(spark, sf)).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("texts"))
+
+
+@query("r1_vector_top", f"WITH {_VEC} SELECT id, round(score, 9) AS score FROM vec ORDER BY score DESC, id LIMIT 25")
+def r1(spark: SparkSession, sf: str) -> DataFrame:
+    return R.vector_top(vectors(spark, sf), query_vector(spark, sf), 25).select("id", F.round("score", 9).alias("score"))
+
+
+@query(
+    "tk1_vector_batch",
+    "WITH q AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id < 10), p AS (SELECT qid, vec_id AS id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) AS s FROM embeddings, q) SELECT qid, id, CAST(row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS INT) AS rank FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= 5",
+)
+def tk1(spark: SparkSession, sf: str) -> DataFrame:
+    q = table(spark, sf, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
+    return R.vector_top_by(vectors(spark, sf), q, 5).select("qid", "id", "rank")
+
+
+_RANKS = f"""{bm25_sql(TERMS)}, {_VEC},
+ranks AS (
+  SELECT id, 'text' AS signal, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 100
+  UNION ALL SELECT id, 'vector', row_number() OVER (ORDER BY score DESC, id) FROM vec QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 100
+)"""
+
+
+def signals(spark: SparkSession, sf: str, k: int = 100) -> list[DataFrame]:
+    return [R.ranked(R.bm25(docs(spark, sf), TERMS), "text", k), R.ranked(R.vector_top(vectors(spark, sf), query_vector(spark, sf), k), "vector", k)]
+
+
+@query("w1_signal_ranks", f"WITH {_RANKS} SELECT id, signal, CAST(rank AS INT) AS rank FROM ranks")
+def w1(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = signals(spark, sf)
+    return a.unionByName(b)
+
+
+_FUSED = f"{_RANKS}, fused AS (SELECT id, sum(CASE signal WHEN 'text' THEN 0.4 ELSE 0.6 END / (60 + rank)) AS rrf FROM ranks GROUP BY id)"
+
+
+@query("r7_rank_fusion", f"WITH {_FUSED} SELECT id, round(CAST(rrf AS DOUBLE), 9) AS rrf FROM fused")
+def r7(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = signals(spark, sf)
+    return R.fuse(a.unionByName(b), R.signal_weights()).select("id", F.round("rrf", 9).alias("rrf"))
+
+
+_PRIORITY = f"priority * pow(0.5, {_AGE} / 30.0) * (1 + ln(1 + access_count) / 10.0) * CASE WHEN last_accessed IS NULL THEN 1.0 ELSE 1 + 0.2 * pow(0.5, epoch({_NOW} - last_accessed) / 86400.0 / 7.0) END"
+_SCORED = f"{MEMORIES_SQL}, {_FUSED}, scored AS (SELECT m.*, CAST(f.rrf AS DOUBLE) * (0.5 + 0.5 * ({_PRIORITY})) * CASE WHEN superseded_by IS NOT NULL THEN 0.5 ELSE 1.0 END AS score FROM memories m JOIN fused f ON m.id = f.id)"
+
+
+@query("r8_boosts", f"WITH {_SCORED} SELECT id, round(score, 9) AS score FROM scored")
+def r8(spark: SparkSession, sf: str) -> DataFrame:
+    return R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False).select("id", F.round("score", 9).alias("score"))
+
+
+_RECALL = f"{_SCORED}, top AS (SELECT *, score * (1 + 0.1 * greatest(0, {_STRENGTH})) AS final FROM (SELECT * FROM scored WHERE namespace IN ('en', 'fr') AND list_has_any(tags, ['t0', 't1', 't2', 'u1']) AND score >= 0.001 ORDER BY score DESC, id LIMIT 20)), o AS (SELECT id, final, row_number() OVER (ORDER BY final DESC, id) AS rank, greatest(1, length(substr(content, 1, 200)) // 4) AS tokens FROM top)"
+
+
+@query("r16_recall", f"WITH {_RECALL} SELECT id, round(final, 9) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM o) WHERE used <= 600")
+def r16(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=20, tags=["t0", "t1", "t2", "u1"], namespaces=["en", "fr"], min_score=0.001, token_budget=600)
+    return out.select("id", F.round("score", 9).alias("score"), "rank")
+
+
+@query(
+    "r9_rerank",
+    f"WITH {_SCORED}, top AS (SELECT id, score, len(list_intersect(list_distinct({tokens_sql('content')}), ['rewh', 'nd', 'thtion', 'oi'])) / 4.0 AS s FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 30)), n AS (SELECT min(s) AS lo, max(s) AS hi FROM top) SELECT id, round(0.7 * score + 0.3 * CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0.5 END, 9) AS score FROM top, n",
+)
+def r9(spark: SparkSession, sf: str) -> DataFrame:
+    base = R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False)
+    return R.rerank(base, R.overlap_scorer(" ".join(TERMS))).select("id", F.round("score", 9).alias("score"))
+
+
+_SUB = [["rewh", "nd"], ["thtion", "oi"]]
+
+
+@query(
+    "r10_decomposed",
+    "WITH " + bm25_sql(_SUB[0]) + ", " + bm25_sql(_SUB[1]).replace("tok AS", "tok2 AS").replace("q(w)", "q2(w)").replace("FROM tok, q)", "FROM tok2, q2)").replace("tf AS (", "tf2 AS (").replace("df AS (", "df2 AS (").replace("FROM tf GROUP", "FROM tf2 GROUP").replace("tot AS", "tot2 AS").replace("FROM tok)", "FROM tok2)").replace("bm AS", "bm2 AS").replace("FROM tf JOIN df USING (w), tot GROUP", "FROM tf2 JOIN df2 USING (w), tot2 GROUP")
+    + ", r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM bm QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 20 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) FROM bm2 QUALIFY row_number() OVER (ORDER BY score DESC, id) <= 20) SELECT id, round(CAST(sum(1.0 / (60 + rank)) AS DOUBLE), 9) AS score FROM r GROUP BY id",
+)
+def r10(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = (R.ranked(R.bm25(docs(spark, sf), t), "text", 20) for t in _SUB)
+    return R.merge_subqueries(a.unionByName(b), 40).select("id", F.round("score", 9).alias("score"))
+
+
+@query("r19_details", f"WITH {MEMORIES_SQL} SELECT id, memory_type, md5(content) AS content_md5 FROM memories WHERE id IN (3, 5, 8, 13)")
+def r19(spark: SparkSession, sf: str) -> DataFrame:
+    return memories(spark, sf).where(F.col("id").isin(3, 5, 8, 13)).select("id", "memory_type", F.md5("content").alias("content_md5"))
+
+
+@query("r21_what_changed", f"WITH {_SCORED} SELECT id FROM (SELECT id FROM scored WHERE list_contains(tags, 'pinned') UNION SELECT id FROM (SELECT id FROM scored ORDER BY score DESC, id LIMIT 5))")
+def r21(spark: SparkSession, sf: str) -> DataFrame:
+    base = R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False)
+    return base.where(F.array_contains("tags", "pinned")).select("id").union(base.orderBy(F.desc("score"), "id").limit(5).select("id")).distinct()
+
+
+@query(
+    "p21_diagnostics",
+    f"WITH tok AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents), b AS (SELECT item_id, list_distinct({tokens_sql('text')}) AS w FROM benchmark WHERE item_id < 20), x AS (SELECT item_id, doc_id, len(list_intersect(w, t)) / greatest(len(w), 1) AS c FROM b, tok), m AS (SELECT item_id, max(c) AS c FROM x GROUP BY item_id) SELECT item_id, round(c, 6) AS coverage, CASE WHEN c >= 0.8 THEN 'OK' WHEN c >= 0.5 THEN 'PARTIAL_RETRIEVAL' ELSE 'RETRIEVAL_FAIL' END AS mode FROM m",
+)
+def p21(spark: SparkSession, sf: str) -> DataFrame:
+    from recallium.functions import text as T
+
+    t = table(spark, sf, "documents").select(T.tokenize(F.col("text")).alias("t"))
+    b = table(spark, sf, "benchmark").where("item_id < 20").select("item_id", F.array_distinct(T.tokenize(F.col("text"))).alias("w"))
+    c = t.crossJoin(F.broadcast(b)).select("item_id", (F.size(F.array_intersect("w", "t")) / F.greatest(F.size("w"), F.lit(1))).alias("c")).groupBy("item_id").agg(F.max("c").alias("c"))
+    mode = F.when(F.col("c") >= 0.8, "OK").when(F.col("c") >= 0.5, "PARTIAL_RETRIEVAL").otherwise("RETRIEVAL_FAIL")
+    return c.select("item_id", F.round("c", 6).alias("coverage"), mode.alias("mode"))
+
+
+@query("x3_embed")
+def x3(spark: SparkSession, sf: str) -> DataFrame:
+    """Feature-hashed embeddings with the corpus's own document frequencies."""
+    t = texts(spark, sf)
+    freq = {r["bucket"]: r["n"] for r in E.document_frequency(t).collect()}  # 256 rows
+    return E.embed(t, t.count(), freq)
+
+
+@query("x4_document_frequency")
+def x4(spark: SparkSession, sf: str) -> DataFrame:
+    return E.document_frequency(texts(spark, sf))
