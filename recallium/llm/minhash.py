@@ -1,8 +1,11 @@
 """Near-duplicates by min-max hashing: minimum and maximum under each permutation make two values of a signature.
 
 Links are confirmed on whole shingle sets, and no link is given up within a bucket: its members
-meet the smallest one first; where that leaves a bucket in several components, every member
-outside the largest component meets the members of the others.
+meet the smallest one first, its head; where that leaves a bucket in several components, those
+outside the head's component meet the members nearest to the head. At last every member outside
+the largest component meets all members of the others: directly in a small bucket, and in a large one
+through the shingles that two linked sets must share early in any common order (prefix and
+positions), which leaves no link out.
 """
 
 from __future__ import annotations
@@ -23,8 +26,12 @@ PERMUTATIONS, BANDS, ROWS = 65, 26, 5
 PERCENT = 85
 #: A pair is looked at when this share of the signature agrees: 6 standard deviations below the threshold.
 AGREE = 0.65
-#: Members outside the largest component of a bucket that are compared in one round.
-ROUND = 64
+#: Members nearest to the head that others meet, one after the other.
+NEAREST = 2
+#: Members of a bucket in which pairs are made directly.
+SMALL = 32
+#: Members of a component whose shingles come last in the common order.
+LANDMARKS = 8
 #: Ids that are broadcast at most (8 bytes each); beyond that joins shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -132,17 +139,22 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col]).mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least a share AGREE."""
+def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the share of their signatures that agrees, est."""
     p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
 
     def run(stream):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64())])
         for r in batches(stream):
             x, y = (np.frombuffer(b"".join(r.column(i).to_pylist()), np.uint32).reshape(r.num_rows, -1) for i in (2, 3))
-            yield record_batch(schema, {"a": r.column(0), "b": r.column(1)}).filter(pa.array((x == y).mean(1) >= AGREE))
+            yield record_batch(schema, {"a": r.column(0), "b": r.column(1), "est": (x == y).mean(1)})
 
-    return p.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return p.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least a share AGREE."""
+    return _estimated(pairs, sigs).where(F.col("est") >= AGREE).select("a", "b").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -212,38 +224,106 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = stash(buckets.join(heads.select("bucket", "head"), "bucket"), "shared")
     unstash(buckets)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    first = stash(_agreeing(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs).distinct(), "pairs")
-    edges = stash(_confirmed(first, texts).distinct(), "links")
-    parts = components(edges)
-    tried, links = first, edges
-    for pairs in _rest(shared, parts):
-        fresh = stash(_agreeing(pairs, sigs).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if fresh.limit(1).count():
-            links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links"))
-            tried = tried.unionByName(fresh)
+    seen = stash(_estimated(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs).groupBy("a", "b").agg(F.max("est").alias("est")), "estimates")
+    tried = seen.where(F.col("est") >= AGREE).select("a", "b")
+    links = stash(_confirmed(tried, texts).distinct(), "links")
+
+    def more(pairs: DataFrame) -> bool:
+        nonlocal tried, links
+        fresh = stash(_agreeing(pairs, sigs).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not fresh.limit(1).count():
+            return False
+        links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links"))
+        tried = tried.unionByName(fresh)
+        return True
+
+    torn = None
+    for i in range(NEAREST + 1):
+        torn = _torn(shared if torn is None else torn, seen, components(links))
+        if i < NEAREST:
+            more(_near_head(torn, i))
+    placed = _placed(torn)
+    more(_small_rest(placed))
+    more(_large_rest(placed, texts))
     ends = components(links.unionByName(members.select("a", "b")))
     out = signed.select("id", "n_shingles").join(ends, signed["id"] == ends["node"], "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id"))).alias("kept"))
 
 
-def _rest(shared: DataFrame, parts: DataFrame):
-    """Pairs of members of a bucket that are in different components, in rounds of bounded width.
+def _torn(shared: DataFrame, seen: DataFrame, parts: DataFrame) -> DataFrame:
+    """bucket, id, head, c (component), d (estimated distance from the head) for buckets in several components."""
+    placed = stash(shared.select("bucket", "id", "head").join(parts, shared["id"] == parts["node"], "left").select("bucket", "id", "head", F.coalesce("label", "id").alias("c")), "placed")
+    torn = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    placed = placed.join(torn, "bucket")
+    return stash(placed.join(seen, (placed["head"] == seen["a"]) & (placed["id"] == seen["b"]), "left").select("bucket", "id", "head", "c", (1 - F.coalesce("est", F.lit(1.0))).alias("d")), "torn")
+
+
+def _near_head(torn: DataFrame, i: int) -> DataFrame:
+    """Pairs of the i-th nearest member to a bucket's head within its component, and the members outside of it."""
+    heads = torn.where("id = head").select("bucket", F.col("c").alias("hc"))
+    placed = torn.join(heads, "bucket")
+    # the least of what is left after i, by repeated minima
+    near = placed.where("c = hc AND id <> head").select("bucket", F.struct("d", "id").alias("x"))
+    for _ in range(i):
+        least = near.groupBy("bucket").agg(F.min("x").alias("m"))
+        near = near.join(least, "bucket").where("x > m").select("bucket", "x")
+    pivots = near.groupBy("bucket").agg(F.min("x").alias("x")).select("bucket", F.col("x.id").alias("p"))
+    return placed.where("c <> hc").join(pivots, "bucket").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+
 
-    Each has an end outside the bucket's largest component, so the outsiders are taken in turn,
-    ROUND in a bucket at once, and meet the members of other components.
+def _placed(torn: DataFrame) -> DataFrame:
+    """torn with n (members of the bucket) and main (its largest component)."""
+    counts = torn.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"))
+    return stash(torn.join(main, "bucket").select("bucket", "id", "c", "main", "n"), "rest")
+
+
+def _small_rest(placed: DataFrame) -> DataFrame:
+    """Pairs of members of small buckets in different components; one is outside the largest component. At most SMALL for each member."""
+    few = placed.where(F.col("n") <= SMALL)
+    outside = few.where("c <> main").select("bucket", F.col("id").alias("o"), F.col("c").alias("oc"))
+    return few.join(outside, "bucket").where("c <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+
+
+def _large_rest(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of members of large buckets in different components that can be linked.
+
+    The shingles of the members of a bucket are put in one order: first those that none of a few
+    members of its largest component has, then the others. Two sets of x and y shingles with the
+    wanted similarity share at least 85 / 185 of x + y of them, so the first that they share stands so early
+    in both that enough follow. Members meet on such shingles only.
     """
-    placed = stash(shared.select("bucket", "id").join(parts, shared["id"] == parts["node"], "left").select("bucket", "id", F.coalesce("label", "id").alias("c")), "placed")
-    torn = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    placed = stash(placed.join(torn, "bucket"), "torn")
-    counts = placed.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-    outside = placed.join(main, "bucket").where("c <> main").select("bucket", "id", "c")
-    ranked = stash(outside.withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy("id"))), "outside")
-    last = ranked.agg(F.max("r")).first()[0] or 0
-    for r in range(0, last, ROUND):
-        some = ranked.where((F.col("r") > r) & (F.col("r") <= r + ROUND)).select("bucket", F.col("id").alias("o"), F.col("c").alias("oc"))
-        yield placed.join(some, "bucket").where("c <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    many = stash(placed.where(F.col("n") > SMALL).select("main", "id", "c").distinct(), "many")
+    few = at_most(many, BROADCAST_IDS)
+    ids = many.select("id").distinct()
+    wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    order = Window.partitionBy("main").orderBy("id")
+    marks = many.where("c = main").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LANDMARKS).select("main", "id")
+
+    def sets(stream):
+        schema = pa.schema([("main", pa.int64()), ("h", pa.list_(pa.int64()))])
+        for r in batches(stream):
+            yield record_batch(schema, {"main": r.column(0), "h": [shingles(t)[0].view(np.int64) for t in r.column(1).to_pylist()]})
+
+    last = marks.join(wanted, "id").select("main", "text").mapInArrow(sets, "main long, h array<long>").groupBy("main").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("late"))
+    last = stash(last, "late")
+
+    def prefixes(stream):
+        schema = pa.schema([("main", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64()))])
+        for r in batches(stream):
+            out = []
+            for t, late in zip(r.column(3).to_pylist(), r.column(4), strict=True):
+                h = shingles(t)[0].view(np.int64)
+                common = np.isin(h, late.values.to_numpy() if late.is_valid else [])
+                out.append((len(h), np.concatenate([h[~common], h[common]])[: len(h) - (PERCENT * len(h) + 99) // 100 + 1]))
+            yield record_batch(schema, {"main": r.column(0), "id": r.column(1), "c": r.column(2), "n": [x[0] for x in out], "first": [x[1] for x in out]})
+
+    made = many.join(wanted, "id").join(last, "main", "left").select("main", "id", "c", "text", "late").mapInArrow(prefixes, "main long, id long, c long, n long, first array<long>")
+    spread = stash(made, "prefixes").select("main", "id", "c", "n", F.posexplode("first").alias("pos", "h"))
+    outside = spread.where("c <> main").select("main", "h", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"), F.col("pos").alias("at"))
+    enough = F.lit(100 + PERCENT) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= F.lit(PERCENT) * (F.col("n") + F.col("m"))
+    return spread.join(outside, ["main", "h"]).where((F.col("c") != F.col("oc")) & enough).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
