@@ -149,13 +149,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             yield record_batch(schema, {"id": b.column(0), "v": b.column(1), "code": [c.tobytes() for c in codes], "norm": norm})
 
     coded = stash(every.where(F.size("v") == dim).mapInArrow(encode, "id long, v array<double>, code binary, norm float"), "coded")
-    asked = stash(usable(queries, id_col, vec_col).where(F.size("v") == dim).dropDuplicates(["id"]).select("id", "v", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / 1).alias("h")), "asked")
+    asked = stash(usable(queries, id_col, vec_col).where(F.size("v") == dim).dropDuplicates(["id"]).select("id", "v", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / 1).alias("h")), "asked", narrow=True)
     n_blocks = max(1, -(-asked.count() // block))
     parts = []
     for i in range(n_blocks):
         one = asked.where(F.pmod("h", F.lit(n_blocks)) == i).orderBy("id").toPandas()  # about ``block`` queries
         if len(one):
-            parts.append(stash(_block(coded, one, shared, k, shortlist), "nearest"))
+            parts.append(stash(_block(coded, one, shared, k, shortlist), "nearest", narrow=True))
     if not parts:
         return empty
     out = parts[0]

@@ -30,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts lineage and survives lost executors."""
+def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it again: cuts lineage and survives lost executors.
+
+    narrow: its rows are few and short beside the input, so a sixteenth of the shuffle partitions write it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if narrow:
+        df = df.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path

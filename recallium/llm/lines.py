@@ -44,17 +44,17 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     are counted exactly; only places of lines near or above the threshold are written.
     """
     near = max(1, 1 + _margin(min_sites))
-    wanted = stash(spread(docs, min_sites, text_col, site_col), "spread")
+    wanted = stash(spread(docs, min_sites, text_col, site_col), "spread", narrow=True)
     places = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.array_compact(line_keys(F.col(text_col))))).alias("l")
     ).select("id", "text_hash", "site", "l.a", "l.b")
-    places = stash(places.join(wanted, ["a", "b"]), "places")
+    places = stash(places.join(wanted, ["a", "b"]), "places", narrow=True)
     sure = places.where(F.col("estimate") > min_sites + near)
     close = places.where(F.col("estimate") <= min_sites + near)
     sites = close.where("site IS NOT NULL").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("sites"))
     spread_out = sure.select("a", "b").distinct().unionByName(sites.where(F.col("sites") >= min_sites).select("a", "b"))
     first = places.groupBy("a", "b").agg(F.min("id").alias("first"))
-    boilerplate = stash(first.join(spread_out, ["a", "b"], "left_semi"), "boilerplate")  # its size is known before the join is planned
+    boilerplate = stash(first.join(spread_out, ["a", "b"], "left_semi"), "boilerplate", narrow=True)  # its size is known before the join is planned
     return places.select("a", "b", "id", "text_hash").join(boilerplate, ["a", "b"])
 
 
@@ -70,7 +70,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     docs = docs.drop("n_lines", "n_removed")
     found = boilerplate_lines(docs, min_sites, id_col, text_col, site_col)
     stays = (F.col("id").eqNullSafe(F.col("first"))) if keep_first else F.lit(False)
-    gone = stash(found.groupBy(F.col("id").alias("g_id"), "text_hash").agg(F.collect_set(F.struct("a", "b", stays.alias("stays"))).alias("gone")), "gone")
+    gone = stash(found.groupBy(F.col("id").alias("g_id"), "text_hash").agg(F.collect_set(F.struct("a", "b", stays.alias("stays"))).alias("gone")), "gone", narrow=True)
     key = (docs[id_col].eqNullSafe(F.col("g_id"))) & (F.xxhash64(docs[text_col]) == F.col("text_hash"))
     d = docs.join(gone, key, "left").drop("g_id", "text_hash")
     key_a = F.transform("gone", lambda g: g["a"])

@@ -159,7 +159,7 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked by their whole sets; texts: id, text, one row for each id."""
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "ids")
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "ids", narrow=True)
     few = at_most(ids, BROADCAST_IDS)
     wanted = texts.join(F.broadcast(ids) if few else ids, texts["id"] == ids["i"], "left_semi")
     p = pairs.join(wanted.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(wanted.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
@@ -186,13 +186,13 @@ def components(edges: DataFrame) -> DataFrame:
     Labels fall to the least among the neighbours' and then to their own label's label, until none
     changes; each round is written to the shared folder, and only the number of changes is looked at.
     """
-    both = stash(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges")
-    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    both = stash(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct(), "edges", narrow=True)
+    labels = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels", narrow=True)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "l").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        after = stash(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
+        after = stash(lower.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels", narrow=True)
         changed = after.where("label <> old").limit(1).count()
         unstash(labels)
         labels = after.drop("old")
@@ -215,7 +215,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # equal word sequences are one class, represented by its smallest id
     classes = stash(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
     owned = named.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
-    members = stash(owned.where("id <> rep").select(F.col("id").alias("b"), F.col("rep").alias("a")).distinct(), "members")
+    members = stash(owned.where("id <> rep").select(F.col("id").alias("b"), F.col("rep").alias("a")).distinct(), "members", narrow=True)
     reps = stash(owned.where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "k1", "k2", "bands", "sig"), "reps")
     # an id that represents several classes keeps one row for each; all of them are compared
     sigs = reps.select("id", "sig")
@@ -226,14 +226,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     seen = stash(_estimated(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs).groupBy("a", "b").agg(F.max("est").alias("est")), "estimates")
     tried = seen.where(F.col("est") >= AGREE).select("a", "b")
-    links = stash(_confirmed(tried, texts).distinct(), "links")
+    links = stash(_confirmed(tried, texts).distinct(), "links", narrow=True)
 
     def more(pairs: DataFrame) -> bool:
         nonlocal tried, links
-        fresh = stash(_agreeing(pairs, sigs).join(tried, ["a", "b"], "left_anti"), "pairs")
+        fresh = stash(_agreeing(pairs, sigs).join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
         if not fresh.limit(1).count():
             return False
-        links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links"))
+        links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links", narrow=True))
         tried = tried.unionByName(fresh)
         return True
 
@@ -253,10 +253,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def _torn(shared: DataFrame, seen: DataFrame, parts: DataFrame) -> DataFrame:
     """bucket, id, head, c (component), d (estimated distance from the head) for buckets in several components."""
-    placed = stash(shared.select("bucket", "id", "head").join(parts, shared["id"] == parts["node"], "left").select("bucket", "id", "head", F.coalesce("label", "id").alias("c")), "placed")
+    placed = stash(shared.select("bucket", "id", "head").join(parts, shared["id"] == parts["node"], "left").select("bucket", "id", "head", F.coalesce("label", "id").alias("c")), "placed", narrow=True)
     torn = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
     placed = placed.join(torn, "bucket")
-    return stash(placed.join(seen, (placed["head"] == seen["a"]) & (placed["id"] == seen["b"]), "left").select("bucket", "id", "head", "c", (1 - F.coalesce("est", F.lit(1.0))).alias("d")), "torn")
+    return stash(placed.join(seen, (placed["head"] == seen["a"]) & (placed["id"] == seen["b"]), "left").select("bucket", "id", "head", "c", (1 - F.coalesce("est", F.lit(1.0))).alias("d")), "torn", narrow=True)
 
 
 def _near_head(torn: DataFrame, i: int) -> DataFrame:
@@ -276,7 +276,7 @@ def _placed(torn: DataFrame) -> DataFrame:
     """torn with n (members of the bucket) and main (its largest component)."""
     counts = torn.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"))
-    return stash(torn.join(main, "bucket").select("bucket", "id", "c", "main", "n"), "rest")
+    return stash(torn.join(main, "bucket").select("bucket", "id", "c", "main", "n"), "rest", narrow=True)
 
 
 def _small_rest(placed: DataFrame) -> DataFrame:
@@ -294,7 +294,7 @@ def _large_rest(placed: DataFrame, texts: DataFrame) -> DataFrame:
     wanted similarity share at least 85 / 185 of x + y of them, so the first that they share stands so early
     in both that enough follow. Members meet on such shingles only.
     """
-    many = stash(placed.where(F.col("n") > SMALL).select("main", "id", "c").distinct(), "many")
+    many = stash(placed.where(F.col("n") > SMALL).select("main", "id", "c").distinct(), "many", narrow=True)
     few = at_most(many, BROADCAST_IDS)
     ids = many.select("id").distinct()
     wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
@@ -307,7 +307,7 @@ def _large_rest(placed: DataFrame, texts: DataFrame) -> DataFrame:
             yield record_batch(schema, {"main": r.column(0), "h": [shingles(t)[0].view(np.int64) for t in r.column(1).to_pylist()]})
 
     last = marks.join(wanted, "id").select("main", "text").mapInArrow(sets, "main long, h array<long>").groupBy("main").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("late"))
-    last = stash(last, "late")
+    last = stash(last, "late", narrow=True)
 
     def prefixes(stream):
         schema = pa.schema([("main", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64()))])
@@ -319,7 +319,7 @@ def _large_rest(placed: DataFrame, texts: DataFrame) -> DataFrame:
                 out.append((len(h), np.concatenate([h[~common], h[common]])[: len(h) - (PERCENT * len(h) + 99) // 100 + 1]))
             yield record_batch(schema, {"main": r.column(0), "id": r.column(1), "c": r.column(2), "n": [x[0] for x in out], "first": [x[1] for x in out]})
 
-    made = many.join(wanted, "id").join(last, "main", "left").select("main", "id", "c", "text", "late").mapInArrow(prefixes, "main long, id long, c long, n long, first array<long>")
+    made = many.join(wanted, "id").join(last, "main", "left").select("main", "id", "c", "text", "late", narrow=True).mapInArrow(prefixes, "main long, id long, c long, n long, first array<long>")
     spread = stash(made, "prefixes").select("main", "id", "c", "n", F.posexplode("first").alias("pos", "h"))
     outside = spread.where("c <> main").select("main", "h", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"), F.col("pos").alias("at"))
     enough = F.lit(100 + PERCENT) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= F.lit(PERCENT) * (F.col("n") + F.col("m"))

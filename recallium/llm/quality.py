@@ -235,7 +235,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Decision
     are judged like all others; columns of ``docs`` but doc_id and text are not looked at.
     """
     stats = stash(text_statistics(docs), "statistics")
-    labelled = stash(label_table(stats, labels), "labelled")
+    labelled = stash(label_table(stats, labels), "labelled", narrow=True)
     rules = learn(labelled)
     number = F.when(base_failed(), F.lit(0)).otherwise(rules.number())
     out = stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (number == 0)).alias("kept"), number.alias("rule"))

@@ -51,7 +51,7 @@ def aligned(one: DataFrame, other: DataFrame) -> DataFrame:
     base = sums.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
     within = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = ordered.withColumn("o", F.coalesce(F.sum("n_bytes").over(within), F.lit(0))).join(F.broadcast(base), "part")
-    return stash(placed.select("page_id", "url", "n_copies", "n_bytes", "digest_a", "digest_b", (F.col("seq") + F.col("rows_before")).alias("place"), (F.col("o") + F.col("bytes_before")).alias("rec_offset")), "aligned")
+    return stash(placed.select("page_id", "url", "n_copies", "n_bytes", "digest_a", "digest_b", (F.col("seq") + F.col("rows_before")).alias("place"), (F.col("o") + F.col("bytes_before")).alias("rec_offset")), "aligned", narrow=True)
 
 
 def _combined(digest: str, order: str) -> Column:
@@ -61,11 +61,11 @@ def _combined(digest: str, order: str) -> Column:
 
 def build_tree(entries: DataFrame, digest: str) -> list[DataFrame]:
     """Levels (node, hash) of the tree over (place, digest), leaves first, the root last; none for an empty table."""
-    level = stash(entries.groupBy(F.floor(F.col("place") / LEAF_RECORDS).alias("node")).agg(_combined(digest, "place").alias("hash")), "tree")
+    level = stash(entries.groupBy(F.floor(F.col("place") / LEAF_RECORDS).alias("node")).agg(_combined(digest, "place").alias("hash")), "tree", narrow=True)
     out = [level]
     last = level.agg(F.max("node")).first()[0]
     while last:
-        level = stash(level.groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(_combined("hash", "node").alias("hash")).withColumnRenamed("parent", "node"), "tree")
+        level = stash(level.groupBy(F.floor(F.col("node") / FANOUT).alias("parent")).agg(_combined("hash", "node").alias("hash")).withColumnRenamed("parent", "node"), "tree", narrow=True)
         out.append(level)
         last //= FANOUT
     return [] if last is None else out
@@ -78,7 +78,7 @@ def differing_leaves(one: list[DataFrame], other: list[DataFrame]) -> DataFrame
         b = b.withColumnRenamed("hash", "hash_b")
         if wanted is not None:
             a = a.join(wanted, F.floor(a["node"] / FANOUT) == wanted["up"], "left_semi")
-        wanted = stash(a.join(b, "node").where("hash <> hash_b").select(F.col("node").alias("up")), "differing")
+        wanted = stash(a.join(b, "node").where("hash <> hash_b").select(F.col("node").alias("up")), "differing", narrow=True)
     return wanted
 
 
