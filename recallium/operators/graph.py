@@ -1,0 +1,155 @@
+"""Entities, relationships and walks over them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from recallium.functions import constants as K
+
+
+def _u(p: str) -> str:
+    return f"(?U){p}"
+
+
+def extract_entities(texts: DataFrame) -> DataFrame:
+    """id, name and type of the distinct entities of (id, text). A name found by several patterns has the type of the last;
+    single capitalised words inside a sentence are concepts unless another pattern found them."""
+    stop = F.array(*[F.lit(w) for w in K.STOP_ENTITIES])
+    text = F.col("text")
+    parts = [F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(?<=[^.!?\n])\b([A-Z][a-z]{2,})\b"), F.lit(1)), lambda n: F.struct(F.lit(0).alias("o"), F.lit("concept").alias("t"), n.alias("n")))]
+    for o, (kind, pattern, group) in enumerate(K.ENTITY_PATTERNS, 1):
+        found = F.regexp_extract_all(text, F.lit(_u(pattern)), F.lit(group))
+        if kind == "concept":
+            found = F.filter(F.transform(found, lambda n: F.trim(n)), lambda n: F.length(n) >= 2)
+        parts.append(_tagged(found, o, kind))
+    rows = texts.select("id", F.explode(F.concat(*parts)).alias("e")).select("id", "e.o", "e.t", "e.n")
+    all_stop = F.forall(F.split("n", r"\s+"), lambda w: F.array_contains(stop, w))
+    rows = rows.where(~(F.col("t").isin("proper_noun", "concept") & F.col("o").isin(0, 6) & all_stop))
+    return rows.groupBy("id", F.col("n").alias("name")).agg(F.max_by("t", "o").alias("type"))
+
+
+def _tagged(found: Column, order: int, kind: str) -> Column:
+    return F.transform(found, lambda n: F.struct(F.lit(order).alias("o"), F.lit(kind).alias("t"), n.alias("n")))
+
+
+def extract_relationships(texts: DataFrame, entities: DataFrame) -> DataFrame:
+    """id, source, target and relation: entities in one sentence (names in alphabetical order), and verbs between two of them."""
+    names = entities.groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("names"))  # of one text
+    s = texts.join(names, "id").select("id", "names", F.explode(F.split("text", r"[.!?\n]+")).alias("s"))
+    present = s.select("id", F.filter("names", lambda n: F.contains(F.col("s"), n)).alias("p"), "s", "names")
+    a = present.select("id", "p", F.posexplode("p").alias("i", "source"))
+    co = a.select("id", "source", F.explode(F.slice("p", F.col("i") + 2, F.size("p"))).alias("target")).withColumn("relation", F.lit("co_occurs"))
+    verbs = []
+    for relation, p in K.VERB_PATTERNS:
+        x, y = F.regexp_extract("s", p, 1), F.regexp_extract("s", p, 2)
+        verbs.append(F.when(F.array_contains("names", x) & F.array_contains("names", y), F.struct(x.alias("source"), y.alias("target"), F.lit(relation).alias("relation"))))
+    v = present.select("id", F.explode(F.array_compact(F.array(*verbs))).alias("v")).select("id", "v.source", "v.target", "v.relation")
+    return co.unionByName(v).distinct()
+
+
+def temporal_markers(text: Column) -> dict[str, Column]:
+    """valid_from, ended and date_hint of a text."""
+    first = F.regexp_extract(text, _u(K.MARK_DATE), 1)
+    hint = F.when(first != "", first)
+    ended = text.rlike(_u(K.MARK_ENDED))
+    return {"valid_from": F.when(ended | text.rlike(_u(K.MARK_CURRENT)), hint), "ended": ended, "date_hint": hint}
+
+
+def active(edges: DataFrame) -> DataFrame:
+    return edges.where("valid_until IS NULL AND superseded_by IS NULL")
+
+
+def valid_at(edges: DataFrame, at: Column) -> DataFrame:
+    return edges.where((F.col("valid_from").isNull() | (F.col("valid_from") <= at)) & (F.col("valid_until").isNull() | (F.col("valid_until") > at)))
+
+
+def supersede(edges: DataFrame) -> DataFrame:
+    """Close each edge when a newer one of the same ends and relation appears; co_occurs edges stay open."""
+    w = Window.partitionBy("source", "target", "relation").orderBy("created_at", "edge_id")
+    closes = F.col("relation") != "co_occurs"
+    return edges.withColumn("superseded_by", F.when(closes, F.lead("edge_id").over(w))).withColumn("valid_until", F.when(closes, F.lead("created_at").over(w)))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge from either end: node, other and the other columns."""
+    rest = [c for c in edges.columns if c not in ("source", "target")]
+    return edges.select(F.col("source").alias("node"), F.col("target").alias("other"), *rest).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("other"), *rest))
+
+
+def walk(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """memory_id and score of memories on edges within ``hops`` of the seeds (node, boost).
+
+    Score is weight x boost / (1 + hop), the boost halved at each hop; nodes are entered at their
+    least distance with the largest boost. One join for each hop; the frontier is aggregated before the next.
+    """
+    e = both_ways(active(edges))
+    frontier = seeds.groupBy("node").agg(F.max("boost").alias("boost"))
+    seen, out = frontier.select("node"), None
+    for hop in range(hops + 1):
+        reached = frontier.join(e, "node")
+        scored = reached.select("memory_id", (F.col("weight") * F.col("boost") / (1 + hop)).alias("score"))
+        out = scored if out is None else out.unionByName(scored)
+        if hop < hops:
+            frontier = reached.groupBy(F.col("other").alias("node")).agg((F.max("boost") * 0.5).alias("boost")).join(seen, "node", "left_anti")
+            seen = seen.unionByName(frontier.select("node")).distinct()
+    return out.groupBy("memory_id").agg(F.max("score").alias("score"))
+
+
+def related(edges: DataFrame, name: str, depth: int = 1, limit: int = 20) -> DataFrame:
+    """Neighbours of an entity, and with a depth over 1 theirs, nearest first."""
+    e = both_ways(edges).select("node", "other").distinct()
+    one = e.where(F.col("node") == name).select(F.col("other").alias("name"), F.lit(1).alias("hop"))
+    if depth > 1:
+        two = one.select(F.col("name").alias("node")).join(e, "node").select(F.col("other").alias("name"), F.lit(2).alias("hop"))
+        one = one.unionByName(two)
+    return one.where(F.col("name") != name).groupBy("name").agg(F.min("hop").alias("hop")).orderBy("hop", "name").limit(limit)
+
+
+def statistics(edges: DataFrame, top: int = 10) -> DataFrame:
+    """Entities with most mentions, and the numbers of entities and edges."""
+    m = both_ways(edges).groupBy(F.col("node").alias("name")).agg(F.count("*").alias("mentions"))
+    totals = m.agg(F.count("*").alias("entities")).crossJoin(edges.agg(F.count("*").alias("edges")))
+    return m.orderBy(F.desc("mentions"), "name").limit(top).crossJoin(F.broadcast(totals))
+
+
+def components(nodes: DataFrame, edges: DataFrame, stash) -> DataFrame:
+    """node and the least node of its component, for nodes (node) and edges (a, b). ``stash`` writes and rereads a table each round."""
+    both = edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct()
+    labels = stash(nodes.select("node", F.col("node").alias("label")))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
+        step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("l", "label")).alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        new = stash(step.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")))
+        changed = new.where("old <> label").limit(1).count()
+        labels = new.select("node", "label")
+        if not changed:
+            return labels
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block: list[str]) -> DataFrame:
+    """Pairs (a, b) within a block whose vectors (id, embedding) have a dot product of at least the threshold."""
+    from recallium.operators.retrieval import dot
+
+    x = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va"), *block)
+    y = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), *block)
+    return x.join(y, block).where("a < b").where(dot("va", "vb") >= threshold).select("a", "b")
+
+
+def jaccard_pairs(terms: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of (id, terms) with a Jaccard similarity of at least the threshold.
+
+    Exact by prefixes: in the order of frequency, two sets that are similar enough share one of their
+    first terms, so frequent terms make no pairs.
+    """
+    t = terms.select("id", F.size("terms").alias("n"), F.explode("terms").alias("w"))
+    df = t.groupBy("w").agg(F.count("*").alias("f"))
+    order = Window.partitionBy("id").orderBy("f", "w")
+    p = t.join(df, "w").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
+    x = p.select(F.col("id").alias("a"), F.col("n").alias("na"), "w")
+    y = p.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
+    pairs = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
+    ta, tb = terms.select(F.col("id").alias("a"), F.col("terms").alias("ta")), terms.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
+    j = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
+    return pairs.join(ta, "a").join(tb, "b").where(j >= threshold).select("a", "b")

@@ -1,0 +1,27 @@
+"""Tables in the shared folder that jobs write and read again."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset (one machine) a temporary one is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="recallium-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def stash(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table and read it again: cuts lineage, and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
