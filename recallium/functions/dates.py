@@ -1,0 +1,146 @@
+"""Dates in queries (parsed on the driver, with a given now) and in texts (as Columns)."""
+
+from __future__ import annotations
+
+import calendar
+import re
+from datetime import datetime, timedelta
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from recallium.functions import constants as K
+from recallium.functions import scoring as S
+
+_MONTH = "|".join(K.MONTHS)
+
+
+def _end_of_month(year: int, month: int) -> datetime:
+    return datetime(year, month, calendar.monthrange(year, month)[1], 23, 59, 59)
+
+
+def _whole_month(year: int, month: int) -> tuple[datetime, datetime]:
+    year, month = year + (month - 1) // 12, (month - 1) % 12 + 1
+    return datetime(year, month, 1), _end_of_month(year, month)
+
+
+def _whole_year(year: int) -> tuple[datetime, datetime]:
+    return datetime(year, 1, 1), datetime(year, 12, 31, 23, 59, 59)
+
+
+def _week(now: datetime, back: int) -> tuple[datetime, datetime]:
+    monday = (now - timedelta(days=now.weekday() + 7 * back)).replace(hour=0, minute=0, second=0, microsecond=0)
+    return monday, monday + timedelta(days=6, hours=23, minutes=59, seconds=59)
+
+
+def parse_query(query: str, now: datetime) -> dict[str, list]:
+    """dates and ranges that a query names."""
+    dates: list[datetime] = []
+    ranges: list[tuple[datetime, datetime]] = []
+    low = query.lower()
+
+    def add(*parts: int) -> None:
+        try:
+            dates.append(datetime(*parts))
+        except ValueError:
+            pass
+
+    for m in re.finditer(r"(\d{4})/(\d{1,2})/(\d{1,2})\s*\(\w+\)\s*(\d{1,2}):(\d{2})", query):
+        add(*map(int, m.groups()))
+    for m in re.finditer(r"(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?", query):
+        add(*[int(g or 0) for g in m.groups()])
+    for m in re.finditer(r"(\d{4})/(\d{1,2})/(\d{1,2})(?!\s*\()", query):
+        add(*map(int, m.groups()))
+    noon = now.replace(hour=12, minute=0, second=0)
+    for m in re.finditer(r"(\d+)\s+(day|week|month|year)s?\s+ago", low):
+        n, unit = int(m[1]), m[2]
+        if unit == "day":
+            dates.append(now - timedelta(days=n))
+        else:
+            ranges.append({"week": lambda: _week(now, n), "month": lambda: _whole_month(now.year, now.month - n), "year": lambda: _whole_year(now.year - n)}[unit]())
+    for word, back in (("yesterday", 1), ("today", 0)):
+        if re.search(rf"\b{word}\b", low):
+            dates.append(noon - timedelta(days=back))
+    for unit, made in (("week", lambda: _week(now, 1)), ("month", lambda: _whole_month(now.year, now.month - 1)), ("year", lambda: _whole_year(now.year - 1))):
+        if re.search(rf"\blast\s+{unit}\b", low):
+            ranges.append(made())
+    if re.search(r"\brecently\b", low):
+        ranges.append((now - timedelta(days=30), now))
+    for m in re.finditer(r"\b(?:last|on|this past)\s+(" + "|".join(K.WEEKDAYS) + r")\b", low):
+        dates.append(noon - timedelta(days=(now.weekday() - K.WEEKDAYS[m[1]] - 1) % 7 + 1))
+    for m in re.finditer(rf"\b({_MONTH})\s+(\d{{4}})\b", low):
+        ranges.append(_whole_month(int(m[2]), K.MONTHS[m[1]]))
+    for m in re.finditer(rf"\bin\s+({_MONTH})\b(?!\s+\d{{4}})", low):
+        month = K.MONTHS[m[1]]
+        ranges.append(_whole_month(now.year if month <= now.month else now.year - 1, month))
+    for m in re.finditer(r"\b(in\s+(?:the\s+)?|last\s+)(" + "|".join(K.SEASONS) + r")\b", low):
+        first, last = K.SEASONS[m[2]]
+        year = now.year - 1 if "last" in m[1] else now.year
+        ranges.append((datetime(year, first, 1), _end_of_month(year + (last < first), last)))
+    for m in re.finditer(r"\bin\s+(\d{4})\b", low):
+        if 1900 <= int(m[1]) <= 2100:
+            ranges.append(_whole_year(int(m[1])))
+    for name, (month, day) in K.HOLIDAYS.items():
+        if m := re.search(rf"\b(before|after|on|around)\s+{re.escape(name)}\b", low):
+            at = datetime(now.year, month, day)
+            at = at if at <= now else datetime(now.year - 1, month, day)
+            if m[1] == "before":
+                ranges.append((datetime(at.year, 1, 1), at))
+            elif m[1] == "after":
+                ranges.append((at, _whole_year(at.year)[1]))
+            else:
+                dates.append(at)
+    return {"dates": dates, "ranges": ranges}
+
+
+def parse_relative(text: str, now: datetime) -> datetime:
+    """now, yesterday, last week or month, N hours, days, weeks or months (of 30 days) ago, or an ISO date."""
+    t = text.strip().lower()
+    fixed = {"now": 0, "yesterday": 1, "last week": 7, "last month": 30}
+    if t in fixed:
+        return now - timedelta(days=fixed[t])
+    if m := re.match(r"(\d+)\s+(day|hour|week|month)s?\s+ago", t):
+        return now - int(m[1]) * {"day": timedelta(days=1), "hour": timedelta(hours=1), "week": timedelta(weeks=1), "month": timedelta(days=30)}[m[2]]
+    return datetime.fromisoformat(text.strip())
+
+
+def creation_range_score(created: Column, lo: Column, hi: Column) -> Column:
+    """0.9 for lying in a range, up to 1 in its middle."""
+    whole = F.greatest(S.days(hi, lo), F.lit(1.0))
+    off = F.abs(S.days(created, lo) - S.days(hi, lo) / 2)
+    return 0.9 + 0.1 * (1 - F.least(off / whole, F.lit(1.0)))
+
+
+def content_dates(text: Column) -> Column:
+    """Dates that a text names: array of (date, kind)."""
+
+    def made(pattern: str, build, kind: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return F.transform(found, lambda s: F.struct(build(s).alias("date"), F.lit(kind).alias("kind")))
+
+    iso = made(r"\d{4}-\d{2}-\d{2}", lambda s: F.try_to_date(s, "yyyy-MM-dd"), "exact")
+    slash = made(r"\d{4}/\d{1,2}/\d{1,2}", lambda s: F.try_to_date(s, "yyyy/M/d"), "exact")
+
+    def month_of(s: Column) -> Column:
+        name = F.lower(F.regexp_extract(s, r"^[A-Za-z]+", 0))
+        out = F.lit(None).cast("string")
+        for k, v in K.MONTHS.items():
+            out = F.when(name == k, f"{v:02d}").otherwise(out)
+        return out
+
+    year = lambda s: F.regexp_extract(s, r"(\d{4})$", 1)
+    day = lambda s: F.lpad(F.regexp_extract(s, r"\s(\d{1,2}),?\s", 1), 2, "0")
+    exact = made(rf"(?i)\b(?:{_MONTH})\s+\d{{1,2}},?\s+\d{{4}}\b", lambda s: F.try_to_date(F.concat_ws("-", year(s), month_of(s), day(s)), "yyyy-MM-dd"), "exact")
+    month = made(rf"(?i)\b(?:{_MONTH})\s+\d{{4}}\b", lambda s: F.try_to_date(F.concat_ws("-", year(s), month_of(s), F.lit("01")), "yyyy-MM-dd"), "month")
+    alone = made(r"(?i)\b(?:in|during)\s+(?:19\d\d|20\d\d|2100)\b", lambda s: F.try_to_date(F.concat(year(s), F.lit("-01-01")), "yyyy-MM-dd"), "year")
+    return F.filter(F.concat(iso, slash, exact, month, alone), lambda x: x["date"].isNotNull())
+
+
+def event_date(sentence: Column, session: Column) -> Column:
+    """The date that a sentence means, seen from its session's; null without one."""
+    low = F.lower(sentence)
+    ago = F.regexp_extract(low, r"(\d+)\s+(day|week|month)s?\s+ago", 1)
+    unit = F.regexp_extract(low, r"(\d+)\s+(day|week|month)s?\s+ago", 2)
+    back = F.when(unit == "day", 1).when(unit == "week", 7).otherwise(30) * F.try_cast(ago, "int") if hasattr(F, "try_cast") else F.when(unit == "day", 1).when(unit == "week", 7).otherwise(30) * ago.try_cast("int")
+    named = F.get(content_dates(sentence), 0)["date"].cast("timestamp_ntz")
+    return F.coalesce(named, F.when(ago != "", session - F.make_dt_interval(days=back)), F.when(F.contains(low, F.lit("yesterday")), session - F.make_dt_interval(days=F.lit(1))), F.when(F.contains(low, F.lit("last week")), session - F.make_dt_interval(days=F.lit(7))))

@@ -1,0 +1,30 @@
+"""Events of conversations by date."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from recallium.functions import dates as D
+from recallium.functions import text as T
+
+
+def build(turns: DataFrame, fillers: bool = True) -> DataFrame:
+    """conv_id, turn, role, pos, sentence, session_date, event_date for the meaningful sentences of (conv_id, turn, role, text, session_date)."""
+    s = turns.select("conv_id", "turn", "role", "session_date", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
+    good = T.meaningful(F.col("sentence")) if fillers else (F.length("sentence") >= 15) & (F.size(F.regexp_extract_all("sentence", F.lit(r"\S+"), F.lit(0))) >= 4)
+    return s.where(good).withColumn("event_date", F.coalesce(D.event_date(F.col("sentence"), F.col("session_date")), F.col("session_date")))
+
+
+def relevant(events: DataFrame, keywords: list[str], limit: int | None = 50) -> DataFrame:
+    """Events with enough of the keywords (one of up to two, else two), most hits first, then by date."""
+    hits = F.size(F.array_intersect(T.tokenize(F.col("sentence")), F.array(*[F.lit(k) for k in keywords])))
+    d = events.withColumn("hits", hits).where(F.col("hits") >= (1 if len(keywords) <= 2 else 2))
+    return d.orderBy(F.desc("hits"), "event_date", "conv_id", "turn", "pos").limit(limit) if limit else d
+
+
+def within(events: DataFrame, start: Column, end: Column, margin_days: int = 14) -> DataFrame:
+    """Events whose session or own date lies in the interval, widened on both sides."""
+    m = F.make_dt_interval(days=F.lit(margin_days))
+    lo, hi = start - m, end + m
+    return events.where(F.col("session_date").between(lo, hi) | F.col("event_date").between(lo, hi))

@@ -1,0 +1,27 @@
+"""Boards of tasks, handoffs and decisions, from their change rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def task_states(changes: DataFrame) -> DataFrame:
+    """task_id, status and steps: the last change (by seq) of each task."""
+    return changes.groupBy("task_id").agg(F.max_by("status", "seq").alias("status"), F.count("*").alias("steps"))
+
+
+def claims(changes: DataFrame) -> DataFrame:
+    """The first agent that claimed each task (task_id, seq, agent) is its owner; later claims fail."""
+    return changes.groupBy("task_id").agg(F.min_by("agent", "seq").alias("agent"), (F.count("*") - 1).alias("failed"))
+
+
+def blocked(tasks: DataFrame, done: str = "completed") -> DataFrame:
+    """id, blocker and blocker_status for blockers of (id, status, blocked_by) that aren't done."""
+    b = tasks.select(F.col("id").alias("blocker"), F.col("status").alias("blocker_status"))
+    return tasks.select("id", F.explode("blocked_by").alias("blocker")).join(b, "blocker").where(F.col("blocker_status") != done)
+
+
+def visible_handoffs(handoffs: DataFrame, agent: str) -> DataFrame:
+    """Those to everybody or to the agent."""
+    return handoffs.where(F.col("to_agent").isNull() | (F.col("to_agent") == agent))
