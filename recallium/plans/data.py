@@ -20,7 +20,7 @@ memories AS (
     CASE WHEN doc_id % 3 <> 0 THEN TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(doc_id + doc_id % 50 AS INT)) END AS last_accessed,
     ['fact', 'decision', 'preference', 'procedure', 'code', 'observation', 'general'][CAST(doc_id % 7 AS INT) + 1] AS memory_type,
     ['stable', 'semi-stable', 'volatile'][CAST(doc_id % 3 AS INT) + 1] AS staleness,
-    list_distinct(['t' || (doc_id % 5), 'u' || (doc_id % 7)] || CASE WHEN doc_id % 11 = 0 THEN ['pinned'] ELSE [] END) AS tags,
+    (['t' || (doc_id % 5), 'u' || (doc_id % 7)] || CASE WHEN doc_id % 11 = 0 THEN ['pinned'] ELSE [] END) AS tags,
     CASE WHEN doc_id % 13 = 0 THEN doc_id + 1 END AS superseded_by
   FROM documents
 )

@@ -1,0 +1,119 @@
+"""Import, export and activity over the supplied tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallium.operators.store import shared_dir
+from recallium.operators.summaries import summaries
+from recallium.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, texts
+from recallium.plans.q_text import SUMMARY_SQL
+from recallium.plans.registry import query
+from recallium.session import table
+from recallium.sources import exports as X
+from recallium.sources import imports as I
+from recallium.streaming import activity as A
+
+_M = f"WITH {MEMORIES_SQL}"
+
+
+@query(
+    "s15_web_pages",
+    r"""WITH t AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM pages),
+c AS (SELECT page_id, title, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS content FROM t)
+SELECT page_id, coalesce(title, '') AS title, md5(content) AS content_md5 FROM c WHERE length(content) >= 10""",
+)
+def s15(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    d = p.select("page_id", title.alias("title"), I.html_text(F.col("html")).alias("content")).where(F.length("content") >= 10)
+    return d.select("page_id", "title", F.md5("content").alias("content_md5"))
+
+
+@query("s23_interesting_commands", "SELECT event_id, event_type || ' -a -b ' || value AS command FROM events")
+def s23(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", F.concat("event_type", F.lit(" -a -b "), F.col("value").cast("string")).alias("command"))
+    return e.where(I.interesting_command(F.col("command")))
+
+
+@query("k4_fine_tuning", f"WITH {TEXTS_SQL}, {SUMMARY_SQL} SELECT t.id FROM texts t LEFT JOIN summary s ON t.id = s.id WHERE coalesce(s.l3, substr(t.text, 1, 200)) <> '' AND t.text <> ''")
+def k4(spark: SparkSession, sf: str) -> DataFrame:
+    t = texts(spark, sf)
+    m = summaries(t).join(t.withColumnRenamed("text", "content"), "id")
+    return X.fine_tuning(m).where(F.get_json_object("line", "$.messages[2].role") == "assistant").select("id")
+
+
+@query("k6_questions_by_tag", f"{_M}, {TEXTS_SQL}, {SUMMARY_SQL}, x AS (SELECT m.id, m.tags[1] AS tag, coalesce(s.l2, []) AS l2 FROM memories m LEFT JOIN summary s ON m.id = s.id) SELECT tag, count(*) AS n, md5(array_to_string(flatten(list(l2 ORDER BY id)), ' ')) AS answer_md5 FROM x GROUP BY tag")
+def k6(spark: SparkSession, sf: str) -> DataFrame:
+    m = memories(spark, sf).select("id", "tags", "content")
+    s = summaries(m.select("id", F.col("content").alias("text")))
+    return X.questions_by_tag(m.join(s, "id")).select("tag", "n", F.md5("answer").alias("answer_md5"))
+
+
+@query("k7_labelled_texts", _M + " SELECT id, md5(content) AS text_md5, tags[1] AS label FROM memories")
+def k7(spark: SparkSession, sf: str) -> DataFrame:
+    return X.labelled_texts(memories(spark, sf)).select("id", F.md5("text").alias("text_md5"), "label")
+
+
+@query("k3_markdown", _M + " SELECT id || '.md' AS name, md5('---' || chr(10) || 'id: ' || id || chr(10) || 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10) || 'source: ' || source || chr(10) || 'priority: ' || priority || chr(10) || '---' || chr(10) || chr(10) || content || chr(10)) AS body_md5 FROM memories")
+def k3(spark: SparkSession, sf: str) -> DataFrame:
+    return X.markdown(memories(spark, sf)).select("name", F.md5("body").alias("body_md5"))
+
+
+@query("k8_logseq", _M + " SELECT id || '.md' AS name, md5('tags:: ' || array_to_string(tags, ', ') || chr(10) || '- ' || replace(content, chr(10), chr(10) || '- ') || chr(10)) AS body_md5 FROM memories")
+def k8(spark: SparkSession, sf: str) -> DataFrame:
+    return X.logseq(memories(spark, sf)).select("name", F.md5("body").alias("body_md5"))
+
+
+@query("k9_context", _M + f", t AS (SELECT 'tags' AS section, tag || ' (' || count(*) || ')' AS text FROM (SELECT unnest(tags) AS tag FROM memories) GROUP BY tag ORDER BY count(*) DESC, tag LIMIT 20), r AS (SELECT 'recent' AS section, '[' || CAST(floor(epoch(TIMESTAMP '{NOW}' - created_at) / 86400) AS BIGINT) || 'd] ' || substr(content, 1, 80) AS text FROM memories ORDER BY created_at DESC, id DESC LIMIT 20), f AS (SELECT 'facts' AS section, substr(content, 1, 200) AS text FROM memories ORDER BY priority DESC, id LIMIT 10) SELECT * FROM t UNION ALL SELECT * FROM r UNION ALL SELECT * FROM f")
+def k9(spark: SparkSession, sf: str) -> DataFrame:
+    return X.context(memories(spark, sf), now()).select("section", "text")
+
+
+@query("k1_jsonl_round_trip", _M + " SELECT id, md5(content) AS content_md5, array_to_string(tags, ',') AS tags FROM memories WHERE length(trim(content)) >= 5")
+def k1(spark: SparkSession, sf: str) -> DataFrame:
+    """Exported lines, read again by the importer's schema."""
+    lines = X.jsonl(memories(spark, sf)).select(F.from_json("line", "id long, content string, tags array<string>").alias("r")).select("r.*")
+    return lines.where(F.length(F.trim("content")) >= 5).select("id", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("s20_pack_round_trip", "SELECT doc_id AS id, md5(text) AS content_md5 FROM documents")
+def s20(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", I.encode_pack(F.to_json(F.struct("doc_id", "source")), F.col("text")).alias("p"))
+    r = d.select(I.decode_pack("p").alias("r"))
+    return r.select(F.get_json_object("r.record", "$.doc_id").cast("long").alias("id"), F.md5("r.content").alias("content_md5"))
+
+
+@query("st5_derived_queries", "SELECT event_type AS query, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, query LIMIT 5")
+def st5(spark: SparkSession, sf: str) -> DataFrame:
+    return A.derived_queries(table(spark, sf, "events").select(F.concat(F.lit("src/"), "event_type", F.lit(".py")).alias("subject")))
+
+
+@query("st6_ttl_cache", "SELECT user_id AS id, max(event_id) AS newest FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 300 SECOND AND ts <= TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 5 DAY GROUP BY user_id")
+def st6(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").where("ts <= timestamp'2024-01-25 00:00:00'").select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+    fresh = A.unexpired(e, F.expr("timestamp_ntz'2024-01-20 00:00:00'")).select("id", "ts")
+    return fresh.join(e, ["id", "ts"]).groupBy("id").agg(F.max("event_id").alias("newest"))
+
+
+@query("st_activity_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def st_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The windows of the stream, from one run over what is there."""
+    schema = table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf) if not sf.startswith("viewfs") else None
+    if stream is None:
+        out = A.activity_windows(table(spark, sf, "events"))
+    else:
+        import uuid
+
+        name = uuid.uuid4().hex
+        path, state = f"{shared_dir(spark)}/windows-{name}", f"{shared_dir(spark)}/windows-state-{name}"
+        s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        # complete windows only leave an append stream; an update at the end of all rows gives every one
+        q = A.activity_windows(s).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.parquet(f"{path}/{i}")).start()
+        q.awaitTermination()
+        d = spark.read.option("recursiveFileLookup", "true").parquet(path)
+        out = d.groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))

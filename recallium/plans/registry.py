@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: The modules that register queries when they are imported.
-MODULES: list[str] = ["q_text", "q_memories", "q_retrieval", "q_graph", "q_timeline"]
+MODULES: list[str] = ["q_text", "q_memories", "q_retrieval", "q_graph", "q_timeline", "q_io"]
 
 
 def queries() -> dict[str, Query]:

@@ -1,0 +1,72 @@
+"""Writers: each gives a DataFrame of lines or files; write_lines() puts lines into text files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+JSONL_FIELDS = ("id", "content", "l3", "tags", "source", "priority", "namespace", "memory_type", "created_at")
+
+
+def jsonl(memories: DataFrame) -> DataFrame:
+    have = [c for c in JSONL_FIELDS if c in memories.columns]
+    return memories.select("id", F.to_json(F.struct(*have)).alias("line"))
+
+
+def fine_tuning(memories: DataFrame, system: str = "You are a helpful assistant with access to stored memories.") -> DataFrame:
+    """Three messages for each memory with an abstract and a content."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    m = F.array(message("system", F.lit(system)), message("user", F.concat(F.lit("Recall: "), "l3")), message("assistant", F.col("content")))
+    return memories.where("coalesce(l3, '') <> '' AND coalesce(content, '') <> ''").select("id", F.to_json(F.struct(m.alias("messages"))).alias("line"))
+
+
+def instructions(memories: DataFrame) -> DataFrame:
+    return memories.where("coalesce(l3, '') <> ''").select("id", F.to_json(F.struct(F.concat(F.lit("Recall: "), "l3").alias("instruction"), F.lit("").alias("input"), F.col("content").alias("output"))).alias("line"))
+
+
+def questions_by_tag(memories: DataFrame) -> DataFrame:
+    """tag, question and answer: all facts (l2) of the memories whose first tag it is, in the order of ids."""
+    tag = F.coalesce(F.get("tags", 0), F.lit("general"))
+    facts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("id", "l2"))), lambda x: x["l2"]))
+    return memories.groupBy(tag.alias("tag")).agg(F.array_join(facts, " ").alias("answer"), F.count("*").alias("n")).select("tag", F.concat(F.lit("What do you know about "), "tag", F.lit("?")).alias("question"), "answer", "n")
+
+
+def labelled_texts(memories: DataFrame) -> DataFrame:
+    return memories.select("id", F.col("content").alias("text"), F.coalesce(F.get("tags", 0), F.lit("general")).alias("label"))
+
+
+def markdown(memories: DataFrame) -> DataFrame:
+    """name and body of a file for each memory, with frontmatter."""
+    head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("id: "), F.col("id").cast("string")), F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")), F.concat(F.lit("source: "), F.coalesce("source", F.lit(""))), F.concat(F.lit("priority: "), F.col("priority").cast("string")), F.lit("---"))
+    return memories.select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("name"), F.concat(head, F.lit("\n\n"), "content", F.lit("\n")).alias("body"))
+
+
+def logseq(memories: DataFrame) -> DataFrame:
+    bullets = F.array_join(F.transform(F.split("content", "\n"), lambda x: F.concat(F.lit("- "), x)), "\n")
+    return memories.select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("name"), F.concat(F.lit("tags:: "), F.array_join("tags", ", "), F.lit("\n"), bullets, F.lit("\n")).alias("body"))
+
+
+def age(created: Column, now: Column) -> Column:
+    """Minutes, hours or days as 5m, 3h, 2d."""
+    s = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 1_000_000
+    unit = lambda d, u: F.concat(F.floor(s / d).cast("string"), F.lit(u))
+    return F.when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
+def context(memories: DataFrame, now: Column, tags: int = 20, recent: int = 20, important: int = 10) -> DataFrame:
+    """section, pos and text: frequent tags, recent memories with ages, contents of the most important ones. Few rows."""
+    t = memories.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(tags)
+    a = t.select(F.lit("tags").alias("section"), (-F.col("n")).cast("double").alias("pos"), F.concat("tag", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("text"))
+    r = memories.orderBy(F.desc("created_at"), F.desc("id")).limit(recent).select(F.lit("recent").alias("section"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).cast("double").alias("pos"), F.concat(F.lit("["), age(F.col("created_at"), now), F.lit("] "), F.substring("content", 1, 80)).alias("text"))
+    p = memories.orderBy(F.desc("priority"), "id").limit(important).select(F.lit("facts").alias("section"), (-F.col("priority")).alias("pos"), F.substring("content", 1, 200).alias("text"))
+    return a.unionByName(r).unionByName(p)
+
+
+def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
+    lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+
+
+def backup(tables: dict[str, DataFrame], path: str) -> None:
+    """A copy of each table below a folder."""
+    for name, d in tables.items():
+        d.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -1,0 +1,176 @@
+"""Readers of foreign formats. Each gives content, tags, source, priority and what the format adds."""
+
+from __future__ import annotations
+
+import json
+import struct
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+NO_TAGS = "array<string>"
+
+
+def _tags(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast(NO_TAGS))
+
+
+def _rows(d: DataFrame, source: str, least: int = 5) -> DataFrame:
+    return d.where(F.length("content") >= least).select("content", _tags(F.col("tags")).alias("tags"), F.coalesce("source", F.lit(source)).alias("source"), F.coalesce("priority", F.lit(0.5)).alias("priority"))
+
+
+_RECORD = "content string, tags array<string>, source string, priority double"
+
+
+def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
+    """One object a line; broken lines and contents under five characters are left out."""
+    d = spark.read.text(path).select(F.from_json("value", _RECORD, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+    return _rows(d.withColumn("content", F.trim("content")), "jsonl")
+
+
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """A top-level array of objects, or one object, in each file."""
+    return _rows(spark.read.schema(_RECORD).json(path, multiLine=True), "json")
+
+
+def read_csv(spark: SparkSession, path: str, content: str = "content", tag: str | None = None, source: str | None = None) -> DataFrame:
+    d = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    tags = F.array_compact(F.array(F.nullif(F.trim(F.col(tag)), F.lit("")))) if tag else F.lit(None).cast(NO_TAGS)
+    return _rows(d.select(F.trim(F.col(content)).alias("content"), tags.alias("tags"), (F.col(source) if source else F.lit(None).cast("string")).alias("source"), F.lit(None).cast("double").alias("priority")), "csv")
+
+
+def frontmatter(text: Column) -> tuple[Column, Column]:
+    """The block between two lines of three dashes at the beginning, and the rest."""
+    whole = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z"
+    has = text.rlike(whole)
+    return F.when(has, F.regexp_extract(text, whole, 1)).otherwise(""), F.trim(F.when(has, F.regexp_extract(text, whole, 2)).otherwise(text))
+
+
+def header(block: Column, key: str) -> Column:
+    v = F.trim(F.regexp_extract(block, rf"(?m)^{key}:[ \t]*(.*)$", 1))
+    return F.when(v != "", F.regexp_replace(v, r"^[\"']|[\"']$", ""))
+
+
+def header_list(block: Column, key: str) -> Column:
+    inner = F.regexp_replace(header(block, key), r"[\[\]\"']", "")
+    return F.filter(F.transform(F.split(inner, ","), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def read_markdown(spark: SparkSession, path: str, known: DataFrame | None = None) -> DataFrame:
+    """One memory a file with its frontmatter's id, tags, source and priority; ids in ``known`` (id) are left out."""
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    block, body = frontmatter(F.col("value"))
+    d = t.select(header(block, "id").alias("id"), body.alias("content"), _tags(header_list(block, "tags")).alias("tags"), F.coalesce(header(block, "source"), F.lit("markdown")).alias("source"), F.coalesce(header(block, "priority").try_cast("double"), F.lit(0.5)).alias("priority"))
+    d = d.where(F.length("content") >= 5)
+    return d if known is None else d.join(known, "id", "left_anti")
+
+
+def read_logseq(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of bullets; a line ``tags:: a, b`` gives the tags."""
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    lines = F.split("value", r"\r?\n")
+    tags = F.regexp_extract("value", r"(?m)^\s*-?\s*tags::[ \t]*(.*)$", 1)
+    kept = F.filter(F.transform(F.filter(lines, lambda x: ~x.rlike(r"^\s*-?\s*[\w-]+::")), lambda x: F.trim(F.regexp_replace(x, r"^\s*-\s?", ""))), lambda x: x != "")
+    d = t.select(F.array_join(kept, "\n").alias("content"), F.filter(F.transform(F.split(tags, ","), lambda x: F.trim(F.regexp_replace(x, r"[\[\]#]", ""))), lambda x: x != "").alias("tags"), F.lit("logseq").alias("source"), F.lit(0.5).alias("priority"))
+    return d.where(F.length("content") >= 5)
+
+
+def read_notion(spark: SparkSession, path: str) -> DataFrame:
+    """Exported pages: the title heads the abstract, ids in hex are taken out of it; contents of 20 characters at least."""
+    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    title = F.trim(F.regexp_replace(F.regexp_extract("value", r"\A\s*#\s+(.+)", 1), r"\s+[0-9a-f]{32}$", ""))
+    body = F.trim(F.regexp_replace(F.regexp_replace("value", r"\A\s*#\s+.+", ""), r"\n{3,}", "\n\n"))
+    tags = F.filter(F.transform(F.split(F.regexp_extract("value", r"(?m)^Tags:[ \t]*(.*)$", 1), ","), lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", "-"))), lambda x: x != "")
+    return t.select(title.alias("l3"), body.alias("content"), tags.alias("tags"), F.lit("notion").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 20)
+
+
+_CHAT = "array<struct<title:string,mapping:map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>>>>"
+
+
+def read_chat_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """Exports of conversations as a mapping of nodes: the assistant's messages of ten characters at least."""
+    c = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _CHAT)).alias("c"))
+    m = c.select("c.title", F.explode(F.map_values("c.mapping")).alias("n")).where(F.col("n.message.author.role") == "assistant")
+    return m.select(F.trim(F.array_join("n.message.content.parts", "\n")).alias("content"), F.array().cast(NO_TAGS).alias("tags"), F.coalesce("title", F.lit("")).alias("title"), F.lit("chat").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 10)
+
+
+_MESSAGE = "struct<sender:string,role:string,text:string,content:string>"
+
+
+def read_chat_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Exports of conversations as lists of messages; contents are texts or lists of parts with a text."""
+    c = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<name:string,chat_messages:array<{_MESSAGE}>,messages:array<{_MESSAGE}>>>")).alias("c"))
+    m = c.select("c.name", F.explode(F.coalesce("c.chat_messages", "c.messages")).alias("m")).where(F.lower(F.coalesce("m.sender", "m.role")).isin("assistant", "ai"))
+    parts = F.from_json("m.content", "array<struct<text:string>>")
+    body = F.coalesce(F.col("m.text"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.col("m.content"))
+    return m.select(F.trim(body).alias("content"), F.array().cast(NO_TAGS).alias("tags"), F.coalesce("name", F.lit("")).alias("title"), F.lit("chat").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 10)
+
+
+def html_text(html: Column) -> Column:
+    """The visible text of a page: scripts, styles, heads, menus and tags go, blanks are joined."""
+    t = F.regexp_replace(html, r"(?is)<(script|style|head|nav|footer)\b.*?</\1>", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def web_pages(pages: DataFrame, least: int = 10) -> DataFrame:
+    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return pages.select("url", F.when(title != "", title).alias("title"), html_text(F.col("html")).alias("content")).where(F.length("content") >= least)
+
+
+def interesting_command(command: Column) -> Column:
+    """Whether a shell command is worth keeping: five characters, and not a trivial one unless it pipes, redirects or has two options."""
+    first = F.regexp_extract(F.trim(command), r"^(\S+)", 1)
+    trivial = first.isin("ls", "cd", "pwd", "clear", "exit", "cat", "echo", "history", "which", "man", "top", "ps", "whoami", "date")
+    return (F.length(F.trim(command)) >= 5) & (~trivial | command.rlike(r"[|>]") | (F.regexp_count(command, F.lit(r"(?:^|\s)-{1,2}\w")) >= 2))
+
+
+MAGIC, VERSION = b"\x89NPK", 1
+_HEADER = struct.Struct("<4sBBI")
+
+
+def pack_bytes(record: dict, body: bytes) -> bytes:
+    """Magic, version, flags and length of the JSON head; the head; the compressed body; a CRC of all before."""
+    head = json.dumps(record, ensure_ascii=False, sort_keys=True).encode()
+    data = _HEADER.pack(MAGIC, VERSION, 0, len(head)) + head + zstandard.ZstdCompressor().compress(body)
+    return data + struct.pack("<I", zlib.crc32(data))
+
+
+def unpack_bytes(data: bytes) -> tuple[dict, bytes] | None:
+    """The head and the body; None if magic, length or CRC are wrong."""
+    if len(data) < _HEADER.size + 4 or not data.startswith(MAGIC) or zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
+        return None
+    _, _, _, n = _HEADER.unpack_from(data)
+    try:
+        return json.loads(data[_HEADER.size : _HEADER.size + n]), zstandard.ZstdDecompressor().decompress(data[_HEADER.size + n : -4])
+    except (ValueError, zstandard.ZstdError):
+        return None
+
+
+def encode_pack(record: Column | str, content: Column | str) -> Column:
+    """Packed form of a JSON text (the record) and a content."""
+
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for head, body in parts:
+            yield pd.Series([pack_bytes(json.loads(h), (b or "").encode()) for h, b in zip(head, body, strict=True)])
+
+    return run(record, content)
+
+
+def decode_pack(packed: Column | str) -> Column:
+    """record and content of packed bytes; nulls where they are damaged."""
+
+    @F.pandas_udf("struct<record: string, content: string>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in parts:
+            got = [unpack_bytes(bytes(x)) if x is not None else None for x in s]
+            yield pd.DataFrame({"record": [json.dumps(g[0], ensure_ascii=False, sort_keys=True) if g else None for g in got], "content": [g[1].decode() if g else None for g in got]})
+
+    return run(packed)

@@ -1,0 +1,97 @@
+"""Streams of activity: filtered sources, changes, derived queries and windows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+# Extensions of files that are watched, and commands that say nothing; fixed values.
+WATCHED = ("py", "js", "ts", "tsx", "jsx", "rs", "go", "java", "rb", "c", "cpp", "h", "md", "json", "yaml", "yml", "toml")
+NOISE = ("ls", "cd", "pwd", "clear", "exit", "history")
+
+
+def file_events(events: DataFrame) -> DataFrame:
+    """Events (path, ts) of watched files."""
+    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return events.where(ext.isin(*WATCHED))
+
+
+def debounced(events: DataFrame, gap_seconds: float = 1.0) -> DataFrame:
+    """Events of a path at least ``gap_seconds`` after the last one that was let through; the state is one time for each path and ends after ten idle minutes."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        for pdf in parts:
+            kept = []
+            for t in sorted(pdf["ts"]):
+                s = pd.Timestamp(t).timestamp()
+                if last is None or s - last >= gap_seconds:
+                    kept.append(t)
+                    last = s
+            if kept:
+                yield pd.DataFrame({"path": [key[0]] * len(kept), "ts": kept})
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutDuration(600_000)
+
+    return events.groupBy("path").applyInPandasWithState(step, "path string, ts timestamp", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def head_changes(polls: DataFrame) -> DataFrame:
+    """Polls (repo, ts, head) whose head differs from the one before; a repository's first is left out."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        for pdf in parts:
+            out = []
+            for _, r in pdf.sort_values("ts").iterrows():
+                if last is not None and r["head"] != last:
+                    out.append((key[0], r["ts"], last, r["head"]))
+                last = r["head"]
+            if out:
+                yield pd.DataFrame(out, columns=["repo", "ts", "old", "new"])
+        if last is not None:
+            state.update((last,))
+
+    return polls.groupBy("repo").applyInPandasWithState(step, "repo string, ts timestamp, old string, new string", "head string", "append", GroupStateTimeout.NoTimeout)
+
+
+def shell_commands(lines: DataFrame) -> DataFrame:
+    """command of history lines (value) without time prefixes, noise left out."""
+    c = F.trim(F.regexp_replace("value", r"^: \d+:\d+;", ""))
+    return lines.select(c.alias("command")).where((F.length("command") > 0) & ~F.regexp_extract("command", r"^(\S+)", 1).isin(*NOISE))
+
+
+def derived_queries(batch: DataFrame, most: int = 5) -> DataFrame:
+    """query and n: words of the paths and commands (subject) in a batch that occur most."""
+    words = F.filter(F.split(F.lower("subject"), r"[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*WATCHED, "src", "tmp", "home", "lib"))
+    return batch.select(F.explode(words).alias("query")).groupBy("query").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(most)
+
+
+def per_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "3 seconds") -> DataStreamWriter:
+    """A query that hands all that came within a trigger to ``handle``."""
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+
+
+def unexpired(cache: DataFrame, now: Column, ttl_seconds: int = 300) -> DataFrame:
+    """Cached results (id, ts) that are young enough, one for each id, newest first."""
+    fresh = cache.where(F.col("ts") >= now - F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    return fresh.groupBy("id").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "id")
+
+
+def activity_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums by type in tumbling windows of event time; rows later than the watermark are dropped."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of each user that end after a gap."""
+    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
