@@ -225,17 +225,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     unstash(buckets)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     seen = stash(_estimated(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs).groupBy("a", "b").agg(F.max("est").alias("est")), "estimates")
-    tried = seen.where(F.col("est") >= AGREE).select("a", "b")
-    links = stash(_confirmed(tried, texts).distinct(), "links", narrow=True)
-
-    def more(pairs: DataFrame) -> bool:
-        nonlocal tried, links
-        fresh = stash(_agreeing(pairs, sigs).join(tried, ["a", "b"], "left_anti"), "pairs", narrow=True)
-        if not fresh.limit(1).count():
-            return False
-        links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links", narrow=True))
-        tried = tried.unionByName(fresh)
-        return True
+    looked = seen.select("a", "b")
+    links = stash(_confirmed(seen.where(F.col("est") >= AGREE).select("a", "b"), texts).distinct(), "links", narrow=True)
+
+    def more(pairs: DataFrame) -> None:
+        """Look at pairs that haven't been looked at."""
+        nonlocal looked, links
+        new = stash(pairs.join(looked, ["a", "b"], "left_anti"), "looked", narrow=True)
+        looked = looked.unionByName(new)
+        fresh = stash(_agreeing(new, sigs), "pairs", narrow=True)
+        if fresh.limit(1).count():
+            links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links", narrow=True))
 
     torn = None
     for i in range(NEAREST + 1):
