@@ -20,13 +20,18 @@ def setup(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: The temporary folder, once there is one.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set where that is unset (tests, one machine)."""
+    """The folder in spark.checkpoint.dir; a temporary one where that is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="recallium-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="recallium-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        found = _OWN[0]
     return found.rstrip("/")
 
 

@@ -68,14 +68,15 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     Null sites are no sites; null texts stay null with counts 0; repeated rows get the same result.
     """
     docs = docs.drop("n_lines", "n_removed")
+    names = docs.columns
     found = boilerplate_lines(docs, min_sites, id_col, text_col, site_col)
     stays = (F.col("id").eqNullSafe(F.col("first"))) if keep_first else F.lit(False)
     gone = stash(found.groupBy(F.col("id").alias("g_id"), "text_hash").agg(F.collect_set(F.struct("a", "b", stays.alias("stays"))).alias("gone")), "gone", narrow=True)
-    key = (docs[id_col].eqNullSafe(F.col("g_id"))) & (F.xxhash64(docs[text_col]) == F.col("text_hash"))
-    d = docs.join(gone, key, "left").drop("g_id", "text_hash")
-    key_a = F.transform("gone", lambda g: g["a"])
-    pieces = F.when(F.col("gone").isNotNull(), F.zip_with(F.split(text_col, "\n"), line_keys(F.col(text_col)), lambda t, k: F.struct(t.alias("t"), k["a"].alias("a"), k["b"].alias("b"))))
-    d = d.withColumn("pieces", pieces).withColumn("gone_a", key_a)
+    plain = [f"d{i}" for i in range(len(names))]  # no column's name can clash with those used here
+    ident, text = (F.col(plain[names.index(c)]) for c in (id_col, text_col))
+    d = docs.toDF(*plain).join(gone, ident.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("text_hash")), "left").drop("g_id", "text_hash")
+    pieces = F.when(F.col("gone").isNotNull(), F.zip_with(F.split(text, "\n"), line_keys(text), lambda t, k: F.struct(t.alias("t"), k["a"].alias("a"), k["b"].alias("b"))))
+    d = d.withColumn("pieces", pieces).withColumn("gone_a", F.transform("gone", lambda g: g["a"]))
     d = d.withColumn("all_a", F.transform("pieces", lambda x: x["a"]))
 
     def kept(x: Column, i: Column) -> Column:
@@ -84,11 +85,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
         return F.when(x["a"].isNull() | ~F.array_contains("gone_a", x["a"]), True).when(F.array_contains("gone", mark), False).when(F.array_contains("gone", first_here), F.array_position("all_a", x["a"]) == i + 1).otherwise(True)
 
     d = d.withColumn("left_over", F.filter("pieces", kept))
-    n_lines = F.coalesce(F.size(F.array_compact(line_keys(F.col(text_col)))), F.lit(0))
+    n_lines = F.coalesce(F.size(F.array_compact(line_keys(text))), F.lit(0))
     n_removed = F.when(F.col("pieces").isNotNull(), F.size("pieces") - F.size("left_over")).otherwise(F.lit(0))
-    d = d.withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n_lines).cast("long")).withColumn("n_removed", n_removed.cast("long"))
-    text = F.when(F.col("pieces").isNotNull(), F.array_join(F.transform("left_over", lambda x: x["t"]), "\n")).otherwise(F.col(text_col))
-    return d.withColumn(text_col, text).drop("gone", "gone_a", "all_a", "pieces", "left_over")
+    left = F.when(F.col("pieces").isNotNull(), F.array_join(F.transform("left_over", lambda x: x["t"]), "\n")).otherwise(text)
+    out = [left.alias(n) if n == text_col else F.col(p).alias(n) for p, n in zip(plain, names, strict=True)]
+    return d.select(*out, F.when(text.isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
