@@ -10,13 +10,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The temporary folder, once there is one.
+_OWN: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (one machine) a temporary one is set."""
+    """The folder in spark.checkpoint.dir; where it is unset (one machine) a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="recallium-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not _OWN:
+            _OWN.append(tempfile.mkdtemp(prefix="recallium-"))
+            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+        found = _OWN[0]
     return found.rstrip("/")
 
 

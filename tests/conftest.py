@@ -9,8 +9,8 @@ from recallium.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     session = local_session("tests", cores=4, partitions=4)
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
