@@ -24,8 +24,8 @@ SHINGLE = 5
 PERMUTATIONS, BANDS, ROWS = 65, 26, 5
 #: Links need percent * union <= 100 * intersection.
 PERCENT = 85
-#: A pair is looked at when this share of the signature agrees: 6 standard deviations below the threshold.
-AGREE = 0.65
+#: A pair is looked at when this share of the signature agrees: nearly 5 standard deviations below the threshold.
+AGREE = 0.7
 #: Members nearest to the head that others meet, one after the other.
 NEAREST = 2
 #: Members of a bucket in which pairs are made directly.
