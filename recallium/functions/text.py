@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -19,8 +20,19 @@ def _unicode(pattern: str) -> str:
     return f"(?U){pattern}"
 
 
+def _needed(pattern: str) -> str:
+    """The longest plain piece that any match of a pattern contains; empty if there may be none."""
+    if re.search(r"[|(\[]", pattern):
+        return ""
+    plain = re.sub(r"\\.[*+?]?|.[?*]", "\0", pattern)
+    return max(re.findall(r"[A-Za-z=`> ]+", plain), key=len, default="")
+
+
 def matches(text: Column, pattern: str) -> Column:
-    return text.rlike(_unicode(pattern))
+    """Whether a pattern occurs; a search for its longest plain piece comes first, as that is much cheaper."""
+    piece = _needed(pattern)
+    found = text.rlike(_unicode(pattern))
+    return F.contains(text, F.lit(piece)) & found if piece else found
 
 
 def hits(text: Column, patterns: list[str]) -> Column:
@@ -31,7 +43,7 @@ def hits(text: Column, patterns: list[str]) -> Column:
 def tokenize(text: Column) -> Column:
     """Lower-case words of two or more of a-z and 0-9, without stop words, in order."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.filter(runs, lambda w: w.rlike("^[a-z0-9]{2,}$") & ~F.array_contains(_words(K.STOP_WORDS), w))
+    return F.filter(runs, lambda w: w.rlike("^[a-z0-9]{2,}$") & ~w.isin(K.STOP_WORDS))
 
 
 def bigrams(tokens: Column) -> Column:
@@ -98,7 +110,7 @@ def redact_sensitive(text: Column) -> Column:
 def key_terms(text: Column) -> Column:
     """Distinct words of a-z that aren't stop words, in alphabetical order."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(runs, lambda w: w.rlike("^[a-z]+$") & ~F.array_contains(_words(K.KEY_TERM_STOP_WORDS), w))))
+    return F.array_sort(F.array_distinct(F.filter(runs, lambda w: w.rlike("^[a-z]+$") & ~w.isin(K.KEY_TERM_STOP_WORDS))))
 
 
 def blank_words(text: Column) -> Column:

@@ -23,7 +23,7 @@ def bm25(texts: DataFrame, terms: list[str], k1: float = K.BM25_K1, b: float = K
     matching rows is kept."""
     wanted = F.array(*[F.lit(t.lower()) for t in dict.fromkeys(terms)])
     t = texts.select("id", T.tokenize(F.col("text")).alias("t"))
-    counted = t.select("id", F.size("t").alias("n"), F.transform(wanted, lambda w: F.size(F.filter("t", lambda x: x == w))).alias("tf"))
+    counted = t.select("id", F.size("t").alias("n"), F.transform(wanted, lambda w: F.size("t") - F.size(F.array_remove("t", w))).alias("tf"))
     sums = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(set(terms)))])
     dfs = F.array(*[F.col(f"df{i}") for i in range(len(set(terms)))])
     d = counted.where(F.exists("tf", lambda x: x > 0)).crossJoin(F.broadcast(sums))  # one row of totals

@@ -47,7 +47,7 @@ def frontmatter(text: Column) -> tuple[Column, Column]:
     """The block between two lines of three dashes at the beginning, and the rest."""
     whole = r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z"
     has = text.rlike(whole)
-    return F.when(has, F.regexp_extract(text, whole, 1)).otherwise(""), F.trim(F.when(has, F.regexp_extract(text, whole, 2)).otherwise(text))
+    return F.when(has, F.regexp_extract(text, whole, 1)).otherwise(""), F.btrim(F.when(has, F.regexp_extract(text, whole, 2)).otherwise(text), F.lit(" \t\r\n"))
 
 
 def header(block: Column, key: str) -> Column:

@@ -22,7 +22,7 @@ def file_events(events: DataFrame) -> DataFrame:
 
 
 def debounced(events: DataFrame, gap_seconds: float = 1.0) -> DataFrame:
-    """Events of a path at least ``gap_seconds`` after the last one that was let through; the state is one time for each path and ends after ten idle minutes."""
+    """Events of a path at least ``gap_seconds`` after the last one that was let through; the state is one time for each path and ends after ten idle minutes of event time."""
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -40,9 +40,9 @@ def debounced(events: DataFrame, gap_seconds: float = 1.0) -> DataFrame:
                 yield pd.DataFrame({"path": [key[0]] * len(kept), "ts": kept})
         if last is not None:
             state.update((last,))
-            state.setTimeoutDuration(600_000)
+            state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 600_000)
 
-    return events.groupBy("path").applyInPandasWithState(step, "path string, ts timestamp", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.withWatermark("ts", "10 minutes").groupBy("path").applyInPandasWithState(step, "path string, ts timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def head_changes(polls: DataFrame) -> DataFrame:
