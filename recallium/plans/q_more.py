@@ -1,0 +1,92 @@
+"""Lifecycle, dates in texts, observations, encryption, sessions and code style."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallium.functions import dates as D
+from recallium.functions import text as T
+from recallium.plans.data import MEMORIES_SQL, TEXTS_SQL, memories, sql_text, texts
+from recallium.plans.q_text import sentences_sql
+from recallium.plans.registry import query
+from recallium.session import table
+
+_M = f"WITH {MEMORIES_SQL}"
+
+
+@query("f10_date_prefix", "SELECT event_id FROM events WHERE starts_with(strftime(ts, '%Y-%m-%d'), '2024-01-1')")
+def f10(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").where(F.startswith(F.date_format("ts", "yyyy-MM-dd"), F.lit("2024-01-1"))).select("event_id")
+
+
+@query("d9_lifecycle", _M + "SELECT id, CASE WHEN list_contains(tags, 'pinned') THEN 1.0 WHEN id % 17 = 0 THEN 0.1 WHEN id % 5 = 0 THEN greatest(priority, 0.9) WHEN id % 3 = 0 THEN least(priority, 0.3) ELSE priority END AS priority FROM memories")
+def d9(spark: SparkSession, sf: str) -> DataFrame:
+    """Pinned, archived, promoted and demoted priorities."""
+    p, i = F.col("priority"), F.col("id")
+    new = F.when(F.array_contains("tags", "pinned"), 1.0).when(i % 17 == 0, 0.1).when(i % 5 == 0, F.greatest(p, F.lit(0.9))).when(i % 3 == 0, F.least(p, F.lit(0.3))).otherwise(p)
+    return memories(spark, sf).select("id", new.alias("priority"))
+
+
+@query("d5_supersede_older", _M + "SELECT id, lead(id) OVER (PARTITION BY namespace, md5(content) ORDER BY created_at, id) AS superseded_by FROM memories")
+def d5(spark: SparkSession, sf: str) -> DataFrame:
+    """An equal text that is stored again takes the older one's place."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("namespace", F.md5("content")).orderBy("created_at", "id")
+    return memories(spark, sf).select("id", F.lead("id").over(w).alias("superseded_by"))
+
+
+@query("x41_encryption", "SELECT doc_id AS id, md5(text) AS content_md5 FROM documents")
+def x41(spark: SparkSession, sf: str) -> DataFrame:
+    """Contents encrypted and decrypted again; the key comes from the caller, here a fixed one for the round trip."""
+    key = F.lit("0123456789abcdef")
+    d = table(spark, sf, "documents").select("doc_id", F.aes_encrypt(F.col("text"), key).alias("e"))
+    return d.select(F.col("doc_id").alias("id"), F.md5(F.aes_decrypt("e", key).cast("string")).alias("content_md5"))
+
+
+#: The cascade of categories of a session's sentences.
+_CATEGORIES = {"decision": ["decided", "will use", "chose"], "problem": ["failed", "problem", "error"], "preference": ["prefer", "always", "never"]}
+_CASE_SQL = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(s), {sql_text(k)})" for k in ks) + f" THEN '{c}'" for c, ks in _CATEGORIES.items()) + " ELSE 'other' END"
+
+
+@query("a21_session_summary", f"WITH {TEXTS_SQL}, s AS (SELECT id, unnest({sentences_sql('text')}) AS s FROM texts) SELECT id, {_CASE_SQL} AS category, count(DISTINCT s) AS sentences FROM s GROUP BY 1, 2")
+def a21(spark: SparkSession, sf: str) -> DataFrame:
+    s = texts(spark, sf).select("id", F.explode(T.sentences(F.col("text"))).alias("s"))
+    c = F.lit("other")
+    for name, keys in reversed(_CATEGORIES.items()):
+        hit = F.lit(False)
+        for k in keys:
+            hit = hit | F.contains(F.lower("s"), F.lit(k))
+        c = F.when(hit, name).otherwise(c)
+    return s.groupBy("id", c.alias("category")).agg(F.count_distinct("s").alias("sentences"))
+
+
+_COUNT = r"(?i)(?:now |total |has tried |tried |have |has |owns? )(\d+)\s+(.+?)(?:\.|,|$)"
+_CHANGE = r"(?i)(?:changed|switched|moved|upgraded|went)\s+from\s+(.+?)\s+to\s+(.+?)(?:\.|,|$)"
+_OBSERVED = [(1, "She has tried 4 Korean restaurants."), (2, "User switched from vim to emacs, at last"), (3, "nothing to see here"), (4, "He now owns 12 model kits")]
+_OBSERVED_SQL = "ob(id, text) AS (VALUES " + ", ".join(f"({i}, {sql_text(t)})" for i, t in _OBSERVED) + "), al AS (SELECT CAST(id AS BIGINT) AS id, text FROM ob UNION ALL SELECT 1000 + doc_id, text FROM documents)"
+
+
+@query("x40_observations", f"WITH {_OBSERVED_SQL} SELECT id, nullif(regexp_extract(text, {sql_text(_COUNT)}, 1), '') AS n, nullif(regexp_extract(text, {sql_text(_COUNT)}, 2), '') AS what, nullif(regexp_extract(text, {sql_text(_CHANGE)}, 1), '') AS old, nullif(regexp_extract(text, {sql_text(_CHANGE)}, 2), '') AS new FROM al WHERE regexp_matches(text, {sql_text(_COUNT)}) OR regexp_matches(text, {sql_text(_CHANGE)})")
+def x40(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.createDataFrame(_OBSERVED, "id long, text string").unionAll(table(spark, sf, "documents").select(F.col("doc_id") + 1000, "text"))
+    part = lambda p, g: F.nullif(F.regexp_extract("text", p, g), F.lit(""))
+    d = d.where(F.col("text").rlike(_COUNT) | F.col("text").rlike(_CHANGE))
+    return d.select("id", part(_COUNT, 1).alias("n"), part(_COUNT, 2).alias("what"), part(_CHANGE, 1).alias("old"), part(_CHANGE, 2).alias("new"))
+
+
+_SNAKE, _CAMEL = r"\b[a-z]+(?:_[a-z0-9]+)+\b", r"\b[a-z]+(?:[A-Z][a-z0-9]*)+\b"
+
+
+@query("x35_naming_style", f"WITH p AS (SELECT page_id, len(regexp_extract_all(html, {sql_text(_SNAKE)})) AS snake, len(regexp_extract_all(html, {sql_text(_CAMEL)})) AS camel FROM pages) SELECT page_id, CAST(snake AS INT) AS snake, CAST(camel AS INT) AS camel, CASE WHEN snake > camel THEN 'snake_case' WHEN camel > snake THEN 'camelCase' ELSE 'mixed' END AS style FROM p")
+def x35(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", F.regexp_count("html", F.lit(_SNAKE)).alias("snake"), F.regexp_count("html", F.lit(_CAMEL)).alias("camel"))
+    style = F.when(F.col("snake") > F.col("camel"), "snake_case").when(F.col("camel") > F.col("snake"), "camelCase").otherwise("mixed")
+    return p.withColumn("style", style)
+
+
+@query("r12_content_dates")
+def r12(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates that texts name; the tests hold the extraction against written-out cases."""
+    return texts(spark, sf).select("id", F.explode(D.content_dates(F.col("text"))).alias("d")).select("id", F.col("d.date").alias("date"), F.col("d.kind").alias("kind"))
