@@ -1,0 +1,46 @@
+"""Subject, verb and object of simple sentences, and search over them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recallium.functions import text as T
+from recallium.operators.retrieval import bm25
+
+# Verbs that make an event, with words that stand for them too; fixed values.
+VERBS = {
+    "visited": ["went", "travelled", "toured"],
+    "bought": ["purchased", "ordered", "acquired"],
+    "moved": ["relocated", "transferred"],
+    "started": ["began", "launched"],
+    "finished": ["completed", "ended"],
+    "met": ["saw", "encountered"],
+    "learned": ["studied", "discovered"],
+    "made": ["built", "created"],
+    "joined": ["entered"],
+    "left": ["quit", "departed"],
+}
+_FORMS = [(v, [v, *others]) for v, others in VERBS.items()]
+_PATTERN = r"(?i)\b(I|we|he|she|they|[A-Z][a-z]+(?:\s[A-Z][a-z]+)?)\s+(" + "|".join(w for _, ws in _FORMS for w in ws) + r")\s+([^.,;!?\n]{3,60})"
+
+
+def extract_events(texts: DataFrame) -> DataFrame:
+    """id, pos, subject, verb, object and aliases (other words for the verb) of each sentence of (id, text) that tells an event."""
+    s = texts.select("id", F.posexplode(T.sentences(F.col("text"))).alias("pos", "s")).where(F.col("s").rlike(_PATTERN))
+    part = lambda g: F.trim(F.regexp_extract("s", _PATTERN, g))
+    verb = F.lower(part(2))
+    alias = F.array().cast("array<string>")
+    for v, words in _FORMS:
+        alias = F.when(verb.isin(words), F.array_remove(F.array(*[F.lit(w) for w in [v, *words[1:]]]), verb)).otherwise(alias)
+    return s.select("id", "pos", part(1).alias("subject"), verb.alias("verb"), part(3).alias("object"), F.slice(alias, 1, 4).alias("aliases"))
+
+
+def search_events(events: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
+    """id and score of the memories with the best events for the terms; one, the best, for each memory."""
+    text = F.concat_ws(" ", "subject", "verb", "object", F.array_join("aliases", " "))
+    numbered = events.withColumn("e", F.struct("id", "pos")).select("e", text.alias("text"))
+    scored = bm25(numbered.select(F.col("e").alias("id"), "text"), terms)
+    w = Window.partitionBy("m").orderBy(F.desc("score"), "p")
+    best = scored.select(F.col("id.id").alias("m"), F.col("id.pos").alias("p"), "score").withColumn("r", F.row_number().over(w)).where("r = 1")
+    return best.orderBy(F.desc("score"), "m").limit(limit).select(F.col("m").alias("id"), "score")

@@ -1,0 +1,30 @@
+"""Events in texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from recallium.operators import events as E
+from recallium.plans.data import sql_text
+from recallium.plans.q_text import sentences_sql
+from recallium.plans.registry import query
+from recallium.session import table
+
+_TOLD = ["I visited the museum of modern art. It was big.", "Maria Schmidt bought a red bicycle, then went home", "they launched the new service!", "Nothing happened here."]
+_SQL = "tl(id, text) AS (VALUES " + ", ".join(f"({-i - 1}, {sql_text(t)})" for i, t in enumerate(_TOLD)) + "), al AS (SELECT CAST(id AS BIGINT) AS id, regexp_replace(text, '[^\\P{L}a-zA-Z]', '_', 'g') AS text FROM (SELECT * FROM tl UNION ALL SELECT doc_id, text FROM documents))"
+
+
+def told(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(_TOLD)], "id long, text string").unionAll(table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("id", F.regexp_replace("text", r"[\p{L}&&[^a-zA-Z]]", "_").alias("text"))
+
+
+@query("x28_events", f"WITH {_SQL}, s AS (SELECT id, unnest({sentences_sql('text')}) AS s FROM al) SELECT id, trim(regexp_extract(s, {sql_text(E._PATTERN)}, 1)) AS subject, lower(trim(regexp_extract(s, {sql_text(E._PATTERN)}, 2))) AS verb, trim(regexp_extract(s, {sql_text(E._PATTERN)}, 3)) AS object FROM s WHERE regexp_matches(s, {sql_text(E._PATTERN)})")
+def x28(spark: SparkSession, sf: str) -> DataFrame:
+    return E.extract_events(told(spark, sf)).select("id", "subject", "verb", "object")
+
+
+@query("r6_event_search")
+def r6(spark: SparkSession, sf: str) -> DataFrame:
+    return E.search_events(E.extract_events(told(spark, sf)), ["museum", "bicycle"]).select("id", F.round("score", 9).alias("score"))
