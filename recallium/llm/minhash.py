@@ -242,9 +242,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         torn = _torn(shared if torn is None else torn, seen, components(links))
         if i < NEAREST:
             more(_near_head(torn, i))
-    placed = _placed(torn)
-    more(_small_rest(placed))
-    more(_large_rest(placed, texts))
+    more(_small_rest(_placed(torn)))
+    more(_large_rest(_placed(_torn(torn, seen, components(links))), texts))  # without what the small buckets have joined
     ends = components(links.unionByName(members.select("a", "b")))
     out = signed.select("id", "n_shingles").join(ends, signed["id"] == ends["node"], "left")
     component = F.coalesce("label", "id")
