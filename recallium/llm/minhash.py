@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from recallium.llm.common import at_most, batches, record_batch, setup, stash, unstash
 
 SHINGLE = 5
-#: Permutations; a signature has twice as many values. BANDS x ROWS of them make buckets.
+#: Permutations; a signature has twice as many values. BANDS x ROWS of them make buckets, unless link() is told others.
 PERMUTATIONS, BANDS, ROWS = 65, 26, 5
-#: Links need percent * union <= 100 * intersection.
+#: Links need percent * union <= 100 * intersection; this is op5's.
 PERCENT = 85
 #: A pair is looked at when this share of the signature agrees: nearly 5 standard deviations below the threshold.
 AGREE = 0.7
@@ -106,15 +106,15 @@ def signature(h: np.ndarray) -> np.ndarray:
     return (_mixed(np.stack([lo, hi], 1).reshape(-1)) >> np.uint64(32)).astype(np.uint32)
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    x = sig[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * _M[0]
-    for i in range(ROWS):
+def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    x = sig[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    h = np.arange(1, bands + 1, dtype=np.uint64) * _M[0]
+    for i in range(rows):
         h = _mixed(h + x[:, i] * _M[i % 3])
     return h.view(np.int64)
 
 
-def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sign(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """id, n_shingles, k1 and k2 (a digest of the word sequence; null without words), bands, sig."""
 
     def run(stream):
@@ -132,7 +132,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sig = signature(h)
                 cols["k1"].append(int.from_bytes(d[:8], "big", signed=True))
                 cols["k2"].append(int.from_bytes(d[8:], "big", signed=True))
-                cols["bands"].append(band_hashes(sig))
+                cols["bands"].append(band_hashes(sig, bands, rows))
                 cols["sig"].append(sig.tobytes())
             yield record_batch(schema, {"id": b.column(0)} | cols)
 
@@ -152,12 +152,12 @@ def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return p.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least a share AGREE."""
-    return _estimated(pairs, sigs).where(F.col("est") >= AGREE).select("a", "b").distinct()
+def _agreeing(pairs: DataFrame, sigs: DataFrame, agree: float) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in at least a share ``agree``."""
+    return _estimated(pairs, sigs).where(F.col("est") >= agree).select("a", "b").distinct()
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked by their whole sets; texts: id, text, one row for each id."""
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), "ids", narrow=True)
     few = at_most(ids, BROADCAST_IDS)
@@ -174,7 +174,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     last, one = a, shingles(text_a)[0]
                 other = shingles(text_b)[0]
                 shared = len(np.intersect1d(one, other, assume_unique=True))
-                keep.append(100 * shared >= PERCENT * (len(one) + len(other) - shared) and shared > 0)
+                keep.append(100 * shared >= percent * (len(one) + len(other) - shared) and shared > 0)
             yield record_batch(schema, {"a": r.column(0), "b": r.column(1)}).filter(pa.array(keep))
 
     return p.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -201,16 +201,20 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, agree: float = AGREE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """n_shingles, component_id and kept for each row: id, n_shingles long, component_id, kept boolean.
 
-    Documents with a Jaccard similarity of PERCENT hundredths or more between their distinct
+    Documents with a Jaccard similarity of ``percent`` hundredths or more between their distinct
     five-word shingles are linked; component_id is the smallest id reachable. Rows of one id count
     as one document for reaching others; each of them is returned. Rows with a null id are linked with
     nothing: component_id null, kept true. Empty and null texts have no shingles and no links.
+    A lower ``percent`` needs a lower ``agree`` (share of the signature at which a pair is looked at)
+    and ``bands`` of fewer ``rows``; they have to fit in a signature.
     """
+    if not 0 < bands * rows <= 2 * PERMUTATIONS:
+        raise ValueError(f"{bands} bands of {rows} don't fit in a signature of {2 * PERMUTATIONS} values")
     setup(docs.sparkSession)
-    signed = stash(sign(docs, id_col, text_col), "signed")
+    signed = stash(sign(docs, id_col, text_col, bands, rows), "signed")
     named = signed.where("id IS NOT NULL AND k1 IS NOT NULL")
     # equal word sequences are one class, represented by its smallest id
     classes = stash(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
@@ -226,16 +230,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     seen = stash(_estimated(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs).groupBy("a", "b").agg(F.max("est").alias("est")), "estimates")
     looked = seen.select("a", "b")
-    links = stash(_confirmed(seen.where(F.col("est") >= AGREE).select("a", "b"), texts).distinct(), "links", narrow=True)
+    links = stash(_confirmed(seen.where(F.col("est") >= agree).select("a", "b"), texts, percent).distinct(), "links", narrow=True)
 
     def more(pairs: DataFrame) -> None:
         """Look at pairs that haven't been looked at."""
         nonlocal looked, links
         new = stash(pairs.join(looked, ["a", "b"], "left_anti"), "looked", narrow=True)
         looked = looked.unionByName(new)
-        fresh = stash(_agreeing(new, sigs), "pairs", narrow=True)
+        fresh = stash(_agreeing(new, sigs, agree), "pairs", narrow=True)
         if fresh.limit(1).count():
-            links = links.unionByName(stash(_confirmed(fresh, texts).distinct(), "links", narrow=True))
+            links = links.unionByName(stash(_confirmed(fresh, texts, percent).distinct(), "links", narrow=True))
 
     torn = None
     for i in range(NEAREST + 1):
@@ -243,7 +247,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         if i < NEAREST:
             more(_near_head(torn, i))
     more(_small_rest(_placed(torn)))
-    more(_large_rest(_placed(_torn(torn, seen, components(links))), texts))  # without what the small buckets have joined
+    more(_large_rest(_placed(_torn(torn, seen, components(links))), texts, percent))  # without what the small buckets have joined
     ends = components(links.unionByName(members.select("a", "b")))
     out = signed.select("id", "n_shingles").join(ends, signed["id"] == ends["node"], "left")
     component = F.coalesce("label", "id")
@@ -285,12 +289,12 @@ def _small_rest(placed: DataFrame) -> DataFrame:
     return few.join(outside, "bucket").where("c <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def _large_rest(placed: DataFrame, texts: DataFrame) -> DataFrame:
+def _large_rest(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of large buckets in different components that can be linked.
 
     The shingles of the members of a bucket are put in one order: first those that none of a few
     members of its largest component has, then the others. Two sets of x and y shingles with the
-    wanted similarity share at least 85 / 185 of x + y of them, so the first that they share stands so early
+    wanted similarity share at least percent / (100 + percent) of x + y of them, so the first that they share stands so early
     in both that enough follow. Members meet on such shingles only.
     """
     many = stash(placed.where(F.col("n") > SMALL).select("main", "id", "c").distinct(), "many", narrow=True)
@@ -315,22 +319,22 @@ def _large_rest(placed: DataFrame, texts: DataFrame) -> DataFrame:
             for t, late in zip(r.column(3).to_pylist(), r.column(4), strict=True):
                 h = shingles(t)[0].view(np.int64)
                 common = np.isin(h, late.values.to_numpy() if late.is_valid else [])
-                out.append((len(h), np.concatenate([h[~common], h[common]])[: len(h) - (PERCENT * len(h) + 99) // 100 + 1]))
+                out.append((len(h), np.concatenate([h[~common], h[common]])[: len(h) - (percent * len(h) + 99) // 100 + 1]))
             yield record_batch(schema, {"main": r.column(0), "id": r.column(1), "c": r.column(2), "n": [x[0] for x in out], "first": [x[1] for x in out]})
 
     made = many.join(wanted, "id").join(last, "main", "left").select("main", "id", "c", "text", "late").mapInArrow(prefixes, "main long, id long, c long, n long, first array<long>")
     spread = stash(made, "prefixes").select("main", "id", "c", "n", F.posexplode("first").alias("pos", "h"))
     outside = spread.where("c <> main").select("main", "h", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    enough = F.lit(100 + PERCENT) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= F.lit(PERCENT) * (F.col("n") + F.col("m"))
+    enough = F.lit(100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= F.lit(percent) * (F.col("n") + F.col("m"))
     return spread.join(outside, ["main", "h"]).where((F.col("c") != F.col("oc")) & enough).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, agree: float = AGREE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows of ``docs`` that represent their near-duplicate component, with all columns.
 
     Of rows with one id all stay or all go. Rows with a null id stay.
     """
-    gone = link(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct()
+    gone = link(docs, id_col, text_col, percent, agree, bands, rows).where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct()
     gone = stash(gone, "gone")
     return docs.join(F.broadcast(gone) if at_most(gone, BROADCAST_IDS) else gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
 
