@@ -139,31 +139,35 @@ class DecisionList:
 def learn(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, quantiles: int = 24, precision: float = 0.97, least: int = 5) -> DecisionList:
     """Sequential covering on a table of FEATURES and ``poor`` boolean, ``grow`` boolean.
 
-    Candidate thresholds lie halfway between quantiles of each feature over all labelled rows. A rule grows on the
-    rows with ``grow`` by the condition of the largest FOIL gain, from counts by feature and
-    quantile bin that Spark makes in one pass; conditions are pruned if the rest does as well on
-    the other rows; a rule is taken if it is right for ``precision`` of the rows that it covers in
-    either part, and covers ``least`` poor ones. Rows that it covers are removed. What reaches the
-    driver are counts by feature and bin. An empty table gives an empty list.
+    Candidate thresholds are made anew for each rule, from the rows that no rule covers yet: halfway
+    between quantiles of the poor and of the other ones, their least and largest values and the least
+    one above zero. A rule grows on the rows with ``grow`` by the condition of the largest FOIL gain, from
+    counts by feature and bin that Spark makes in one pass; conditions are pruned if the rest does as well
+    on the other rows; a rule is taken if it is right for ``precision`` of the rows that it covers in
+    either part, and covers ``least`` poor ones. If it is not, the next best first condition is
+    tried, on each feature and side once. Rows that a rule covers are removed. What reaches the driver are counts by
+    feature and bin. An empty table gives an empty list.
     """
-    steps = [(i + 1) / (quantiles + 1) for i in range(quantiles)]
-    cuts_row = labelled.agg(*[F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES]).first()
-    found = {f: sorted(set(cuts_row[f] or [])) for f in FEATURES}
-    cuts = {f: [(a + b) / 2 for a, b in itertools.pairwise(c)] for f, c in found.items()}
     remaining = F.lit(True)
     rules: list[Rule] = []
     while len(rules) < max_rules:
-        chosen: list[Condition] = []
-        while len(chosen) < max_conditions:
-            best = _best_condition(labelled.where(remaining & F.col("grow") & Rule(tuple(chosen)).column()), cuts)
-            if best is None:
+        left = labelled.where(remaining)
+        cuts = _cuts(left, quantiles)
+        rule, tried = None, set()
+        for first, pure in _conditions(left.where("grow"), cuts, least):
+            if (first.feature, first.above) in tried:
+                continue
+            tried.add((first.feature, first.above))
+            chosen = [first]
+            while not pure and len(chosen) < max_conditions:
+                found = _conditions(left.where(F.col("grow") & Rule(tuple(chosen)).column()), cuts, least)
+                if not found:
+                    break
+                chosen.append(found[0][0])
+                pure = found[0][1]
+            rule = _pruned(left, chosen, precision, least)
+            if rule is not None:
                 break
-            chosen.append(best[0])
-            if best[1]:
-                break
-        if not chosen:
-            break
-        rule = _pruned(labelled.where(remaining), chosen, precision, least)
         if rule is None:
             break
         rules.append(rule)
@@ -171,32 +175,46 @@ def learn(labelled: DataFrame, max_rules: int = 12, max_conditions: int = 3, qua
     return DecisionList(rules)
 
 
-def _best_condition(rows: DataFrame, cuts: dict[str, list[float]]) -> tuple[Condition, bool] | None:
-    """The condition of the largest gain, and whether nothing but poor rows is left under it."""
+def _cuts(rows: DataFrame, quantiles: int) -> dict[str, list[float]]:
+    """Thresholds by feature: halfway between quantiles (with both ends) of the poor rows and of the others, and above zero."""
+    steps = [i / (quantiles + 1) for i in range(quantiles + 2)]
+    aggs = []
+    for f in FEATURES:
+        aggs += [F.percentile_approx(F.when(c, F.col(f)), steps, 10_000).alias(f"{f}_{k}") for k, c in (("poor", F.col("poor")), ("rest", ~F.col("poor")))]
+        aggs.append(F.min(F.when(F.col(f) > 0, F.col(f))).alias(f"{f}_least"))
+    got = rows.agg(*aggs).first()
+    out = {}
+    for f in FEATURES:
+        least = [got[f"{f}_least"]] if got[f"{f}_least"] is not None else []
+        found = sorted({*(got[f"{f}_poor"] or []), *(got[f"{f}_rest"] or []), *least})
+        out[f] = [(a + b) / 2 for a, b in itertools.pairwise(found)]
+    return out
+
+
+def _conditions(rows: DataFrame, cuts: dict[str, list[float]], least: int) -> list[tuple[Condition, bool]]:
+    """The conditions that gain and cover ``least`` poor rows, the largest gain first, and whether nothing but poor rows is left under each."""
     def bin_of(f: str) -> Column:
         return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[f]]).cast("array<double>"), lambda c: c < F.col(f)))
 
     place = F.array(*[bin_of(f) for f in FEATURES])
     found = rows.select("poor", F.posexplode(place).alias("f", "bin")).groupBy("f", "bin").agg(F.count_if("poor").alias("p"), F.count_if(~F.col("poor")).alias("n")).collect()
-    if not found:
-        return None
     total_p = sum(r["p"] for r in found if r["f"] == 0)
     total_n = sum(r["n"] for r in found if r["f"] == 0)
     if not total_p or not total_n:
-        return None
+        return []
     base = math.log2(total_p / (total_p + total_n))
-    best = None
+    out = []
     for i, f in enumerate(FEATURES):
         by = {r["bin"]: (r["p"], r["n"]) for r in found if r["f"] == i}
         p = n = 0
         for k, c in enumerate(cuts[f]):
             p, n = p + by.get(k, (0, 0))[0], n + by.get(k, (0, 0))[1]
             for above, (a, b) in ((False, (p, n)), (True, (total_p - p, total_n - n))):
-                if a:
+                if a >= least:
                     gain = a * (math.log2(a / (a + b)) - base)
-                    if gain > 1e-9 and (best is None or gain > best[0]):
-                        best = gain, Condition(f, above, float(c)), b == 0
-    return best[1:] if best else None
+                    if gain > 1e-9:
+                        out.append((gain, Condition(f, above, float(c)), b == 0))
+    return [x[1:] for x in sorted(out, key=lambda x: -x[0])]
 
 
 def _pruned(rows: DataFrame, chosen: list[Condition], precision: float, least: int) -> Rule | None:

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from recallium.llm import minhash
+from recallium.llm import minhash, quality
 
 
 def _word(r):
@@ -29,3 +29,18 @@ def test_pipeline_links_copies_from_080_on(spark):
     kept = {x["doc_id"] for x in corpus_pipeline.dedup_documents(spark, d, "").collect()}
     assert kept == {i for a, b, near in pairs for i in ([a] if near else [a, b])}
     assert minhash.keep_one(d).count() == len(rows)  # none of them is at 0.85
+
+
+def test_quality_learns_from_rare_poor_texts(spark):
+    """2 % poor, on a feature that is 0 for all others, and 1 % on another one's upper end."""
+    r = random.Random(8)
+    rows = []
+    for i in range(2000):
+        rare = i % 50 == 0
+        high = i % 100 == 7
+        row = {f: 0.0 for f in quality.FEATURES} | {"words": float(r.randint(30, 300)), "mean_word": r.uniform(4, 6), "distinct_rate": r.uniform(0.5, 1)}
+        row |= {"symbol_rate": r.uniform(0.3, 0.5)} if rare else {"mean_word": r.uniform(9, 10)} if high else {}
+        rows.append((*[row[f] for f in quality.FEATURES], rare or high, i % 3 != 0))
+    d = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in quality.FEATURES) + ", poor boolean, grow boolean")
+    rules = quality.learn(d)
+    assert d.where(rules.number() > 0).where("poor").count() == 60 and d.where(rules.number() > 0).where("NOT poor").count() == 0
