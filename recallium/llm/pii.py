@@ -1,6 +1,6 @@
 """Personal data: fixed patterns, and spans that a semi-Markov conditional random field adds.
 
-A text is cut into tokens around places with digits or at signs. Every span of up to MAX_TOKENS
+A text is cut into tokens around places with digits, at signs or the word at. Every span of up to MAX_TOKENS
 tokens and MAX_CHARS characters is a candidate segment with features of the whole span; a dynamic
 program chooses boundaries and types of all segments together. The weights are fitted by
 maximum likelihood on made-up sentences of which the entities are known.
@@ -26,15 +26,14 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret")
 LABELS = ("other", *KINDS)
 MAX_TOKENS, MAX_CHARS = 14, 96
-#: Characters of context around a trigger.
-CONTEXT = 40
-
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+#: What _segments counts as a mark: a trigger, or at as a token by itself.
+_MARK = re.compile(r"[0-9@]|(?<![A-Za-z0-9])[Aa][Tt](?![A-Za-z0-9])")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|\s+|[^A-Za-z0-9\s]")
 
 
@@ -324,16 +323,25 @@ def default_field() -> SemiMarkovField:
 
 
 def _regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around triggers, cut at white space."""
+    """Stretches of text around marks that hold every candidate segment with one, grown to whole words."""
     lo = hi = -1
-    for m in _TRIGGER.finditer(text):
-        s, e = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
+    for m in _MARK.finditer(text):
+        if m.end() + MAX_CHARS <= hi:
+            continue
+        s, e = max(0, m.start() - MAX_CHARS), min(len(text), m.end() + MAX_CHARS)
+        while e < len(text) and text[e - 1].isalnum() and text[e].isalnum():
+            e += 1
         if s <= hi:
-            hi = e
-        else:
-            if hi >= 0:
-                yield lo, hi
-            lo, hi = s, e
+            hi = max(hi, e)
+            continue
+        while s > max(hi, 0) and text[s - 1].isalnum() and text[s].isalnum():
+            s -= 1
+        if hi >= 0 and s > hi:
+            yield lo, hi
+            lo = s
+        elif hi < 0:
+            lo = s
+        hi = e
     if hi >= 0:
         yield lo, hi
 
@@ -341,7 +349,7 @@ def _regions(text: str) -> Iterator[tuple[int, int]]:
 def all_spans(text: str, field: SemiMarkovField) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """The spans of the fixed patterns, and with those that the field adds where no fixed pattern matched."""
     base = base_spans(text)
-    if not _TRIGGER.search(text):
+    if not _MARK.search(text):
         return base, base
     added = []
     k = 0
@@ -354,14 +362,7 @@ def all_spans(text: str, field: SemiMarkovField) -> tuple[list[tuple[int, int, s
             if s >= hi:
                 break
             taken.append((s, e))
-        while lo > 0 and text[lo - 1].isalnum() and text[lo].isalnum():
-            lo += 1  # a word that is cut at the edge is no entity's part
-            if lo >= hi:
-                break
-        end = hi
-        while end > lo and end < len(text) and text[end - 1].isalnum() and text[end].isalnum():
-            end -= 1
-        added += field.decode(text, lo, end, taken)
+        added += field.decode(text, lo, hi, taken)
     return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

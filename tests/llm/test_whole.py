@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from recallium.llm import minhash, quality
+from recallium.llm import minhash, pii, quality
 
 
 def _word(r):
@@ -44,3 +44,23 @@ def test_quality_learns_from_rare_poor_texts(spark):
     d = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in quality.FEATURES) + ", poor boolean, grow boolean")
     rules = quality.learn(d)
     assert d.where(rules.number() > 0).where("poor").count() == 60 and d.where(rules.number() > 0).where("NOT poor").count() == 0
+
+
+def test_pii_field_sees_addresses_without_digits():
+    field = pii.default_field()
+    for t in ("write to jane (at) example (dot) com", "contact jane [at] example [dot] org today"):
+        long = "some plain words " * 20 + t + " and more of them" * 20
+        for x in (t, long):
+            assert [k for _, _, k in pii.all_spans(x, field)[1]] == ["email"], x
+
+
+def test_pii_regions_equal_whole_texts():
+    """On texts without a fixed pattern the field finds the same with regions as on the whole text."""
+    field = pii.default_field()
+    held = pii.made_up_sentences(300, seed=98)
+    r = random.Random(1)
+    for i in range(0, 300, 3):
+        t = (" " + " ".join(_word(r) for _ in range(30)) + " ").join(x for x, _ in held[i : i + 3])
+        if not pii.base_spans(t):
+            assert pii.all_spans(t, field)[1] == field.decode(t, 0, len(t), []), t
+    assert list(pii._regions("x" * 300 + "7")) == [(0, 301)]
