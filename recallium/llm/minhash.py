@@ -1,11 +1,10 @@
 """Near-duplicates by min-max hashing: minimum and maximum under each permutation make two values of a signature.
 
-Links are confirmed on whole shingle sets, and no link is given up within a bucket: its members
-meet the smallest one first, its head; where that leaves a bucket in several components, those
-outside the head's component meet the members nearest to the head. At last every member outside
-the largest component meets all members of the others: directly in a small bucket, and in a large one
-through the shingles that two linked sets must share early in any common order (prefix and
-positions), which leaves no link out.
+Links are confirmed on whole shingle sets, and no link is given up within a bucket. Its members
+meet the smallest one first, its head. Where that leaves a bucket in several components, members of
+different components meet: directly in a small bucket; in a large one by how they differ
+from a set in its middle. Two members that are both close to it are linked for certain; any others that are
+linked have a part of their differences in common, and meet on that only.
 """
 
 from __future__ import annotations
@@ -24,16 +23,14 @@ SHINGLE = 5
 PERMUTATIONS, BANDS, ROWS = 65, 26, 5
 #: Links need percent * union <= 100 * intersection; this is op5's.
 PERCENT = 85
-#: A pair is looked at when this share of the signature agrees: nearly 5 standard deviations below the threshold.
-AGREE = 0.7
-#: Members nearest to the head that others meet, one after the other.
-NEAREST = 2
+#: Bins in which shingles are counted, to tell pairs that can't be linked before their texts are read.
+BINS = 512
 #: Members of a bucket in which pairs are made directly.
 SMALL = 32
-#: Members of a component whose shingles come last in the common order.
-LANDMARKS = 8
+#: Members of a component from which its middle set is made.
+LANDMARKS = 16
 #: Ids that are broadcast at most (8 bytes each); beyond that joins shuffle.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 100_000
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _BASE = 0x9FB21C651E98DF25
@@ -114,47 +111,58 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return h.view(np.int64)
 
 
+def histogram(h: np.ndarray) -> bytes:
+    """How many of a text's shingles fall into each of BINS; empty where one holds more than a byte tells."""
+    n = np.bincount((h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+
+
 def sign(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, k1 and k2 (a digest of the word sequence; null without words), bands, sig."""
+    """id, n_shingles, k1 and k2 (a digest of the word sequence; null without words), bands, bins."""
 
     def run(stream):
-        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bins", pa.binary())])
         for b in batches(stream):
             cols: dict = {f.name: [] for f in schema if f.name != "id"}
             for t in b.column(1).to_pylist():
                 h, joined = shingles(t)
                 cols["n_shingles"].append(len(h))
                 if not len(h):
-                    for c in ("k1", "k2", "bands", "sig"):
+                    for c in ("k1", "k2", "bands", "bins"):
                         cols[c].append(None)
                     continue
                 d = hashlib.blake2b(joined, digest_size=16).digest()
-                sig = signature(h)
                 cols["k1"].append(int.from_bytes(d[:8], "big", signed=True))
                 cols["k2"].append(int.from_bytes(d[8:], "big", signed=True))
-                cols["bands"].append(band_hashes(sig, bands, rows))
-                cols["sig"].append(sig.tobytes())
+                cols["bands"].append(band_hashes(signature(h), bands, rows))
+                cols["bins"].append(histogram(h))
             yield record_batch(schema, {"id": b.column(0)} | cols)
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col]).mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>, sig binary")
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col]).mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>, bins binary")
 
 
-def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with the share of their signatures that agrees, est."""
-    p = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+def _alike_in_size(n: str, m: str, percent: int) -> Column:
+    """Whether sets of n and m shingles can have the wanted similarity: the smaller over the larger is the most there can be."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    def run(stream):
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("est", pa.float64())])
-        for r in batches(stream):
-            x, y = (np.frombuffer(b"".join(r.column(i).to_pylist()), np.uint32).reshape(r.num_rows, -1) for i in (2, 3))
-            yield record_batch(schema, {"a": r.column(0), "b": r.column(1), "est": (x == y).mean(1)})
 
-    return p.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long, est double")
+def _possible(pairs: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can be linked: sets share no more than the sum of the lesser counts of each bin. No link is lost."""
+    p = pairs.join(bins.select(F.col("id").alias("a"), F.col("bins").alias("bins_a")), "a").join(bins.select(F.col("id").alias("b"), F.col("bins").alias("bins_b")), "b")
 
+    def run(stream):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for r in batches(stream):
+            full = [bool(x) and bool(y) for x, y in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True)]
+            keep = np.ones(r.num_rows, bool)
+            if any(full):
+                told = r.filter(pa.array(full))
+                x, y = (np.frombuffer(b"".join(told.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+                most = np.minimum(x, y).sum(1, dtype=np.int64)
+                keep[np.array(full)] = 100 * most >= percent * (x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64) - most)
+            yield record_batch(schema, {"a": r.column(0), "b": r.column(1)}).filter(pa.array(keep))
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, agree: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in at least a share ``agree``."""
-    return _estimated(pairs, sigs).where(F.col("est") >= agree).select("a", "b").distinct()
+    return p.select("a", "b", "bins_a", "bins_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -201,15 +209,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, agree: float = AGREE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """n_shingles, component_id and kept for each row: id, n_shingles long, component_id, kept boolean.
 
     Documents with a Jaccard similarity of ``percent`` hundredths or more between their distinct
     five-word shingles are linked; component_id is the smallest id reachable. Rows of one id count
     as one document for reaching others; each of them is returned. Rows with a null id are linked with
     nothing: component_id null, kept true. Empty and null texts have no shingles and no links.
-    A lower ``percent`` needs a lower ``agree`` (share of the signature at which a pair is looked at)
-    and ``bands`` of fewer ``rows``; they have to fit in a signature.
+    A lower ``percent`` needs ``bands`` of fewer ``rows``; they have to fit in a signature. Of the
+    pairs that share a bucket no link is lost: what rejects a pair unread is a bound, not an estimate.
     """
     if not 0 < bands * rows <= 2 * PERMUTATIONS:
         raise ValueError(f"{bands} bands of {rows} don't fit in a signature of {2 * PERMUTATIONS} values")
@@ -217,124 +225,135 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     signed = stash(sign(docs, id_col, text_col, bands, rows), "signed")
     named = signed.where("id IS NOT NULL AND k1 IS NOT NULL")
     # equal word sequences are one class, represented by its smallest id
-    classes = stash(named.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    owned = named.join(classes.select("k1", "k2", "rep"), ["k1", "k2"])
+    classes = stash(named.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
+    owned = named.join(classes, ["k1", "k2"])
     members = stash(owned.where("id <> rep").select(F.col("id").alias("b"), F.col("rep").alias("a")).distinct(), "members", narrow=True)
-    reps = stash(owned.where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", "k1", "k2", "bands", "sig"), "reps")
     # an id that represents several classes keeps one row for each; all of them are compared
-    sigs = reps.select("id", "sig")
-    buckets = stash(reps.select(F.explode("bands").alias("bucket"), "id").distinct(), "buckets")
-    heads = buckets.groupBy("bucket").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = stash(buckets.join(heads.select("bucket", "head"), "bucket"), "shared")
+    reps = stash(owned.where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", F.col("n_shingles").alias("n"), "bands", "bins"), "reps")
+    unstash(classes)
+    buckets = stash(reps.select(F.explode("bands").alias("bucket"), "id", "n").distinct(), "buckets")
+    heads = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("x"), F.count("*").alias("rows")).where("rows > 1")
+    shared = stash(buckets.join(heads.select("bucket", F.col("x.id").alias("head"), F.col("x.n").alias("head_n")), "bucket"), "shared")
     unstash(buckets)
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    seen = stash(_estimated(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), sigs).groupBy("a", "b").agg(F.max("est").alias("est")), "estimates")
-    looked = seen.select("a", "b")
-    links = stash(_confirmed(seen.where(F.col("est") >= agree).select("a", "b"), texts, percent).distinct(), "links", narrow=True)
-
-    def more(pairs: DataFrame) -> None:
-        """Look at pairs that haven't been looked at."""
-        nonlocal looked, links
-        new = stash(pairs.join(looked, ["a", "b"], "left_anti"), "looked", narrow=True)
-        looked = looked.unionByName(new)
-        fresh = stash(_agreeing(new, sigs, agree), "pairs", narrow=True)
-        if fresh.limit(1).count():
-            links = links.unionByName(stash(_confirmed(fresh, texts, percent).distinct(), "links", narrow=True))
-
-    torn = None
-    for i in range(NEAREST + 1):
-        torn = _torn(shared if torn is None else torn, seen, components(links))
-        if i < NEAREST:
-            more(_near_head(torn, i))
-    more(_small_rest(_placed(torn)))
-    more(_large_rest(_placed(_torn(torn, seen, components(links))), texts, percent))  # without what the small buckets have joined
-    ends = components(links.unionByName(members.select("a", "b")))
-    out = signed.select("id", "n_shingles").join(ends, signed["id"] == ends["node"], "left")
+    bins = reps.select("id", "bins")
+    met = shared.where((F.col("id") != F.col("head")) & _alike_in_size("n", "head_n", percent)).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    links = _linked(met, bins, texts, percent)
+    torn = _torn(shared, components(links.unionByName(members.select("a", "b"))))
+    links = links.unionByName(_linked(_small_rest(torn, percent), bins, texts, percent))
+    parts = components(links.unionByName(members.select("a", "b")))
+    rest = _torn(shared, parts).where(F.col("rows") > SMALL).select("main", "id", "c").distinct()
+    rest = stash(rest, "rest", narrow=True)
+    if rest.limit(1).count():
+        spread = _differences(rest, texts, percent)
+        sure = _certain(spread)
+        links = links.unionByName(sure)
+        parts = components(links.unionByName(members.select("a", "b")))
+        links = links.unionByName(_linked(_differing_alike(spread, parts, percent), bins, texts, percent))
+        parts = components(links.unionByName(members.select("a", "b")))
+    out = signed.select("id", "n_shingles").join(parts, signed["id"] == parts["node"], "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id"))).alias("kept"))
 
 
-def _torn(shared: DataFrame, seen: DataFrame, parts: DataFrame) -> DataFrame:
-    """bucket, id, head, c (component), d (estimated distance from the head) for buckets in several components."""
-    placed = stash(shared.select("bucket", "id", "head").join(parts, shared["id"] == parts["node"], "left").select("bucket", "id", "head", F.coalesce("label", "id").alias("c")), "placed", narrow=True)
-    torn = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    placed = placed.join(torn, "bucket")
-    return stash(placed.join(seen, (placed["head"] == seen["a"]) & (placed["id"] == seen["b"]), "left").select("bucket", "id", "head", "c", (1 - F.coalesce("est", F.lit(1.0))).alias("d")), "torn", narrow=True)
-
+def _linked(pairs: DataFrame, bins: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked, as a written table."""
+    possible = stash(_possible(pairs, bins, percent), "possible", narrow=True)
+    out = stash(_confirmed(possible, texts, percent).distinct(), "links", narrow=True)
+    unstash(possible)
+    return out
 
-def _near_head(torn: DataFrame, i: int) -> DataFrame:
-    """Pairs of the i-th nearest member to a bucket's head within its component, and the members outside of it."""
-    heads = torn.where("id = head").select("bucket", F.col("c").alias("hc"))
-    placed = torn.join(heads, "bucket")
-    # the least of what is left after i, by repeated minima
-    near = placed.where("c = hc AND id <> head").select("bucket", F.struct("d", "id").alias("x"))
-    for _ in range(i):
-        least = near.groupBy("bucket").agg(F.min("x").alias("m"))
-        near = near.join(least, "bucket").where("x > m").select("bucket", "x")
-    pivots = near.groupBy("bucket").agg(F.min("x").alias("x")).select("bucket", F.col("x.id").alias("p"))
-    return placed.where("c <> hc").join(pivots, "bucket").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
+def _torn(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """bucket, id, n, c (component), rows and main (its largest component) for buckets in several components."""
+    placed = stash(shared.select("bucket", "id", "n").join(parts, shared["id"] == parts["node"], "left").select("bucket", "id", "n", F.coalesce("label", "id").alias("c")), "placed")
+    counts = placed.groupBy("bucket", "c").agg(F.count("*").alias("k"))
+    torn = counts.groupBy("bucket").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("rows"), F.count("*").alias("parts")).where("parts > 1")
+    return stash(placed.join(torn.drop("parts"), "bucket"), "torn", narrow=True)
 
-def _placed(torn: DataFrame) -> DataFrame:
-    """torn with n (members of the bucket) and main (its largest component)."""
-    counts = torn.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = counts.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"))
-    return stash(torn.join(main, "bucket").select("bucket", "id", "c", "main", "n"), "rest", narrow=True)
 
-
-def _small_rest(placed: DataFrame) -> DataFrame:
+def _small_rest(torn: DataFrame, percent: int) -> DataFrame:
     """Pairs of members of small buckets in different components; one is outside the largest component. At most SMALL for each member."""
-    few = placed.where(F.col("n") <= SMALL)
-    outside = few.where("c <> main").select("bucket", F.col("id").alias("o"), F.col("c").alias("oc"))
-    return few.join(outside, "bucket").where("c <> oc").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    few = torn.where(F.col("rows") <= SMALL)
+    outside = few.where("c <> main").select("bucket", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"))
+    return few.join(outside, "bucket").where((F.col("c") != F.col("oc")) & _alike_in_size("n", "m", percent)).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def _large_rest(placed: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of large buckets in different components that can be linked.
+def _differences(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """main, id, n (shingles), d (length of diff), excess, diff: how each member of large buckets differs from a middle set.
 
-    The shingles of the members of a bucket are put in one order: first those that none of a few
-    members of its largest component has, then the others. Two sets of x and y shingles with the
-    wanted similarity share at least percent / (100 + percent) of x + y of them, so the first that they share stands so early
-    in both that enough follow. Members meet on such shingles only.
+    The middle of a group is what most of a few members of its largest component have; any set would do for right results.
+    Two sets x and y with distances dx and dy from it are linked if and only if their differences
+    have s in common with (100 + percent) (dx + dy - 2 s) <= (100 - percent) (nx + ny). With
+    excess = (100 + percent) d - (100 - percent) n that is: their excesses add up to 2 (100 + percent) s at most.
     """
-    many = stash(placed.where(F.col("n") > SMALL).select("main", "id", "c").distinct(), "many", narrow=True)
-    few = at_most(many, BROADCAST_IDS)
-    ids = many.select("id").distinct()
+    few = at_most(rest, BROADCAST_IDS)
+    ids = rest.select("id").distinct()
     wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    order = Window.partitionBy("main").orderBy("id")
-    marks = many.where("c = main").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LANDMARKS).select("main", "id")
+    order = Window.partitionBy("main").orderBy(F.xxhash64("id"), "id")
+    marks = rest.where("c = main").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LANDMARKS).select("main", "id")
 
-    def sets(stream):
+    def middle(stream):
         schema = pa.schema([("main", pa.int64()), ("h", pa.list_(pa.int64()))])
         for r in batches(stream):
             yield record_batch(schema, {"main": r.column(0), "h": [shingles(t)[0].view(np.int64) for t in r.column(1).to_pylist()]})
 
-    last = marks.join(wanted, "id").select("main", "text").mapInArrow(sets, "main long, h array<long>").groupBy("main").agg(F.array_distinct(F.flatten(F.collect_list("h"))).alias("late"))
-    last = stash(last, "late", narrow=True)
+    sets = marks.join(wanted, "id").select("main", "text").mapInArrow(middle, "main long, h array<long>")
+    counts = sets.select("main", F.explode("h").alias("h")).groupBy("main", "h").agg(F.count("*").alias("k"))
+    half = marks.groupBy("main").agg(F.count("*").alias("marks"))
+    core = stash(counts.join(half, "main").where("2 * k > marks").groupBy("main").agg(F.collect_list("h").alias("core")), "core", narrow=True)  # about as long as a member
 
-    def prefixes(stream):
-        schema = pa.schema([("main", pa.int64()), ("id", pa.int64()), ("c", pa.int64()), ("n", pa.int64()), ("first", pa.list_(pa.int64()))])
+    def compare(stream):
+        schema = pa.schema([("main", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("excess", pa.int64()), ("diff", pa.list_(pa.struct([("late", pa.bool_()), ("h", pa.int64())])))])
         for r in batches(stream):
-            out = []
-            for t, late in zip(r.column(3).to_pylist(), r.column(4), strict=True):
+            cols: dict = {f.name: [] for f in schema}
+            for main, i, t, core in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2).to_pylist(), r.column(3), strict=True):
                 h = shingles(t)[0].view(np.int64)
-                common = np.isin(h, late.values.to_numpy() if late.is_valid else [])
-                out.append((len(h), np.concatenate([h[~common], h[common]])[: len(h) - (percent * len(h) + 99) // 100 + 1]))
-            yield record_batch(schema, {"main": r.column(0), "id": r.column(1), "c": r.column(2), "n": [x[0] for x in out], "first": [x[1] for x in out]})
-
-    made = many.join(wanted, "id").join(last, "main", "left").select("main", "id", "c", "text", "late").mapInArrow(prefixes, "main long, id long, c long, n long, first array<long>")
-    spread = stash(made, "prefixes").select("main", "id", "c", "n", F.posexplode("first").alias("pos", "h"))
-    outside = spread.where("c <> main").select("main", "h", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"), F.col("pos").alias("at"))
-    enough = F.lit(100 + percent) * F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("at")) >= F.lit(percent) * (F.col("n") + F.col("m"))
-    return spread.join(outside, ["main", "h"]).where((F.col("c") != F.col("oc")) & enough).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+                middle = core.values.to_numpy() if core.is_valid else np.zeros(0, np.int64)
+                own, lacks = np.sort(np.setdiff1d(h, middle)), np.sort(np.setdiff1d(middle, h))
+                d = len(own) + len(lacks)
+                cols["main"].append(main)
+                cols["id"].append(i)
+                cols["n"].append(len(h))
+                cols["d"].append(d)
+                cols["excess"].append((100 + percent) * d - (100 - percent) * len(h))
+                cols["diff"].append([{"late": False, "h": x} for x in own.tolist()] + [{"late": True, "h": x} for x in lacks.tolist()])
+            yield record_batch(schema, cols)
+
+    made = rest.select("main", "id").join(wanted, "id").join(core, "main", "left").select("main", "id", "text", "core")
+    return stash(made.mapInArrow(compare, "main long, id long, n long, d long, excess long, diff array<struct<late: boolean, h: long>>"), "differences")
+
+
+def _certain(spread: DataFrame) -> DataFrame:
+    """Links that follow from the distances alone: with the member of the least excess of each group, if the excesses add up to 0 at most."""
+    best = spread.groupBy("main").agg(F.min(F.struct("excess", "id")).alias("x"))
+    sure = spread.join(best, "main").where("excess + x.excess <= 0 AND id <> x.id")
+    return stash(sure.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct(), "links", narrow=True)
+
+
+def _differing_alike(spread: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components that can still be linked, once the certain links are known.
+
+    Their excesses add up to more than 0, so their differences have something in common: members meet on it. What the same members
+    have in common counts once, by its first in the order, and only if they lie in several components;
+    it stands so early in both differences that enough can follow.
+    """
+    placed = spread.join(parts, spread["id"] == parts["node"], "left").select("main", "id", F.coalesce("label", "id").alias("c"), "d", "excess", F.posexplode("diff").alias("pos", "t"))
+    placed = stash(placed, "spread")
+    sets = placed.groupBy("main", "t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum(F.hash("id").cast("long")).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    first = stash(sets.where("lo <> hi").groupBy("main", "k", "s", "x").agg(F.min("t").alias("t")).select("main", "t"), "first", narrow=True)
+    met = stash(placed.join(F.broadcast(first) if at_most(first, BROADCAST_IDS // 4) else first, ["main", "t"]), "met", narrow=True)
+    other = met.where("c <> main").select("main", "t", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("d").alias("od"), F.col("excess").alias("oe"), F.col("pos").alias("at"))
+    enough = 2 * (100 + percent) * F.least(F.col("d") - F.col("pos"), F.col("od") - F.col("at")) >= F.col("excess") + F.col("oe")
+    return met.join(other, ["main", "t"]).where((F.col("c") != F.col("oc")) & enough).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, agree: float = AGREE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows of ``docs`` that represent their near-duplicate component, with all columns.
 
     Of rows with one id all stay or all go. Rows with a null id stay.
     """
-    gone = link(docs, id_col, text_col, percent, agree, bands, rows).where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct()
+    gone = link(docs, id_col, text_col, percent, bands, rows).where("NOT kept").select(F.col(id_col).alias("gone_id")).distinct()
     gone = stash(gone, "gone")
     return docs.join(F.broadcast(gone) if at_most(gone, BROADCAST_IDS) else gone, docs[id_col].cast("long") == gone["gone_id"], "left_anti")
 

@@ -191,13 +191,65 @@ def test_minhash_equals_brute_force(spark):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (len(shingle_set(t)), want[i], want[i] == i)
 
 
-def test_minhash_large_buckets_by_prefix(spark, monkeypatch):
+def exact_components(texts, percent):
+    """Components of texts of one group by a matrix of which shingles they have."""
+    sets = [shingle_set(t) for t in texts]
+    number = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(sets), len(number)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [number[x] for x in s]] = 1
+    both = np.rint(has @ has.T)
+    n = has.sum(1)
+    near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    label = np.arange(len(sets))
+    while True:
+        least = np.where(near, label[None, :], len(sets)).min(1)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def test_minhash_large_torn_group(spark):
+    """2,000 copies of two related texts at all distances around the threshold, in buckets that fall into hundreds of components."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(90)]
+    kin = base[:60] + [word() for _ in range(30)]
+    few = [word() for _ in range(40)]
+    rows = []
+    for i in range(2000):
+        w = list(base if i % 3 else kin)
+        for _ in range(r.choice([0, 1, 2, 3, 4, 5])):
+            at = r.randrange(len(w))
+            w[at] = r.choice(few) if i % 2 else word()
+        if i % 17 == 0:
+            del w[r.randrange(40) : r.randrange(41, 60)]
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, kw in ((85, {}), (80, {"bands": 32, "rows": 4})):
+        want = exact_components([t for _, t in rows], percent)
+        assert len(set(want.tolist())) > 100
+        got = {x["doc_id"]: x["component_id"] for x in minhash.link(d, percent=percent, **kw).collect()}
+        assert [got[i] for i in range(2000)] == want.tolist()
+
+
+def test_minhash_large_buckets_by_differences(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
     rows = near_rows()
     got = {r["doc_id"]: r["component_id"] for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
 
 
+def test_minhash_bound_rejects_no_link():
+    r = random.Random(4)
+    for _ in range(200):
+        x = {r.getrandbits(64) for _ in range(r.choice([1, 5, 100, 3000]))}
+        y = set(r.sample(sorted(x), r.randint(0, len(x)))) | {r.getrandbits(64) for _ in range(r.choice([1, 5, 100]))}
+        a, b = (np.frombuffer(minhash.histogram(np.array(sorted(z), np.uint64)), np.uint8).astype(int) for z in (x, y))
+        assert np.minimum(a, b).sum() >= len(x & y)
+    assert minhash.histogram(np.zeros(300, np.uint64)) == b""  # more in a bin than a byte tells: no bound
+
+
 def test_minhash_edges(edge, none):
     got = sorted(minhash.link(edge).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
     assert len(got) == edge.count()
