@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from recallium.llm import bpe, language, lines, minhash, mixing
 from recallium.llm.common import stash
 
-#: Near-duplicates here have a similarity of 0.8 or more. At 0.8 buckets of 4 values miss 5e-8 of the links, the filter less than 1e-6.
-NEAR = {"percent": 80, "agree": 0.6, "bands": 32, "rows": 4}
+#: Near-duplicates here have a similarity of 0.8 or more; at 0.8 buckets of 4 values miss 5e-8 of the links.
+NEAR = {"percent": 80, "bands": 32, "rows": 4}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
