@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm.common import batches, record_batch, setup
+from recallium.llm.common import batches, record_batch, setup, stash, unstash
 
 #: Size of the hashed n-gram space.
 BUCKETS = 1 << 13
@@ -15,8 +16,10 @@ BUCKETS = 1 << 13
 SAMPLE_PER_LANGUAGE = 600
 #: The same for all languages together.
 SAMPLE_ROWS = 3_000
-#: Characters of each fitted row that are read; texts to be judged are always read whole.
-SAMPLE_CHARS = 8_000
+#: Languages that are learned at most: those with the most labelled rows.
+MAX_LANGUAGES = 256
+#: Centroids for each language, rounds of their clustering, and the share of a language's own least similarity that rejects.
+CLUSTERS, ROUNDS, SLACK = 4, 8, 0.6
 UNKNOWN = "und"
 #: Shorter texts are further from every centroid by chance: the least cosine falls with the root of their length.
 FULL_LENGTH = 400
@@ -43,6 +46,33 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-12)
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def inverse_frequency(n_rows: int, n_with: np.ndarray) -> np.ndarray:
+    """Smoothed IDF of each bucket, from the number of fitted rows that have it."""
+    return (np.log((1 + n_rows) / (1 + n_with)) + 1).astype(np.float32)
+
+
+def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors of rows of counts."""
+    return _unit(np.log1p(counts) * idf).astype(np.float32)
+
+
+def cluster(own: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centroids of one language's unit vectors by cosine, from evenly spaced rows, and its least similarity for acceptance.
+
+    That is SLACK times the least cosine with the nearest centroid but for one in a hundred of the rows.
+    """
+    k = min(CLUSTERS, len(own))
+    c = own[np.linspace(0, len(own) - 1, k).astype(int)].copy()
+    for _ in range(ROUNDS):
+        to = (own @ c.T).argmax(1)
+        c = _unit(np.stack([own[to == j].sum(0) if (to == j).any() else c[j] for j in range(k)])).astype(np.float32)
+    return c, SLACK * float(np.quantile((own @ c.T).max(1), 0.01))
+
+
 class CentroidModel:
     """Several centroids for each language, an IDF vector and a least cosine for each language."""
 
@@ -50,44 +80,21 @@ class CentroidModel:
         self.languages, self.owner, self.centroids, self.idf, self.floor = languages, owner, centroids, idf, floor
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]], clusters: int = 4, rounds: int = 8, slack: float = 0.6) -> CentroidModel:
-        """rows: (text, language). Clusters each language's vectors by cosine, from evenly spaced rows.
-
-        A document is rejected below ``slack`` times the least similarity but for one in a
-        hundred that fitted rows of the predicted language have.
-        """
-        rows = sorted((lang, text) for text, lang in rows if text and any(map(str.isalpha, text)))
-        if not rows:
-            return cls([], np.zeros(0, int), np.zeros((0, BUCKETS)), np.ones(BUCKETS), {})
-        counts = np.stack([gram_counts(t[:SAMPLE_CHARS]) for _, t in rows]).astype(np.float32)
-        idf = (np.log((1 + len(rows)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        x = np.log1p(counts, out=counts)
-        x *= idf
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        names = np.array([lang for lang, _ in rows])
-        languages = sorted(set(names.tolist()))
-        owner, centroids, floor = [], [], {}
-        for i, lang in enumerate(languages):
-            own = x[names == lang]
-            k = min(clusters, len(own))
-            c = own[np.linspace(0, len(own) - 1, k).astype(int)].copy()
-            for _ in range(rounds):
-                to = (own @ c.T).argmax(1)
-                c = _unit(np.stack([own[to == j].sum(0) if (to == j).any() else c[j] for j in range(k)]))
-            owner += [i] * k
-            centroids.append(c)
-            floor[str(lang)] = slack * float(np.quantile((own @ c.T).max(1), 0.01))
-        return cls(languages, np.array(owner), np.concatenate(centroids), idf, floor)
+    def of(cls, idf: np.ndarray, fitted: dict[str, tuple[np.ndarray, float]]) -> CentroidModel:
+        """From centroids and least similarity of each language."""
+        languages = sorted(fitted)
+        owner = np.array([i for i, lang in enumerate(languages) for _ in fitted[lang][0]], int)
+        centroids = np.concatenate([np.zeros((0, BUCKETS), np.float32), *[fitted[lang][0] for lang in languages]])
+        return cls(languages, owner, centroids, idf, {lang: fitted[lang][1] for lang in languages})
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         """For each text: the language, the cosine with its nearest centroid, and whether it is too far away."""
         out: list[tuple[str, float, bool]] = []
         for t in texts:
-            if not t or not self.languages or not any(map(str.isalpha, t)):
+            if not self.languages or not has_letter(t):
                 out.append((UNKNOWN, 0.0, True))
                 continue
-            v = np.log1p(gram_counts(t)) * self.idf
-            near = self.centroids @ (v / max(np.linalg.norm(v), 1e-12))
+            near = self.centroids @ weighted(gram_counts(t), self.idf)
             best = int(near.argmax())
             lang, score = self.languages[self.owner[best]], float(min(1.0, max(0.0, near[best])))
             out.append((lang, score, score < self.floor[lang] * min(1.0, len(t) / FULL_LENGTH) ** 0.5))
@@ -100,18 +107,56 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> CentroidModel:
-    """Fit on a bounded sample of labelled rows: for each language those with the smallest hash of the id.
+    """Fit on a bounded sample of labelled rows: for each language those with the smallest hash of id and text.
 
-    The languages themselves are found over all rows. Texts are cut before they reach the driver.
+    The sampled texts are read whole, on the executors, which send counts of n-grams on: how many rows
+    have each bucket gives the IDF, and one task for each language clusters its at most
+    SAMPLE_PER_LANGUAGE vectors. Only BUCKETS counts and the centroids reach the driver. Equal rows count
+    once, texts without a letter don't count; without labelled rows the model knows no language.
     """
-    rows = training_rows(docs).select("lang", F.crc32(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary")).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    spark = docs.sparkSession
+    setup(spark)
+    rows = training_rows(docs).select("lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "text")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
-        return CentroidModel.fit([])
+        return CentroidModel.of(np.ones(BUCKETS, np.float32), {})
     most = max(1, min(per_language, SAMPLE_ROWS // len(sizes)))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most / n))])
-    took = rows.where(F.col("h") < F.element_at(share, F.col("lang")) * float(1 << 32)).select("text", "lang")
-    return CentroidModel.fit([(r["text"], r["lang"]) for r in took.collect()])
+    took = rows.where(F.pmod("h", F.lit(1 << 32)) < F.element_at(share, F.col("lang")) * float(1 << 32))
+
+    def count(stream):
+        schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])
+        for b in batches(stream):
+            out = []
+            for lang, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if has_letter(t):
+                    n = gram_counts(t)
+                    at = np.flatnonzero(n)
+                    out.append((lang, h, at, n[at]))
+            yield record_batch(schema, {f.name: [x[i] for x in out] for i, f in enumerate(schema)})
+
+    counted = stash(took.mapInArrow(count, "lang string, h long, at array<int>, n array<float>").dropDuplicates(["lang", "h"]), "counted", narrow=True)
+    n_rows = counted.count()
+    n_with = np.zeros(BUCKETS)
+    for r in counted.select(F.explode("at").alias("at")).groupBy("at").agg(F.count("*").alias("n")).collect():  # BUCKETS rows at most
+        n_with[r["at"]] = r["n"]
+    idf = inverse_frequency(n_rows, n_with)
+
+    def centre(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("h")
+        counts = np.zeros((len(own), BUCKETS), np.float32)
+        for i, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
+            counts[i, at] = n
+        c, floor = cluster(weighted(counts, idf))
+        return pd.DataFrame({"lang": own["lang"].iloc[0], "no": np.arange(len(c)), "floor": floor, "vector": [x.tobytes() for x in c]})
+
+    found = counted.groupBy("lang").applyInPandas(centre, "lang string, no int, floor double, vector binary").orderBy("lang", "no").collect()  # CLUSTERS rows a language
+    unstash(counted)
+    fitted: dict[str, tuple[np.ndarray, float]] = {}
+    for lang in {r["lang"] for r in found}:
+        own = [r for r in found if r["lang"] == lang]
+        fitted[lang] = np.stack([np.frombuffer(r["vector"], np.float32) for r in own]), own[0]["floor"]
+    return CentroidModel.of(idf, fitted)
 
 
 def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -143,5 +188,5 @@ def identify(docs: DataFrame, model: CentroidModel, id_col: str = "doc_id", text
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     out = identify(docs, fit_model(docs))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))  # nothing is learned from a row without an id either
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
