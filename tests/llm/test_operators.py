@@ -276,6 +276,45 @@ def test_warc_finds_every_damage(spark):
     assert warc.audit(pages.limit(0), pages.limit(0)).count() == 0
 
 
+def test_warc_equal_inner_copies(spark):
+    """Copies of one key that two different bodies stand in for in pairs: sums tell them apart, as exclusive ors would not."""
+    page = lambda bodies: spark.createDataFrame([(1, "u", b) for b in bodies] + [(2, "v", "x")], "page_id long, url string, html string")
+    got = {r["page_id"]: r["status"] for r in warc.audit(page("ABBC"), page("ADDC")).collect()}
+    assert got == {1: "corrupt", 2: "intact"}
+    assert {r["status"] for r in warc.audit(page("ABBC"), page("CBAB")).collect()} == {"intact"}
+    assert {r["page_id"]: r["status"] for r in warc.audit(page("ABB"), page("AB")).collect()} == {1: "corrupt", 2: "intact"}
+
+
+def test_warc_offsets_equal_brute_force(spark):
+    """3,000 records in leaves of two levels, one of them very long, against a plain walk through the archive."""
+    rows = [(i if i % 50 else None, f"http://h/{i}", "x" * (i % 37) if i != 7 else "long " * 400_000) for i in range(3000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    depth = warc.depth_for(3000)
+    got = {r["url"]: r for r in warc.audit(pages, warc.damaged_replica(pages)).collect()}
+    at = 0
+    for i, u, h in sorted(rows, key=lambda r: hashlib.md5(f"{'' if r[0] is None else r[0]}|{r[1]}".encode()).hexdigest()):
+        ident = hashlib.md5(f"{'' if i is None else i}|{u}".encode()).hexdigest()
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{ident}>\r\nWARC-Target-URI: {u}\r\nContent-Length: {len(h)}"
+        n = len(f"{head}\r\n\r\n{h}\r\n\r\n")
+        mark = hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:2]
+        want = {"00": "corrupt", "02": "missing"}.get(mark, "corrupt" if mark == "01" and h else "intact")
+        assert (got[u]["rec_offset"], got[u]["n_bytes"], got[u]["leaf"], got[u]["status"]) == (at, n, int(ident[:depth], 16), want), u
+        at += n
+
+
+def test_warc_equal_replicas_join_no_records(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, "u", str(i)) for i in range(5000)], "page_id long, url string, html string")
+    one, other = (warc.stash(warc.manifest(pages), "manifest") for _ in range(2))
+    looked = []
+    kept = warc.stash
+    monkeypatch.setattr(warc, "stash", lambda df, name, narrow=False: looked.append(name) or kept(df, name, narrow))
+    trees = warc.build_tree(one, 2), warc.build_tree(other, 2)
+    assert warc.differing_leaves(*trees) is None and looked.count("differing") == 1  # the roots only
+    out = warc.audit(pages, pages.repartition(3))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan and out.where("status = 'intact'").count() == 5000
+
+
 def test_warc_empty_replica(spark):
     pages = spark.createDataFrame([(1, "u", "h"), (2, "u", "h")], "page_id long, url string, html string")
     assert {r["status"] for r in warc.audit(pages, pages.limit(0)).collect()} == {"missing"}
