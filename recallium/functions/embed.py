@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallium.functions import text as T
@@ -42,37 +41,52 @@ def _place(term: str, memo: dict[str, tuple[int, float]], dim: int) -> tuple[int
     return memo[term]
 
 
-def vector(terms: list[str], n_docs: int = 0, frequency: dict[int, int] | None = None, dim: int = DIM, memo: dict | None = None) -> np.ndarray:
-    """Signed counts by bucket, damped by the logarithm, weighted by inverse document frequency, of length 1."""
-    memo = {} if memo is None else memo
-    v = np.zeros(dim)
-    for t in terms:
-        b, sign = _place(t, memo, dim)
-        v[b] += sign
-    hit = np.flatnonzero(v)
-    v[hit] = np.sign(v[hit]) * (1 + np.log(np.abs(v[hit])))
+def _counted(lists, memo: dict[str, tuple[int, float]], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of terms the sums of their signs by bucket, and which buckets they have at all (lists x dim each)."""
+    lists = [x if x is not None else () for x in lists]
+    signs, has = np.zeros((len(lists), dim)), np.zeros((len(lists), dim), bool)
+    sizes = [len(x) for x in lists]
+    if sum(sizes):
+        codes, terms = pd.factorize(np.concatenate([np.asarray(x, object) for x in lists if len(x)]))
+        places = [_place(t, memo, dim) for t in terms]
+        bucket, sign = np.array([b for b, _ in places]), np.array([s for _, s in places])
+        row = np.repeat(np.arange(len(lists)), sizes)
+        np.add.at(signs, (row, bucket[codes]), sign[codes])
+        has[row, bucket[codes]] = True
+    return signs, has
+
+
+def _damped(signs: np.ndarray, n_docs: int, frequency: dict[int, int]) -> np.ndarray:
+    """Signed counts damped by the logarithm, weighted by inverse document frequency, of length 1."""
+    v = np.sign(signs) * (1 + np.log(np.maximum(np.abs(signs), 1)))
     if n_docs:
-        v[hit] *= [math.log(1 + n_docs / (1 + (frequency or {}).get(int(b), 0))) for b in hit]
-    norm = np.linalg.norm(v)
-    return v / norm if norm else v
+        v = v * np.log(1 + n_docs / (1 + np.array([frequency.get(b, 0) for b in range(v.shape[1])])))
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(norm > 0, norm, 1)
 
 
-def terms_of(text: Column) -> Column:
-    """Words and pairs of adjacent words."""
-    t = T.tokenize(text)
-    return F.concat(t, T.bigrams(t))
+def vector(terms: list[str], n_docs: int = 0, frequency: dict[int, int] | None = None, dim: int = DIM) -> np.ndarray:
+    """The embedding of one list of terms."""
+    return _damped(_counted([terms], {}, dim)[0], n_docs, frequency or {})[0]
+
+
+def terms_of(texts: DataFrame) -> DataFrame:
+    """id and terms (words, and pairs of adjacent words) of (id, text). The words are a column first, so that they are found once for each text."""
+    t = texts.select("id", T.tokenize(F.col("text")).alias("t"))
+    return t.select("id", F.concat("t", T.bigrams(F.col("t"))).alias("terms"))
 
 
 def document_frequency(texts: DataFrame, dim: int = DIM) -> DataFrame:
     """bucket and the number of texts that have it, for (id, text): at most ``dim`` rows."""
 
-    @F.pandas_udf("array<int>")
-    def buckets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def buckets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict = {}
-        for s in parts:
-            yield s.map(lambda ts: sorted({_place(t, memo, dim)[0] for t in ts}))
+        for d in parts:
+            n = _counted(d["terms"], memo, dim)[1].sum(0)
+            hit = np.flatnonzero(n)
+            yield pd.DataFrame({"bucket": hit.astype(np.int32), "n": n[hit]})
 
-    return texts.select(F.explode(buckets(terms_of(F.col("text")))).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    return terms_of(texts).select("terms").mapInPandas(buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def embed(texts: DataFrame, n_docs: int = 0, frequency: dict[int, int] | None = None, dim: int = DIM) -> DataFrame:
@@ -82,6 +96,6 @@ def embed(texts: DataFrame, n_docs: int = 0, frequency: dict[int, int] | None =
     def make(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         memo: dict = {}
         for s in parts:
-            yield s.map(lambda ts: vector(list(ts), n_docs, frequency, dim, memo).astype(np.float32))
+            yield pd.Series(list(_damped(_counted(s, memo, dim)[0], n_docs, frequency or {}).astype(np.float32)))
 
-    return texts.select("id", make(terms_of(F.col("text"))).alias("embedding"))
+    return terms_of(texts).select("id", make("terms").alias("embedding"))
