@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +33,45 @@ def murmur3(data: bytes, seed: int = 0) -> int:
     return h
 
 
-def _place(term: str, memo: dict[str, tuple[int, float]], dim: int) -> tuple[int, float]:
-    if term not in memo:
-        if len(memo) > 500_000:
-            memo.clear()
-        b = term.encode()
-        memo[term] = murmur3(b) % dim, 1.0 if murmur3(b, 1) < 1 << 31 else -1.0
-    return memo[term]
-
-
-def _counted(lists, memo: dict[str, tuple[int, float]], dim: int) -> tuple[np.ndarray, np.ndarray]:
+def murmur3_all(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int) -> np.ndarray:
+    """The same for many pieces of one buffer, all pieces of a length together."""
+    out = np.full(len(starts), seed, np.uint32)
+
+    def mixed(k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        return (k << np.uint32(15) | k >> np.uint32(17)) * np.uint32(0x1B873593)
+
+    for n in np.unique(sizes).tolist():
+        own = np.flatnonzero(sizes == n)
+        h = out[own]
+        for i in range(0, n, 4):
+            k = np.zeros(len(own), np.uint32)
+            for j in range(min(4, n - i)):
+                k |= data[starts[own] + i + j].astype(np.uint32) << np.uint32(8 * j)
+            h ^= mixed(k)
+            if i + 4 <= n:
+                h = (h << np.uint32(13) | h >> np.uint32(19)) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(n)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(factor)
+        out[own] = h
+    return out
+
+
+def _counted(lists: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """For lists of terms the sums of their signs by bucket, and which buckets they have at all (lists x dim each)."""
-    lists = [x if x is not None else () for x in lists]
     signs, has = np.zeros((len(lists), dim)), np.zeros((len(lists), dim), bool)
-    sizes = [len(x) for x in lists]
-    if sum(sizes):
-        codes, terms = pd.factorize(np.concatenate([np.asarray(x, object) for x in lists if len(x)]))
-        places = [_place(t, memo, dim) for t in terms]
-        bucket, sign = np.array([b for b, _ in places]), np.array([s for _, s in places])
-        row = np.repeat(np.arange(len(lists)), sizes)
-        np.add.at(signs, (row, bucket[codes]), sign[codes])
-        has[row, bucket[codes]] = True
+    terms = lists.flatten()
+    if len(terms):
+        _, offsets, data = terms.buffers()
+        ends = np.frombuffer(offsets, np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
+        raw, starts, sizes = np.frombuffer(data, np.uint8), ends[:-1], np.diff(ends)
+        bucket = murmur3_all(raw, starts, sizes, 0).astype(np.int64) % dim
+        sign = np.where(murmur3_all(raw, starts, sizes, 1) < 1 << 31, 1.0, -1.0)
+        row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+        at = row * dim + bucket
+        signs = np.bincount(at, sign, len(lists) * dim).reshape(signs.shape)
+        has.reshape(-1)[at] = True
     return signs, has
 
 
@@ -67,7 +86,7 @@ def _damped(signs: np.ndarray, n_docs: int, frequency: dict[int, int]) -> np.nda
 
 def vector(terms: list[str], n_docs: int = 0, frequency: dict[int, int] | None = None, dim: int = DIM) -> np.ndarray:
     """The embedding of one list of terms."""
-    return _damped(_counted([terms], {}, dim)[0], n_docs, frequency or {})[0]
+    return _damped(_counted(pa.array([terms], pa.list_(pa.string())), dim)[0], n_docs, frequency or {})[0]
 
 
 def terms_of(texts: DataFrame) -> DataFrame:
@@ -79,23 +98,21 @@ def terms_of(texts: DataFrame) -> DataFrame:
 def document_frequency(texts: DataFrame, dim: int = DIM) -> DataFrame:
     """bucket and the number of texts that have it, for (id, text): at most ``dim`` rows."""
 
-    def buckets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
-        for d in parts:
-            n = _counted(d["terms"], memo, dim)[1].sum(0)
+    def buckets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            n = _counted(b.column(0), dim)[1].sum(0)
             hit = np.flatnonzero(n)
-            yield pd.DataFrame({"bucket": hit.astype(np.int32), "n": n[hit]})
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(n[hit], pa.int64())], ["bucket", "n"])
 
-    return terms_of(texts).select("terms").mapInPandas(buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return terms_of(texts).select("terms").mapInArrow(buckets, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def embed(texts: DataFrame, n_docs: int = 0, frequency: dict[int, int] | None = None, dim: int = DIM) -> DataFrame:
-    """id and embedding (array of floats) for (id, text)."""
+    """id and embedding (array of floats) for (id, text); zeros for a text without terms."""
 
-    @F.pandas_udf("array<float>")
-    def make(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        memo: dict = {}
-        for s in parts:
-            yield pd.Series(list(_damped(_counted(s, memo, dim)[0], n_docs, frequency or {}).astype(np.float32)))
+    def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            v = _damped(_counted(b.column(1), dim)[0], n_docs, frequency or {}).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, v.size + 1, dim, dtype=np.int32), pa.array(v.reshape(-1)))], ["id", "embedding"])
 
-    return terms_of(texts).select("id", make("terms").alias("embedding"))
+    return terms_of(texts).mapInArrow(make, f"id {texts.schema['id'].dataType.simpleString()}, embedding array<float>")

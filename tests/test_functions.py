@@ -3,6 +3,7 @@
 import math
 from datetime import datetime
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -26,6 +27,38 @@ def test_murmur3_known_values():
     assert embed.murmur3(b"test", 0) == 3127628307
 
 
+def test_murmur3_of_many_pieces():
+    pieces = [b"", b"a", b"ab", b"abc", b"abcd", "größe_über".encode(), b"hello", b"test", b"x" * 33]
+    data = np.frombuffer(b"".join(pieces) + b" ", np.uint8)
+    sizes = np.array([len(p) for p in pieces])
+    for seed in (0, 1):
+        assert embed.murmur3_all(data, np.cumsum(sizes) - sizes, sizes, seed).tolist() == [embed.murmur3(p, seed) for p in pieces]
+
+
+def test_embedding_by_definition(spark):
+    """Against the definition, term by term: signed counts, damped, weighted by ln(1 + N / (1 + df)), of length 1."""
+    texts = ["Alpha beta alpha gamma", "beta gamma delta beta beta", "", "the", "Alpha"]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    terms = []
+    for t in texts:
+        w = [x for x in t.lower().split() if x != "the"]
+        terms.append(w + [f"{a}_{b}" for a, b in zip(w, w[1:], strict=False)])
+    df = {}
+    for t in terms:
+        for b in {embed.murmur3(x.encode()) % 256 for x in t}:
+            df[b] = df.get(b, 0) + 1
+    assert {r["bucket"]: r["n"] for r in embed.document_frequency(d).collect()} == df
+    got = {r["id"]: r["embedding"] for r in embed.embed(d, len(texts), df).collect()}
+    for i, t in enumerate(terms):
+        v = np.zeros(256)
+        for x in t:
+            v[embed.murmur3(x.encode()) % 256] += 1 if embed.murmur3(x.encode(), 1) < 1 << 31 else -1
+        for b in np.flatnonzero(v):
+            v[b] = np.sign(v[b]) * (1 + np.log(abs(v[b]))) * np.log(1 + len(texts) / (1 + df[b]))
+        n = np.linalg.norm(v)
+        assert np.allclose(got[i], v / n if n else v, atol=1e-6)
+
+
 def test_embedding_is_a_unit_vector_or_zero(spark):
     rows = spark.createDataFrame([(1, "solar panels make power"), (2, ""), (3, "the of and")], "id long, text string")
     got = {r["id"]: r["embedding"] for r in embed.embed(rows).collect()}
