@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm import bpe, language, lines, minhash, mixing
-from recallium.llm.common import stash
+from keepstone.llm import bpe, language, lines, minhash, mixing
+from keepstone.llm.common import stash
 
 #: Near-duplicates here have a similarity of 0.8 or more; at 0.8 buckets of 4 values miss 5e-8 of the links.
 NEAR = {"percent": 80, "bands": 32, "rows": 4}

@@ -9,8 +9,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
-from recallium.functions import scoring as S
+from keepstone.functions import constants as K
+from keepstone.functions import scoring as S
 
 _MONTH = "|".join(K.MONTHS)
 

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallium.functions import text as T
+from keepstone.functions import text as T
 
 DIM = 256
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
+from keepstone.functions import constants as K
 
 
 def seconds(later: Column, earlier: Column) -> Column:
@@ -44,7 +44,7 @@ def decay_boost(score: Column, strength: Column, weight: float = 0.1) -> Column:
     return score * (1.0 + weight * F.greatest(F.lit(0.0), strength))
 
 
-def recall_probability(last: Column, strength: Column, now: Column) -> Column:
+def retrieval_probability(last: Column, strength: Column, now: Column) -> Column:
     hours = seconds(now, last) / 3600.0
     stability = F.when(strength > -20, F.exp(strength)).otherwise(1e-9)
     return F.when(hours <= 0, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.exp(-hours / stability))))

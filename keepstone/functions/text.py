@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
+from keepstone.functions import constants as K
 
 
 def _words(values) -> Column:

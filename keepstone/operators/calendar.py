@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recallium.functions import dates as D
-from recallium.functions import text as T
+from keepstone.functions import dates as D
+from keepstone.functions import text as T
 
 
 def build(turns: DataFrame, fillers: bool = True) -> DataFrame:

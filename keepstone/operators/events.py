@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import text as T
-from recallium.operators.retrieval import bm25
+from keepstone.functions import text as T
+from keepstone.operators.retrieval import bm25
 
 # Verbs that make an event, with words that stand for them too; fixed values.
 VERBS = {

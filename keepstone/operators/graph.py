@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
+from keepstone.functions import constants as K
 
 
 def _u(p: str) -> str:
@@ -130,7 +130,7 @@ def components(nodes: DataFrame, edges: DataFrame, stash) -> DataFrame:
 
 def similar_pairs(vectors: DataFrame, threshold: float, block: list[str]) -> DataFrame:
     """Pairs (a, b) within a block whose vectors (id, embedding) have a dot product of at least the threshold."""
-    from recallium.operators.retrieval import dot
+    from keepstone.operators.retrieval import dot
 
     x = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va"), *block)
     y = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), *block)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import scoring as S
-from recallium.functions import text as T
+from keepstone.functions import scoring as S
+from keepstone.functions import text as T
 
 
 def list_memories(memories: DataFrame, limit: int | None = 50, offset: int = 0, source: str | None = None, tag: str | None = None, namespace: str | None = None, substring: bool = True) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Ranked retrieval: BM25, exact vector search, rank fusion, boosts and the whole recall."""
+"""Ranked retrieval: BM25, exact vector search, rank fusion, boosts and the whole retrieval."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
-from recallium.functions import scoring as S
-from recallium.functions import text as T
+from keepstone.functions import constants as K
+from keepstone.functions import scoring as S
+from keepstone.functions import text as T
 
 
 def postings(texts: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def overlap_scorer(query: str) -> Callable[[Column], Column]:
     return lambda text: F.size(F.array_intersect(T.tokenize(text), F.array(*[F.lit(t) for t in terms]))) / max(1, len(terms))
 
 
-def recall(memories: DataFrame, signals: list[DataFrame], weights: dict[str, float], now: Column, limit: int = 20, tags: list[str] | None = None, namespaces: list[str] | None = None, min_score: float = 0.0, token_budget: int | None = None, decay: bool = True) -> DataFrame:
+def retrieve(memories: DataFrame, signals: list[DataFrame], weights: dict[str, float], now: Column, limit: int = 20, tags: list[str] | None = None, namespaces: list[str] | None = None, min_score: float = 0.0, token_budget: int | None = None, decay: bool = True) -> DataFrame:
     """Fused, boosted and decayed results with staleness warnings, best first: id, score, rank, warning.
 
     The signals (ranked()) are small, so the memories are filtered and joined once; filters come

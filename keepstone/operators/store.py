@@ -19,7 +19,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="recallium-"))
+            _OWN.append(tempfile.mkdtemp(prefix="keepstone-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         found = _OWN[0]
     return found.rstrip("/")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import text as T
+from keepstone.functions import text as T
 
 
 def scored_sentences(texts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.session import table
+from keepstone.session import table
 
 #: The time that queries take as now.
 NOW = "2024-06-01 00:00:00"

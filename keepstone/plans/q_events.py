@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.operators import events as E
-from recallium.plans.data import sql_text
-from recallium.plans.q_text import sentences_sql
-from recallium.plans.registry import query
-from recallium.session import table
+from keepstone.operators import events as E
+from keepstone.plans.data import sql_text
+from keepstone.plans.q_text import sentences_sql
+from keepstone.plans.registry import query
+from keepstone.session import table
 
 _TOLD = ["I visited the museum of modern art. It was big.", "Maria Schmidt bought a red bicycle, then went home", "they launched the new service!", "Nothing happened here."]
 _SQL = "tl(id, text) AS (VALUES " + ", ".join(f"({-i - 1}, {sql_text(t)})" for i, t in enumerate(_TOLD)) + "), al AS (SELECT CAST(id AS BIGINT) AS id, regexp_replace(text, '[^\\P{L}a-zA-Z]', '_', 'g') AS text FROM (SELECT * FROM tl UNION ALL SELECT doc_id, text FROM documents))"

@@ -7,14 +7,14 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
-from recallium.functions import text as T
-from recallium.operators import graph as G
-from recallium.operators.store import stash
-from recallium.plans.data import MEMORIES_SQL, TEXTS_SQL, memories, sql_text, texts
-from recallium.plans.q_text import key_terms_sql
-from recallium.plans.registry import query
-from recallium.session import table
+from keepstone.functions import constants as K
+from keepstone.functions import text as T
+from keepstone.operators import graph as G
+from keepstone.operators.store import stash
+from keepstone.plans.data import MEMORIES_SQL, TEXTS_SQL, memories, sql_text, texts
+from keepstone.plans.q_text import key_terms_sql
+from keepstone.plans.registry import query
+from keepstone.session import table
 
 #: Letters outside a-z stand as an underscore, a word character in every engine; no pattern of a name takes it for a letter.
 _ASCII_SQL = "regexp_replace(text, '[^\\P{L}a-zA-Z]', '_', 'g')"

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.operators.store import shared_dir
-from recallium.operators.summaries import summaries
-from recallium.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, texts
-from recallium.plans.q_text import SUMMARY_SQL
-from recallium.plans.registry import query
-from recallium.session import table
-from recallium.sources import exports as X
-from recallium.sources import imports as I
-from recallium.streaming import activity as A
+from keepstone.operators.store import shared_dir
+from keepstone.operators.summaries import summaries
+from keepstone.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, texts
+from keepstone.plans.q_text import SUMMARY_SQL
+from keepstone.plans.registry import query
+from keepstone.session import table
+from keepstone.sources import exports as X
+from keepstone.sources import imports as I
+from keepstone.streaming import activity as A
 
 _M = f"WITH {MEMORIES_SQL}"
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
-from recallium.functions import scoring as S
-from recallium.functions import text as T
-from recallium.operators import memories as M
-from recallium.plans.data import MEMORIES_SQL, NOW, hours_after, memories, now, sql_text, stamp, stamp_sql
-from recallium.plans.registry import query
-from recallium.session import table
+from keepstone.functions import constants as K
+from keepstone.functions import scoring as S
+from keepstone.functions import text as T
+from keepstone.operators import memories as M
+from keepstone.plans.data import MEMORIES_SQL, NOW, hours_after, memories, now, sql_text, stamp, stamp_sql
+from keepstone.plans.registry import query
+from keepstone.session import table
 
 _W = f"WITH {MEMORIES_SQL}"
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -154,10 +154,10 @@ def r13(spark: SparkSession, sf: str) -> DataFrame:
     return memories(spark, sf).select("id", a.alias("a")).select("id", F.round("a", 8).alias("strength"), F.round(S.decay_boost(F.lit(0.5), F.col("a")), 8).alias("boosted"))
 
 
-@query("r14_recall_probability", _W + f"SELECT id, round(least(1, greatest(0, exp(-(epoch({_NOW} - last_accessed) / 3600.0) / exp({_STRENGTH} + 8)))), 9) AS p FROM memories WHERE last_accessed IS NOT NULL")
+@query("r14_retrieval_probability", _W + f"SELECT id, round(least(1, greatest(0, exp(-(epoch({_NOW} - last_accessed) / 3600.0) / exp({_STRENGTH} + 8)))), 9) AS p FROM memories WHERE last_accessed IS NOT NULL")
 def r14(spark: SparkSession, sf: str) -> DataFrame:
     a = S.activation(F.col("created_at"), F.col("last_accessed"), F.col("access_count"), now()) + 8
-    return memories(spark, sf).where("last_accessed IS NOT NULL").select("id", F.round(S.recall_probability(F.col("last_accessed"), a, now()), 9).alias("p"))
+    return memories(spark, sf).where("last_accessed IS NOT NULL").select("id", F.round(S.retrieval_probability(F.col("last_accessed"), a, now()), 9).alias("p"))
 
 
 def case_sql(key: str, table: dict, default) -> str:

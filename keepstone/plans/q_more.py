@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.functions import dates as D
-from recallium.functions import text as T
-from recallium.plans.data import MEMORIES_SQL, TEXTS_SQL, memories, sql_text, texts
-from recallium.plans.q_text import sentences_sql
-from recallium.plans.registry import query
-from recallium.session import table
+from keepstone.functions import dates as D
+from keepstone.functions import text as T
+from keepstone.plans.data import MEMORIES_SQL, TEXTS_SQL, memories, sql_text, texts
+from keepstone.plans.q_text import sentences_sql
+from keepstone.plans.registry import query
+from keepstone.session import table
 
 _M = f"WITH {MEMORIES_SQL}"
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import embed as E
-from recallium.operators import retrieval as R
-from recallium.plans.data import MEMORIES_SQL, NOW, memories, now, texts
-from recallium.plans.q_memories import _AGE, _STRENGTH
-from recallium.plans.q_text import tokens_sql
-from recallium.plans.registry import query
-from recallium.session import table
+from keepstone.functions import embed as E
+from keepstone.operators import retrieval as R
+from keepstone.plans.data import MEMORIES_SQL, NOW, memories, now, texts
+from keepstone.plans.q_memories import _AGE, _STRENGTH
+from keepstone.plans.q_text import tokens_sql
+from keepstone.plans.registry import query
+from keepstone.session import table
 
 TERMS = ["rewh", "nd", "thtion", "oi"]
 QUERY_VECTOR = 7
@@ -99,15 +99,15 @@ _SCORED = f"{MEMORIES_SQL}, {_FUSED}, scored AS (SELECT m.*, CAST(f.rrf AS DOUBL
 
 @query("r8_boosts", f"WITH {_SCORED} SELECT id, round(score, 9) AS score FROM scored")
 def r8(spark: SparkSession, sf: str) -> DataFrame:
-    return R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False).select("id", F.round("score", 9).alias("score"))
+    return R.retrieve(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False).select("id", F.round("score", 9).alias("score"))
 
 
-_RECALL = f"{_SCORED}, top AS (SELECT *, score * (1 + 0.1 * greatest(0, {_STRENGTH})) AS final FROM (SELECT * FROM scored WHERE namespace IN ('en', 'fr') AND list_has_any(tags, ['t0', 't1', 't2', 'u1']) AND score >= 0.001 ORDER BY score DESC, id LIMIT 20)), o AS (SELECT id, final, row_number() OVER (ORDER BY final DESC, id) AS rank, greatest(1, length(substr(content, 1, 200)) // 4) AS tokens FROM top)"
+_RETRIEVED = f"{_SCORED}, top AS (SELECT *, score * (1 + 0.1 * greatest(0, {_STRENGTH})) AS final FROM (SELECT * FROM scored WHERE namespace IN ('en', 'fr') AND list_has_any(tags, ['t0', 't1', 't2', 'u1']) AND score >= 0.001 ORDER BY score DESC, id LIMIT 20)), o AS (SELECT id, final, row_number() OVER (ORDER BY final DESC, id) AS rank, greatest(1, length(substr(content, 1, 200)) // 4) AS tokens FROM top)"
 
 
-@query("r16_recall", f"WITH {_RECALL} SELECT id, round(final, 9) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM o) WHERE used <= 600")
+@query("r16_retrieve", f"WITH {_RETRIEVED} SELECT id, round(final, 9) AS score, CAST(rank AS INT) AS rank FROM (SELECT *, sum(tokens) OVER (ORDER BY rank) AS used FROM o) WHERE used <= 600")
 def r16(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=20, tags=["t0", "t1", "t2", "u1"], namespaces=["en", "fr"], min_score=0.001, token_budget=600)
+    out = R.retrieve(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=20, tags=["t0", "t1", "t2", "u1"], namespaces=["en", "fr"], min_score=0.001, token_budget=600)
     return out.select("id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -116,7 +116,7 @@ def r16(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_SCORED}, top AS (SELECT id, score, len(list_intersect(list_distinct({tokens_sql('content')}), ['rewh', 'nd', 'thtion', 'oi'])) / 4.0 AS s FROM (SELECT * FROM scored ORDER BY score DESC, id LIMIT 30)), n AS (SELECT min(s) AS lo, max(s) AS hi FROM top) SELECT id, round(0.7 * score + 0.3 * CASE WHEN hi > lo THEN (s - lo) / (hi - lo) ELSE 0.5 END, 9) AS score FROM top, n",
 )
 def r9(spark: SparkSession, sf: str) -> DataFrame:
-    base = R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False)
+    base = R.retrieve(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False)
     return R.rerank(base, R.overlap_scorer(" ".join(TERMS))).select("id", F.round("score", 9).alias("score"))
 
 
@@ -140,7 +140,7 @@ def r19(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r21_what_changed", f"WITH {_SCORED} SELECT id FROM (SELECT id FROM scored WHERE list_contains(tags, 'pinned') UNION SELECT id FROM (SELECT id FROM scored ORDER BY score DESC, id LIMIT 5))")
 def r21(spark: SparkSession, sf: str) -> DataFrame:
-    base = R.recall(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False)
+    base = R.retrieve(memories(spark, sf), signals(spark, sf), R.signal_weights(), now(), limit=1000, decay=False)
     return base.where(F.array_contains("tags", "pinned")).select("id").union(base.orderBy(F.desc("score"), "id").limit(5).select("id")).distinct()
 
 
@@ -149,7 +149,7 @@ def r21(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH tok AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents), b AS (SELECT item_id, list_distinct({tokens_sql('text')}) AS w FROM benchmark WHERE item_id < 20), x AS (SELECT item_id, doc_id, len(list_intersect(w, t)) / greatest(len(w), 1) AS c FROM b, tok), m AS (SELECT item_id, max(c) AS c FROM x GROUP BY item_id) SELECT item_id, round(c, 6) AS coverage, CASE WHEN c >= 0.8 THEN 'OK' WHEN c >= 0.5 THEN 'PARTIAL_RETRIEVAL' ELSE 'RETRIEVAL_FAIL' END AS mode FROM m",
 )
 def p21(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.functions import text as T
+    from keepstone.functions import text as T
 
     t = table(spark, sf, "documents").select(T.tokenize(F.col("text")).alias("t"))
     b = table(spark, sf, "benchmark").where("item_id < 20").select("item_id", F.array_distinct(T.tokenize(F.col("text"))).alias("w"))

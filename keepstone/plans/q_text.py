@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.functions import constants as K
-from recallium.functions import text as T
-from recallium.operators.summaries import summaries
-from recallium.plans.data import MEMORIES_SQL, PLAIN, PLAIN_CASED, TEXTS_SQL, memories, samples, sql_text, texts
-from recallium.plans.registry import query
-from recallium.session import table
+from keepstone.functions import constants as K
+from keepstone.functions import text as T
+from keepstone.operators.summaries import summaries
+from keepstone.plans.data import MEMORIES_SQL, PLAIN, PLAIN_CASED, TEXTS_SQL, memories, samples, sql_text, texts
+from keepstone.plans.registry import query
+from keepstone.session import table
 
 _STOP = "[" + ", ".join(map(sql_text, K.STOP_WORDS)) + "]"
 _KEY_STOP = "[" + ", ".join(map(sql_text, K.KEY_TERM_STOP_WORDS)) + "]"

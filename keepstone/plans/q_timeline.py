@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallium.functions import scoring as S
-from recallium.functions import text as T
-from recallium.operators import patterns as P
-from recallium.operators import timeline as L
-from recallium.plans.data import MEMORIES_SQL, hours_after, memories, stamp, stamp_sql
-from recallium.plans.q_graph import raw_edges
-from recallium.plans.q_text import sentences_sql, tokens_sql
-from recallium.plans.registry import query
-from recallium.session import table
+from keepstone.functions import scoring as S
+from keepstone.functions import text as T
+from keepstone.operators import patterns as P
+from keepstone.operators import timeline as L
+from keepstone.plans.data import MEMORIES_SQL, hours_after, memories, stamp, stamp_sql
+from keepstone.plans.q_graph import raw_edges
+from keepstone.plans.q_text import sentences_sql, tokens_sql
+from keepstone.plans.registry import query
+from keepstone.session import table
 
 _M = f"WITH {MEMORIES_SQL}"
 
@@ -205,14 +205,14 @@ def st7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s21_turn_windows", "WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations), s AS (SELECT conv_id, unnest(range(0, n, 2)) AS st FROM (SELECT DISTINCT conv_id, n FROM t)) SELECT s.conv_id, s.st AS start, md5(string_agg('[' || t.role || ']: ' || t.text, chr(10) ORDER BY t.turn)) AS chunk_md5, count(*) AS turns FROM s JOIN t ON t.conv_id = s.conv_id AND t.i BETWEEN s.st AND s.st + 3 GROUP BY s.conv_id, s.st")
 def s21(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.sources.conversations import turn_windows
+    from keepstone.sources.conversations import turn_windows
 
     return turn_windows(table(spark, sf, "conversations"), size=4, stride=2).select("conv_id", "start", F.md5("chunk").alias("chunk_md5"), "turns")
 
 
 @query("s24_captured_calls", "SELECT conv_id, md5(string_agg('[' || role || ']: ' || text, chr(10) ORDER BY turn)) AS call_md5 FROM conversations GROUP BY conv_id")
 def s24(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.sources.conversations import captured_calls
+    from keepstone.sources.conversations import captured_calls
 
     return captured_calls(table(spark, sf, "conversations")).select("conv_id", F.md5("content").alias("call_md5"))
 
@@ -222,7 +222,7 @@ _CAL = f"cal AS (SELECT conv_id, turn, role, unnest({sentences_sql('text')}) AS
 
 @query("p10_calendar", f"WITH {_CAL} SELECT conv_id, turn, count(*) AS n_events FROM good GROUP BY conv_id, turn")
 def p10(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.operators.calendar import build
+    from keepstone.operators.calendar import build
 
     c = table(spark, sf, "conversations").withColumn("session_date", hours_after(F.col("conv_id") * 24))
     return build(c, fillers=False).groupBy("conv_id", "turn").agg(F.count("*").alias("n_events"))
@@ -230,7 +230,7 @@ def p10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p11_calendar_keywords", f"WITH {_CAL}, h AS (SELECT conv_id, turn, s, len(list_intersect(list_distinct({tokens_sql('s')}), ['rewh', 'thtion', 'ndre', 'hation'])) AS hits FROM good) SELECT conv_id, turn, md5(s) AS event_md5, CAST(hits AS INT) AS hits FROM h WHERE hits >= 2")
 def p11(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.operators.calendar import build, relevant
+    from keepstone.operators.calendar import build, relevant
 
     c = table(spark, sf, "conversations").withColumn("session_date", hours_after(F.col("conv_id") * 24))
     out = relevant(build(c, fillers=False), ["rewh", "thtion", "ndre", "hation"], limit=None)
@@ -239,7 +239,7 @@ def p11(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f11_time_window", _M + "SELECT id FROM memories WHERE created_at BETWEEN TIMESTAMP '2024-01-06 00:00:00' AND TIMESTAMP '2024-02-14 00:00:00' OR updated_at BETWEEN TIMESTAMP '2024-01-06 00:00:00' AND TIMESTAMP '2024-02-14 00:00:00'")
 def f11(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.operators.calendar import within
+    from keepstone.operators.calendar import within
 
     m = memories(spark, sf).withColumn("session_date", F.col("created_at")).withColumn("event_date", F.col("updated_at"))
     return within(m, _ts("2024-01-20 00:00:00"), _ts("2024-01-31 00:00:00"), 14).select("id")
@@ -262,7 +262,7 @@ _RANGE = "epoch(TIMESTAMP '2024-01-31 23:59:59') - epoch(TIMESTAMP '2024-01-01 0
 
 @query("r4_temporal_range", _M + f"SELECT id, round(0.9 + 0.1 * (1 - least(abs(epoch(created_at) - (epoch(TIMESTAMP '2024-01-01 00:00:00') + ({_RANGE}) / 2)) / 86400.0 / (({_RANGE}) / 86400.0), 1)), 9) AS score FROM memories WHERE created_at BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-31 23:59:59'")
 def r4(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.functions.dates import creation_range_score
+    from keepstone.functions.dates import creation_range_score
 
     lo, hi = _ts("2024-01-01 00:00:00"), _ts("2024-01-31 23:59:59")
     return memories(spark, sf).where(F.col("created_at").between(lo, hi)).select("id", F.round(creation_range_score(F.col("created_at"), lo, hi), 9).alias("score"))
@@ -283,7 +283,7 @@ _BLOCK = "t AS (SELECT o_orderkey AS id, o_custkey AS owner, o_orderstatus AS st
 
 @query("j13_blocked_tasks", f"WITH {_BLOCK} SELECT t.id, b.id AS blocker, b.status AS blocker_status FROM t JOIN t b ON t.blocker = b.id WHERE b.status <> 'F'")
 def j13(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.operators.workspace import blocked
+    from keepstone.operators.workspace import blocked
 
     t = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.array(F.col("o_orderkey") + 1).alias("blocked_by"))
     return blocked(t, done="F").select("id", "blocker", "blocker_status")
@@ -291,7 +291,7 @@ def j13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("d10_task_states", "WITH l AS (SELECT user_id AS task_id, arg_max(event_type, event_id) AS last, count(*) AS steps FROM events GROUP BY user_id) SELECT task_id, last AS status, steps FROM l")
 def d10(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.operators.workspace import task_states
+    from keepstone.operators.workspace import task_states
 
     e = table(spark, sf, "events").select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"))
     return task_states(e).select("task_id", "status", "steps")
@@ -310,7 +310,7 @@ def j14(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("f12_handoffs", "SELECT event_id FROM events WHERE (user_id % 3 = 0 OR user_id = 7) AND event_type = 'click'")
 def f12(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.operators.workspace import visible_handoffs
+    from keepstone.operators.workspace import visible_handoffs
 
     h = table(spark, sf, "events").where("event_type = 'click'").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id").cast("string")).alias("to_agent"))
     return visible_handoffs(h, "7").select("event_id")
@@ -341,7 +341,7 @@ def a13(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("r22_choice_scores", f"WITH b AS (SELECT item_id, {tokens_sql('text')} AS t, lower(text) AS low FROM benchmark), d AS (SELECT doc_id, lower(text) AS low, {tokens_sql('text')} AS t FROM documents WHERE doc_id < 5) SELECT item_id, doc_id, CAST(CASE WHEN contains(d.low, b.low) THEN 2.0 ELSE 0.0 END + 1.5 * len(list_intersect(list_distinct(b.t), d.t)) + 0.5 * len(list_intersect(list_distinct(b.t), d.t)) AS DOUBLE) AS score FROM b, d")
 def r22(spark: SparkSession, sf: str) -> DataFrame:
-    from recallium.operators.retrieval import choice_score
+    from keepstone.operators.retrieval import choice_score
 
     d = table(spark, sf, "documents").where("doc_id < 5").select("doc_id", F.col("text").alias("ctx"))
     b = table(spark, sf, "benchmark")

@@ -30,7 +30,7 @@ def _load() -> None:
     import importlib
 
     for m in MODULES:
-        importlib.import_module(f"recallium.plans.{m}")
+        importlib.import_module(f"keepstone.plans.{m}")
 
 
 #: The modules that register queries when they are imported.
@@ -48,4 +48,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["r16_recall"](spark, sf_dir)
+    return queries()["r16_retrieve"](spark, sf_dir)

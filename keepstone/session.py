@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str = "recallium", cores: int | None = None, partitions: int = 8) -> SparkSession:
+def local_session(app: str = "keepstone", cores: int | None = None, partitions: int = 8) -> SparkSession:
     """A local session with the settings the tests and the bench use."""
     n = cores or int(os.environ.get("BENCH_CPUS", "8"))
     return (

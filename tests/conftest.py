@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
-from recallium.session import local_session  # noqa: E402
+from keepstone.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -9,10 +9,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from recallium.functions import dates, embed, scoring
-from recallium.functions import text as T
-from recallium.operators import graph, memories, patterns, retrieval, timeline
-from recallium.operators.summaries import summaries
+from keepstone.functions import dates, embed, scoring
+from keepstone.functions import text as T
+from keepstone.operators import graph, memories, patterns, retrieval, timeline
+from keepstone.operators.summaries import summaries
 
 NOW = datetime(2024, 6, 12, 10, 0)  # a Wednesday
 

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from recallium.plans import registry
+from keepstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
