@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallium.llm.common import batches, record_batch, setup, stash
+from keepstone.llm.common import batches, record_batch, setup, stash
 
 #: Vectors on which codebooks are fitted, at most; a bound on the driver's memory.
 SAMPLE = 8_000

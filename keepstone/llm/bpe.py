@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from recallium.llm.common import batches, record_batch, setup
+from keepstone.llm.common import batches, record_batch, setup
 
 #: Words whose pieces a worker remembers before it starts anew.
 CACHE_WORDS = 300_000

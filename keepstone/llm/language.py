@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm.common import batches, record_batch, setup, stash, unstash
+from keepstone.llm.common import batches, record_batch, setup, stash, unstash
 
 #: Size of the hashed n-gram space.
 BUCKETS = 1 << 13

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallium.llm.common import at_most, batches, record_batch, setup, stash, unstash
+from keepstone.llm.common import at_most, batches, record_batch, setup, stash, unstash
 
 SHINGLE = 5
 #: Permutations; a signature has twice as many values. BANDS x ROWS of them make buckets, unless link() is told others.

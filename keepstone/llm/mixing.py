@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallium.llm.common import at_most
+from keepstone.llm.common import at_most
 
 #: A Poisson count with a larger mean is a sum of independent counts whose means are at most this.
 PART_MEAN = 8.0

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from recallium.llm.common import batches, record_batch, setup
+from keepstone.llm.common import batches, record_batch, setup
 
 #: Fixed order of the kinds; the last is found by the field only.
 BASE_KINDS = ("email", "ip", "card", "phone")

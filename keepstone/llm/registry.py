@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recallium.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, substrings, warc
+from keepstone.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recallium.llm.common import at_most, stash
+from keepstone.llm.common import at_most, stash
 
 #: Records under a leaf at most on average, and children under each other node (a digit of the key's digest).
 LEAF_RECORDS, FANOUT = 64, 16

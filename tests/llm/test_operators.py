@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from recallium.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, substrings, warc
+from keepstone.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, substrings, warc
 
 sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdigest()
 
@@ -18,7 +18,7 @@ sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdig
 # ---- vectors
 
 
-def test_ann_recall_ties_and_unusable_vectors(spark):
+def test_ann_hit_rate_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 24))
     x[700:760] = x[10]  # copies

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from recallium.llm import minhash, pii, quality
+from keepstone.llm import minhash, pii, quality
 
 
 def _word(r):
