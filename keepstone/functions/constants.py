@@ -138,3 +138,75 @@ HOLIDAYS = {
     "christmas": (12, 25), "christmas eve": (12, 24), "new year": (1, 1), "new years": (1, 1), "new year's": (1, 1), "valentine's day": (2, 14),
     "valentines day": (2, 14), "halloween": (10, 31), "independence day": (7, 4), "july 4th": (7, 4), "4th of july": (7, 4),
 }
+
+# Events: forms of sentences that tell one, in the order in which they are looked for. Kind, confidence, least length of
+# the object, verb (with {v} and {p} from the pattern's groups), and the pattern with groups s (subject), v, p and o (object).
+EVENT_FORMS = [
+    ("action", 0.8, 2, "{v}", r"\b(?P<s>I|we|he|she|they|my\s+\w+)\s+(?P<v>graduated|bought|purchased|started|began|moved|relocated|decided|chose|picked|selected|joined|left|quit|built|created|made|developed|adopted|married|studied|learned|traveled|visited|sold|wrote|published|launched|founded|installed|deleted|removed|fixed|broke|lost|found|earned|won|received|completed|finished)\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("present_action", 0.75, 2, "{v}_{p}", r"\b(?P<s>I|we|he|she|they)\s+(?P<v>work|live|teach|study|volunteer)\s+(?P<p>at|in|for|with)\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("identity", 0.7, 2, "is", r"\b(?P<s>I)\s+am\s+(?:a\s+|an\s+)?(?P<o>.+?)(?:\.|,|$)"),
+    ("have", 0.65, 2, "has", r"\b(?P<s>I|we)\s+have\s+(?:a\s+|an\s+)?(?P<o>.+?)(?:\.|,|$)"),
+    ("was", 0.65, 2, "was", r"\b(?P<s>I|he|she)\s+was\s+(?:a\s+|an\s+)?(?P<o>.+?)(?:\.|,|$)"),
+    ("preference", 0.75, 2, "{v}", r"\b(?P<s>I|we)\s+(?P<v>prefer|like|love|enjoy|hate|dislike|avoid)\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("favorite", 0.85, 1, "favorite_{v}", r"\bmy\s+favorite\s+(?P<v>\w+)\s+is\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("my_is", 0.8, 1, "{v}", r"\bmy\s+(?P<v>\w+(?:'s)?)\s+(?:name\s+)?is\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("allergic", 0.85, 2, "is_allergic_to", r"\b(?:I(?:'m|\s+am)\s+)?allergic\s+to\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("decision", 0.8, 2, "{v}", r"\b(?P<s>I|we|they|the\s+team)\s+(?P<v>decided|chose|picked|selected|agreed)\s+to\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("moved_to", 0.8, 2, "moved_to", r"\b(?P<s>I|we|he|she|they)\s+moved\s+to\s+(?P<o>.+?)(?:\.|,|$)"),
+    ("pet_named", 0.85, 1, "has_{v}_named", r"\bmy\s+(?P<v>dog|cat|pet|bird|fish|hamster|rabbit)(?:'s\s+name)?\s+is\s+(?:named\s+)?(?P<o>.+?)(?:\.|,|$)"),
+]
+# What "my X is Y" names.
+EVENT_PETS = "dog cat pet bird fish".split()
+# Who tells an event: pronouns, and what stands for them.
+EVENT_SUBJECTS = {"i": "user", "we": "team"}
+# Words that an object doesn't end with.
+EVENT_LOOSE_ENDS = r"(?i)\s+(in|on|at|to|from|for|with|the|a|an)$"
+# Dates of events, in the order in which they are looked for.
+EVENT_DATES = [
+    ("numbers", r"(?i)\bin\s+(?:(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+)?(\d{4})(?:-(\d{1,2}))?(?:-(\d{1,2}))?\b"),
+    ("named", r"(?i)\bon\s+(?:(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+(\d{1,2}),?\s+(\d{4})|(\d{1,2})\s+(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\s+(\d{4}))\b"),
+    ("relative", r"(?i)\b(last\s+(?:week|month|year)|yesterday|today)\b"),
+    ("iso", r"\b(\d{4}-\d{1,2}-\d{1,2})\b"),
+    ("numbers", r"(?i)\b(?:since|from)\s+(\d{4})\b"),
+]
+# Other words for verbs.
+VERB_SYNONYMS = {
+    "graduated": ["got degree", "completed studies", "finished school"],
+    "bought": ["purchased", "got", "acquired"],
+    "purchased": ["bought", "got", "acquired"],
+    "moved": ["relocated", "went to live in", "transferred to"],
+    "relocated": ["moved", "went to live in", "transferred to"],
+    "started": ["began", "commenced", "initiated"],
+    "began": ["started", "commenced", "initiated"],
+    "prefer": ["like better", "favor", "choose"],
+    "prefers": ["likes better", "favors", "chooses"],
+    "decided": ["chose", "picked", "selected", "went with"],
+    "chose": ["decided", "picked", "selected"],
+    "picked": ["decided", "chose", "selected"],
+    "selected": ["decided", "chose", "picked"],
+    "work": ["employed at", "job at", "career at"],
+    "works": ["employed at", "job at", "career at"],
+    "worked": ["was employed at", "had job at", "had career at"],
+    "live": ["reside in", "stay in", "based in"],
+    "lives": ["resides in", "stays in", "based in"],
+    "lived": ["resided in", "stayed in", "was based in"],
+    "like": ["enjoy", "fond of", "into"],
+    "likes": ["enjoys", "is fond of", "is into"],
+    "love": ["adore", "really like", "passionate about"],
+    "loves": ["adores", "really likes", "passionate about"],
+    "hate": ["dislike", "can't stand", "detest"],
+    "hates": ["dislikes", "can't stand", "detests"],
+    "built": ["created", "made", "developed"],
+    "created": ["built", "made", "developed"],
+    "joined": ["started at", "became member of", "entered"],
+    "left": ["departed from", "quit", "exited"],
+    "quit": ["left", "departed from", "resigned from"],
+    "married": ["wed", "got married to", "tied the knot with"],
+    "born": ["came into the world", "was born"],
+    "studied": ["learned", "majored in", "took courses in"],
+    "learned": ["studied", "picked up", "acquired knowledge of"],
+    "traveled": ["visited", "went to", "journeyed to"],
+    "visited": ["traveled to", "went to", "stopped by"],
+    "adopted": ["took in", "got", "welcomed"],
+    "named": ["called", "known as", "goes by"],
+}
