@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -64,6 +66,13 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker doesn't keep the most that it ever held."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def batches(stream: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each has a bounded size (one row at least)."""
     for b in stream:
@@ -72,6 +81,7 @@ def batches(stream: Iterable[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows
         step = max(1, min(max_rows, b.num_rows * max_bytes // max(b.nbytes, 1)))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+    give_back()
 
 
 def record_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

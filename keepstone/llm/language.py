@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.llm.common import batches, record_batch, setup, stash, unstash
+from keepstone.llm.common import batches, give_back, record_batch, setup, stash, unstash
 
 #: Size of the hashed n-gram space.
 BUCKETS = 1 << 13
@@ -57,7 +57,7 @@ def inverse_frequency(n_rows: int, n_with: np.ndarray) -> np.ndarray:
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Unit TF-IDF vectors of rows of counts."""
-    return _unit(np.log1p(counts) * idf).astype(np.float32)
+    return _unit(np.log1p(counts, dtype=np.float32) * idf)
 
 
 def cluster(own: np.ndarray) -> tuple[np.ndarray, float]:
@@ -148,6 +148,8 @@ def fit_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Centr
         for i, (at, n) in enumerate(zip(own["at"], own["n"], strict=True)):
             counts[i, at] = n
         c, floor = cluster(weighted(counts, idf))
+        del counts
+        give_back()
         return pd.DataFrame({"lang": own["lang"].iloc[0], "no": np.arange(len(c)), "floor": floor, "vector": [x.tobytes() for x in c]})
 
     found = counted.groupBy("lang").applyInPandas(centre, "lang string, no int, floor double, vector binary").orderBy("lang", "no").collect()  # CLUSTERS rows a language

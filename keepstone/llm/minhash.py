@@ -2,9 +2,8 @@
 
 Links are confirmed on whole shingle sets, and no link is given up within a bucket. Its members
 meet the smallest one first, its head. Where that leaves a bucket in several components, members of
-different components meet: directly in a small bucket; in a large one by how they differ
-from a set in its middle. Two members that are both close to it are linked for certain; any others that are
-linked have a part of their differences in common, and meet on that only.
+different components meet: directly in a small bucket, in bounded pieces in a large one. Before texts are
+read, a bound on what two sets can share (from counts of their shingles in bins) rejects pairs, never a link.
 """
 
 from __future__ import annotations
@@ -12,8 +11,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.llm.common import at_most, batches, record_batch, setup, stash, unstash
@@ -27,8 +27,8 @@ PERCENT = 85
 BINS = 512
 #: Members of a bucket in which pairs are made directly.
 SMALL = 32
-#: Members of a component from which its middle set is made.
-LANDMARKS = 16
+#: Members of a large bucket that are held against as many others in one go.
+UNIT = 1024
 #: Ids that are broadcast at most (8 bytes each); beyond that joins shuffle.
 BROADCAST_IDS = 100_000
 
@@ -245,20 +245,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     rest = _torn(shared, parts).where(F.col("rows") > SMALL).select("main", "id", "c").distinct()
     rest = stash(rest, "rest", narrow=True)
     if rest.limit(1).count():
-        spread = _differences(rest, texts, percent)
-        sure = _certain(spread)
-        links = links.unionByName(sure)
-        parts = components(links.unionByName(members.select("a", "b")))
-        links = links.unionByName(_linked(_differing_alike(spread, parts, percent), bins, texts, percent))
+        links = links.unionByName(_linked(_large_rest(rest, bins, percent), None, texts, percent))
         parts = components(links.unionByName(members.select("a", "b")))
     out = signed.select("id", "n_shingles").join(parts, signed["id"] == parts["node"], "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id"))).alias("kept"))
 
 
-def _linked(pairs: DataFrame, bins: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are linked, as a written table."""
-    possible = stash(_possible(pairs, bins, percent), "possible", narrow=True)
+def _linked(pairs: DataFrame, bins: DataFrame | None, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are linked, as a written table; without bins they are known to be possible."""
+    possible = stash(_possible(pairs, bins, percent) if bins else pairs, "possible", narrow=True)
     out = stash(_confirmed(possible, texts, percent).distinct(), "links", narrow=True)
     unstash(possible)
     return out
@@ -279,73 +275,46 @@ def _small_rest(torn: DataFrame, percent: int) -> DataFrame:
     return few.join(outside, "bucket").where((F.col("c") != F.col("oc")) & _alike_in_size("n", "m", percent)).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def _differences(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """main, id, n (shingles), d (length of diff), excess, diff: how each member of large buckets differs from a middle set.
-
-    The middle of a group is what most of a few members of its largest component have; any set would do for right results.
-    Two sets x and y with distances dx and dy from it are linked if and only if their differences
-    have s in common with (100 + percent) (dx + dy - 2 s) <= (100 - percent) (nx + ny). With
-    excess = (100 + percent) d - (100 - percent) n that is: their excesses add up to 2 (100 + percent) s at most.
-    """
-    few = at_most(rest, BROADCAST_IDS)
-    ids = rest.select("id").distinct()
-    wanted = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    order = Window.partitionBy("main").orderBy(F.xxhash64("id"), "id")
-    marks = rest.where("c = main").withColumn("r", F.row_number().over(order)).where(F.col("r") <= LANDMARKS).select("main", "id")
-
-    def middle(stream):
-        schema = pa.schema([("main", pa.int64()), ("h", pa.list_(pa.int64()))])
-        for r in batches(stream):
-            yield record_batch(schema, {"main": r.column(0), "h": [shingles(t)[0].view(np.int64) for t in r.column(1).to_pylist()]})
-
-    sets = marks.join(wanted, "id").select("main", "text").mapInArrow(middle, "main long, h array<long>")
-    counts = sets.select("main", F.explode("h").alias("h")).groupBy("main", "h").agg(F.count("*").alias("k"))
-    half = marks.groupBy("main").agg(F.count("*").alias("marks"))
-    core = stash(counts.join(half, "main").where("2 * k > marks").groupBy("main").agg(F.collect_list("h").alias("core")), "core", narrow=True)  # about as long as a member
+def _large_rest(rest: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of large buckets in different components that can be linked, for (main, id, c).
 
-    def compare(stream):
-        schema = pa.schema([("main", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("excess", pa.int64()), ("diff", pa.list_(pa.struct([("late", pa.bool_()), ("h", pa.int64())])))])
-        for r in batches(stream):
-            cols: dict = {f.name: [] for f in schema}
-            for main, i, t, core in zip(r.column(0).to_pylist(), r.column(1).to_pylist(), r.column(2).to_pylist(), r.column(3), strict=True):
-                h = shingles(t)[0].view(np.int64)
-                middle = core.values.to_numpy() if core.is_valid else np.zeros(0, np.int64)
-                own, lacks = np.sort(np.setdiff1d(h, middle)), np.sort(np.setdiff1d(middle, h))
-                d = len(own) + len(lacks)
-                cols["main"].append(main)
-                cols["id"].append(i)
-                cols["n"].append(len(h))
-                cols["d"].append(d)
-                cols["excess"].append((100 + percent) * d - (100 - percent) * len(h))
-                cols["diff"].append([{"late": False, "h": x} for x in own.tolist()] + [{"late": True, "h": x} for x in lacks.tolist()])
-            yield record_batch(schema, cols)
-
-    made = rest.select("main", "id").join(wanted, "id").join(core, "main", "left").select("main", "id", "text", "core")
-    return stash(made.mapInArrow(compare, "main long, id long, n long, d long, excess long, diff array<struct<late: boolean, h: long>>"), "differences")
-
-
-def _certain(spread: DataFrame) -> DataFrame:
-    """Links that follow from the distances alone: with the member of the least excess of each group, if the excesses add up to 0 at most."""
-    best = spread.groupBy("main").agg(F.min(F.struct("excess", "id")).alias("x"))
-    sure = spread.join(best, "main").where("excess + x.excess <= 0 AND id <> x.id")
-    return stash(sure.select(F.least("id", "x.id").alias("a"), F.greatest("id", "x.id").alias("b")).distinct(), "links", narrow=True)
-
-
-def _differing_alike(spread: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members in different components that can still be linked, once the certain links are known.
-
-    Their excesses add up to more than 0, so their differences have something in common: members meet on it. What the same members
-    have in common counts once, by its first in the order, and only if they lie in several components;
-    it stands so early in both differences that enough can follow.
+    Each member outside a bucket's largest component is held against the members of the others by the
+    bound of _possible(). That is done for pieces of both sides of about UNIT rows, so that a task has bounded
+    work and only pairs that pass are written; nothing about two sets below the similarity rules out
+    more of them unread, so the work grows with the number of members outside times that of all.
     """
-    placed = spread.join(parts, spread["id"] == parts["node"], "left").select("main", "id", F.coalesce("label", "id").alias("c"), "d", "excess", F.posexplode("diff").alias("pos", "t"))
-    placed = stash(placed, "spread")
-    sets = placed.groupBy("main", "t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum(F.hash("id").cast("long")).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"))
-    first = stash(sets.where("lo <> hi").groupBy("main", "k", "s", "x").agg(F.min("t").alias("t")).select("main", "t"), "first", narrow=True)
-    met = stash(placed.join(F.broadcast(first) if at_most(first, BROADCAST_IDS // 4) else first, ["main", "t"]), "met", narrow=True)
-    other = met.where("c <> main").select("main", "t", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("d").alias("od"), F.col("excess").alias("oe"), F.col("pos").alias("at"))
-    enough = 2 * (100 + percent) * F.least(F.col("d") - F.col("pos"), F.col("od") - F.col("at")) >= F.col("excess") + F.col("oe")
-    return met.join(other, ["main", "t"]).where((F.col("c") != F.col("oc")) & enough).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+    rest = rest.join(bins, "id")
+    sizes = rest.groupBy("main").agg(F.count("*").alias("rows"), F.count_if(F.col("c") != F.col("main")).alias("out"))
+    sizes = stash(sizes.select("main", F.ceil(F.col("rows") / UNIT).cast("int").alias("pieces"), F.ceil(F.col("out") / UNIT).cast("int").alias("blocks")), "sizes", narrow=True)
+    placed = rest.join(F.broadcast(sizes) if at_most(sizes, BROADCAST_IDS) else sizes, "main")
+    own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    inner = placed.select("main", own(F.col("pieces"), "piece").alias("piece"), every(F.col("blocks")).alias("block"), F.lit(False).alias("outer"), "id", "c", "bins")
+    outer = placed.where("c <> main").select("main", every(F.col("pieces")).alias("piece"), own(F.col("blocks"), "block").alias("block"), F.lit(True).alias("outer"), "id", "c", "bins")
+
+    def meet(unit: pd.DataFrame) -> pd.DataFrame:
+        a, b = unit[unit["outer"]], unit[~unit["outer"]]
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        known = np.array([bool(x) for x in b["bins"]])  # without bins there is no bound
+        y = np.frombuffer(b"".join(b["bins"][known]), np.uint8).reshape(-1, BINS)
+        m = y.sum(1, dtype=np.int64)
+        ids, parts = b["id"].to_numpy(), b["c"].to_numpy()
+        found = []
+        for i, c, x in zip(a["id"], a["c"], a["bins"], strict=True):
+            ok = parts != c
+            if x:
+                x = np.frombuffer(x, np.uint8)
+                n = int(x.sum(dtype=np.int64))
+                fit = np.flatnonzero(ok[known] & (100 * np.minimum(m, n) >= percent * np.maximum(m, n)))
+                most = np.minimum(y[fit], x).sum(1, dtype=np.int64)
+                possible = np.zeros(len(m), bool)
+                possible[fit] = 100 * most >= percent * (m[fit] + n - most)
+                ok[known] &= possible
+            found.append(np.stack([np.minimum(ids[ok], i), np.maximum(ids[ok], i)], 1))
+        return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+
+    return inner.unionByName(outer).groupBy("main", "piece", "block").applyInPandas(meet, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -233,8 +233,9 @@ def test_minhash_large_torn_group(spark):
         assert [got[i] for i in range(2000)] == want.tolist()
 
 
-def test_minhash_large_buckets_by_differences(spark, monkeypatch):
+def test_minhash_large_buckets_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "UNIT", 5)
     rows = near_rows()
     got = {r["doc_id"]: r["component_id"] for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_components(rows)
