@@ -111,34 +111,36 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
     return h.view(np.int64)
 
 
-def histogram(h: np.ndarray) -> bytes:
-    """How many of a text's shingles fall into each of BINS; empty where one holds more than a byte tells."""
+def histogram(h: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """How many of a text's shingles fall into each of BINS (empty where one holds more than a byte tells), and a bit for each bin that has any."""
     n = np.bincount((h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else b"", np.packbits(n > 0).view(np.int64)
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, n_shingles, k1 and k2 (a digest of the word sequence; null without words), bands, bins."""
+    """id, n_shingles, k1 and k2 (a digest of the word sequence; null without words), bands, bins, marks."""
 
     def run(stream):
-        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bins", pa.binary())])
+        schema = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("bands", pa.list_(pa.int64())), ("bins", pa.binary()), ("marks", pa.list_(pa.int64()))])
         for b in batches(stream):
             cols: dict = {f.name: [] for f in schema if f.name != "id"}
             for t in b.column(1).to_pylist():
                 h, joined = shingles(t)
                 cols["n_shingles"].append(len(h))
                 if not len(h):
-                    for c in ("k1", "k2", "bands", "bins"):
+                    for c in ("k1", "k2", "bands", "bins", "marks"):
                         cols[c].append(None)
                     continue
                 d = hashlib.blake2b(joined, digest_size=16).digest()
                 cols["k1"].append(int.from_bytes(d[:8], "big", signed=True))
                 cols["k2"].append(int.from_bytes(d[8:], "big", signed=True))
                 cols["bands"].append(band_hashes(signature(h), bands, rows))
-                cols["bins"].append(histogram(h))
+                counts, marks = histogram(h)
+                cols["bins"].append(counts)
+                cols["marks"].append(marks)
             yield record_batch(schema, {"id": b.column(0)} | cols)
 
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col]).mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>, bins binary")
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col]).mapInArrow(run, "id long, n_shingles long, k1 long, k2 long, bands array<long>, bins binary, marks array<long>")
 
 
 def _alike_in_size(n: str, m: str, percent: int) -> Column:
@@ -229,7 +231,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     owned = named.join(classes, ["k1", "k2"])
     members = stash(owned.where("id <> rep").select(F.col("id").alias("b"), F.col("rep").alias("a")).distinct(), "members", narrow=True)
     # an id that represents several classes keeps one row for each; all of them are compared
-    reps = stash(owned.where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", F.col("n_shingles").alias("n"), "bands", "bins"), "reps")
+    reps = stash(owned.where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", F.col("n_shingles").alias("n"), "bands", "bins", "marks"), "reps")
     unstash(classes)
     buckets = stash(reps.select(F.explode("bands").alias("bucket"), "id", "n").distinct(), "buckets")
     heads = buckets.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("x"), F.count("*").alias("rows")).where("rows > 1")
@@ -240,7 +242,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     met = shared.where((F.col("id") != F.col("head")) & _alike_in_size("n", "head_n", percent)).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     links = _linked(met, bins, texts, percent)
     torn = _torn(shared, components(links.unionByName(members.select("a", "b"))))
-    links = links.unionByName(_linked(_small_rest(torn, percent), bins, texts, percent))
+    links = links.unionByName(_linked(_small_rest(torn, reps.select("id", "marks"), percent), bins, texts, percent))
     parts = components(links.unionByName(members.select("a", "b")))
     rest = _torn(shared, parts).where(F.col("rows") > SMALL).select("main", "id", "c").distinct()
     rest = stash(rest, "rest", narrow=True)
@@ -268,11 +270,19 @@ def _torn(shared: DataFrame, parts: DataFrame) -> DataFrame:
     return stash(placed.join(torn.drop("parts"), "bucket"), "torn", narrow=True)
 
 
-def _small_rest(torn: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of small buckets in different components; one is outside the largest component. At most SMALL for each member."""
-    few = torn.where(F.col("rows") <= SMALL)
-    outside = few.where("c <> main").select("bucket", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"))
-    return few.join(outside, "bucket").where((F.col("c") != F.col("oc")) & _alike_in_size("n", "m", percent)).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+def _small_rest(torn: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of small buckets in different components that can be linked; one is outside the largest component.
+
+    At most SMALL for each member meet. Each bin that only one of two sets has anything in is a difference between them, and linked
+    sets differ in at most (100 - percent) / (100 + percent) of their sizes' sum.
+    """
+    words = BINS // 64
+    few = torn.where(F.col("rows") <= SMALL).select("bucket", "id", "n", "c", "main").join(marks, "id")
+    few = few.select("bucket", "id", "n", "c", "main", *[F.col("marks")[i].alias(f"x{i}") for i in range(words)])
+    outside = few.where("c <> main").select("bucket", F.col("id").alias("o"), F.col("c").alias("oc"), F.col("n").alias("m"), *[F.col(f"x{i}").alias(f"y{i}") for i in range(words)])
+    differ = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(words)), F.lit(0))
+    possible = (F.col("c") != F.col("oc")) & _alike_in_size("n", "m", percent) & ((100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("m")))
+    return few.join(outside, "bucket").where(possible).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
 def _large_rest(rest: DataFrame, bins: DataFrame, percent: int) -> DataFrame:

@@ -1,8 +1,10 @@
 """Each operator on nulls, empty and long texts, repeated rows, empty tables and clashing columns, and against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -18,6 +20,24 @@ sha = lambda s: hashlib.sha256(s if isinstance(s, bytes) else s.encode()).hexdig
 # ---- vectors
 
 
+def test_ann_hit_rate_with_a_short_list_of_few_rows(spark):
+    """12,000 vectors around 300 centres; the 200 that are ranked again are 1.7 % of them."""
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 24))[rng.integers(0, 300, 12_000)] + 0.5 * rng.standard_normal((12_000, 24))
+    e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(e, e.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], {})[r["vec_id"]] = r["score"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, found in got.items():
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(np.argsort(-s)[:5].tolist()) & found.keys())
+        assert len(found) == 5 and all(abs(s[i] - v) < 1e-9 for i, v in found.items())
+    assert len(got) == 120 and hits >= 0.95 * 600
+
+
 def test_ann_hit_rate_ties_and_unusable_vectors(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 24))
@@ -246,9 +266,11 @@ def test_minhash_bound_rejects_no_link():
     for _ in range(200):
         x = {r.getrandbits(64) for _ in range(r.choice([1, 5, 100, 3000]))}
         y = set(r.sample(sorted(x), r.randint(0, len(x)))) | {r.getrandbits(64) for _ in range(r.choice([1, 5, 100]))}
-        a, b = (np.frombuffer(minhash.histogram(np.array(sorted(z), np.uint64)), np.uint8).astype(int) for z in (x, y))
+        (a, p), (b, q) = (minhash.histogram(np.array(sorted(z), np.uint64)) for z in (x, y))
+        a, b = (np.frombuffer(c, np.uint8).astype(int) for c in (a, b))
         assert np.minimum(a, b).sum() >= len(x & y)
-    assert minhash.histogram(np.zeros(300, np.uint64)) == b""  # more in a bin than a byte tells: no bound
+        assert sum(int(v).bit_count() for v in (p ^ q).view(np.uint64)) <= len(x ^ y)
+    assert minhash.histogram(np.zeros(300, np.uint64))[0] == b""  # more in a bin than a byte tells: no bound
 
 
 def test_minhash_edges(edge, none):
@@ -418,6 +440,57 @@ def test_common_windows():
 # ---- language
 
 
+def plain_predict(model, text):
+    """The nearest centroid by cosine, in plain Python."""
+    n = language.gram_counts(text)
+    v = [math.log1p(n[b]) * float(model.idf[b]) for b in range(language.BUCKETS)]
+    norm = math.sqrt(sum(a * a for a in v))
+    cos = [sum(a * float(b) for a, b in zip(v, c, strict=True) if a) / norm for c in model.centroids]
+    best = max(range(len(cos)), key=lambda i: (round(cos[i], 6), -i))
+    return model.languages[model.owner[best]], cos[best]
+
+
+def test_language_is_judged_on_held_out_rows(spark):
+    """Learned only from rows whose crc32 modulo 4 isn't 2 and that have a language; the others, and texts that fool a cut, are predicted as well."""
+    r = random.Random(31)
+    lex = {"xx": ["ka", "ro", "mi", "tu"], "yy": ["sch", "en", "ung", "ei"], "zz": ["ção", "lh", "ar", "os"]}
+    made = lambda k, n: " ".join("".join(r.choice(lex[k]) for _ in range(r.randint(1, 4))) for _ in range(n))
+    rows = [(i, made(k, r.randint(8, 80)), k) for i in range(400) for k in [r.choice(list(lex))]]
+    # held-out rows carry a wrong language: whoever learned from them would fail
+    wrong = {"xx": "yy", "yy": "zz", "zz": "xx"}
+    is_held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    told = [(i, t, wrong[k] if is_held(i) else k) for i, t, k in rows]
+    # long texts whose language shows after 9,000 characters only
+    told += [(1000 + i, ". " * 5000 + made("yy", 400), "yy") for i in range(3)] + [(None, "ka ro mi", "xx"), (2000, "ka ro", None)]
+    d = spark.createDataFrame(told, "doc_id long, text string, lang string")
+    model = language.fit_model(d)
+    got = {x["doc_id"]: x for x in language.identify(d, model).collect()}
+    held = [(i, k) for i, _, k in rows if is_held(i)]
+    assert len(held) > 60 and sum(got[i]["lang_pred"] == k for i, k in held) >= 0.98 * len(held)
+    assert all(got[1000 + i]["lang_pred"] == "yy" for i in range(3))
+    for i, t, _ in rows[:12]:
+        lang, score = plain_predict(model, t)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-5
+    # one centroid of the model is the mean of the unit vectors that are nearest to it
+    fitted = [(t, k) for i, t, k in told if i is not None and k is not None and not is_held(i)]
+    x = {k: np.stack([language.weighted(language.gram_counts(t), model.idf) for t, c in fitted if c == k]) for k in lex}
+    for i, k in enumerate(model.languages):
+        own = model.centroids[model.owner == i]
+        near = (x[k] @ own.T).argmax(1)
+        for j in range(len(own)):
+            if (near == j).any():
+                c = x[k][near == j].sum(0)
+                assert own[j] @ c / np.linalg.norm(c) > 0.98
+
+
+def test_language_query_never_leaves_held_out_null(spark, tmp_path):
+    rows = [(1, "ka ro mi", "xx"), (None, "ka ro", "xx"), (None, None, None), (4, "", "xx")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = language.op9_language(spark, str(tmp_path)).collect()
+    assert len(out) == 4 and all(x["held_out"] is not None for x in out)
+    assert {x["lang_pred"] for x in out if x["doc_id"] == 4} == {"und"}
+
+
 def test_language_accuracy_and_edges(spark, edge, none):
     r = random.Random(3)
     lex = {"xx": ["ka", "ro", "mi", "tu"], "yy": ["sch", "en", "ung", "ei"], "zz": ["ção", "lh", "ar", "os"]}
