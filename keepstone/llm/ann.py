@@ -123,7 +123,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     Queries are taken in blocks of ``block``; each is broadcast and meets all codes, of
     which a worker keeps the ``shortlist`` best distinct vectors and the k + 1 smallest ids of each
     (equal vectors have equal codes and scores, so no result can lie among the other copies).
-    Repeated ids are rows of their own. With fewer candidates than k all are returned.
+    Repeated ids are rows of their own; a repeated query id is asked with the smallest of its vectors. With fewer candidates than k
+    all are returned. Scoring is exhaustive: each block of queries takes one pass over all codes (BOOKS bytes a row and a norm).
     """
     spark = vectors.sparkSession
     setup(spark)
@@ -149,7 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
             yield record_batch(schema, {"id": b.column(0), "v": b.column(1), "code": [c.tobytes() for c in codes], "norm": norm})
 
     coded = stash(every.where(F.size("v") == dim).mapInArrow(encode, "id long, v array<double>, code binary, norm float"), "coded")
-    asked = stash(usable(queries, id_col, vec_col).where(F.size("v") == dim).dropDuplicates(["id"]).select("id", "v", F.floor(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / 1).alias("h")), "asked", narrow=True)
+    asked = stash(usable(queries, id_col, vec_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")), "asked", narrow=True)
     n_blocks = max(1, -(-asked.count() // block))
     parts = []
     for i in range(n_blocks):
@@ -202,7 +203,7 @@ def _block(coded: DataFrame, one, shared, k: int, shortlist: int) -> DataFrame:
             ok = best_s[j] > -np.inf
             yield record_batch(schema, {"query_id": np.full(int(ok.sum()), q_ids[j]), "vec_id": best_i[j][ok], "h": best_h[j][ok], "s": best_s[j][ok]})
 
-    near = coded.select("id", F.xxhash64("v").alias("h"), "code", "norm").mapInArrow(scan, "query_id long, vec_id long, h long, s float")
+    near = stash(coded.select("id", F.xxhash64("v").alias("h"), "code", "norm").mapInArrow(scan, "query_id long, vec_id long, h long, s float"), "near", narrow=True)  # codes are scanned once
     # the shortlist over all workers: distinct vectors by score; a worker has sent at most shortlist x (k + 1) rows for a query
     heads = near.groupBy("query_id", "h").agg(F.max("s").alias("s"))
     chosen = heads.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "h"))).where(F.col("r") <= shortlist).select("query_id", "h")
