@@ -210,3 +210,91 @@ VERB_SYNONYMS = {
     "adopted": ["took in", "got", "welcomed"],
     "named": ["called", "known as", "goes by"],
 }
+
+# Retrieval signals: weights of the graph, of dates and of events, candidates for each result that is wanted, and what is reranked.
+WEIGHT_GRAPH, WEIGHT_TEMPORAL, WEIGHT_EVENTS = 0.0, 0.3, 0.0
+CANDIDATES, RERANK_TOP, RERANK_WEIGHT, DECAY_WEIGHT = 5, 30, 0.3, 0.1
+
+# Writing: similarities from which a text is a duplicate, may contradict, and is consolidated; confidence from which a contradicted text is superseded.
+DUPLICATE_AT, CONTRADICTION_AT, CONSOLIDATE_AT, SUPERSEDE_ABOVE = 0.92, 0.6, 0.80, 0.5
+CONSOLIDATE_MEMBERS = 3
+
+# Questions of several parts: what joins the parts, tells a time, compares, asks for something about something, and names a period.
+JOINED_BY = r"(?i)\b(and also|and then|as well as|in addition to|along with)\b"
+JOINED_BY_AND = r"(?i)\band\b"
+TIME_MARK = r"(?i)\b(when|while|after|before|during|at the same time as|meanwhile)\b"
+COMPARED = r"(?i)\b(compare|compared|comparison|versus|vs\.?|differ|difference|between)\b"
+ASKED_ABOUT = r"(?i)(?:what|how|why|when|where|did|does|do|has|have|had|is|was|were|are)\b.+?\b([\w]+(?:\s+[\w]+)?)\b.+?\b(?:about|regarding|concerning|on|with)\b\s+(.+?)(?:\?|$)"
+IN_A_PERIOD = (
+    r"(?i)\b(?:in|during|on|at|last|this|next)\s+(january|february|march|april|may|june|july|august|september|october|november|december"
+    r"|monday|tuesday|wednesday|thursday|friday|saturday|sunday|week|month|year|spring|summer|fall|winter|quarter|morning|afternoon|evening|night)\b"
+)
+BETWEEN_TWO = r"(?i)\bbetween\s+(.+?)\s+and\s+(.+?)(?:\?|$)"
+AGAINST = r"(?i)(.+?)\s+(?:vs\.?|versus)\s+(.+?)(?:\?|$)"
+CAPITALISED = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b"
+NO_NAMES = (
+    "what who where when why how the this that which does did has have had was were are tell show give can could would should will do is it my me we our they their please also just"
+).split()
+
+# Calendar questions, in the order in which they are tried: kind, pattern, events that it needs, and whether it answers only if nothing before did.
+CALENDAR_QUESTIONS = [
+    ("duration", r"how many (days|weeks|months)\s+(?:between|from|since|passed)", 2, False),
+    ("ago", r"how (?:many|long)\s+(?:days|weeks|months)\s+ago", 1, False),
+    ("order", r"(which.*first)|(before|after)\s+(my|the|i)|(happened.*first)|(more recent)|(graduated.*first)|(came.*first)|(did.*first)|(became.*first)|(who.*first)|(meet.*first)|(started.*first)", 2, False),
+    ("when", r"when did\s+(?:i|the user)\s+(first|last)", 1, False),
+    ("recent", r"(most recent)|(last time)|(latest)|(did i (?:use|take|visit|go|try|eat|buy|watch|read)\s+.*most)", 1, True),
+    ("list", r"(order of (?:the )?(?:three|3|four|4|two|2))|(earliest to latest)|(first.*second.*third)", 2, True),
+    ("until", r"how long (?:had|have) (?:i|the user) been\s+(.+?)\s+(?:when|before|until|by the time)|how long (?:did|have) (?:i|the user)\s+(?:use|take|wait|work|practice|play|study|train)\s+(.+?)\s+(?:before|until|when)", 2, True),
+    ("spent", r"how many (days|weeks)\s+(?:did|have)\s+(?:i|the user)\s+(?:spend|spent)", 2, True),
+    ("finished", r"how long (?:did (?:i|it)|have i)\s+(?:take|taken)\s+to\s+(?:finish|complete|read)", 2, True),
+    ("weekday", r"last\s+(monday|tuesday|wednesday|thursday|friday|saturday|sunday)", 1, True),
+    ("count", r"how many\s+(.+?)\s+(?:before|prior to|until)", 2, True),
+    ("who", r"who\s+(?:\w+\s+)?(first|second|third|earliest|latest)", 2, True),
+    ("timeline", r"", 1, True),
+]
+# Words with a capital that name nothing in a question.
+CALENDAR_NO_NAMES = "how what when where which who did does the and was are can has have will first last many much".split()
+# What tells a value that may change.
+CALENDAR_VALUES = [
+    r"(?i)\bi\s+(?:work|live|study|teach|moved|switched|changed|started|joined)\s+(?:at|for|in|to|with|as)\s+(.+?)(?:\.|,|$)",
+    r"(?i)\bmy\s+(?:\w+\s+)?(?:is|are|was|were)\s+(.+?)(?:\.|,|$)",
+    r"(?i)\bi\s+(?:use|own|have|drive|bought|got|switched to|upgraded to|now have)\s+(?:a\s+|an\s+|the\s+)?(.+?)(?:\.|,|$)",
+    r"(?i)\bi(?:'m| am)\s+(?:a |an )?(.+?)(?:\.|,|\band\b|$)",
+    r"(?i)\b(?:just|recently|now)\s+(?:got|bought|moved to|started|switched to)\s+(?:a\s+|an\s+|the\s+)?(.+?)(?:\.|,|$)",
+]
+# Days that sentences name: month and day, a year (its middle is meant), so long ago, and holidays by what stands in the sentence.
+SENTENCE_MONTH_DAY = r"(?i)(?:on|in|during)\s+(January|February|March|April|May|June|July|August|September|October|November|December)\s+(\d{1,2})(?:st|nd|rd|th)?"
+SENTENCE_YEAR = r"\bin (20\d{2})\b"
+SENTENCE_AGO = r"(?i)(\d+)\s+(days?|weeks?|months?)\s+ago"
+SENTENCE_HOLIDAYS = [("valentine", (2, 14), "Valentine's day"), ("christmas", (12, 25), "Christmas"), ("new year", (1, 1), "New Year's"), ("halloween", (10, 31), "Halloween"), ("thanksgiving", None, "Thanksgiving"), ("independence day", (7, 4), "Independence Day"), ("fourth of july", (7, 4), "Independence Day"), ("4th of july", (7, 4), "Independence Day")]
+
+# Sessions: what sentences are about, by what stands in them, in the order in which it is looked for; else they tell what was learned.
+SESSION_CATEGORIES = {
+    "investigated": "found discovered investigated explored searched analyzed looked".split(),
+    "learned": "learned understood realized noted observed".split(),
+    "completed": "completed finished fixed created implemented built added resolved".split(),
+    "next_steps": ["todo", "next", "should", "need to", "will", "plan"],
+}
+
+# Observations: counts, changes, what users do, and times.
+OBSERVED_COUNT = r"(?i)(?:now |total |has tried |tried |have |has |owns? )(\d+)\s+(.+?)(?:\.|,|$)"
+OBSERVED_CHANGE = r"(?i)(?:changed|switched|moved|upgraded|went)\s+from\s+(.+?)\s+to\s+(.+?)(?:\.|,|$)"
+OBSERVED_USER = r"(?i)user\s+(?:uses?|prefers?|owns?|has|likes?|works? at|lives? in)\s+(?:a |an |the )?(.+?)(?:\.|,|;|$)"
+OBSERVED_TIME = r"(?i)(last (?:Saturday|Sunday|Monday|Tuesday|Wednesday|Thursday|Friday)|last (?:week|month|weekend)|\d+ (?:days?|weeks?|months?) ago|yesterday|Valentine|Christmas|two weeks ago|a couple of days ago)"
+
+# Activity: languages by extension, folders that a project lies in, beside or under, and folders that are no component.
+PROJECT_PARENTS, PROJECT_INSIDES, PROJECT_HOMES = ["src", "lib", "app", "packages", "projects"], ["node_modules", ".git", "__pycache__", "venv", ".venv"], ["home", "Users", "dev"]
+NO_COMPONENTS = ["src", "lib", "app", "test", "tests", "__pycache__", "node_modules"]
+MAIN_BRANCHES = ["main", "master", "develop"]
+
+# Contexts of embedded texts: words that are no topics, beside the stop words.
+NO_TOPICS = (
+    "also just like would could should might will shall may much many make made get got going goes went come came take took give gave say said tell told ask asked know knew think "
+    "thought want wanted need needed use used try tried thing things way ways time times right good well new first last long great little own old big high different small large next "
+    "early young important sure really actually yes see seen look looked let help helped keep kept still something nothing everything anything someone everyone anyone here there now then "
+    "today yesterday tomorrow user assistant"
+).split()
+LANGUAGES = {
+    "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java", "c": "c", "cpp": "c++", "h": "c", "jsx": "react", "tsx": "react typescript",
+    "vue": "vue", "rb": "ruby", "md": "documentation", "yaml": "configuration", "json": "configuration", "toml": "configuration",
+}

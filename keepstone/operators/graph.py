@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keepstone.functions import constants as K
+from keepstone.operators.store import stash
 
 
 def _u(p: str) -> str:
@@ -128,28 +129,26 @@ def components(nodes: DataFrame, edges: DataFrame, stash) -> DataFrame:
             return labels
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: list[str]) -> DataFrame:
-    """Pairs (a, b) within a block whose vectors (id, embedding) have a dot product of at least the threshold."""
-    from keepstone.operators.retrieval import dot
-
-    x = vectors.select(F.col("id").alias("a"), F.col("embedding").alias("va"), *block)
-    y = vectors.select(F.col("id").alias("b"), F.col("embedding").alias("vb"), *block)
-    return x.join(y, block).where("a < b").where(dot("va", "vb") >= threshold).select("a", "b")
-
-
 def jaccard_pairs(terms: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) of (id, terms) with a Jaccard similarity of at least the threshold.
 
-    Exact by prefixes: in the order of frequency, two sets that are similar enough share one of their
-    first terms, so frequent terms make no pairs.
+    Equal sets are one class: its members are paired with the smallest id, and only that one meets others. Exact by
+    prefixes: in the order of frequency, two sets that are similar enough share one of their first terms,
+    and its places leave room for enough others.
     """
-    t = terms.select("id", F.size("terms").alias("n"), F.explode("terms").alias("w"))
+    kept = stash(terms.select("id", F.array_sort("terms").alias("terms")).withColumn("k", F.md5(F.array_join("terms", " "))), "terms")
+    reps = stash(kept.groupBy("k").agg(F.min("id").alias("a"), F.min_by("terms", "id").alias("terms")), "classes")
+    members = kept.where("size(terms) > 0").select("id", "k").join(reps.select("k", "a"), "k").where("id <> a").select("a", F.col("id").alias("b"))
+    t = reps.select(F.col("a").alias("id"), F.size("terms").alias("n"), F.explode("terms").alias("w"))
     df = t.groupBy("w").agg(F.count("*").alias("f"))
     order = Window.partitionBy("id").orderBy("f", "w")
-    p = t.join(df, "w").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
-    x = p.select(F.col("id").alias("a"), F.col("n").alias("na"), "w")
-    y = p.select(F.col("id").alias("b"), F.col("n").alias("nb"), "w")
-    pairs = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    ta, tb = terms.select(F.col("id").alias("a"), F.col("terms").alias("ta")), terms.select(F.col("id").alias("b"), F.col("terms").alias("tb"))
-    j = F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))
-    return pairs.join(ta, "a").join(tb, "b").where(j >= threshold).select("a", "b")
+    p = stash(t.join(df, "w").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1).select("id", "n", "w", "r"), "prefixes")
+    x = p.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"), "w")
+    y = p.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"), "w")
+    room = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + F.least("ra", "rb")  # what the two can share with this term
+    enough = room >= threshold / (1 + threshold) * (F.col("na") + F.col("nb")) - 1e-9
+    pairs = x.join(y, "w").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & enough).select("a", "b").distinct()
+    ta, tb = reps.select("a", F.col("terms").alias("ta")), reps.select(F.col("a").alias("b"), F.col("terms").alias("tb"))
+    shared = F.size(F.array_intersect("ta", "tb"))
+    j = shared / (F.size("ta") + F.size("tb") - shared)
+    return pairs.join(ta, "a").join(tb, "b").where(j >= threshold).select("a", "b").unionByName(members)

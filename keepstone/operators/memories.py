@@ -98,7 +98,11 @@ def ingest(raw: DataFrame, now: Column) -> DataFrame:
 
 
 def budget_prefix(ranked: DataFrame, budget: int, tokens: str = "tokens", order: str = "rank", partition: list[str] | None = None, admit_first: bool = False) -> DataFrame:
-    """Rows in order until one would exceed the budget; with admit_first the first always stays."""
+    """Rows in order until one would exceed the budget; with admit_first the first always stays.
+
+    Ranks begin at 1 and each row costs a token at least, so without ``partition`` no more than ``budget`` rows (and the first) are looked at.
+    """
+    ranked = ranked if partition else ranked.where(F.col(order) <= max(budget, 1))
     w = Window.partitionBy(*(partition or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     d = ranked.withColumn("_used", F.sum(tokens).over(w))
     fits = F.col("_used") <= budget

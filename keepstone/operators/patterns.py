@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keepstone.operators.ordered import placed, previous
+
 # Groups of keywords; fixed values.
 TECH_GROUPS = {
     "frontend": ["react", "vue", "angular", "svelte", "nextjs", "css", "html", "tailwind"],
@@ -45,12 +47,16 @@ def mentions(rows: DataFrame, groups: dict[str, list[str]] | None = None) -> Dat
 
 
 def switches(mentioned: DataFrame) -> DataFrame:
-    """grp, mentions, switches between neighbouring keywords in time, mean_gap in days between switches; two switches at least."""
-    w = Window.partitionBy("grp").orderBy("ts", "id", "pos")
-    d = mentioned.withColumn("sw", F.coalesce((F.lag("keyword").over(w) != F.col("keyword")).cast("int"), F.lit(0)))
+    """grp, mentions, switches between neighbouring keywords in time, mean_gap in days between switches; two switches at least.
+
+    Neighbours are found in one order over all partitions, so that a group's mentions needn't lie in one task.
+    """
+    rows = mentioned.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select("grp", "us", "id", "pos", "keyword")
+    d = previous(placed(rows, ["grp", "us", "id", "pos"]), ["grp", "keyword"])
+    d = d.withColumn("sw", F.coalesce(((F.col("last.grp") == F.col("grp")) & (F.col("last.keyword") != F.col("keyword"))).cast("int"), F.lit(0)))
     n = d.groupBy("grp").agg(F.count("*").alias("mentions"), F.sum("sw").alias("switches"))
-    at = d.where("sw = 1").select("grp", "ts", "id", "pos")
-    gap = at.withColumn("gap", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 86_400_000_000)).groupBy("grp").agg(F.avg("gap").alias("mean_gap"))
+    at = previous(placed(d.where("sw = 1").select("grp", "us", "id", "pos"), ["grp", "us", "id", "pos"]), ["grp", "us"])
+    gap = at.where(F.col("last.grp") == F.col("grp")).groupBy("grp").agg(F.avg(F.floor((F.col("us") - F.col("last.us")) / 86_400_000_000)).alias("mean_gap"))
     return n.where("mentions >= 4 AND switches >= 2").join(gap, "grp", "left")
 
 
@@ -62,14 +68,9 @@ def trends(mentioned: DataFrame, halves: DataFrame, least: int = 3, change: floa
 
 
 def halves(rows: DataFrame) -> DataFrame:
-    """id and late: whether a row is in the later half by (ts, id). The middle is a quantile of one number for each row."""
-    t = F.unix_micros(F.col("ts").cast("timestamp"))
-    n = rows.count()
-    order = rows.select("id", t.alias("t"))
-    bound = order.orderBy("t", "id").offset(n // 2).limit(1).first() if n else None
-    if bound is None:
-        return order.select("id", F.lit(False).alias("late"))
-    return order.select("id", ((F.col("t") > bound["t"]) | ((F.col("t") == bound["t"]) & (F.col("id") >= bound["id"]))).alias("late"))
+    """id and late: whether a row is in the later half by (ts, id)."""
+    d = placed(rows.select("id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")), ["t", "id"])
+    return d.select("id", (F.col("place") >= rows.count() // 2).alias("late"))
 
 
 def co_occurrence(topics: DataFrame, window: int = 5) -> DataFrame:

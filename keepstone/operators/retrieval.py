@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from keepstone.functions import constants as K
 from keepstone.functions import scoring as S
 from keepstone.functions import text as T
 
+#: Queries that are sent to the workers at once.
+QUERY_BLOCK = 2_048
+
 
 def postings(texts: DataFrame) -> DataFrame:
     """term, id, tf and length of the text in terms, for (id, text); written once it serves many queries."""
@@ -43,11 +48,85 @@ def vector_top(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("id", dot("embedding", q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def vector_top_by(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same for a bounded table of queries (qid, q)."""
-    pairs = vectors.crossJoin(F.broadcast(queries)).select("qid", "id", dot("embedding", "q").alias("score"))
+def vector_top_by(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """qid, id, score and rank of the k best rows of (id, embedding) for each row of (qid, q); ties to the smaller id.
+
+    Queries are taken in blocks, which are sent to the workers; a worker multiplies batches with a
+    block and keeps k rows for each query, so only workers x k rows a query are shuffled.
+    """
+    spark = vectors.sparkSession
+    asked = queries.select("qid", F.col("q").cast("array<double>").alias("q"), F.pmod(F.xxhash64("qid"), F.lit(1 << 20)).alias("h"))
+    n_blocks = max(1, -(-asked.count() // block))
+    out = None
+    for i in range(n_blocks):
+        one = asked.where(F.pmod("h", F.lit(n_blocks)) == i).toPandas()  # about ``block`` rows
+        if one.empty and out is not None:
+            continue
+        part = vectors.select("id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(_nearest(spark.sparkContext.broadcast((one["qid"].to_numpy(np.int64), np.array(one["q"].tolist(), np.float64))), k), "qid long, id long, score double")
+        out = part if out is None else out.unionByName(part)
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _nearest(shared, k: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, q = shared.value
+        best_s, best_i = np.full((len(qid), k), -np.inf), np.full((len(qid), k), np.iinfo(np.int64).max)
+        for b in parts:
+            if not b.num_rows or not len(qid):
+                continue
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            s = np.concatenate([best_s, q @ v.T], axis=1)
+            ids = np.concatenate([best_i, np.broadcast_to(b.column(0).to_numpy(zero_copy_only=False), (len(qid), b.num_rows))], axis=1)
+            top = np.lexsort((ids, -s), axis=1)[:, :k]
+            best_s, best_i = np.take_along_axis(s, top, 1), np.take_along_axis(ids, top, 1)
+        found = best_s > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, found.sum(1))), pa.array(best_i[found]), pa.array(best_s[found])], ["qid", "id", "score"])
+
+    return run
+
+
+def coverage(texts: DataFrame, items: DataFrame, k: int = 1, block: int = QUERY_BLOCK) -> DataFrame:
+    """item, id, coverage and rank of the k texts that have most of each item's distinct words, for (id, text) and (item, text).
+
+    Items are taken in blocks, whose words are sent to the workers; each counts for a text how
+    many words of which items it has, and keeps k texts for each item. Ties to the smaller id; texts without any of the words count as well.
+    """
+    spark = texts.sparkSession
+    words = items.select("item", F.array_distinct(T.tokenize(F.col("text"))).alias("w"), F.pmod(F.xxhash64("item"), F.lit(1 << 20)).alias("h"))
+    n_blocks = max(1, -(-words.count() // block))
+    out = None
+    for i in range(n_blocks):
+        one = words.where(F.pmod("h", F.lit(n_blocks)) == i).collect()  # about ``block`` rows
+        told = spark.sparkContext.broadcast([(r["item"], list(r["w"])) for r in one])
+        part = texts.select("id", T.tokenize(F.col("text")).alias("t")).mapInArrow(_covering(told, k), "item long, id long, coverage double")
+        out = part if out is None else out.unionByName(part)
+    w = Window.partitionBy("item").orderBy(F.desc("coverage"), "id")
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _covering(told, k: int):
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = told.value
+        having: dict[str, list[int]] = {}
+        for i, (_, words) in enumerate(items):
+            for w in words:
+                having.setdefault(w, []).append(i)
+        known = {w: np.array(v) for w, v in having.items()}
+        size = np.maximum(1, np.array([len(w) for _, w in items], np.float64))
+        best: list[list[tuple[float, int]]] = [[] for _ in items]
+        for b in parts:
+            for doc, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                hits = [known[t] for t in set(terms or ()) if t in known]
+                share = (np.bincount(np.concatenate(hits), minlength=len(items)) if hits else np.zeros(len(items))) / size
+                floor = np.array([x[-1][0] if len(x) == k else -1.0 for x in best]) if items else share
+                for i in np.flatnonzero(share >= floor):
+                    best[i] = sorted([*best[i], (float(share[i]), doc)], key=lambda x: (-x[0], x[1]))[:k]
+        rows = [(items[i][0], doc, s) for i, x in enumerate(best) for s, doc in x]
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["item", "id", "coverage"])
+
+    return run
 
 
 def ranked(scores: DataFrame, signal: str, k: int) -> DataFrame:
@@ -110,7 +189,12 @@ def retrieve(memories: DataFrame, signals: list[DataFrame], weights: dict[str, f
     d = m.join(F.broadcast(fused), "id")  # at most the sum of the signals' limits
     priority = S.adjusted_priority(F.col("priority"), F.col("created_at"), F.col("access_count"), F.col("last_accessed"), F.lit(0.0), now)
     d = d.withColumn("score", boosted(F.col("rrf"), priority, F.col("superseded_by"))).where(F.col("score") >= min_score)
-    d = d.orderBy(F.desc("score"), "id").limit(limit)
+    return finish(d, now, limit, token_budget, decay)
+
+
+def finish(scored: DataFrame, now: Column, limit: int, token_budget: int | None = None, decay: bool = True) -> DataFrame:
+    """The best ``limit`` rows of memories with a score: decayed, ranked, cut to a budget of tokens, with warnings."""
+    d = scored.orderBy(F.desc("score"), "id").limit(limit)
     if decay:
         d = d.withColumn("score", S.decay_boost(F.col("score"), S.activation(F.col("created_at"), F.col("last_accessed"), F.col("access_count"), now)))
     d = d.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).withColumn("tokens", T.estimate_tokens(F.substring("content", 1, 200)))  # limit rows

@@ -136,8 +136,9 @@ def a4(spark: SparkSession, sf: str) -> DataFrame:
     return G.statistics(raw_edges(spark, sf))
 
 
-_WALK = f"""{EDGES_SQL},
-f0 AS (SELECT 'u1' AS node, 1.0 AS boost UNION ALL SELECT 'u2', 2.0),
+#: A walk from two entities; a fifth of an entity's mentions is what it counts, 2 at most.
+WALK_SQL = f"""{EDGES_SQL},
+f0 AS (SELECT n AS node, least(count(*) / 5.0, 2.0) AS boost FROM (SELECT source AS n FROM edges0 UNION ALL SELECT target FROM edges0) WHERE n IN ('u1', 'u2') GROUP BY n),
 r0 AS (SELECT b.*, boost FROM f0 JOIN bw b USING (node)),
 f1 AS (SELECT other AS node, max(boost) * 0.5 AS boost FROM r0 WHERE other NOT IN (SELECT node FROM f0) GROUP BY other),
 r1 AS (SELECT b.*, boost FROM f1 JOIN bw b USING (node)),
@@ -146,13 +147,17 @@ r2 AS (SELECT b.*, boost FROM f2 JOIN bw b USING (node)),
 sc AS (SELECT memory_id, weight * boost AS s FROM r0 UNION ALL SELECT memory_id, weight * boost / 2 FROM r1 UNION ALL SELECT memory_id, weight * boost / 3 FROM r2)"""
 
 
-@query("r3_graph_walk", f"WITH {_WALK} SELECT memory_id, round(max(s), 9) AS score FROM sc GROUP BY memory_id")
+@query("r3_graph_walk", f"WITH {WALK_SQL} SELECT memory_id, round(max(s), 9) AS score FROM sc GROUP BY memory_id")
 def r3(spark: SparkSession, sf: str) -> DataFrame:
-    seeds = spark.createDataFrame([("u1", 1.0), ("u2", 2.0)], "node string, boost double")
-    return G.walk(edges(spark, sf), seeds, 2).select("memory_id", F.round("score", 9).alias("score"))
+    """From a question's text: the entities that it names are where the walk begins."""
+    from keepstone.operators.search import graph_scores
 
+    names = G.both_ways(raw_edges(spark, sf)).groupBy(F.col("node").alias("name")).agg(F.count("*").alias("mentions"))
+    out = graph_scores('what is known of "u1" and "u2"?', names, edges(spark, sf))
+    return out.select(F.col("id").alias("memory_id"), F.round("score", 9).alias("score"))
 
-@query("j15_hops", f"WITH {_WALK} SELECT node, 0 AS hop FROM f0 UNION ALL SELECT node, 1 FROM f1 UNION ALL SELECT node, 2 FROM f2")
+
+@query("j15_hops", f"WITH {WALK_SQL} SELECT node, 0 AS hop FROM f0 UNION ALL SELECT node, 1 FROM f1 UNION ALL SELECT node, 2 FROM f2")
 def j15(spark: SparkSession, sf: str) -> DataFrame:
     e = G.both_ways(G.active(edges(spark, sf))).select("node", "other").distinct()
     zero = spark.createDataFrame([("u1", 0), ("u2", 0)], "node string, hop int")
@@ -175,57 +180,15 @@ def p4(spark: SparkSession, sf: str) -> DataFrame:
     return raw_edges(spark, sf).join(gone, "memory_id", "left_anti").select("edge_id")
 
 
-#: Random unit vectors have no pairs near the usual 0.80 and 0.92.
-SIMILAR = 0.4
-_PAIRS = f"vec AS (SELECT e.vec_id AS id, CAST(e.embedding AS DOUBLE[]) AS v, d.lang AS ns FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id), pairs AS (SELECT x.id AS a, y.id AS b FROM vec x JOIN vec y ON x.ns = y.ns AND x.id < y.id WHERE list_dot_product(x.v, y.v) >= {SIMILAR})"
-
-
-def spaced(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("ns"))
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(d, "id")
-
-
-@query("j10_similar_pairs", f"WITH {_PAIRS} SELECT a, b FROM pairs")
-def j10(spark: SparkSession, sf: str) -> DataFrame:
-    return G.similar_pairs(spaced(spark, sf), SIMILAR, ["ns"])
-
-
-_CLUSTERS = f"WITH RECURSIVE {_PAIRS}, bidi AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT id AS a, id AS b FROM vec UNION SELECT r.a, l.b FROM reach r JOIN bidi l ON r.b = l.a), lab AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a), big AS (SELECT cluster FROM lab GROUP BY cluster HAVING count(*) >= 3)"
-
+TERMS_SQL = f"kt AS (SELECT doc_id AS id, {key_terms_sql('text')} AS t FROM documents), kc AS (SELECT t, min(id) AS id FROM kt GROUP BY t), ex AS (SELECT id, unnest(t) AS w FROM kc), sh AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM ex x JOIN ex y ON x.w = y.w AND x.id < y.id GROUP BY x.id, y.id), jp AS (SELECT a, b FROM sh JOIN kc p ON p.id = a JOIN kc q ON q.id = b WHERE k / (len(p.t) + len(q.t) - k) >= 0.6 UNION ALL SELECT kc.id, kt.id FROM kt JOIN kc ON kt.t = kc.t WHERE kt.id <> kc.id AND len(kt.t) > 0)"
 
-@query("d6_clusters", _CLUSTERS + " SELECT id, cluster FROM lab WHERE cluster IN (SELECT cluster FROM big)")
-def d6(spark: SparkSession, sf: str) -> DataFrame:
-    v = spaced(spark, sf)
-    keep = partial(stash, name="clusters")
-    labels = G.components(v.select(F.col("id").alias("node")), keep(G.similar_pairs(v, SIMILAR, ["ns"])), keep)
-    big = labels.groupBy("label").agg(F.count("*").alias("n")).where("n >= 3").select("label")
-    return labels.join(big, "label").select(F.col("node").alias("id"), F.col("label").alias("cluster"))
 
-
-@query("d2_dedup_merge", f"WITH {_PAIRS} SELECT b AS id, min(a) AS merged_into FROM pairs GROUP BY b")
-def d2(spark: SparkSession, sf: str) -> DataFrame:
-    return G.similar_pairs(spaced(spark, sf), SIMILAR, ["ns"]).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("merged_into"))
-
-
-_TERMS = f"kt AS (SELECT doc_id AS id, {key_terms_sql('text')} AS t FROM documents), ex AS (SELECT id, unnest(t) AS w FROM kt), sh AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM ex x JOIN ex y ON x.w = y.w AND x.id < y.id GROUP BY x.id, y.id), jp AS (SELECT a, b FROM sh JOIN kt p ON p.id = a JOIN kt q ON q.id = b WHERE k / (len(p.t) + len(q.t) - k) >= 0.6)"
-
-
-@query("j11_jaccard_pairs", f"WITH {_TERMS} SELECT a, b FROM jp")
+@query("j11_jaccard_pairs", f"WITH {TERMS_SQL} SELECT a, b FROM jp")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.key_terms(F.col("text")).alias("terms"))
     return G.jaccard_pairs(t, 0.6)
 
 
-@query("d13_reflection", f"WITH RECURSIVE {_TERMS}, bidi AS (SELECT a, b FROM jp UNION SELECT b, a FROM jp), reach AS (SELECT id AS a, id AS b FROM kt UNION SELECT r.a, l.b FROM reach r JOIN bidi l ON r.b = l.a), lab AS (SELECT a AS id, min(b) AS grp FROM reach GROUP BY a), n AS (SELECT grp, count(*) AS n, max(id) AS newest FROM lab GROUP BY grp) SELECT id, id <> newest AS superseded, n >= 3 AS merged FROM lab JOIN n USING (grp) WHERE n >= 2")
-def d13(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of similar facts: all but the newest are superseded; groups of three make a summary."""
-    t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.key_terms(F.col("text")).alias("terms"))
-    keep = partial(stash, name="reflection")
-    labels = G.components(t.select(F.col("id").alias("node")), keep(G.jaccard_pairs(t, 0.6)), keep)
-    n = labels.groupBy("label").agg(F.count("*").alias("n"), F.max("node").alias("newest")).where("n >= 2")
-    return labels.join(n, "label").select(F.col("node").alias("id"), (F.col("node") != F.col("newest")).alias("superseded"), (F.col("n") >= 3).alias("merged"))
-
-
 @query("j9_entity_semijoin", f"WITH {EDGES_SQL} , {MEMORIES_SQL.strip()} SELECT id FROM memories WHERE id IN (SELECT memory_id FROM edges0 WHERE source = 'u9' OR target = 'u9')")
 def j9(spark: SparkSession, sf: str) -> DataFrame:
     linked = raw_edges(spark, sf).where("source = 'u9' OR target = 'u9'").select(F.col("memory_id").alias("id"))

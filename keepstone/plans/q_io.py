@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keepstone.operators.store import shared_dir
 from keepstone.operators.summaries import summaries
-from keepstone.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, texts
+from keepstone.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, sql_text, texts
 from keepstone.plans.q_text import SUMMARY_SQL
 from keepstone.plans.registry import query
 from keepstone.session import table
@@ -32,17 +32,57 @@ def s15(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("page_id", "title", F.md5("content").alias("content_md5"))
 
 
-@query("s23_interesting_commands", "SELECT event_id, event_type || ' -a -b ' || value AS command FROM events")
+#: Commands, and whether they are worth keeping.
+_COMMANDS = [
+    ("ls", False), ("ls -l", False), ("ls -l -a", True), ("/usr/bin/ls docs", False), ("cat a.txt | wc", True), ("cat < a.txt", True), ("echo hi > f", True), ("git push", True),
+    ("vim", False), ("make", False), ("export A=1", False), ("source env.sh", False), ("which python", False), ("whoami  ", False), ("   ", False), ("pytest -q", True), ("pwd --x -y", True), ("top -n 1", True),
+]
+
+
+@query(
+    "s23_interesting_commands",
+    "SELECT command FROM (VALUES " + ", ".join(f"({sql_text(c)})" for c, ok in _COMMANDS if ok) + ") t(command) UNION ALL SELECT c FROM (SELECT CASE event_id % 3 WHEN 0 THEN 'ls ' || event_type WHEN 1 THEN '/bin/cat ' || event_type || ' -n -v' ELSE 'git ' || event_type END AS c, event_id FROM events) WHERE event_id % 3 <> 0",
+)
 def s23(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").select("event_id", F.concat("event_type", F.lit(" -a -b "), F.col("value").cast("string")).alias("command"))
-    return e.where(I.interesting_command(F.col("command")))
+    n = F.col("event_id") % 3
+    made = F.when(n == 0, F.concat(F.lit("ls "), "event_type")).when(n == 1, F.concat(F.lit("/bin/cat "), "event_type", F.lit(" -n -v"))).otherwise(F.concat(F.lit("git "), "event_type"))
+    told = spark.createDataFrame([(c,) for c, _ in _COMMANDS], "command string")
+    return told.unionByName(table(spark, sf, "events").select(made.alias("command"))).where(I.interesting_command(F.col("command")))
+
+
+@query("x10_compressed", "SELECT doc_id AS id, md5(text) AS content_md5, octet_length(encode(text)) > 400 AS smaller FROM documents")
+def x10(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts as zstd bytes, which are smaller for all but short ones, and what they expand to."""
+    d = table(spark, sf, "documents").select("doc_id", "text", I.compressed("text").alias("z"))
+    smaller = (F.octet_length("text") > 400) & (F.octet_length("z") < F.octet_length("text"))
+    return d.select(F.col("doc_id").alias("id"), F.md5(I.expanded("z")).alias("content_md5"), smaller.alias("smaller"))
+
 
+@query("k8_obsidian", _M + f", {TEXTS_SQL}, {SUMMARY_SQL} SELECT m.id || '.md' AS name, md5('---' || chr(10) || 'id: ' || m.id || chr(10) || 'tags: [' || array_to_string(tags, ', ') || ']' || chr(10) || 'priority: ' || priority || chr(10) || 'source: ' || source || chr(10) || 'created_at: ' || strftime(created_at, '%Y-%m-%dT%H:%M:%S') || chr(10) || 'l3_abstract: ' || coalesce(s.l3, '') || chr(10) || '---' || chr(10) || chr(10) || content) AS body_md5 FROM memories m LEFT JOIN summary s ON m.id = s.id")
+def k8_obsidian(spark: SparkSession, sf: str) -> DataFrame:
+    m = memories(spark, sf)
+    s = summaries(m.select("id", F.col("content").alias("text"))).select("id", "l3")
+    return X.obsidian(m.join(s, "id")).select("name", F.md5("body").alias("body_md5"))
 
-@query("k4_fine_tuning", f"WITH {TEXTS_SQL}, {SUMMARY_SQL} SELECT t.id FROM texts t LEFT JOIN summary s ON t.id = s.id WHERE coalesce(s.l3, substr(t.text, 1, 200)) <> '' AND t.text <> ''")
+
+@query("k2_json_array", _M + " SELECT id, md5(content) AS content_md5, priority FROM memories")
+def k2(spark: SparkSession, sf: str) -> DataFrame:
+    """Memories written as one JSON array, and its lines read again."""
+    import uuid
+
+    path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    X.json_array(memories(spark, sf), path)
+    back = spark.read.text(path).select(F.from_json(F.regexp_replace("value", "^, ", ""), "id long, content string, priority double").alias("r")).select("r.*").where("id IS NOT NULL")
+    return back.select("id", F.md5("content").alias("content_md5"), "priority")
+
+
+@query("k4_fine_tuning", f"WITH {TEXTS_SQL}, {SUMMARY_SQL} SELECT t.id, md5(coalesce(s.l3, substr(t.text, 1, 200))) AS asked_md5, md5(t.text) AS answered_md5 FROM texts t LEFT JOIN summary s ON t.id = s.id WHERE coalesce(s.l3, substr(t.text, 1, 200)) <> '' AND t.text <> ''")
 def k4(spark: SparkSession, sf: str) -> DataFrame:
     t = texts(spark, sf)
     m = summaries(t).join(t.withColumnRenamed("text", "content"), "id")
-    return X.fine_tuning(m).where(F.get_json_object("line", "$.messages[2].role") == "assistant").select("id")
+    told = X.fine_tuning(m).select("id", F.from_json("line", "messages array<struct<role: string, content: string>>").alias("r"))
+    asked, answered = (F.get("r.messages", i)["content"] for i in (1, 2))
+    return told.select("id", F.md5(F.substring(asked, len(X.INSTRUCTION) + 1, 1 << 30)).alias("asked_md5"), F.md5(answered).alias("answered_md5"))
 
 
 @query("k6_questions_by_tag", f"{_M}, {TEXTS_SQL}, {SUMMARY_SQL}, x AS (SELECT m.id, m.tags[1] AS tag, coalesce(s.l2, []) AS l2 FROM memories m LEFT JOIN summary s ON m.id = s.id) SELECT tag, count(*) AS n, md5(array_to_string(flatten(list(l2 ORDER BY id)), ' ')) AS answer_md5 FROM x GROUP BY tag")
@@ -86,9 +126,22 @@ def s20(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(F.get_json_object("r.record", "$.doc_id").cast("long").alias("id"), F.md5("r.content").alias("content_md5"))
 
 
-@query("st5_derived_queries", "SELECT event_type AS query, count(*) AS n FROM events GROUP BY event_type ORDER BY n DESC, query LIMIT 5")
+#: Activity, and the queries that come of it, written out by hand.
+_ACTIVITY = [
+    (1, "file_modified", "/home/me/src/shop/user_cart/models.py", None, None, None, None),
+    (2, "file_created", "/home/me/src/shop/pay-desk/views.ts", None, None, None, None),
+    (3, "file_modified", "/home/me/notes/plan.txt", None, None, None, None),
+    (4, "git_branch", None, None, "feature/cart-total", None, None),
+    (5, "git_commit", None, "fix", None, None, None),
+    (6, "git_diff", None, None, None, ["a/total_sum.py", "b/x.y"], None),
+    (7, "terminal_command", None, None, None, None, "/usr/bin/pytest -q tests/unit ./run_me.sh /x a {b} fast"),
+    (8, "terminal_command", None, None, None, None, "ls"),
+]
+
+
+@query("st5_derived_queries", "SELECT * FROM (VALUES (1, 'python pay desk user cart shop patterns'), (2, 'notes me patterns'), (3, 'feature cart total'), (4, 'total sum'), (5, 'pytest tests/unit run_me.sh fast')) t(place, query)")
 def st5(spark: SparkSession, sf: str) -> DataFrame:
-    return A.derived_queries(table(spark, sf, "events").select(F.concat(F.lit("src/"), "event_type", F.lit(".py")).alias("subject")))
+    return A.derived_queries(spark.createDataFrame(_ACTIVITY, "seq long, type string, path string, message string, branch string, changed_files array<string>, command string"))
 
 
 @query("st6_ttl_cache", "SELECT user_id AS id, max(event_id) AS newest FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 300 SECOND AND ts <= TIMESTAMP '2024-01-20 00:00:00' + INTERVAL 5 DAY GROUP BY user_id")
@@ -101,19 +154,17 @@ def st6(spark: SparkSession, sf: str) -> DataFrame:
 @query("st_activity_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def st_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The windows of the stream, from one run over what is there."""
+    import uuid
+
     schema = table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf) if not sf.startswith("viewfs") else None
-    if stream is None:
-        out = A.activity_windows(table(spark, sf, "events"))
-    else:
-        import uuid
-
-        name = uuid.uuid4().hex
-        path, state = f"{shared_dir(spark)}/windows-{name}", f"{shared_dir(spark)}/windows-state-{name}"
-        s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-        # complete windows only leave an append stream; an update at the end of all rows gives every one
-        q = A.activity_windows(s).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.parquet(f"{path}/{i}")).start()
-        q.awaitTermination()
-        d = spark.read.option("recursiveFileLookup", "true").parquet(path)
-        out = d.groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
+    # the events lie in a file or in a folder of that name; a pattern takes either
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
+    name = uuid.uuid4().hex
+    path, state = f"{shared_dir(spark)}/windows-{name}", f"{shared_dir(spark)}/windows-state-{name}"
+    s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    # complete windows only leave an append stream; an update at the end of all rows gives every one
+    q = A.activity_windows(s).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.parquet(f"{path}/{i}")).start()
+    q.awaitTermination()
+    d = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    out = d.groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"), F.max_by("total", "batch").alias("total"))
     return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))

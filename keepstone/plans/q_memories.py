@@ -9,6 +9,7 @@ from keepstone.functions import constants as K
 from keepstone.functions import scoring as S
 from keepstone.functions import text as T
 from keepstone.operators import memories as M
+from keepstone.operators.ordered import nth_of_group
 from keepstone.plans.data import MEMORIES_SQL, NOW, hours_after, memories, now, sql_text, stamp, stamp_sql
 from keepstone.plans.registry import query
 from keepstone.session import table
@@ -333,10 +334,9 @@ def a20(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("w12_upper_median", "SELECT event_type, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM events GROUP BY event_type")
 def w12(spark: SparkSession, sf: str) -> DataFrame:
-    """By counting ranks, so that no group's values are gathered."""
-    w = Window.partitionBy("event_type").orderBy("value", "event_id")
-    d = table(spark, sf, "events").select("event_type", "value", F.row_number().over(w).alias("r"), F.count("*").over(Window.partitionBy("event_type")).alias("n"))
-    return d.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("event_type", F.col("value").alias("upper_median"))
+    """By places in one order over all partitions, so that no group's values lie in one task."""
+    e = table(spark, sf, "events").select("event_type", "value", "event_id")
+    return nth_of_group(e, "event_type", ["value", "event_id"], F.floor(F.col("n") / 2)).select("event_type", F.col("value").alias("upper_median"))
 
 
 @query("a7_scoreboard", _W + ", l AS (SELECT m.source, l.quality FROM memories m JOIN labels l ON m.id = l.doc_id) SELECT source, count(*) FILTER (quality = 1) AS wins, count(*) FILTER (quality = 0) AS losses, CASE WHEN count(*) > 0 THEN round(count(*) FILTER (quality = 1) / count(*), 6) ELSE 0.0 END AS ratio FROM l GROUP BY source")

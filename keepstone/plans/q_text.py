@@ -146,27 +146,6 @@ def x18(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("id", F.size("t").alias("n_terms"), F.md5(F.array_join("t", " ")).alias("terms_md5"))
 
 
-_NEG = "[" + ", ".join(map(sql_text, K.NEGATIONS)) + "]"
-_OPPOSED = " OR ".join(f"(list_contains(wa, '{x}') AND list_contains(wb, '{y}')) OR (list_contains(wa, '{y}') AND list_contains(wb, '{x}'))" for x, y in K.OPPOSITES)
-
-
-@query(
-    "x19_contradictions",
-    f"""WITH {TEXTS_SQL}, p AS (
-      SELECT a.id AS a, b.id AS b, a.text AS ta, b.text AS tb, string_split_regex(lower(a.text), '[ \\t\\n\\r\\f]+') AS wa, string_split_regex(lower(b.text), '[ \\t\\n\\r\\f]+') AS wb,
-        {key_terms_sql('a.text')} AS ka, {key_terms_sql('b.text')} AS kb FROM samples a JOIN samples b ON a.id < b.id),
-    o AS (SELECT *, len(list_intersect(ka, kb)) AS o, list_has_any(wa, {_NEG}) AS na, list_has_any(wb, {_NEG}) AS nb FROM p),
-    c AS (SELECT *, CASE WHEN na <> nb AND o >= 3 THEN 0.4 ELSE 0.0 END + CASE WHEN {_OPPOSED} THEN 0.5 ELSE 0.0 END + CASE WHEN trim(ta) <> trim(tb) AND o >= 5 THEN 0.3 ELSE 0.0 END AS c FROM o)
-    SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(least(c, 1.0) AS DOUBLE) AS confidence FROM c WHERE o >= 2 AND c >= 0.3""",
-)
-def x19(spark: SparkSession, sf: str) -> DataFrame:
-    """Sample pairs; five shared terms stand for a similarity above 0.85."""
-    a, b = samples(spark).toDF("a", "ta"), samples(spark).toDF("b", "tb")
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # twenty fixed sentences
-    score = F.when(F.size(F.array_intersect(T.key_terms(F.col("ta")), T.key_terms(F.col("tb")))) >= 5, 0.9).otherwise(0.7)
-    return pairs.select("a", "b", T.contradiction(F.col("ta"), F.col("tb"), score).alias("confidence")).where("confidence IS NOT NULL")
-
-
 @query("f9_private", f"WITH {TEXTS_SQL} SELECT id, md5(trim(regexp_replace(text, '(?s)<private>(.*?)</private>', '', 'g'))) AS stripped_md5, md5(trim(regexp_replace(text, '(?s)<private>(.*?)</private>', '[REDACTED]', 'g'))) AS redacted_md5 FROM texts")
 def f9(spark: SparkSession, sf: str) -> DataFrame:
     return texts(spark, sf).select("id", F.md5(T.strip_private(F.col("text"))).alias("stripped_md5"), F.md5(T.strip_private(F.col("text"), "[REDACTED]")).alias("redacted_md5"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 JSONL_FIELDS = ("id", "content", "l3", "tags", "source", "priority", "namespace", "memory_type", "created_at")
@@ -69,7 +69,47 @@ def write_lines(lines: DataFrame, path: str, column: str = "line") -> None:
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
 
 
+def obsidian(memories: DataFrame) -> DataFrame:
+    """name and body of a note for each memory (with l3): frontmatter of id, tags, priority, source, time and abstract, then the content."""
+    field = lambda name, c: F.concat(F.lit(f"{name}: "), F.coalesce(c, F.lit("")))
+    created = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    fields = [field("id", F.col("id").cast("string")), F.concat(F.lit("tags: ["), F.array_join("tags", ", "), F.lit("]")), field("priority", F.col("priority").cast("string")), field("source", F.col("source")), field("created_at", created), field("l3_abstract", F.col("l3"))]
+    return memories.select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("name"), F.concat_ws("\n", F.lit("---"), *fields, F.lit("---"), F.lit(""), F.col("content")).alias("body"))
+
+
+def write_notes(notes: DataFrame, path: str) -> None:
+    """Each row of (name, body) in a folder of its own, name=..., as text."""
+    notes.select("name", F.col("body").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def json_array(memories: DataFrame, path: str) -> None:
+    """One array of objects in the order of ids: sorted over all partitions and written as lines which, in the order
+    of the files, are the array. Brackets are lines of their own; each object but the first begins with a comma."""
+    have = [c for c in JSONL_FIELDS if c in memories.columns]
+    rows = memories.select("id", F.to_json(F.struct(*have)).alias("j"))
+    first = rows.agg(F.min("id").alias("m")).first()["m"]
+    lines = rows.select(F.lit(1).alias("k"), "id", F.when(F.col("id") == first, F.col("j")).otherwise(F.concat(F.lit(", "), "j")).alias("value"))
+    ends = memories.sparkSession.createDataFrame([(0, "["), (2, "]")], "k int, value string").withColumn("id", F.lit(None).cast(rows.schema["id"].dataType))
+    lines.unionByName(ends).repartitionByRange("k", "id").sortWithinPartitions("k", "id").select("value").write.mode("overwrite").text(path)
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> None:
     """A copy of each table below a folder."""
     for name, d in tables.items():
         d.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def backups(spark: SparkSession, path: str) -> DataFrame:
+    """name, modified and bytes of the tables that were copied below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    name = F.element_at(F.split("path", "/"), -2)
+    return files.groupBy(name.alias("name")).agg(F.max("modificationTime").alias("modified"), F.sum("length").alias("bytes"))
+
+
+def restore(spark: SparkSession, path: str, target: str, names: list[str], safety: str | None = None) -> dict[str, DataFrame]:
+    """Bring copied tables back to a folder, after what is there was copied to ``safety``."""
+    if safety:
+        backup({n: spark.read.parquet(f"{target}/{n}") for n in names}, safety)
+    for n in names:
+        spark.read.parquet(f"{path}/{n}").write.mode("overwrite").parquet(f"{target}/{n}")
+    return {n: spark.read.parquet(f"{target}/{n}") for n in names}

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import csv
+import io
 import json
+import re
 import struct
+import zipfile
 import zlib
 from collections.abc import Iterator
 
@@ -79,22 +84,66 @@ def read_logseq(spark: SparkSession, path: str) -> DataFrame:
     return d.where(F.length("content") >= 5)
 
 
+def _notion_pages(files: DataFrame) -> DataFrame:
+    """Pages of (value): the first heading is the abstract; block ids, empty links and callout marks go; tags come from up to five properties."""
+    lines = F.split(F.trim("value"), r"\r?\n")
+    title = F.coalesce(F.get(F.filter(lines, lambda x: F.startswith(x, F.lit("# "))), 0), F.lit(""))
+    body = F.regexp_replace(F.trim("value"), r"\n[a-f0-9]{32}\n", "\n")
+    body = F.regexp_replace(F.regexp_replace(body, r"\[([^\]]*)\]\(\)", "$1"), "(?m)^[\U0001f4a1\U0001f4cc\u26a0\ufe0f\u2139\U0001f525]\\s*", "")
+    found = F.slice(F.regexp_extract_all(body, F.lit(r"(?m)^\w+:\s*.+$"), F.lit(0)), 1, 5)
+    wanted = F.filter(found, lambda x: F.lower(F.regexp_extract(x, r"^(\w+):", 1)).isin("tags", "category", "type", "status"))
+    tags = F.flatten(F.transform(wanted, lambda x: _cut(F.regexp_replace(x, r"^\w+:\s*", ""))))
+    return files.select(F.trim(F.substring(title, 3, 1 << 30)).alias("l3"), F.trim(body).alias("content"), F.concat(F.array(F.lit("notion")), tags).alias("tags"))
+
+
+def _cut(listed: Column) -> Column:
+    return F.filter(F.transform(F.split(listed, ","), lambda t: F.trim(t)), lambda t: t != "")
+
+
+def _notion_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a database as (fields: array of (key, value)): names head them, tags and categories are tags, others are listed."""
+    some = F.filter("fields", lambda f: F.trim(f["value"]) != "")
+    is_title = lambda f: F.lower(f["key"]).isin("name", "title")
+    is_tag = lambda f: F.lower(f["key"]).isin("tags", "category")
+    titles = F.reverse(F.transform(F.filter(some, is_title), lambda f: F.trim(f["value"])))
+    told = F.transform(F.filter(some, lambda f: ~is_title(f) & ~is_tag(f)), lambda f: F.concat(F.lit("**"), f["key"], F.lit("**: "), F.trim(f["value"])))
+    text = F.array_join(F.concat(F.transform(titles, lambda t: F.concat(F.lit("# "), t)), told), "\n")
+    tags = F.flatten(F.transform(F.filter(some, is_tag), lambda f: _cut(f["value"])))
+    return rows.select(F.coalesce(F.get(titles, 0), F.lit("")).alias("l3"), text.alias("content"), F.concat(F.array(F.lit("notion")), tags).alias("tags"))
+
+
 def read_notion(spark: SparkSession, path: str) -> DataFrame:
-    """Exported pages: the title heads the abstract, ids in hex are taken out of it; contents of 20 characters at least."""
-    t = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    title = F.trim(F.regexp_replace(F.regexp_extract("value", r"\A\s*#\s+(.+)", 1), r"\s+[0-9a-f]{32}$", ""))
-    body = F.trim(F.regexp_replace(F.regexp_replace("value", r"\A\s*#\s+.+", ""), r"\n{3,}", "\n\n"))
-    tags = F.filter(F.transform(F.split(F.regexp_extract("value", r"(?m)^Tags:[ \t]*(.*)$", 1), ","), lambda x: F.lower(F.regexp_replace(F.trim(x), r"\s+", "-"))), lambda x: x != "")
-    return t.select(title.alias("l3"), body.alias("content"), tags.alias("tags"), F.lit("notion").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 20)
+    """Pages (.md) and databases (.csv, one memory a row) of an export: a folder, or zip archives, each unpacked by one task. Contents of 20 characters at least."""
+    read = spark.read.option("recursiveFileLookup", "true")
+    files = read.format("binaryFile").option("pathGlobFilter", "*.{md,csv,zip}").load(path).select("path", "content")
+
+    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            for name, data in zip(d["path"], d["content"], strict=True):
+                members = [(name, bytes(data))]
+                if name.endswith(".zip"):
+                    with zipfile.ZipFile(io.BytesIO(data)) as z:
+                        members = [(n, z.read(n)) for n in z.namelist() if n.endswith((".md", ".csv"))]
+                for n, body in members:
+                    text = body.decode("utf-8", "replace")
+                    if n.endswith(".md"):
+                        yield pd.DataFrame({"value": [text], "fields": [None]})
+                        continue
+                    for row in csv.DictReader(io.StringIO(text)):
+                        yield pd.DataFrame({"value": [None], "fields": [[{"key": k, "value": v or ""} for k, v in row.items() if k]]})
+
+    every = files.mapInPandas(unpack, "value string, fields array<struct<key: string, value: string>>")
+    out = _notion_pages(every.where("value IS NOT NULL")).unionByName(_notion_rows(every.where("fields IS NOT NULL")))
+    return out.select("l3", "content", "tags", F.lit("notion").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 20)
 
 
-_CHAT = "array<struct<title:string,mapping:map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>>>>"
+_CHAT = "title string, mapping map<string,struct<message:struct<author:struct<role:string>,content:struct<parts:array<string>>>>>"
 
 
 def read_chat_mapping(spark: SparkSession, path: str) -> DataFrame:
     """Exports of conversations as a mapping of nodes: the assistant's messages of ten characters at least."""
-    c = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", _CHAT)).alias("c"))
-    m = c.select("c.title", F.explode(F.map_values("c.mapping")).alias("n")).where(F.col("n.message.author.role") == "assistant")
+    c = spark.read.schema(_CHAT).json(path, multiLine=True)  # one file is one task, its conversations are rows
+    m = c.select("title", F.explode(F.map_values("mapping")).alias("n")).where(F.col("n.message.author.role") == "assistant")
     return m.select(F.trim(F.array_join("n.message.content.parts", "\n")).alias("content"), F.array().cast(NO_TAGS).alias("tags"), F.coalesce("title", F.lit("")).alias("title"), F.lit("chat").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 10)
 
 
@@ -103,8 +152,8 @@ _MESSAGE = "struct<sender:string,role:string,text:string,content:string>"
 
 def read_chat_messages(spark: SparkSession, path: str) -> DataFrame:
     """Exports of conversations as lists of messages; contents are texts or lists of parts with a text."""
-    c = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<name:string,chat_messages:array<{_MESSAGE}>,messages:array<{_MESSAGE}>>>")).alias("c"))
-    m = c.select("c.name", F.explode(F.coalesce("c.chat_messages", "c.messages")).alias("m")).where(F.lower(F.coalesce("m.sender", "m.role")).isin("assistant", "ai"))
+    c = spark.read.schema(f"name string, chat_messages array<{_MESSAGE}>, messages array<{_MESSAGE}>").json(path, multiLine=True)  # one file is one task
+    m = c.select("name", F.explode(F.coalesce("chat_messages", "messages")).alias("m")).where(F.lower(F.coalesce("m.sender", "m.role")).isin("assistant", "ai"))
     parts = F.from_json("m.content", "array<struct<text:string>>")
     body = F.coalesce(F.col("m.text"), F.array_join(F.transform(parts, lambda p: p["text"]), "\n"), F.col("m.content"))
     return m.select(F.trim(body).alias("content"), F.array().cast(NO_TAGS).alias("tags"), F.coalesce("name", F.lit("")).alias("title"), F.lit("chat").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 10)
@@ -124,11 +173,65 @@ def web_pages(pages: DataFrame, least: int = 10) -> DataFrame:
     return pages.select("url", F.when(title != "", title).alias("title"), html_text(F.col("html")).alias("content")).where(F.length("content") >= least)
 
 
+# Commands that tell nothing by themselves; fixed values.
+TRIVIAL_COMMANDS = "cd ls ll la clear exit quit pwd echo cat cls dir history whoami date true false : fg bg jobs popd pushd dirs type which alias unalias set unset export source .".split()
+
+
 def interesting_command(command: Column) -> Column:
-    """Whether a shell command is worth keeping: five characters, and not a trivial one unless it pipes, redirects or has two options."""
-    first = F.regexp_extract(F.trim(command), r"^(\S+)", 1)
-    trivial = first.isin("ls", "cd", "pwd", "clear", "exit", "cat", "echo", "history", "which", "man", "top", "ps", "whoami", "date")
-    return (F.length(F.trim(command)) >= 5) & (~trivial | command.rlike(r"[|>]") | (F.regexp_count(command, F.lit(r"(?:^|\s)-{1,2}\w")) >= 2))
+    """Whether a shell command is worth keeping: five characters, and not a trivial one (whatever its path) unless it pipes, redirects or has two options."""
+    c = F.btrim(command, F.lit(" \t\r\n"))
+    words = F.split(c, r"\s+")
+    base = F.element_at(F.split(F.element_at(words, 1), "/"), -1)
+    options = F.size(F.filter(F.slice(words, 2, F.size(words)), lambda w: F.startswith(w, F.lit("-"))))
+    return (F.length(c) >= 5) & (~base.isin(TRIVIAL_COMMANDS) | c.rlike("[|<>]") | (options >= 2))
+
+
+_PDF_STREAM = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)stream\r?\n(.*?)\r?\nendstream", re.S)
+_PDF_PAGE = re.compile(rb"/Type\s*/Page\b(.*?)endobj", re.S)
+_PDF_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:\\.|[^\]])*\]\s*TJ|T\*|-?[\d.]+\s+-?[\d.]+\s+T[dD]", re.S)
+_PDF_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)
+_PDF_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> str:
+    out = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1].isdigit() else _PDF_ESCAPES.get(m[1], m[1]), raw, flags=re.S)
+    return out.decode("utf-16-be", "replace")[1:] if out.startswith(b"\xfe\xff") else out.decode("latin-1")
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """Text that the content streams of a PDF's pages show in simple encodings; pages in the order of the file.
+
+    Streams are plain or deflated; fonts with encodings of their own and encrypted files are beyond it.
+    """
+    streams = {}
+    for number, head, body in _PDF_STREAM.findall(data):
+        with contextlib.suppress(zlib.error):
+            streams[number] = zlib.decompress(body) if b"/FlateDecode" in head else body
+    pages = []
+    for page in _PDF_PAGE.findall(data):
+        at = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page)
+        text = ""
+        for number in re.findall(rb"(\d+)\s+\d+\s+R", at[1]) if at else ():
+            for shown in _PDF_SHOWN.findall(streams.get(number, b"")):
+                strings = _PDF_STRING.findall(shown) if shown[:1] in b"([" else ()
+                text += "".join(map(_pdf_string, strings)) if strings else "\n"
+            text += "\n"
+        pages.append(re.sub(r"\n+", "\n", text).strip())
+    return pages
+
+
+def read_pdf(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
+    """One memory for each page with ten characters or more; its number is a tag. One file is one task's row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path).select("path", "content")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in parts:
+            for name, data in zip(d["path"], d["content"], strict=True):
+                pages = [(i, t) for i, t in enumerate(pdf_pages(bytes(data)), 1) if len(t) >= 10]
+                if pages:
+                    yield pd.DataFrame({"content": [t for _, t in pages], "tags": [[*(tags or []), f"page:{i}"] for i, _ in pages], "source": [name.rsplit("/", 1)[-1]] * len(pages)})
+
+    return files.mapInPandas(run, "content string, tags array<string>, source string").withColumn("priority", F.lit(0.5))
 
 
 MAGIC, VERSION = b"\x89NPK", 1
@@ -153,6 +256,28 @@ def unpack_bytes(data: bytes) -> tuple[dict, bytes] | None:
         return None
 
 
+def compressed(content: Column | str, level: int = 3) -> Column:
+    """The whole text as zstd bytes; null for a null."""
+
+    @F.pandas_udf("binary")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        press = zstandard.ZstdCompressor(level=level)
+        for s in parts:
+            yield s.map(lambda t: None if t is None else press.compress(t.encode()))
+
+    return run(content)
+
+
+def expanded(packed: Column | str) -> Column:
+    @F.pandas_udf("string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        press = zstandard.ZstdDecompressor()
+        for s in parts:
+            yield s.map(lambda b: None if b is None else press.decompress(bytes(b)).decode())
+
+    return run(packed)
+
+
 def encode_pack(record: Column | str, content: Column | str) -> Column:
     """Packed form of a JSON text (the record) and a content."""
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from keepstone.functions import constants as K
+
 # Extensions of files that are watched, and commands that say nothing; fixed values.
 WATCHED = ("py", "js", "ts", "tsx", "jsx", "rs", "go", "java", "rb", "c", "cpp", "h", "md", "json", "yaml", "yml", "toml")
 NOISE = ("ls", "cd", "pwd", "clear", "exit", "history")
@@ -70,10 +72,56 @@ def shell_commands(lines: DataFrame) -> DataFrame:
     return lines.select(c.alias("command")).where((F.length("command") > 0) & ~F.regexp_extract("command", r"^(\S+)", 1).isin(*NOISE))
 
 
+def _project(path: Column) -> Column:
+    """The folder in one that holds projects, or the one that has an environment in it; else the first that isn't a home."""
+    parts = F.split(F.translate(path, "\\", "/"), "/")
+    n = F.size(parts)
+    inside = F.transform(
+        parts,
+        lambda p, i: F.when(p.isin(K.PROJECT_PARENTS) & (i + 1 < n), F.get(parts, i + 1)).when(p.isin(K.PROJECT_INSIDES) & (i > 0), F.get(parts, i - 1)),
+    )
+    plain = F.filter(parts, lambda p: (p != "") & ~F.startswith(p, F.lit(".")) & ~F.contains(p, F.lit(":")))
+    fallback = F.when(F.size(plain) >= 2, F.when(F.get(plain, 0).isin(K.PROJECT_HOMES), F.get(plain, 1)).otherwise(F.get(plain, 0)))
+    return F.coalesce(F.get(F.array_compact(inside), 0), fallback, F.lit(""))
+
+
+def _component(path: Column) -> Column:
+    """The innermost folder that is a component."""
+    folders = F.slice(F.split(F.translate(path, "\\", "/"), "/"), 1, F.greatest(F.size(F.split(F.translate(path, "\\", "/"), "/")) - 1, F.lit(0)))
+    own = F.filter(folders, lambda p: (p != "") & ~p.isin(K.NO_COMPONENTS) & ~F.startswith(p, F.lit(".")))
+    return F.coalesce(F.translate(F.get(F.reverse(own), 0), "_-", "  "), F.lit(""))
+
+
+def _file_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def derived_queries(batch: DataFrame, most: int = 5) -> DataFrame:
-    """query and n: words of the paths and commands (subject) in a batch that occur most."""
-    words = F.filter(F.split(F.lower("subject"), r"[^a-z0-9]+"), lambda w: (F.length(w) >= 3) & ~w.isin(*WATCHED, "src", "tmp", "home", "lib"))
-    return batch.select(F.explode(words).alias("query")).groupBy("query").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "query").limit(most)
+    """place and query: what to look for after a batch of activity (seq, type, path, message, branch, changed_files, command).
+
+    Up to two queries from files (a language, two components and the project of each project, in the order of its first file), two from
+    commits, branches and changed files, and one from the terminal; equal ones once, five in all. Only these few leave the aggregation.
+    """
+    files = batch.where(F.col("type").isin("file_modified", "file_created")).select("seq", _project(F.col("path")).alias("project"), _component(F.col("path")).alias("component"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"))
+    language = F.element_at(F.create_map(*[F.lit(x) for kv in K.LANGUAGES.items() for x in kv]), F.col("ext"))
+    by = files.withColumn("language", language).groupBy("project").agg(F.min("seq").alias("seq"), F.min("language").alias("language"), F.array_sort(F.collect_set(F.nullif(F.col("component"), F.lit("")))).alias("components"))
+    told = F.array_join(F.filter(F.array("language", F.array_join(F.slice("components", 1, 2), " "), F.nullif(F.col("project"), F.lit("")), F.lit("patterns")), lambda x: x.isNotNull() & (x != "")), " ")
+    of_files = by.select(F.lit(0).alias("kind"), "seq", told.alias("query")).where(F.length("query") > 10).orderBy("seq").limit(2)
+    branch = F.translate("branch", "/-_", "   ")
+    changed = F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(F.slice("changed_files", 1, 5), lambda p: F.regexp_replace(_file_name(p), r"(?<=.)\.[^.]*$", "")), lambda n: F.length(n) > 2), lambda n: F.translate(n, "_-", "  "))))
+    git = F.when((F.col("type") == "git_commit") & (F.length("message") > 5), F.col("message")).when((F.col("type") == "git_branch") & ~F.col("branch").isin(K.MAIN_BRANCHES) & (F.length(branch) > 3), branch).when((F.col("type") == "git_diff") & (F.size(changed) > 0), F.array_join(F.slice(changed, 1, 3), " "))
+    of_git = batch.select(F.lit(1).alias("kind"), "seq", git.alias("query")).where("query IS NOT NULL").orderBy("seq").limit(2)
+    words = F.filter(F.split("command", r"\s+"), lambda w: w != "")
+    rest = F.transform(
+        F.filter(F.slice(words, 2, F.size(words)), lambda w: ~F.startswith(w, F.lit("-"))),
+        lambda w: F.when(F.startswith(w, F.lit("/")) | F.startswith(w, F.lit("./")), F.when(F.length(_file_name(w)) > 2, _file_name(w))).when((F.length(w) > 2) & ~F.startswith(w, F.lit("{")), w),
+    )
+    shell = F.when(F.size(words) > 0, F.array_join(F.slice(F.concat(F.array(_file_name(F.get(words, 0))), F.array_compact(rest)), 1, 4), " "))
+    of_shell = batch.where(F.col("type") == "terminal_command").select(F.lit(2).alias("kind"), "seq", shell.alias("query")).where("query IS NOT NULL").orderBy("seq").limit(1)
+    every = of_files.unionByName(of_git).unionByName(of_shell).withColumn("query", F.trim("query")).where("query <> ''")  # five rows
+    first = every.groupBy(F.lower("query").alias("k")).agg(F.min(F.struct("kind", "seq", "query")).alias("x"))
+    w = Window.orderBy("x.kind", "x.seq", "x.query")
+    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("place", F.col("x.query").alias("query"))
 
 
 def per_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "3 seconds") -> DataStreamWriter:
