@@ -230,6 +230,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     classes = stash(named.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
     owned = named.join(classes, ["k1", "k2"])
     members = stash(owned.where("id <> rep").select(F.col("id").alias("b"), F.col("rep").alias("a")).distinct(), "members", narrow=True)
+    # members of a class go where its representative goes; only an id of several classes joins them
+    several = owned.select("id", "rep").distinct().groupBy("id").agg(F.count("*").alias("classes")).where("classes > 1").select(F.col("id").alias("b"))
+    bridges = stash(members.join(several, "b", "left_semi").select("a", "b"), "bridges", narrow=True)
     # an id that represents several classes keeps one row for each; all of them are compared
     reps = stash(owned.where("id = rep").dropDuplicates(["id", "k1", "k2"]).select("id", F.col("n_shingles").alias("n"), "bands", "bins", "marks"), "reps")
     unstash(classes)
@@ -240,20 +243,31 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     bins = reps.select("id", "bins")
     met = shared.where((F.col("id") != F.col("head")) & _alike_in_size("n", "head_n", percent)).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    links = _linked(met, bins, texts, percent)
-    torn = _torn(shared, components(links.unionByName(members.select("a", "b"))))
-    links = links.unionByName(_linked(_small_rest(torn, reps.select("id", "marks"), percent), bins, texts, percent))
-    parts = components(links.unionByName(members.select("a", "b")))
-    rest = _torn(shared, parts).where(F.col("rows") > SMALL).select("main", "id", "c").distinct()
+    parts = components(_linked(met, bins, texts, percent).unionByName(bridges))
+    torn = _torn(shared, parts)
+    parts = _joined(parts, _linked(_small_rest(torn, reps.select("id", "marks"), percent), bins, texts, percent))
+    rest = _torn(torn.select("bucket", "id", "n"), parts).where(F.col("rows") > SMALL).select("main", "id", "c").distinct()
     rest = stash(rest, "rest", narrow=True)
     if rest.limit(1).count():
-        links = links.unionByName(_linked(_large_rest(rest, bins, percent), None, texts, percent))
-        parts = components(links.unionByName(members.select("a", "b")))
+        parts = _joined(parts, _linked(_large_rest(rest, bins, percent), None, texts, percent))
+    alone = members.join(bridges.select("b").distinct(), "b", "left_anti")
+    parts = parts.unionByName(alone.join(parts, alone["a"] == parts["node"], "left").select(F.col("b").alias("node"), F.coalesce("label", "a").alias("label")))
     out = signed.select("id", "n_shingles").join(parts, signed["id"] == parts["node"], "left")
     component = F.coalesce("label", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("id"))).alias("kept"))
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, label) after more links: only the components that these join are looked at."""
+    ends = links.join(parts.toDF("a", "la"), "a", "left").join(parts.toDF("b", "lb"), "b", "left")
+    joins = stash(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).where("a <> b").distinct(), "joins", narrow=True)
+    if not joins.limit(1).count():
+        return parts
+    up = components(joins)
+    moved = parts.join(up.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return stash(moved.unionByName(up.join(parts.select("node"), "node", "left_anti").select("node", "label")), "labels", narrow=True)
+
+
 def _linked(pairs: DataFrame, bins: DataFrame | None, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that are linked, as a written table; without bins they are known to be possible."""
     possible = stash(_possible(pairs, bins, percent) if bins else pairs, "possible", narrow=True)

@@ -261,6 +261,15 @@ def test_minhash_large_buckets_in_pieces(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_minhash_ids_of_several_texts_join_their_groups(spark):
+    """Rows of one id count as one document: copies of one of its texts and near copies of another are one component."""
+    x, y = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    near = y.replace("y59", "z")
+    rows = [(5, x), (7, x), (7, y), (9, near), (11, y), (20, "other words"), (21, "other words"), (7, None)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(5, 5), (7, 5), (7, 5), (7, 5), (9, 5), (11, 5), (20, 20), (21, 20)]
+
+
 def test_minhash_bound_rejects_no_link():
     r = random.Random(4)
     for _ in range(200):
