@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch; bounds what a Python worker holds when texts are long.
@@ -37,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written and not yet deleted.
+_WRITTEN: set[str] = set()
+
+
+@atexit.register
+def _delete_written() -> None:
+    """At the end of the process nothing reads its intermediate tables any more."""
+    context = SparkContext._active_spark_context
+    with contextlib.suppress(Exception):  # the JVM may be gone before
+        for path in _WRITTEN if context is not None else ():
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """Write a table into the shared folder and read it again: cuts lineage and survives lost executors.
 
@@ -46,6 +61,7 @@ def stash(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if narrow:
         df = df.repartition(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16))
+    _WRITTEN.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
@@ -59,6 +75,7 @@ def unstash(df: DataFrame) -> None:
         spark = df.sparkSession
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _WRITTEN.discard(path)
 
 
 def at_most(df: DataFrame, n: int) -> bool:
