@@ -78,3 +78,28 @@ def history(cards: DataFrame, entity: str) -> DataFrame:
     """All cards of an entity or attribute, in time."""
     e = F.lit(entity.lower())
     return cards.where(F.contains(F.lower("entity"), e) | F.contains(F.lower("attribute"), e)).orderBy("at", "id", "seq")
+
+
+def snapshot(cards: DataFrame) -> str:
+    """All current cards as text, by entity and attribute. Cards are streamed to the driver; the text is for a reader."""
+    lines, last = ["## Current Knowledge"], None
+    for c in cards.where("valid_until IS NULL").orderBy("entity", "attribute", "at", "id", "seq").toLocalIterator():
+        if c["entity"] != last:
+            last = c["entity"]
+            lines.append(f"\n### {last}")
+        lines.append(f"- {c['attribute']}: {c['value']}" + (f" [{c['at']:%Y/%m/%d}]" if c["at"] else ""))
+    return "\n".join(lines)
+
+
+def changes(cards: DataFrame, attribute: str = "") -> DataFrame:
+    """entity, attribute, old_value, old_date, new_value, new_date of cards that another one took the place of."""
+    closed = cards.where("valid_until IS NOT NULL").where(F.contains(F.lower("attribute"), F.lit(attribute.lower())))
+    new = cards.groupBy(F.lower("entity").alias("e"), F.lower("attribute").alias("a"), F.col("at").alias("valid_until")).agg(F.min_by("value", F.struct("id", "seq")).alias("new_value"))
+    d = closed.withColumn("e", F.lower("entity")).withColumn("a", F.lower("attribute")).join(new, ["e", "a", "valid_until"])
+    return d.select("entity", "attribute", F.col("value").alias("old_value"), F.col("at").alias("old_date"), "new_value", F.col("valid_until").alias("new_date"))
+
+
+def change_history(cards: DataFrame, attribute: str = "") -> str:
+    """The changes as text; empty without any."""
+    lines = [f"- {c['entity']}.{c['attribute']}: OLD ({c['old_date']:%Y/%m/%d}): {c['old_value']} → CURRENT ({c['new_date']:%Y/%m/%d}): {c['new_value']}" for c in changes(cards, attribute).orderBy("new_date", "entity", "attribute").toLocalIterator()]
+    return "\n".join(["## Knowledge Changes Detected", *lines]) if lines else ""

@@ -72,6 +72,11 @@ def supersede(edges: DataFrame) -> DataFrame:
     return edges.withColumn("superseded_by", F.when(closes, F.lead("edge_id").over(w))).withColumn("valid_until", F.when(closes, F.lead("created_at").over(w)))
 
 
+def close(edges: DataFrame, which: Column, at: Column) -> DataFrame:
+    """Edges with those that are open and meant closed at a time, by hand: no other edge takes their place."""
+    return edges.withColumn("valid_until", F.when(which & F.col("valid_until").isNull(), at).otherwise(F.col("valid_until")))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from either end: node, other and the other columns."""
     rest = [c for c in edges.columns if c not in ("source", "target")]

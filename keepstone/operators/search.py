@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -112,6 +115,54 @@ def temporal_scores(query: str, memories: DataFrame, now: datetime, limit: int,
     return out.where("score > 0").groupBy("id").agg(F.max("score").alias("score"))
 
 
+@dataclass(frozen=True)
+class SignIndex:
+    """A written index of unit vectors by sign projections: rows (key, id) in the order of keys, and the vectors."""
+
+    path: str
+    bits: int
+    tables: int
+    planes: np.ndarray
+    vectors: DataFrame
+
+    def nearest(self, query: list[float], k: int) -> DataFrame:
+        """id and score of the best rows among those that share a key with the query, or a key that differs in its most doubtful bit.
+
+        Approximate: how many of the nearest are found depends on how near they are; the tests measure it.
+        """
+        side = np.asarray(query, np.float64) @ self.planes
+        weight = 1 << np.arange(self.bits, dtype=np.int64)
+        signs, doubt = (side > 0).reshape(self.tables, self.bits), np.abs(side).reshape(self.tables, self.bits)
+        key = signs @ weight
+        flipped = key ^ weight[doubt.argmin(1)]
+        probes = np.concatenate([key, flipped]) * self.tables + np.tile(np.arange(self.tables), 2)
+        ids = self.vectors.sparkSession.read.parquet(self.path).where(F.col("key").isin(probes.tolist())).select("id").distinct()
+        return R.vector_top(self.vectors.join(ids, "id", "left_semi"), query, k)
+
+
+def build_sign_index(vectors: DataFrame, tables: int = 48, rows_in_bucket: int = 256, seed: int = 3) -> SignIndex:
+    """Index (id, embedding): bits grow with the number of rows, so that a question reads about 2 x tables x rows_in_bucket of them."""
+    spark = vectors.sparkSession
+    n = vectors.count()
+    first = vectors.select(F.size("embedding").alias("n")).first()
+    bits = max(2, math.ceil(math.log2(max(n, 1) / rows_in_bucket)))
+    planes = np.random.default_rng(seed).standard_normal((first["n"] if first else 1, bits * tables))
+    shared = spark.sparkContext.broadcast(planes)  # dimensions x bits x tables numbers
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(bits, dtype=np.int64)
+        for b in parts:
+            if b.num_rows:
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                key = ((v @ shared.value > 0).reshape(b.num_rows, tables, bits) @ weight) * tables + np.arange(tables)
+                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), tables)))], ["key", "id"])
+
+    path = f"{shared_dir(spark)}/signs-{uuid.uuid4().hex}"
+    made = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(keys, "key long, id long")
+    made.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", 4 << 20).parquet(path)
+    return SignIndex(path, bits, tables, planes, vectors)
+
+
 @dataclass
 class Library:
     """What questions are asked of. Parts that are None give no signal.

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-
 #: The temporary folder, once there is one.
 _OWN: list[str] = []
 
@@ -25,8 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables that this process has written.
+_WRITTEN: set[str] = set()
+
+
+@atexit.register
+def _delete_written() -> None:
+    """At the end of the process nothing reads its intermediate tables any more."""
+    context = SparkContext._active_spark_context
+    with contextlib.suppress(Exception):  # the JVM may be gone before
+        for path in _WRITTEN if context is not None else ():
+            p = context._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table and read it again: cuts lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -37,6 +37,14 @@ def diff(memories: DataFrame, versions: DataFrame, deletions: DataFrame, since:
     return new.unionByName(upd).unionByName(gone)
 
 
+def rendered(changes: DataFrame, form: str = "text") -> DataFrame:
+    """id and line of (id, change): + for new, ~ for updated and - for deleted rows, or JSON objects."""
+    if form == "json":
+        return changes.select("id", F.to_json(F.struct("id", "change")).alias("line"))
+    mark = F.when(F.col("change") == "new", "+").when(F.col("change") == "updated", "~").otherwise("-")
+    return changes.select("id", F.concat(mark, F.lit(" "), F.col("id").cast("string")).alias("line"))
+
+
 def tag_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """added and removed: sorted distinct tags that only one side has. Sets of tags are aggregated by tag, not gathered."""
     a = before.select(F.explode("tags").alias("tag")).distinct().withColumn("old", F.lit(True))

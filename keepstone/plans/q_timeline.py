@@ -337,12 +337,6 @@ def d11(spark: SparkSession, sf: str) -> DataFrame:
     return memories(spark, sf).groupBy(F.date_format("created_at", "yyyy-MM").alias("archive")).agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-@query("j17_archive_search", _M + f", t AS (SELECT strftime(created_at, '%Y-%m') AS archive, id, {tokens_sql('content')} AS t FROM memories) SELECT archive, id FROM t WHERE list_contains(t, 'rewh')")
-def j17(spark: SparkSession, sf: str) -> DataFrame:
-    m = memories(spark, sf).withColumn("archive", F.date_format("created_at", "yyyy-MM"))
-    return m.where(F.array_contains(T.tokenize(F.col("content")), "rewh")).select("archive", "id")
-
-
 @query("x37_profile_confidence", _M + "SELECT namespace, round(0.6 * least(1.0, count(*) FILTER (memory_type IN ('code', 'decision')) / count(*)) + 0.4 * least(1.0, count(*) / 50.0), 9) AS confidence FROM memories GROUP BY namespace")
 def x37(spark: SparkSession, sf: str) -> DataFrame:
     c = 0.6 * F.least(F.lit(1.0), F.count_if(F.col("memory_type").isin("code", "decision")) / F.count("*")) + 0.4 * F.least(F.lit(1.0), F.count("*") / 50.0)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,9 +81,42 @@ def obsidian(memories: DataFrame) -> DataFrame:
     return memories.select(F.concat(F.col("id").cast("string"), F.lit(".md")).alias("name"), F.concat_ws("\n", F.lit("---"), *fields, F.lit("---"), F.lit(""), F.col("content")).alias("body"))
 
 
-def write_notes(notes: DataFrame, path: str) -> None:
-    """Each row of (name, body) in a folder of its own, name=..., as text."""
-    notes.select("name", F.col("body").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+def write_files(files: DataFrame, path: str) -> int:
+    """One file for each row of (name, body) in a folder; the number of files.
+
+    Executors write each body into a folder for its name; the driver then only renames, in any file system that Spark knows.
+    """
+    spark = files.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    draft = f"{path.rstrip('/')}/_draft-{uuid.uuid4().hex}"
+    files.select("name", F.col("body").alias("value")).write.partitionBy("name").text(draft)
+    fs, n = at(draft).getFileSystem(conf), 0
+    unescaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for folder in fs.listStatus(at(draft)):
+        if folder.isDirectory():
+            name = unescaped(folder.getPath().getName().split("=", 1)[1])
+            for part in fs.listStatus(folder.getPath()):
+                if part.getPath().getName().startswith("part-"):
+                    fs.delete(at(f"{path}/{name}"), False)
+                    fs.rename(part.getPath(), at(f"{path}/{name}"))
+                    n += 1
+    fs.delete(at(draft), True)
+    return n
+
+
+def write_arrays(objects: DataFrame, path: str, column: str = "line") -> None:
+    """JSON texts as files that each hold one array: a file for each partition."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = "["
+        for d in parts:
+            for x in d[column]:
+                yield pd.DataFrame({"value": [lead + x]})
+                lead = ", "
+        yield pd.DataFrame({"value": ["]" if lead == ", " else "[]"]})
+
+    objects.select(column).mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
 def json_array(memories: DataFrame, path: str) -> None:

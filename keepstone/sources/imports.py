@@ -186,7 +186,7 @@ def interesting_command(command: Column) -> Column:
     return (F.length(c) >= 5) & (~base.isin(TRIVIAL_COMMANDS) | c.rlike("[|<>]") | (options >= 2))
 
 
-_PDF_STREAM = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)stream\r?\n(.*?)\r?\nendstream", re.S)
+_PDF_STREAM = re.compile(rb"(\d+)\s+\d+\s+obj\b((?:(?!endobj).)*?)stream\r?\n(.*?)\r?\nendstream", re.S)
 _PDF_PAGE = re.compile(rb"/Type\s*/Page\b(.*?)endobj", re.S)
 _PDF_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)\s*(?:Tj|'|\")|\[(?:\\.|[^\]])*\]\s*TJ|T\*|-?[\d.]+\s+-?[\d.]+\s+T[dD]", re.S)
 _PDF_STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)", re.S)

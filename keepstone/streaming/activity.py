@@ -47,6 +47,32 @@ def debounced(events: DataFrame, gap_seconds: float = 1.0) -> DataFrame:
     return events.withWatermark("ts", "10 minutes").groupBy("path").applyInPandasWithState(step, "path string, ts timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def repository_changes(polls: DataFrame) -> DataFrame:
+    """What polls (repo, ts, head, message, author, branch, diff_stat) of repositories tell: a new head, another branch, other changed files.
+
+    repo, ts, type (git_commit, git_branch, git_diff), old, new, changed_files. What a repository is first seen with tells nothing; an
+    empty branch or statistics leave what was known. The state is three texts a repository.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = list(state.get) if state.exists else [None, None, None]
+        for pdf in parts:
+            out = []
+            for r in pdf.sort_values("ts").itertuples():
+                for i, (kind, now) in enumerate((("git_commit", r.head), ("git_branch", r.branch), ("git_diff", r.diff_stat))):
+                    if not now or now == known[i]:
+                        continue
+                    files = [x for line in now.split("\n") if "|" in line and (x := line.split("|")[0].strip())] if i == 2 else []
+                    if known[i] is not None and (i < 2 or files):
+                        out.append((key[0], r.ts, kind, known[i][:500], r.message if i == 0 else now[:500], files))
+                    known[i] = now
+            if out:
+                yield pd.DataFrame(out, columns=["repo", "ts", "type", "old", "new", "changed_files"])
+        state.update(tuple(known))
+
+    return polls.groupBy("repo").applyInPandasWithState(step, "repo string, ts timestamp, type string, old string, new string, changed_files array<string>", "head string, branch string, diff_stat string", "append", GroupStateTimeout.NoTimeout)
+
+
 def head_changes(polls: DataFrame) -> DataFrame:
     """Polls (repo, ts, head) whose head differs from the one before; a repository's first is left out."""
 
@@ -135,6 +161,35 @@ def unexpired(cache: DataFrame, now: Column, ttl_seconds: int = 300) -> DataFram
     return fresh.groupBy("id").agg(F.max("ts").alias("ts")).orderBy(F.desc("ts"), "id")
 
 
+def cached_stream(results: DataFrame, ttl_seconds: int = 300) -> DataFrame:
+    """The newest result (id, ts, tokens) of each id, kept as state that ends ``ttl_seconds`` of event time after its last change; id, ts, tokens, expired."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            ts, tokens = state.get
+            state.remove()
+            yield pd.DataFrame({"id": [key[0]], "ts": [pd.Timestamp(ts, unit="us")], "tokens": [tokens], "expired": [True]})
+            return
+        newest = state.get if state.exists else None
+        for pdf in parts:
+            for r in pdf.itertuples():
+                us = int(pd.Timestamp(r.ts).value // 1000)
+                if newest is None or us > newest[0]:
+                    newest = (us, int(r.tokens))
+        state.update(newest)
+        state.setTimeoutTimestamp(max(newest[0] // 1000, state.getCurrentWatermarkMs()) + 1000 * ttl_seconds)
+        yield pd.DataFrame({"id": [key[0]], "ts": [pd.Timestamp(newest[0], unit="us")], "tokens": [newest[1]], "expired": [False]})
+
+    return results.withWatermark("ts", "1 minute").groupBy("id").applyInPandasWithState(step, "id long, ts timestamp, tokens long, expired boolean", "us long, tokens long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def within_budget(fresh: DataFrame, budget: int) -> DataFrame:
+    """Cached results (id, ts, tokens), newest first, until one would exceed the budget; the first always stays."""
+    ranked = fresh.orderBy(F.desc("ts"), "id").limit(max(1, budget)).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ts"), "id")))  # each costs a token at least
+    used = F.sum("tokens").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ranked.withColumn("used", used).where((F.col("used") <= budget) | (F.col("rank") == 1)).drop("used")
+
+
 def activity_windows(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and sums by type in tumbling windows of event time; rows later than the watermark are dropped."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

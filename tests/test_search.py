@@ -12,6 +12,7 @@ from keepstone.functions.stem import stem
 from keepstone.operators import calendar as C
 from keepstone.operators import events as V
 from keepstone.operators import retrieval as R
+from keepstone.operators import rotation as R2
 from keepstone.operators import search as Q
 
 NOW = datetime(2024, 6, 1)
@@ -217,3 +218,29 @@ def test_calendar_answers(events):
 def test_windows_of_questions(question, window):
     got = C.time_window(question, NOW)
     assert (tuple(x.strftime("%Y-%m-%d") for x in got) if got else None) == window
+
+
+def test_sign_index_finds_what_is_near(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((200, 32))[rng.integers(0, 200, 6000)] + 0.35 * rng.standard_normal((6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "id long, embedding array<double>")
+    index = Q.build_sign_index(v, rows_in_bucket=64)
+    hits = 0
+    for q in range(0, 6000, 600):
+        got = {r["id"] for r in index.nearest(x[q].tolist(), 10).collect()}
+        hits += len(got & set(np.argsort(-(x @ x[q]))[:10].tolist()))
+    assert hits >= 95
+    assert Q.build_sign_index(v.limit(0)).nearest([0.0], 3).count() == 0
+
+
+def test_archives_are_searched_one_by_one(spark, tmp_path):
+    rows = [(1, "apple pie", "2024-01-05"), (2, "apple", "2024-02-05"), (3, "pear", "2024-02-06"), (4, "plum", "2023-01-01")]
+    m = spark.createDataFrame(rows, "id long, content string, day string").select("id", "content", F.col("day").cast("timestamp_ntz").alias("created_at"))
+    R2.archive(m, f"{tmp_path}/a")
+    R2.archive(m.where("id = 2"), f"{tmp_path}/a")  # replaces one month
+    assert {r["month"]: r["n"] for r in R2.archives(spark, f"{tmp_path}/a").collect()} == {"2023_01": 1, "2024_01": 1, "2024_02": 1}
+    assert [(r["archive"], r["id"]) for r in R2.search(spark, f"{tmp_path}/a", ["apple"]).collect()] == [("2024_01", 1), ("2024_02", 2)] or len(R2.search(spark, f"{tmp_path}/a", ["apple"]).collect()) == 2
+    states = {r["id"]: (r["state"], r["content"] is None, r["packed"] is None) for r in R2.aged(m, datetime(2024, 5, 1).date(), pack_after=4, keep=12).collect()}
+    assert states == {1: ("packed", True, False), 2: ("fresh", False, True), 3: ("fresh", False, True), 4: ("pruned", True, True)}
+    assert R2.age_in_months("2023_11", datetime(2024, 2, 1).date()) == 3

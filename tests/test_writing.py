@@ -199,3 +199,58 @@ def test_notion_archives(spark, tmp_path):
 @pytest.mark.parametrize(("command", "kept"), [("ls -la", False), ("/bin/ls -a -b", True), ("echo a > b", True), ("cat < b", True), ("git status", True), ("cd ..", False), ("x", False)])
 def test_interesting_commands(spark, command, kept):
     assert spark.createDataFrame([(command,)], "c string").where(imports.interesting_command(F.col("c"))).count() == kept
+
+
+def test_snapshot_and_changes_of_cards(spark):
+    rows = [(1, "My bike color is deep red.", "2024-01-01"), (2, "My bike color is green!", "2024-02-01"), (3, "I prefer dark roast.", "2024-03-01")]
+    d = spark.createDataFrame(rows, "id long, text string, day string").select("id", "text", F.col("day").cast("timestamp_ntz").alias("at"))
+    c = K.with_history(K.extract(d))
+    assert K.snapshot(c) == "## Current Knowledge\n\n### User\n- bike_color: green! [2024/02/01]\n- dark_roast: dark roast [2024/03/01]"
+    assert K.change_history(c, "bike") == "## Knowledge Changes Detected\n- User.bike_color: OLD (2024/01/01): deep red → CURRENT (2024/02/01): green!"
+    assert K.change_history(c, "zzz") == ""
+
+
+def test_ordered_places_and_neighbours(spark):
+    from keepstone.operators.ordered import nth_of_group, placed, previous
+
+    rng = np.random.default_rng(1)
+    rows = [(i, "ab"[i % 3 > 0], int(v)) for i, v in enumerate(rng.permutation(500))]
+    d = spark.createDataFrame(rows, "id long, g string, v long").repartition(7)
+    order = sorted(rows, key=lambda r: r[2])
+    p = previous(placed(d, ["v"]), ["v"])
+    got = {r["id"]: (r["place"], r["last"]["v"] if r["last"] else None) for r in p.collect()}
+    assert got == {r[0]: (i, order[i - 1][2] if i else None) for i, r in enumerate(order)}
+    third = {r["g"]: r["v"] for r in nth_of_group(d, "g", ["v"], F.lit(2)).collect()}
+    assert third == {g: sorted(r[2] for r in rows if r[1] == g)[2] for g in "ab"}
+    assert placed(d.limit(0), ["v"]).count() == 0
+
+
+def test_streams_of_repositories_and_caches(spark, tmp_path):
+    from keepstone.streaming import activity as A
+
+    polls = [
+        ("r", "2024-01-01 00:00:01", "c1", "first", "main", "a.py | 1 +"),
+        ("r", "2024-01-01 00:00:02", "c2", "second", "main", "a.py | 1 +\n b.py | 2 ++\n 2 files changed"),
+        ("r", "2024-01-01 00:00:03", "c2", "second", "dev", ""),
+        ("q", "2024-01-01 00:00:01", "x", "m", "main", None),
+    ]
+    schema = "repo string, ts timestamp, head string, message string, branch string, diff_stat string"
+    spark.createDataFrame([(r, datetime.fromisoformat(t), *x) for r, t, *x in polls], schema).write.parquet(f"{tmp_path}/polls")
+    out = []
+    q = A.repository_changes(spark.readStream.schema(schema).parquet(f"{tmp_path}/polls")).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c1").foreachBatch(lambda b, _: out.extend(b.collect())).start()
+    q.awaitTermination()
+    assert sorted((r["repo"], r["type"], r["new"].split("\n")[0], r["changed_files"]) for r in out) == [("r", "git_branch", "dev", []), ("r", "git_commit", "second", []), ("r", "git_diff", "a.py | 1 +", ["a.py", "b.py"])]
+
+    spark.createDataFrame([(1, datetime(2024, 1, 1, 0, 0, 5), 3), (1, datetime(2024, 1, 1, 0, 0, 1), 9), (2, datetime(2024, 1, 1, 0, 0, 2), 4)], "id long, ts timestamp, tokens long").write.parquet(f"{tmp_path}/results")
+    seen = []
+    q = A.cached_stream(spark.readStream.schema("id long, ts timestamp, tokens long").parquet(f"{tmp_path}/results")).writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").foreachBatch(lambda b, _: seen.extend(b.collect())).start()
+    q.awaitTermination()
+    assert {(r["id"], r["tokens"], r["expired"]) for r in seen} == {(1, 3, False), (2, 4, False)}
+    fresh = spark.createDataFrame([(1, 5, 60), (2, 4, 50), (3, 3, 10)], "id long, ts long, tokens long")
+    assert [r["id"] for r in A.within_budget(fresh, 70).collect()] == [1] and [r["id"] for r in A.within_budget(fresh, 20).collect()] == [1]
+
+    batches = []
+    q = A.per_batch(spark.readStream.schema("id long, ts timestamp, tokens long").parquet(f"{tmp_path}/results"), lambda b, i: batches.append(b.count()), f"{tmp_path}/c3", every="1 second").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sum(batches) == 3
