@@ -179,9 +179,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         last, one = None, None
         for r in batches(stream):
             keep = []
-            for a, text_a, text_b in zip(r.column(0).to_pylist(), r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True):
-                if a != last or one is None:
-                    last, one = a, shingles(text_a)[0]
+            for text_a, text_b in zip(r.column(2).to_pylist(), r.column(3).to_pylist(), strict=True):
+                if text_a != last or one is None:
+                    last, one = text_a, shingles(text_a)[0]
                 other = shingles(text_b)[0]
                 shared = len(np.intersect1d(one, other, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(one) + len(other) - shared) and shared > 0)
