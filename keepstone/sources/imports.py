@@ -86,14 +86,15 @@ def read_logseq(spark: SparkSession, path: str) -> DataFrame:
 
 def _notion_pages(files: DataFrame) -> DataFrame:
     """Pages of (value): the first heading is the abstract; block ids, empty links and callout marks go; tags come from up to five properties."""
-    lines = F.split(F.trim("value"), r"\r?\n")
+    whole = F.btrim("value", F.lit(" \t\r\n"))
+    lines = F.split(whole, r"\r?\n")
     title = F.coalesce(F.get(F.filter(lines, lambda x: F.startswith(x, F.lit("# "))), 0), F.lit(""))
-    body = F.regexp_replace(F.trim("value"), r"\n[a-f0-9]{32}\n", "\n")
+    body = F.regexp_replace(whole, r"\n[a-f0-9]{32}\n", "\n")
     body = F.regexp_replace(F.regexp_replace(body, r"\[([^\]]*)\]\(\)", "$1"), "(?m)^[\U0001f4a1\U0001f4cc\u26a0\ufe0f\u2139\U0001f525]\\s*", "")
     found = F.slice(F.regexp_extract_all(body, F.lit(r"(?m)^\w+:\s*.+$"), F.lit(0)), 1, 5)
     wanted = F.filter(found, lambda x: F.lower(F.regexp_extract(x, r"^(\w+):", 1)).isin("tags", "category", "type", "status"))
     tags = F.flatten(F.transform(wanted, lambda x: _cut(F.regexp_replace(x, r"^\w+:\s*", ""))))
-    return files.select(F.trim(F.substring(title, 3, 1 << 30)).alias("l3"), F.trim(body).alias("content"), F.concat(F.array(F.lit("notion")), tags).alias("tags"))
+    return files.select(F.trim(F.substring(title, 3, 1 << 30)).alias("l3"), F.btrim(body, F.lit(" \t\r\n")).alias("content"), F.concat(F.array(F.lit("notion")), tags).alias("tags"))
 
 
 def _cut(listed: Column) -> Column:
