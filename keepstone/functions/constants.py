@@ -298,3 +298,21 @@ LANGUAGES = {
     "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java", "c": "c", "cpp": "c++", "h": "c", "jsx": "react", "tsx": "react typescript",
     "vue": "vue", "rb": "ruby", "md": "documentation", "yaml": "configuration", "json": "configuration", "toml": "configuration",
 }
+
+# Times that lower-cased questions name: families in the order in which they are looked for, with their patterns.
+_MONTHS, _WEEKDAYS, _SEASONS = ("|".join(x) for x in (MONTHS, WEEKDAYS, SEASONS))
+QUERY_DATES = [
+    ("moment", r"(\d{4})/(\d{1,2})/(\d{1,2})\s*\(\w+\)\s*(\d{1,2}):(\d{2})"),
+    ("moment", r"(\d{4})-(\d{2})-(\d{2})(?:[t ](\d{2}):(\d{2})(?::(\d{2}))?)?"),
+    ("moment", r"(\d{4})/(\d{1,2})/(\d{1,2})(?!\s*\()"),
+    ("ago", r"(\d+)\s+(day|week|month|year)s?\s+ago"),
+    ("day", r"\b(?:yesterday|today)\b"),
+    ("last", r"\blast\s+(week|month|year)\b"),
+    ("recently", r"\brecently\b"),
+    ("weekday", rf"\b(?:last|on|this past)\s+({_WEEKDAYS})\b"),
+    ("month of a year", rf"\b({_MONTHS})\s+(\d{{4}})\b"),
+    ("month", rf"\bin\s+({_MONTHS})\b(?!\s+\d{{4}})"),
+    ("season", rf"\b(in\s+(?:the\s+)?|last\s+)({_SEASONS})\b"),
+    ("year", r"\bin\s+(\d{4})\b"),
+    *[("holiday", rf"\b(before|after|on|around)\s+({name})\b") for name in HOLIDAYS],
+]

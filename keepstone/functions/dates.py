@@ -33,63 +33,64 @@ def _week(now: datetime, back: int) -> tuple[datetime, datetime]:
     return monday, monday + timedelta(days=6, hours=23, minutes=59, seconds=59)
 
 
+def _moment(m: re.Match, now: datetime) -> datetime | None:
+    try:
+        return datetime(*[int(g or 0) for g in m.groups()])
+    except ValueError:
+        return None
+
+
+def _ago(m: re.Match, now: datetime) -> datetime | tuple[datetime, datetime]:
+    """A day so many days back; the whole week, month or year for longer units."""
+    n = int(m[1])
+    whole = {"week": lambda: _week(now, n), "month": lambda: _whole_month(now.year, now.month - n), "year": lambda: _whole_year(now.year - n)}
+    return whole[m[2]]() if m[2] in whole else now - timedelta(days=n)
+
+
+def _holiday(m: re.Match, now: datetime) -> datetime | tuple[datetime, datetime]:
+    """The last one; what lies before or after it in its year, if that is asked."""
+    month, day = K.HOLIDAYS[m[2]]
+    at = datetime(now.year, month, day)
+    at = at if at <= now else datetime(now.year - 1, month, day)
+    return {"before": (datetime(at.year, 1, 1), at), "after": (at, _whole_year(at.year)[1])}.get(m[1], at)
+
+
+def _season(m: re.Match, now: datetime) -> tuple[datetime, datetime]:
+    first, last = K.SEASONS[m[2]]
+    year = now.year - ("last" in m[1])
+    return datetime(year, first, 1), _end_of_month(year + (last < first), last)
+
+
+def _noon(now: datetime, back: int) -> datetime:
+    return now.replace(hour=12, minute=0, second=0) - timedelta(days=back)
+
+
+# What each family of expressions means, seen from now: a date, a range, or nothing.
+_MEANING = {
+    "moment": _moment,
+    "ago": _ago,
+    "day": lambda m, now: _noon(now, int(m[0] == "yesterday")),
+    "last": lambda m, now: {"week": lambda: _week(now, 1), "month": lambda: _whole_month(now.year, now.month - 1), "year": lambda: _whole_year(now.year - 1)}[m[1]](),
+    "recently": lambda m, now: (now - timedelta(days=30), now),
+    "weekday": lambda m, now: _noon(now, (now.weekday() - K.WEEKDAYS[m[1]] - 1) % 7 + 1),
+    "month of a year": lambda m, now: _whole_month(int(m[2]), K.MONTHS[m[1]]),
+    "month": lambda m, now: _whole_month(now.year - (K.MONTHS[m[1]] > now.month), K.MONTHS[m[1]]),
+    "season": _season,
+    "year": lambda m, now: _whole_year(int(m[1])) if 1900 <= int(m[1]) <= 2100 else None,
+    "holiday": _holiday,
+}
+
+
 def parse_query(query: str, now: datetime) -> dict[str, list]:
-    """dates and ranges that a query names."""
+    """dates and ranges that a query names, each once, family by family."""
     dates: list[datetime] = []
     ranges: list[tuple[datetime, datetime]] = []
-    low = query.lower()
-
-    def add(*parts: int) -> None:
-        try:
-            dates.append(datetime(*parts))
-        except ValueError:
-            pass
-
-    for m in re.finditer(r"(\d{4})/(\d{1,2})/(\d{1,2})\s*\(\w+\)\s*(\d{1,2}):(\d{2})", query):
-        add(*map(int, m.groups()))
-    for m in re.finditer(r"(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?", query):
-        add(*[int(g or 0) for g in m.groups()])
-    for m in re.finditer(r"(\d{4})/(\d{1,2})/(\d{1,2})(?!\s*\()", query):
-        add(*map(int, m.groups()))
-    noon = now.replace(hour=12, minute=0, second=0)
-    for m in re.finditer(r"(\d+)\s+(day|week|month|year)s?\s+ago", low):
-        n, unit = int(m[1]), m[2]
-        if unit == "day":
-            dates.append(now - timedelta(days=n))
-        else:
-            ranges.append({"week": lambda: _week(now, n), "month": lambda: _whole_month(now.year, now.month - n), "year": lambda: _whole_year(now.year - n)}[unit]())
-    for word, back in (("yesterday", 1), ("today", 0)):
-        if re.search(rf"\b{word}\b", low):
-            dates.append(noon - timedelta(days=back))
-    for unit, made in (("week", lambda: _week(now, 1)), ("month", lambda: _whole_month(now.year, now.month - 1)), ("year", lambda: _whole_year(now.year - 1))):
-        if re.search(rf"\blast\s+{unit}\b", low):
-            ranges.append(made())
-    if re.search(r"\brecently\b", low):
-        ranges.append((now - timedelta(days=30), now))
-    for m in re.finditer(r"\b(?:last|on|this past)\s+(" + "|".join(K.WEEKDAYS) + r")\b", low):
-        dates.append(noon - timedelta(days=(now.weekday() - K.WEEKDAYS[m[1]] - 1) % 7 + 1))
-    for m in re.finditer(rf"\b({_MONTH})\s+(\d{{4}})\b", low):
-        ranges.append(_whole_month(int(m[2]), K.MONTHS[m[1]]))
-    for m in re.finditer(rf"\bin\s+({_MONTH})\b(?!\s+\d{{4}})", low):
-        month = K.MONTHS[m[1]]
-        ranges.append(_whole_month(now.year if month <= now.month else now.year - 1, month))
-    for m in re.finditer(r"\b(in\s+(?:the\s+)?|last\s+)(" + "|".join(K.SEASONS) + r")\b", low):
-        first, last = K.SEASONS[m[2]]
-        year = now.year - 1 if "last" in m[1] else now.year
-        ranges.append((datetime(year, first, 1), _end_of_month(year + (last < first), last)))
-    for m in re.finditer(r"\bin\s+(\d{4})\b", low):
-        if 1900 <= int(m[1]) <= 2100:
-            ranges.append(_whole_year(int(m[1])))
-    for name, (month, day) in K.HOLIDAYS.items():
-        if m := re.search(rf"\b(before|after|on|around)\s+{re.escape(name)}\b", low):
-            at = datetime(now.year, month, day)
-            at = at if at <= now else datetime(now.year - 1, month, day)
-            if m[1] == "before":
-                ranges.append((datetime(at.year, 1, 1), at))
-            elif m[1] == "after":
-                ranges.append((at, _whole_year(at.year)[1]))
-            else:
-                dates.append(at)
+    for family, pattern in K.QUERY_DATES:
+        for m in re.finditer(pattern, query.lower()):
+            found = _MEANING[family](m, now)
+            into = ranges if isinstance(found, tuple) else dates
+            if found is not None and found not in into:
+                into.append(found)
     return {"dates": dates, "ranges": ranges}
 
 
@@ -134,13 +135,3 @@ def content_dates(text: Column) -> Column:
     month = made(rf"(?i)\b(?:{_MONTH})\s+\d{{4}}\b", lambda s: F.try_to_date(F.concat_ws("-", year(s), month_of(s), F.lit("01")), "yyyy-MM-dd"), "month")
     alone = made(r"(?i)\b(?:in|during)\s+(?:19\d\d|20\d\d|2100)\b", lambda s: F.try_to_date(F.concat(year(s), F.lit("-01-01")), "yyyy-MM-dd"), "year")
     return F.filter(F.concat(iso, slash, exact, month, alone), lambda x: x["date"].isNotNull())
-
-
-def event_date(sentence: Column, session: Column) -> Column:
-    """The date that a sentence means, seen from its session's; null without one."""
-    low = F.lower(sentence)
-    ago = F.regexp_extract(low, r"(\d+)\s+(day|week|month)s?\s+ago", 1)
-    unit = F.regexp_extract(low, r"(\d+)\s+(day|week|month)s?\s+ago", 2)
-    back = F.when(unit == "day", 1).when(unit == "week", 7).otherwise(30) * F.try_cast(ago, "int") if hasattr(F, "try_cast") else F.when(unit == "day", 1).when(unit == "week", 7).otherwise(30) * ago.try_cast("int")
-    named = F.get(content_dates(sentence), 0)["date"].cast("timestamp_ntz")
-    return F.coalesce(named, F.when(ago != "", session - F.make_dt_interval(days=back)), F.when(F.contains(low, F.lit("yesterday")), session - F.make_dt_interval(days=F.lit(1))), F.when(F.contains(low, F.lit("last week")), session - F.make_dt_interval(days=F.lit(7))))

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepstone.functions import constants as K
 from keepstone.functions import text as T
 from keepstone.operators import graph as G
-from keepstone.operators.store import stash
 from keepstone.plans.data import MEMORIES_SQL, TEXTS_SQL, memories, sql_text, texts
 from keepstone.plans.q_text import key_terms_sql
 from keepstone.plans.registry import query

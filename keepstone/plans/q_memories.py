@@ -10,7 +10,7 @@ from keepstone.functions import scoring as S
 from keepstone.functions import text as T
 from keepstone.operators import memories as M
 from keepstone.operators.ordered import nth_of_group
-from keepstone.plans.data import MEMORIES_SQL, NOW, hours_after, memories, now, sql_text, stamp, stamp_sql
+from keepstone.plans.data import MEMORIES_SQL, NOW, memories, now, stamp, stamp_sql
 from keepstone.plans.registry import query
 from keepstone.session import table
 

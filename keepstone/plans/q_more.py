@@ -21,7 +21,7 @@ from keepstone.operators.calendar import answer, build
 from keepstone.operators.summaries import summaries
 from keepstone.plans.data import MEMORIES_SQL, hours_after, memories, sql_text, stamp, texts
 from keepstone.plans.q_events import all_events
-from keepstone.plans.q_retrieval import index_of
+from keepstone.plans.q_retrieval import index_of, part_sql
 from keepstone.plans.q_text import SUMMARY_SQL, sentences_sql
 from keepstone.plans.registry import query
 from keepstone.session import table
@@ -252,13 +252,16 @@ def p12(spark: SparkSession, sf: str) -> DataFrame:
     return O.event_report(e, l3, "bicycle or van in 2020", datetime(2024, 6, 1)).select("id", F.round("score", 9).alias("score"), F.size("events").alias("n_events"), "l3")
 
 
-@query("p23_preloaded")
+@query("p23_preloaded", f"WITH {MEMORIES_SQL}, {part_sql(['rewh', 'nd'], '_0', 3)}, {part_sql(['thtion'], '_1', 3)} SELECT 'rewh nd' AS topic, id, CAST(rank AS INT) AS rank FROM r_0 UNION ALL SELECT 'thtion', id, CAST(rank AS INT) FROM r_1")
 def p23(spark: SparkSession, sf: str) -> DataFrame:
     lib = Q.Library(memories(spark, sf), index_of(spark, sf))
     return O.preloaded(lib, spark.createDataFrame([("rewh nd",), ("thtion",)], "topic string"), datetime(2024, 6, 1))
 
 
-@query("r12_content_dates")
+@query(
+    "r12_content_dates",
+    "SELECT * FROM (VALUES (-10, '2024-03-15', 'exact'), (-10, '2024-03-01', 'month'), (-15, '2023-05-30', 'exact'), (-15, '2023-05-30', 'exact'), (-15, '2023-06-01', 'exact'), (-15, '2024-01-01', 'month'), (-15, '2019-01-01', 'year')) t(id, date, kind)",
+)
 def r12(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates that texts name; the tests hold the extraction against written-out cases."""
-    return texts(spark, sf).select("id", F.explode(D.content_dates(F.col("text"))).alias("d")).select("id", F.col("d.date").alias("date"), F.col("d.kind").alias("kind"))
+    """Dates that texts name: those of the hand-written samples, as the corpus names none."""
+    return texts(spark, sf).select("id", F.explode(D.content_dates(F.col("text"))).alias("d")).select("id", F.col("d.date").cast("string").alias("date"), F.col("d.kind").alias("kind"))

@@ -182,16 +182,17 @@ _PARTS = "rewh nd and also thtion oi"
 _SUB = [["rewh", "nd", "thtion", "oi"], ["rewh", "nd"], ["thtion", "oi"]]
 
 
-def _part_sql(terms: list[str], x: str) -> str:
+def part_sql(terms: list[str], x: str, limit: int = 20) -> str:
+    """CTEs that end in r (id, rank): the answer to one question by full-text search alone."""
     rank = "row_number() OVER (ORDER BY score DESC, id)"
-    return f"""{bm25_sql(terms, x)}, f{x} AS (SELECT id, 0.4 / (60 + {rank}) AS rrf FROM bm{x} QUALIFY {rank} <= 100),
-s{x} AS (SELECT m.*, CAST(f.rrf AS DOUBLE) * (0.5 + 0.5 * ({_PRIORITY})) * CASE WHEN superseded_by IS NOT NULL THEN 0.5 ELSE 1.0 END AS score FROM memories m JOIN f{x} f ON m.id = f.id ORDER BY score DESC, m.id LIMIT 20),
+    return f"""{bm25_sql(terms, x)}, f{x} AS (SELECT id, 0.4 / (60 + {rank}) AS rrf FROM bm{x} QUALIFY {rank} <= {5 * limit}),
+s{x} AS (SELECT m.*, CAST(f.rrf AS DOUBLE) * (0.5 + 0.5 * ({_PRIORITY})) * CASE WHEN superseded_by IS NOT NULL THEN 0.5 ELSE 1.0 END AS score FROM memories m JOIN f{x} f ON m.id = f.id ORDER BY score DESC, m.id LIMIT {limit}),
 r{x} AS (SELECT id, row_number() OVER (ORDER BY score * (1 + 0.1 * greatest(0, {_STRENGTH})) DESC, id) AS rank FROM s{x})"""
 
 
 @query(
     "r10_decomposed",
-    f"WITH {MEMORIES_SQL}, " + ", ".join(_part_sql(t, f"_{i}") for i, t in enumerate(_SUB)) + ", u AS (" + " UNION ALL ".join(f"SELECT id, rank FROM r_{i}" for i in range(3)) + ") SELECT id, round(CAST(sum(1.0 / (60 + rank)) AS DOUBLE), 9) AS score FROM u GROUP BY id ORDER BY score DESC, id LIMIT 20",
+    f"WITH {MEMORIES_SQL}, " + ", ".join(part_sql(t, f"_{i}") for i, t in enumerate(_SUB)) + ", u AS (" + " UNION ALL ".join(f"SELECT id, rank FROM r_{i}" for i in range(3)) + ") SELECT id, round(CAST(sum(1.0 / (60 + rank)) AS DOUBLE), 9) AS score FROM u GROUP BY id ORDER BY score DESC, id LIMIT 20",
 )
 def r10(spark: SparkSession, sf: str) -> DataFrame:
     only_text = Q.Library(memories(spark, sf), index_of(spark, sf))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from keepstone.functions import constants as K
 from keepstone.functions import text as T
 from keepstone.operators.summaries import summaries
-from keepstone.plans.data import MEMORIES_SQL, PLAIN, PLAIN_CASED, TEXTS_SQL, memories, samples, sql_text, texts
+from keepstone.plans.data import PLAIN, PLAIN_CASED, TEXTS_SQL, sql_text, texts
 from keepstone.plans.registry import query
 from keepstone.session import table
 

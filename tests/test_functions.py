@@ -162,16 +162,6 @@ def test_walk_takes_least_distance(spark):
     assert s == {1: 2.0, 4: 1.0, 2: 0.5, 3: 0.5}
 
 
-def test_jaccard_pairs_equal_brute_force(spark):
-    import random
-    from itertools import combinations
-
-    r = random.Random(1)
-    sets = {i: sorted({r.choice("abcdefghij") for _ in range(r.randint(1, 8))}) for i in range(40)}
-    got = {(x["a"], x["b"]) for x in graph.jaccard_pairs(spark.createDataFrame(list(sets.items()), "id long, terms array<string>"), 0.6).collect()}
-    assert got == {(a, b) for a, b in combinations(sets, 2) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= 0.6}
-
-
 def test_fact_supersession(spark):
     f = spark.createDataFrame([("Ann", "city", "Rome", 1, 1), ("ann", "city", "ROME", 2, 2), ("Ann", "City", "Oslo", 3, 3), ("Bo", "city", "Bonn", 1, 4)], "entity string, attribute string, value string, at long, seq long")
     got = {r["seq"]: r["valid_until"] for r in timeline.supersede(f).collect()}
