@@ -20,16 +20,16 @@ _M = f"WITH {MEMORIES_SQL}"
 
 @query(
     "s15_web_pages",
-    r"""WITH t AS (SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
-  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM pages),
-c AS (SELECT page_id, title, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS content FROM t)
-SELECT page_id, coalesce(title, '') AS title, md5(content) AS content_md5 FROM c WHERE length(content) >= 10""",
+    r"""WITH t AS (SELECT url, coalesce(nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) AS title, CASE WHEN regexp_extract(html, '(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)\s*>', 1) <> '' THEN regexp_extract(html, '(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)\s*>', 1) ELSE html END AS html FROM pages),
+u AS (SELECT url, title,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?is)<head\b.*?</head>', ' ', 'g'), '(?is)<nav\b.*?</nav>', ' ', 'g'), '(?is)<footer\b.*?</footer>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM t),
+c AS (SELECT url, title, trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[ \t\n\r\f]+', ' ', 'g')) AS content FROM u)
+SELECT url, title, md5(content) AS content_md5, 'web,imported' AS tags FROM c WHERE length(content) >= 10""",
 )
 def s15(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "pages")
-    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    d = p.select("page_id", title.alias("title"), I.html_text(F.col("html")).alias("content")).where(F.length("content") >= 10)
-    return d.select("page_id", "title", F.md5("content").alias("content_md5"))
+    """Main contents; no page tells a date."""
+    d = I.web_pages(table(spark, sf, "pages"))
+    return d.select("url", "title", F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"))
 
 
 #: Commands, and whether they are worth keeping.

@@ -169,9 +169,24 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+#: What holds the main content of a page, and where a page tells its date.
+MAIN = r"(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)\s*>"
+DATED = r"(?is)(?:<meta\b[^>]*(?:published_time|[\"'](?:date|dc\.date|pubdate)[\"'])[^>]*content=[\"']|<time\b[^>]*datetime=[\"'])(\d{4}-\d{2}-\d{2})"
+
+
+def main_text(html: Column) -> Column:
+    """The visible text of a page's main part or article; of the whole page if it has none."""
+    inner = F.regexp_extract(html, MAIN, 1)
+    return html_text(F.when(inner != "", inner).otherwise(html))
+
+
 def web_pages(pages: DataFrame, least: int = 10) -> DataFrame:
-    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    return pages.select("url", F.when(title != "", title).alias("title"), html_text(F.col("html")).alias("content")).where(F.length("content") >= least)
+    """One memory for each page (url, html) with ten characters or more: its date is a tag, its title (else the url) names the source."""
+    title = F.coalesce(F.nullif(F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit("")), F.col("url"))
+    day = F.regexp_extract("html", DATED, 1)
+    tags = F.array_compact(F.array(F.lit("web"), F.lit("imported"), F.when(day != "", F.concat(F.lit("date:"), day))))
+    d = pages.select("url", title.alias("title"), main_text(F.col("html")).alias("content"), tags.alias("tags")).where(F.length("content") >= least)
+    return d.select("url", "title", "content", "tags", F.concat(F.lit("web:"), F.substring("title", 1, 100)).alias("source"), F.lit(0.5).alias("priority"))
 
 
 # Commands that tell nothing by themselves; fixed values.

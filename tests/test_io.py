@@ -68,6 +68,18 @@ def test_html_and_commands(spark):
     assert [r["c"] for r in c.where(imports.interesting_command(F.col("c"))).collect()] == ["ls -la | grep x", "git commit -m x", "ls --all -l"]
 
 
+def test_main_contents_of_pages(spark):
+    rows = [
+        ("u1", '<html><head><title> T </title><meta property="article:published_time" content="2024-03-05T10:00"></head><body><div class="ad">buy this now</div><article><h1>Head</h1><p>The story &amp; more</p></article><div>other things</div></body></html>'),
+        ("u2", "<html><body><p>No article in this page</p><time datetime='2023-01-02'>then</time></body></html>"),
+        ("u3", "<p>short</p>"),
+    ]
+    got = {r["url"]: r for r in imports.web_pages(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got.keys() == {"u1", "u2"}
+    assert (got["u1"]["title"], got["u1"]["content"], got["u1"]["tags"], got["u1"]["source"]) == ("T", "Head The story & more", ["web", "imported", "date:2024-03-05"], "web:T")
+    assert (got["u2"]["title"], got["u2"]["content"], got["u2"]["tags"]) == ("u2", "No article in this page then", ["web", "imported", "date:2023-01-02"])
+
+
 def test_training_formats(spark):
     m = spark.createDataFrame([(1, "c1", "l1", ["f1", "f2"], ["t"]), (2, "c2", "", ["f3"], []), (3, "c3", "l3", ["f4"], ["t", "u"])], "id long, content string, l3 string, l2 array<string>, tags array<string>")
     assert [json.loads(r["line"])["messages"][1]["content"] for r in exports.fine_tuning(m).orderBy("id").collect()] == [f"{exports.INSTRUCTION}l1", f"{exports.INSTRUCTION}l3"]
