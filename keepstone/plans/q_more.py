@@ -11,6 +11,7 @@ from keepstone.functions import constants as K
 from keepstone.functions import dates as D
 from keepstone.functions import profile_values as V
 from keepstone.functions.context import with_context
+from keepstone.functions.crypt import MARK, decrypted, encrypted
 from keepstone.operators import cards as C
 from keepstone.operators import profile as P
 from keepstone.operators import reports as O
@@ -42,12 +43,14 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
     return memories(spark, sf).select("id", new.alias("priority"))
 
 
-@query("x41_encryption", "SELECT doc_id AS id, md5(text) AS content_md5 FROM documents")
+@query("x41_encryption", "SELECT doc_id AS id, md5(text) AS content_md5, doc_id % 3 <> 0 AS hidden, doc_id % 3 <> 0 AS shut FROM documents")
 def x41(spark: SparkSession, sf: str) -> DataFrame:
-    """Contents encrypted and decrypted again; the key comes from the caller, here a fixed one for the round trip."""
-    key = F.lit("0123456789abcdef")
-    d = table(spark, sf, "documents").select("doc_id", F.aes_encrypt(F.col("text"), key).alias("e"))
-    return d.select(F.col("doc_id").alias("id"), F.md5(F.aes_decrypt("e", key).cast("string")).alias("content_md5"))
+    """Fields of which every third is from before encryption: what they hold, whether they hide it, and whether another key opens them."""
+    key, other = F.lit("0123456789abcdef"), F.lit("fedcba9876543210")
+    text = F.col("text")
+    d = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, text).otherwise(encrypted(text, key)).alias("e"))
+    hidden, shut = F.startswith("e", F.lit(MARK)), decrypted(F.col("e"), other) != text
+    return d.select(F.col("doc_id").alias("id"), F.md5(decrypted(F.col("e"), key)).alias("content_md5"), hidden.alias("hidden"), shut.alias("shut"))
 
 
 _TURNS = "texts AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations)"
