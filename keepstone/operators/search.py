@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 
@@ -187,31 +188,39 @@ def question_terms(spark: SparkSession, query: str) -> list[str]:
     return E.terms_of(spark.createDataFrame([(0, query)], "id long, text string")).first()["terms"]
 
 
-def signals_of(library: Library, query: str, now: datetime, k: int, graph_weight: float = K.WEIGHT_GRAPH, temporal_weight: float = K.WEIGHT_TEMPORAL, events_weight: float = K.WEIGHT_EVENTS) -> tuple[list[DataFrame], dict[str, float]]:
-    """The ranked signals of a question, and their weights: those of dates and events count only if they find anything."""
+def signals_of(library: Library, query: str, now: datetime, k: int, graph_weight: float = K.WEIGHT_GRAPH, temporal_weight: float = K.WEIGHT_TEMPORAL, events_weight: float = K.WEIGHT_EVENTS) -> tuple[DataFrame, dict[str, float]]:
+    """The ranks of a question's signals (id, signal, rank), and their weights: those of dates and events count only if they find anything.
+
+    Signals are found side by side, each by one job; of each the best k rows reach the driver.
+    """
     spark = library.memories.sparkSession
-    out: list[DataFrame] = []
-    extra: dict[str, float] = {}
+    jobs: dict[str, Callable[[], DataFrame | None]] = {}
     if library.vectors is not None:
-        q = E.vector(question_terms(spark, query), library.n_docs, library.frequency).tolist()
-        out.append(R.ranked(library.nearest(q, k) if library.nearest else R.vector_top(library.vectors, q, k), "vector", k))
+
+        def nearest() -> DataFrame:
+            if library.nearest is not None:
+                return library.nearest(E.vector(question_terms(spark, query), library.n_docs, library.frequency).tolist(), k)
+            return R.vector_top(library.vectors, E.vector(question_terms(spark, query), library.n_docs, library.frequency).tolist(), k)
+
+        jobs["vector"] = nearest
     if library.postings is not None:
-        out.append(R.ranked(bm25_scores(spark, library.postings, T.full_text_terms(query)), "text", k))
+        jobs["text"] = lambda: bm25_scores(spark, library.postings, T.full_text_terms(query))
     if library.edges is not None and library.entities is not None:
-        out.append(R.ranked(graph_scores(query, library.entities, library.edges), "graph", k))
-        extra["graph"] = graph_weight
-    dated = temporal_scores(query, library.memories, now, k // K.CANDIDATES or 1)
-    if dated is not None:
-        dated = R.ranked(dated, "temporal", k)
-        if dated.limit(1).count():
-            out.append(dated)
-            extra["temporal"] = temporal_weight
+        jobs["graph"] = lambda: graph_scores(query, library.entities, library.edges)
+    jobs["temporal"] = lambda: temporal_scores(query, library.memories, now, k // K.CANDIDATES or 1)
     if library.events is not None:
-        told = R.ranked(V.search_events(library.events, query, now.date(), k), "events", k)
-        if told.limit(1).count():
-            out.append(told)
-            extra["events"] = events_weight
-    return out, R.signal_weights(**extra)
+        jobs["events"] = lambda: V.search_events(library.events, query, now.date(), k)
+
+    def found(name: str) -> list:
+        scores = jobs[name]()
+        return [] if scores is None else R.ranked(scores, name, k).collect()
+
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        ranks = dict(zip(jobs, pool.map(found, jobs), strict=True))
+    extra = {"graph": graph_weight} if "graph" in jobs else {}
+    extra |= {name: w for name, w in (("temporal", temporal_weight), ("events", events_weight)) if ranks.get(name)}
+    rows = [tuple(r) for rs in ranks.values() for r in rs]
+    return spark.createDataFrame(rows, f"id {library.memories.schema['id'].dataType.simpleString()}, signal string, rank int"), R.signal_weights(**extra)
 
 
 def answer(library: Library, query: str, now: datetime, limit: int = 20, decompose: bool = False, min_score: float = 0.0, tags: list[str] | None = None, namespaces: list[str] | None = None, token_budget: int | None = None, scorer=None, **weights: float) -> DataFrame:
@@ -229,7 +238,8 @@ def answer(library: Library, query: str, now: datetime, limit: int = 20, decompo
             parts = one if parts is None else parts.unionByName(one)
         fused = R.merge_subqueries(parts, limit).where(F.col("score") >= min_score)
         return R.ranked(fused, "parts", limit).join(fused, "id").select("id", "score", "rank")
-    signals, w = signals_of(library, query, now, K.CANDIDATES * limit, **weights)
+    ranks, w = signals_of(library, query, now, K.CANDIDATES * limit, **weights)
+    signals = [ranks]
     at = _at(now)
     if scorer is None:
         return R.retrieve(library.memories, signals, w, at, limit, tags, namespaces, min_score, token_budget)

@@ -73,6 +73,13 @@ def r2(spark: SparkSession, sf: str) -> DataFrame:
     return Q.bm25_scores(spark, index_of(spark, sf), TERMS).orderBy(F.desc("score"), "id").limit(100).select("id", F.round("score", 9).alias("score"))
 
 
+@query("r2_index", f"WITH t AS (SELECT {tokens_sql('text')} AS t FROM documents) SELECT count(*) AS texts, round(avg(len(t)), 6) AS mean FROM t")
+def r2_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Builds the index that the questions of a session are asked of."""
+    index = index_of(spark, sf)
+    return spark.createDataFrame([(index.total, round(index.mean, 6))], "texts long, mean double")
+
+
 @query("r2_postings", f"WITH t AS (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS term FROM documents) SELECT term, count(*) AS occurrences, count(DISTINCT id) AS texts FROM t GROUP BY term")
 def r2_postings(spark: SparkSession, sf: str) -> DataFrame:
     return R.postings(docs(spark, sf)).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("texts"))
@@ -154,11 +161,7 @@ def library(spark: SparkSession, sf: str) -> Q.Library:
 def r7_signals(spark: SparkSession, sf: str) -> DataFrame:
     """The signals of a question, from its text; events have nothing to tell of these texts and so no weight."""
     told = all_events(spark, sf).where("id >= 0")  # of the documents
-    found, _ = Q.signals_of(replace(library(spark, sf), events=told), QUESTION, datetime(2024, 6, 1), 100, graph_weight=0.2)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return Q.signals_of(replace(library(spark, sf), events=told), QUESTION, datetime(2024, 6, 1), 100, graph_weight=0.2)[0]
 
 
 _BOOSTED = f"scored AS (SELECT m.*, CAST(f.rrf AS DOUBLE) * (0.5 + 0.5 * ({_PRIORITY})) * CASE WHEN superseded_by IS NOT NULL THEN 0.5 ELSE 1.0 END AS score FROM memories m JOIN fused f ON m.id = f.id)"

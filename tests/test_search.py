@@ -124,9 +124,8 @@ def test_all_signals_of_a_question(spark):
     lib = small_library(spark)
     found, weights = Q.signals_of(lib, "what did Alice Jones do with the bicycle in 2020?", NOW, 20, graph_weight=0.2, events_weight=0.1)
     by = {}
-    for s in found:
-        for r in s.collect():
-            by.setdefault(r["signal"], {})[r["id"]] = r["rank"]
+    for r in found.collect():
+        by.setdefault(r["signal"], {})[r["id"]] = r["rank"]
     assert by["text"].keys() >= {1, 3} and by["graph"] == {1: 1, 3: 2} and by["temporal"].keys() == {1, 4} and by["temporal"][1] == 1 and by["events"] == {1: 1}
     assert weights.keys() == {"graph", "temporal", "events", "vector", "text"} and abs(sum(weights.values()) - 1) < 1e-9
     top = Q.answer(lib, "what did Alice Jones do with the bicycle in 2020?", NOW, limit=2, graph_weight=0.2).orderBy("rank").collect()
