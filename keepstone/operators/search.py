@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -24,7 +23,7 @@ from keepstone.functions.stem import stem, stemmed
 from keepstone.operators import events as V
 from keepstone.operators import graph as G
 from keepstone.operators import retrieval as R
-from keepstone.operators.store import shared_dir
+from keepstone.operators.store import scratch
 
 
 @dataclass(frozen=True)
@@ -49,7 +48,7 @@ def build_postings(texts: DataFrame, stems: bool = False) -> Postings:
     spark = texts.sparkSession
     words = texts.select("id", T.tokenize(F.col("text")).alias("t"))
     words = stemmed(words) if stems else words
-    path = f"{shared_dir(spark)}/postings-{uuid.uuid4().hex}"
+    path = scratch(spark, "postings")
     counted = words.select("id", F.size("t").alias("length"), F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     counted.sortWithinPartitions("term", "id").write.option("parquet.block.size", 8 << 20).parquet(path)
     lengths = spark.read.parquet(path).agg(F.sum("tf").alias("words")).first()["words"] or 0
@@ -158,7 +157,7 @@ def build_sign_index(vectors: DataFrame, tables: int = 48, rows_in_bucket: int =
                 key = ((v @ shared.value > 0).reshape(b.num_rows, tables, bits) @ weight) * tables + np.arange(tables)
                 yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), tables)))], ["key", "id"])
 
-    path = f"{shared_dir(spark)}/signs-{uuid.uuid4().hex}"
+    path = scratch(spark, "signs")
     made = vectors.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).mapInArrow(keys, "key long, id long")
     made.repartitionByRange("key").sortWithinPartitions("key").write.option("parquet.block.size", 4 << 20).parquet(path)
     return SignIndex(path, bits, tables, planes, vectors)

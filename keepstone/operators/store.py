@@ -40,9 +40,15 @@ def _delete_written() -> None:
             p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes at the end of the process."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.add(path)
+    return path
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table and read it again: cuts lineage, and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.add(path)
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

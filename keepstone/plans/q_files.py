@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from keepstone.operators import rotation as R
 from keepstone.operators import search as Q
 from keepstone.operators import writing as W
-from keepstone.operators.store import shared_dir
+from keepstone.operators.store import scratch as place
 from keepstone.operators.summaries import summaries
 from keepstone.plans.data import MEMORIES_SQL, TEXTS_SQL, memories
 from keepstone.plans.q_graph import EDGES_SQL, edges, raw_edges
@@ -24,10 +23,6 @@ from keepstone.sources import imports as I
 _M = f"WITH {MEMORIES_SQL}"
 
 
-def place(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query("s8_jsonl", _M + " SELECT md5(trim(content)) AS content_md5, array_to_string(tags, ',') AS tags, source, priority FROM memories WHERE length(trim(content)) >= 5")
 def s8(spark: SparkSession, sf: str) -> DataFrame:
     """Exported lines and broken ones, from files."""

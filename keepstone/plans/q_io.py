@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keepstone.operators.store import shared_dir
+from keepstone.operators.store import scratch
 from keepstone.operators.summaries import summaries
 from keepstone.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, sql_text, texts
 from keepstone.plans.q_text import SUMMARY_SQL
@@ -68,9 +68,7 @@ def k8_obsidian(spark: SparkSession, sf: str) -> DataFrame:
 @query("k2_json_array", _M + " SELECT id, md5(content) AS content_md5, priority FROM memories")
 def k2(spark: SparkSession, sf: str) -> DataFrame:
     """Memories written as one JSON array, and its lines read again."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    path = scratch(spark, "array")
     X.json_array(memories(spark, sf), path)
     back = spark.read.text(path).select(F.from_json(F.regexp_replace("value", "^, ", ""), "id long, content string, priority double").alias("r")).select("r.*").where("id IS NOT NULL")
     return back.select("id", F.md5("content").alias("content_md5"), "priority")
@@ -154,13 +152,10 @@ def st6(spark: SparkSession, sf: str) -> DataFrame:
 @query("st_activity_windows", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def st_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The windows of the stream, from one run over what is there."""
-    import uuid
-
     schema = table(spark, sf, "events").schema
     # the events lie in a file or in a folder of that name; a pattern takes either
     stream = spark.readStream.schema(schema).parquet(f"{sf}/[e]vents.parquet")
-    name = uuid.uuid4().hex
-    path, state = f"{shared_dir(spark)}/windows-{name}", f"{shared_dir(spark)}/windows-state-{name}"
+    path, state = scratch(spark, "windows"), scratch(spark, "windows-state")
     s = stream.withColumn("ts", F.col("ts").cast("timestamp"))
     # complete windows only leave an append stream; an update at the end of all rows gives every one
     q = A.activity_windows(s).writeStream.outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.parquet(f"{path}/{i}")).start()
