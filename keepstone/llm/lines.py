@@ -58,6 +58,20 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     return places.select("a", "b", "id", "text_hash").join(boilerplate, ["a", "b"])
 
 
+def _key(x: Column) -> Column:
+    return F.struct(x["a"].alias("a"), x["b"].alias("b"))
+
+
+def _steps(keys: str) -> Column:
+    """Falling powers of two, from the largest that is no more than the number of keys."""
+    return F.when(F.size(keys) > 0, F.transform(F.sequence(F.floor(F.log2(F.size(keys))).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2.0), e).cast("int")))
+
+
+def _last_upto(keys: str, steps: str, key: Column) -> Column:
+    """The place of the last of the sorted keys that is no more than this one, by bisection; -1 if there is none."""
+    return F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.get(keys, at + step) <= key, at + step).otherwise(at))
+
+
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """Take lines that many sites share out of all documents but the first that has them.
 
@@ -66,6 +80,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     edges; blank lines stay. With keep_first a line stays at its first place in the document of
     the smallest id that has it (null ids last), so no content vanishes from the corpus.
     Null sites are no sites; null texts stay null with counts 0; repeated rows get the same result.
+    The lines of a text are looked up among its boilerplate lines by bisection, so a long text of n lines takes n log n steps.
     """
     docs = docs.drop("n_lines", "n_removed")
     names = docs.columns
@@ -76,13 +91,15 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     ident, text = (F.col(plain[names.index(c)]) for c in (id_col, text_col))
     d = docs.toDF(*plain).join(gone, ident.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("text_hash")), "left").drop("g_id", "text_hash")
     pieces = F.when(F.col("gone").isNotNull(), F.zip_with(F.split(text, "\n"), line_keys(text), lambda t, k: F.struct(t.alias("t"), k["a"].alias("a"), k["b"].alias("b"))))
-    d = d.withColumn("pieces", pieces).withColumn("gone_a", F.transform("gone", lambda g: g["a"]))
-    d = d.withColumn("all_a", F.transform("pieces", lambda x: x["a"]))
+    d = d.withColumn("pieces", pieces).withColumn("gone", F.sort_array("gone"))
+    d = d.withColumn("gone_keys", F.transform("gone", _key)).withColumn("order", F.when(F.exists("gone", lambda g: g["stays"]), F.sort_array(F.transform("pieces", lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("i"))))))
+    d = d.withColumn("firsts", F.filter("order", lambda x, i: ~_key(x).eqNullSafe(_key(F.get("order", i - 1)))))
+    d = d.withColumn("first_keys", F.transform("firsts", _key)).withColumn("gone_steps", _steps("gone_keys")).withColumn("first_steps", _steps("first_keys"))
 
     def kept(x: Column, i: Column) -> Column:
-        mark = F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(False).alias("stays"))
-        first_here = F.struct(x["a"].alias("a"), x["b"].alias("b"), F.lit(True).alias("stays"))
-        return F.when(x["a"].isNull() | ~F.array_contains("gone_a", x["a"]), True).when(F.array_contains("gone", mark), False).when(F.array_contains("gone", first_here), F.array_position("all_a", x["a"]) == i + 1).otherwise(True)
+        found = F.get("gone", _last_upto("gone_keys", "gone_steps", _key(x)))
+        first_here = F.get("firsts", _last_upto("first_keys", "first_steps", _key(x)))["i"] == i
+        return F.when(x["a"].isNull() | ~_key(found).eqNullSafe(_key(x)), True).otherwise(found["stays"] & first_here)
 
     d = d.withColumn("left_over", F.filter("pieces", kept))
     n_lines = F.coalesce(F.size(F.array_compact(line_keys(text))), F.lit(0))

@@ -572,3 +572,11 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     assert kept == set(brute_components([(x["doc_id"], x["text"]) for x in after_lines.collect()]).values())
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert set(out.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"} and {x["doc_id"] for x in out.collect()} <= kept
+
+
+def test_lines_of_a_long_text(spark):
+    """Six texts of 4,000 shared lines, of which some come twice in a text: all but the first place of each goes."""
+    many = [f"line {i} of many" for i in range(4000)]
+    rows = [(k, "\n".join([f"own {k}", *many, *many[::40]]), f"s{k}") for k in range(6)]
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {0: ("\n".join(["own 0", *many]), 100)} | {k: (f"own {k}", 4100) for k in range(1, 6)}
