@@ -16,9 +16,12 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (one machine) a temporary one."""
+    """The folder in spark.checkpoint.dir; where it is unset a temporary one in local mode, an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="keepstone-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
