@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keepstone.llm import ann, bpe, language, lines, minhash, mixing, pii, quality, substrings, warc
+from keepstone.llm import ann, bpe, language, lines, manifest, minhash, mixing, packing, pii, quality, substrings, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substrings": substrings.op8_substrings,
         "op9_language": language.op9_language,
         "op10_bpe": bpe.op10_bpe,
+        "op11_manifest": manifest.op11_manifest,
+        "op12_pack": packing.op12_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.OP2_SQL, "op5_minhash": minhash.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_lines": lines.OP7_SQL}
+    return {"op2_mix": mixing.OP2_SQL, "op5_minhash": minhash.OP5_SQL, "op6_warc": warc.OP6_SQL, "op7_lines": lines.OP7_SQL, "op11_manifest": manifest.OP11_SQL}
