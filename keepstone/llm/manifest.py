@@ -217,7 +217,7 @@ def manifest(leaves: DataFrame, fanout: int = 2) -> DataFrame:
     root = tops(top[-1]).select(F.col("digest").alias("root"))  # one row
     above = ways(top, fanout).join(top[0], ["g", "block"]).select("way", "levels", F.posexplode(F.get("levels", F.lit(0))).alias("i", "subroot"), "block")
     above = above.select((F.col("block") * width + F.col("i")).alias("place"), F.concat(_others(F.col("i"), fanout), F.col("way")).alias("over"))
-    groups = over.join(above, "place").join(F.broadcast(root)).select(F.col("name").alias("g"), "subroot", "root", "over")
+    groups = stash(over.join(above, "place").join(F.broadcast(root)).select(F.col("name").alias("g"), "subroot", "root", "over"), "manifest-groups", narrow=True)
 
     below = rounds[0].join(ways(rounds, fanout), ["g", "block"]).join(groups, "g").withColumn("up", F.concat("way", "over"))
 
