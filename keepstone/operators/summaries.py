@@ -31,11 +31,11 @@ def summary(text: str | None, sentences: list[str], words: list[list[str]]) -> t
     return sentences[ranked[0]][:ABSTRACT], [sentences[i] for i in sorted(kept)]
 
 
-def summaries(texts: DataFrame) -> DataFrame:
+def summaries(texts: DataFrame, keep_text: bool = False) -> DataFrame:
     """id, l3 (the best sentence, 200 characters at most) and l2 (a third of the sentences, one to five, in order) of (id, text).
 
     Texts are cut into sentences and words by built-in functions; words are counted within a row, so nothing is shuffled. A null
-    text has an empty abstract and no facts; one without sentences is its own.
+    text has an empty abstract and no facts; one without sentences is its own. With keep_text the text comes along.
     """
     cut = texts.select("id", "text", T.sentences(F.col("text")).alias("s"))
     cut = cut.select("id", "text", "s", F.transform("s", lambda x: T.tokenize(x)).alias("w"))
@@ -43,6 +43,7 @@ def summaries(texts: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             made = [summary(t, s or [], w or []) for t, s, w in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([l3 for l3, _ in made], pa.string()), pa.array([l2 for _, l2 in made], pa.list_(pa.string()))], ["id", "l3", "l2"])
+            columns = [b.column(0), pa.array([l3 for l3, _ in made], pa.string()), pa.array([l2 for _, l2 in made], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns + [b.column(1)] * keep_text, ["id", "l3", "l2"] + ["text"] * keep_text)
 
-    return cut.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, l3 string, l2 array<string>")
+    return cut.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, l3 string, l2 array<string>" + ", text string" * keep_text)
