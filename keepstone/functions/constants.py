@@ -294,6 +294,12 @@ NO_TOPICS = (
     "early young important sure really actually yes see seen look looked let help helped keep kept still something nothing everything anything someone everyone anyone here there now then "
     "today yesterday tomorrow user assistant"
 ).split()
+# What prefixes of embedded texts are made of: a topic word, a run of capitalised words inside a sentence, the ends of sentences, what isn't in a name, and what users say.
+TOPIC_WORD = r"\b[a-z][a-z0-9]{2,}\b"
+NAME_RUN = r"(?<![.!?\n]\s)(?<!\A)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"
+SENTENCE_ENDS = r"[.!?\n]+"
+NOT_IN_NAMES = r"[^A-Za-z']"
+USER_TURN = r"(?is)\[(?:user|human)\]\s*:?\s*(.+?)(?=\[|$)"
 LANGUAGES = {
     "py": "python", "js": "javascript", "ts": "typescript", "go": "go", "rs": "rust", "java": "java", "c": "c", "cpp": "c++", "h": "c", "jsx": "react", "tsx": "react typescript",
     "vue": "vue", "rb": "ruby", "md": "documentation", "yaml": "configuration", "json": "configuration", "toml": "configuration",

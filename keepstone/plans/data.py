@@ -10,6 +10,9 @@ from keepstone.session import table
 #: The time that queries take as now.
 NOW = "2024-06-01 00:00:00"
 
+#: What exported questions begin with.
+ASKING = "Tell what is known: "
+
 MEMORIES_SQL = """
 memories AS (
   SELECT doc_id AS id, text AS content, lang AS namespace, source,

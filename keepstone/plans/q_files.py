@@ -12,7 +12,7 @@ from keepstone.operators import search as Q
 from keepstone.operators import writing as W
 from keepstone.operators.store import scratch as place
 from keepstone.operators.summaries import summaries
-from keepstone.plans.data import MEMORIES_SQL, TEXTS_SQL, memories
+from keepstone.plans.data import ASKING, MEMORIES_SQL, TEXTS_SQL, memories
 from keepstone.plans.q_graph import EDGES_SQL, edges, raw_edges
 from keepstone.plans.q_text import SUMMARY_SQL, tokens_sql
 from keepstone.plans.registry import query
@@ -119,8 +119,8 @@ def s13(spark: SparkSession, sf: str) -> DataFrame:
 def k5(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     m = summaries(t).join(t.withColumnRenamed("text", "content"), "id")
-    r = X.instructions(m).select("id", F.from_json("line", "instruction string, input string, output string").alias("r"))
-    return r.select("id", F.md5(F.substring("r.instruction", len(X.INSTRUCTION) + 1, 1 << 30)).alias("asked_md5"), F.md5("r.output").alias("answered_md5"))
+    r = X.instructions(m, ASKING).select("id", F.from_json("line", "instruction string, input string, output string").alias("r"))
+    return r.select("id", F.md5(F.substring("r.instruction", len(ASKING) + 1, 1 << 30)).alias("asked_md5"), F.md5("r.output").alias("answered_md5"))
 
 
 @query("k11_backup", "SELECT doc_id, md5(text) AS text_md5 FROM documents")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keepstone.operators.store import scratch
 from keepstone.operators.summaries import summaries
-from keepstone.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, sql_text, texts
+from keepstone.plans.data import ASKING, MEMORIES_SQL, NOW, TEXTS_SQL, memories, now, sql_text, texts
 from keepstone.plans.q_text import SUMMARY_SQL
 from keepstone.plans.registry import query
 from keepstone.session import table
@@ -78,9 +78,9 @@ def k2(spark: SparkSession, sf: str) -> DataFrame:
 def k4(spark: SparkSession, sf: str) -> DataFrame:
     t = texts(spark, sf)
     m = summaries(t).join(t.withColumnRenamed("text", "content"), "id")
-    told = X.fine_tuning(m).select("id", F.from_json("line", "messages array<struct<role: string, content: string>>").alias("r"))
+    told = X.fine_tuning(m, ASKING).select("id", F.from_json("line", "messages array<struct<role: string, content: string>>").alias("r"))
     asked, answered = (F.get("r.messages", i)["content"] for i in (1, 2))
-    return told.select("id", F.md5(F.substring(asked, len(X.INSTRUCTION) + 1, 1 << 30)).alias("asked_md5"), F.md5(answered).alias("answered_md5"))
+    return told.select("id", F.md5(F.substring(asked, len(ASKING) + 1, 1 << 30)).alias("asked_md5"), F.md5(answered).alias("answered_md5"))
 
 
 @query("k6_questions_by_tag", f"{_M}, {TEXTS_SQL}, {SUMMARY_SQL}, x AS (SELECT m.id, m.tags[1] AS tag, coalesce(s.l2, []) AS l2 FROM memories m LEFT JOIN summary s ON m.id = s.id) SELECT tag, count(*) AS n, md5(array_to_string(flatten(list(l2 ORDER BY id)), ' ')) AS answer_md5 FROM x GROUP BY tag")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keepstone.functions import constants as K
 from keepstone.functions import dates as D
 from keepstone.functions import profile_values as V
-from keepstone.functions.context import with_context
+from keepstone.functions.context import prefix, with_context
 from keepstone.functions.crypt import MARK, decrypted, encrypted
 from keepstone.operators import cards as C
 from keepstone.operators import profile as P
@@ -20,7 +20,7 @@ from keepstone.operators import workspace as B
 from keepstone.operators import writing as W
 from keepstone.operators.calendar import answer, build
 from keepstone.operators.summaries import summaries
-from keepstone.plans.data import MEMORIES_SQL, hours_after, memories, sql_text, stamp, texts
+from keepstone.plans.data import MEMORIES_SQL, TEXTS_SQL, hours_after, memories, sql_text, stamp, texts
 from keepstone.plans.q_events import all_events
 from keepstone.plans.q_retrieval import index_of, part_sql
 from keepstone.plans.q_text import SUMMARY_SQL, sentences_sql
@@ -220,10 +220,30 @@ def st8(spark: SparkSession, sf: str) -> DataFrame:
     return W.since(e, after(), "event_id")[0]
 
 
-@query("x5_context_prefix", "SELECT * FROM (VALUES (1, 'Discussion about harbour, boats, paint involving Alice Jones, Alice, Jones. The harbour has boats. The harbour boats need paint, said Alice Jones.'), (2, 'Discussion about bread, yeast. [user]: bread and yeast [assistant]: flour'), (3, 'the of and'), (4, 'Mentions Bo. is it Bo')) t(id, text)")
+_NO_TOPIC = "[" + ", ".join(map(sql_text, sorted(set(K.STOP_WORDS) | set(K.NO_TOPICS)))) + "]"
+#: Look-behinds stand as what must come before a run of names.
+CONTEXT_SQL = f"""
+cw AS (SELECT id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_matches(w, '^[a-z][a-z0-9]{{2,}}$') AND NOT list_contains({_NO_TOPIC}, w)) AS w FROM texts),
+cc AS (SELECT id, w, count(*) AS n, min(i) AS i FROM (SELECT id, unnest(w) AS w, unnest(range(len(w))) AS i FROM cw) GROUP BY id, w),
+ct AS (SELECT id, list(w ORDER BY n DESC, i)[1:3] AS t FROM cc GROUP BY id),
+cf AS (
+  SELECT id, text, regexp_extract_all(text, '((^|[^.!?\n])\\s|\\S)([A-Z][a-z]+(\\s+[A-Z][a-z]+)+)', 3)
+    || list_filter(flatten(list_transform(string_split_regex(text, '[.!?\n]+'), lambda s: list_transform(string_split_regex(trim(regexp_replace(s, '\\s+', ' ', 'g')), ' ')[2:], lambda w: regexp_replace(w, '[^A-Za-z'']', '', 'g')))),
+      lambda w: regexp_matches(w, '^[A-Z].') AND NOT list_contains({_NO_TOPIC}, lower(w))) AS f
+  FROM texts
+),
+cn AS (SELECT id, text, list_filter(f, lambda x, i: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = i)[1:3] AS n FROM cf),
+cp AS (
+  SELECT cn.id, text, CASE WHEN len(t) > 0 THEN 'Discussion about ' || array_to_string(t, ', ') || CASE WHEN len(n) > 0 THEN ' involving ' || array_to_string(n, ', ') ELSE '' END || '.'
+    WHEN len(n) > 0 THEN 'Mentions ' || array_to_string(n, ', ') || '.' ELSE '' END AS prefix
+  FROM cn LEFT JOIN ct ON cn.id = ct.id
+)"""
+
+
+@query("x5_context_prefix", f"WITH {TEXTS_SQL}, {CONTEXT_SQL} SELECT id, prefix, md5(prefix || CASE WHEN prefix <> '' AND text <> '' THEN ' ' ELSE '' END || text) AS whole_md5 FROM cp WHERE text IS NOT NULL")
 def x5(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(1, "The harbour has boats. The harbour boats need paint, said Alice Jones."), (2, "[user]: bread and yeast [assistant]: flour"), (3, "the of and"), (4, "is it Bo")]
-    return spark.createDataFrame(rows, "id int, text string").select("id", with_context("text").alias("text"))
+    d = texts(spark, sf).where("text IS NOT NULL")
+    return d.select("id", prefix(F.col("text")).alias("prefix"), F.md5(with_context("text")).alias("whole_md5"))
 
 
 @query("p25_previews", _M + "SELECT id, md5(substr(trim(regexp_replace(substr(content, 1, 300), '(?s)<private>(.*?)</private>', '', 'g')), 1, 200)) AS preview_md5, round(priority / 3.0, 4) AS score FROM memories")

@@ -11,24 +11,21 @@ from pyspark.sql import functions as F
 
 JSONL_FIELDS = ("id", "content", "l3", "tags", "source", "priority", "namespace", "memory_type", "created_at")
 
-#: What instructions of exported training rows begin with; fixed value of the format.
-INSTRUCTION = "Recall: "
-
-
 def jsonl(memories: DataFrame) -> DataFrame:
     have = [c for c in JSONL_FIELDS if c in memories.columns]
     return memories.select("id", F.to_json(F.struct(*have)).alias("line"))
 
 
-def fine_tuning(memories: DataFrame, system: str = "You are a helpful assistant with access to stored memories.") -> DataFrame:
-    """Three messages for each memory with an abstract and a content."""
+def fine_tuning(memories: DataFrame, prefix: str, system: str = "You are a helpful assistant with access to stored memories.") -> DataFrame:
+    """Three messages for each memory with an abstract and a content; what the user asks begins with the prefix."""
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    m = F.array(message("system", F.lit(system)), message("user", F.concat(F.lit(INSTRUCTION), "l3")), message("assistant", F.col("content")))
+    m = F.array(message("system", F.lit(system)), message("user", F.concat(F.lit(prefix), "l3")), message("assistant", F.col("content")))
     return memories.where("coalesce(l3, '') <> '' AND coalesce(content, '') <> ''").select("id", F.to_json(F.struct(m.alias("messages"))).alias("line"))
 
 
-def instructions(memories: DataFrame) -> DataFrame:
-    return memories.where("coalesce(l3, '') <> ''").select("id", F.to_json(F.struct(F.concat(F.lit(INSTRUCTION), "l3").alias("instruction"), F.lit("").alias("input"), F.col("content").alias("output"))).alias("line"))
+def instructions(memories: DataFrame, prefix: str) -> DataFrame:
+    """An instruction, which begins with the prefix, and its output for each memory with an abstract."""
+    return memories.where("coalesce(l3, '') <> ''").select("id", F.to_json(F.struct(F.concat(F.lit(prefix), "l3").alias("instruction"), F.lit("").alias("input"), F.col("content").alias("output"))).alias("line"))
 
 
 def questions_by_tag(memories: DataFrame) -> DataFrame:

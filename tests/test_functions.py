@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keepstone.functions import dates, embed, scoring
 from keepstone.functions import text as T
+from keepstone.functions.context import prefix, with_context
 from keepstone.operators import graph, memories, patterns, retrieval, timeline
 from keepstone.operators.summaries import summaries
 
@@ -173,3 +174,30 @@ def test_trends_and_switches(spark):
     m = patterns.mentions(rows)
     got = {r["keyword"]: r["shift"] for r in patterns.trends(m, patterns.halves(rows)).collect()}
     assert got == {"react": -1.0, "vue": 1.0} and patterns.switches(m).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "session", "want"),
+    [
+        ("The harbour has boats. The harbour boats need paint, said Alice Jones.", None, "Discussion about harbour, boats, paint involving Alice Jones, Alice, Jones. The harbour has boats. The harbour boats need paint, said Alice Jones."),
+        ("[user]: bread and yeast [assistant]: flour", None, "Discussion about bread, yeast. [user]: bread and yeast [assistant]: flour"),
+        ("the of and", None, "the of and"),
+        ("is it Bo", None, "Mentions Bo. is it Bo"),
+        ("", None, ""),
+        (None, "a session", None),
+        ("he met Ann in Rome", "boats boats harbour", "This is part of a conversation about boats, harbour. The user discussed met, ann, rome, Ann. he met Ann in Rome"),
+        ("of the", "it is", "This is part of a conversation about various topics. of the"),
+        ("is it Bo", "", "Mentions Bo. is it Bo"),
+    ],
+)
+def test_context_before_a_text(spark, text, session, want):
+    d = spark.createDataFrame([(text, session)], "t string, s string")
+    assert d.select(with_context("t", "s").alias("x")).first()["x"] == want
+    if session is None:
+        assert d.select(with_context("t").alias("x")).first()["x"] == want
+
+
+def test_context_of_a_long_text(spark):
+    text = " ".join(f"word{i % 5000} Name{chr(97 + i % 26)}" for i in range(40_000))
+    got = spark.createDataFrame([(text,)], "t string").select(prefix(F.col("t")).alias("x")).first()["x"]
+    assert got.startswith("Discussion about namea, nameb, namec involving Namea, Nameb, Namec.")

@@ -82,7 +82,7 @@ def test_main_contents_of_pages(spark):
 
 def test_training_formats(spark):
     m = spark.createDataFrame([(1, "c1", "l1", ["f1", "f2"], ["t"]), (2, "c2", "", ["f3"], []), (3, "c3", "l3", ["f4"], ["t", "u"])], "id long, content string, l3 string, l2 array<string>, tags array<string>")
-    assert [json.loads(r["line"])["messages"][1]["content"] for r in exports.fine_tuning(m).orderBy("id").collect()] == [f"{exports.INSTRUCTION}l1", f"{exports.INSTRUCTION}l3"]
+    assert [json.loads(r["line"])["messages"][1]["content"] for r in exports.fine_tuning(m, "Tell me: ").orderBy("id").collect()] == ["Tell me: l1", "Tell me: l3"]
     assert {r["tag"]: r["answer"] for r in exports.questions_by_tag(m).collect()} == {"t": "f1 f2 f4", "general": "f3"}
 
 
