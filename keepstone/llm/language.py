@@ -12,12 +12,12 @@ from keepstone.llm.common import batches, give_back, record_batch, setup, stash,
 
 #: Size of the hashed n-gram space.
 BUCKETS = 1 << 13
-#: Labelled rows of each language from which the model is fitted, at most; a bound on the driver's memory.
+#: Labelled rows of each language from which the model is fitted, at most.
 SAMPLE_PER_LANGUAGE = 600
-#: The same for all languages together.
-SAMPLE_ROWS = 3_000
-#: Languages that are learned at most: those with the most labelled rows.
-MAX_LANGUAGES = 256
+#: The same for all languages together, where that leaves at least LEAST_PER_LANGUAGE for each.
+SAMPLE_ROWS, LEAST_PER_LANGUAGE = 3_000, 100
+#: Languages whose rates of sampling are broadcast; with more of them the join shuffles.
+BROADCAST_LANGUAGES = 10_000
 #: Centroids for each language, rounds of their clustering, and the share of a language's own least similarity that rejects.
 CLUSTERS, ROUNDS, SLACK = 4, 8, 0.6
 UNKNOWN = "und"
@@ -111,18 +111,19 @@ def fit_model(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Centr
 
     The sampled texts are read whole, on the executors, which send counts of n-grams on: how many rows
     have each bucket gives the IDF, and one task for each language clusters its at most
-    SAMPLE_PER_LANGUAGE vectors. Only BUCKETS counts and the centroids reach the driver. Equal rows count
+    SAMPLE_PER_LANGUAGE vectors. All languages are learned; only BUCKETS counts and the centroids (32 kB each) reach the driver. Equal rows count
     once, texts without a letter don't count; without labelled rows the model knows no language.
     """
     spark = docs.sparkSession
     setup(spark)
     rows = training_rows(docs).select("lang", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"), "text")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    sizes = stash(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages", narrow=True)
+    languages = sizes.count()
+    if not languages:
         return CentroidModel.of(np.ones(BUCKETS, np.float32), {})
-    most = max(1, min(per_language, SAMPLE_ROWS // len(sizes)))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, most / n))])
-    took = rows.where(F.pmod("h", F.lit(1 << 32)) < F.element_at(share, F.col("lang")) * float(1 << 32))
+    most = min(per_language, max(LEAST_PER_LANGUAGE, SAMPLE_ROWS // languages))
+    share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(most)) / F.col("n")).alias("share"))
+    took = rows.join(F.broadcast(share) if languages <= BROADCAST_LANGUAGES else share, "lang").where(F.pmod("h", F.lit(1 << 32)) < F.col("share") * float(1 << 32)).select("lang", "h", "text")
 
     def count(stream):
         schema = pa.schema([("lang", pa.string()), ("h", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))])

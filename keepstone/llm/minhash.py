@@ -2,8 +2,9 @@
 
 Links are confirmed on whole shingle sets, and no link is given up within a bucket. Its members
 meet the smallest one first, its head. Where that leaves a bucket in several components, members of
-different components meet: directly in a small bucket, in bounded pieces in a large one. Before texts are
-read, a bound on what two sets can share (from counts of their shingles in bins) rejects pairs, never a link.
+different components meet: directly in a small bucket; in a large one those that share one of their rarest
+shingles, without one of which no two sets are linked. Before texts are read, a bound on what two sets
+can share (from counts of their shingles in bins) rejects pairs, never a link.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ PERCENT = 85
 BINS = 512
 #: Members of a bucket in which pairs are made directly.
 SMALL = 32
-#: Members of a large bucket that are held against as many others in one go.
+#: Members with a rare shingle in common that are held against as many others in one go.
 UNIT = 1024
+#: Counters of how often shingles occur among the members of large torn buckets; shingles that share one seem more frequent.
+COUNTERS = 1 << 18
 #: Ids that are broadcast at most (8 bytes each); beyond that joins shuffle.
 BROADCAST_IDS = 100_000
 
@@ -246,10 +249,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     parts = components(_linked(met, bins, texts, percent).unionByName(bridges))
     torn = _torn(shared, parts)
     parts = _joined(parts, _linked(_small_rest(torn, reps.select("id", "marks"), percent), bins, texts, percent))
-    rest = _torn(torn.select("bucket", "id", "n"), parts).where(F.col("rows") > SMALL).select("main", "id", "c").distinct()
+    rest = _torn(torn.select("bucket", "id", "n"), parts).where(F.col("rows") > SMALL).select("id", "c").distinct()
     rest = stash(rest, "rest", narrow=True)
     if rest.limit(1).count():
-        parts = _joined(parts, _linked(_large_rest(rest, bins, percent), None, texts, percent))
+        parts = _joined(parts, _linked(_large_rest(rest, bins, texts, percent), None, texts, percent))
     alone = members.join(bridges.select("b").distinct(), "b", "left_anti")
     parts = parts.unionByName(alone.join(parts, alone["a"] == parts["node"], "left").select(F.col("b").alias("node"), F.coalesce("label", "a").alias("label")))
     out = signed.select("id", "n_shingles").join(parts, signed["id"] == parts["node"], "left")
@@ -299,22 +302,72 @@ def _small_rest(torn: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     return few.join(outside, "bucket").where(possible).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
-def _large_rest(rest: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of large buckets in different components that can be linked, for (main, id, c).
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often the shingles that fall to each of COUNTERS occur in (id, h); a shingle occurs at most that often."""
 
-    Each member outside a bucket's largest component is held against the members of the others by the
-    bound of _possible(). That is done for pieces of both sides of about UNIT rows, so that a task has bounded
-    work and only pairs that pass are written; nothing about two sets below the similarity rules out
-    more of them unread, so the work grows with the number of members outside times that of all.
+    def add(stream, arrays: bool):
+        n = np.zeros(COUNTERS, np.int64)
+        for b in stream:
+            flat = b.column(0).flatten().to_numpy(zero_copy_only=False)
+            if arrays:
+                n += flat.reshape(-1, COUNTERS).sum(0)
+            elif len(flat):
+                n += np.bincount(flat & (COUNTERS - 1), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array([n])], ["n"])
+
+    partial = stash(sets.select("h").mapInArrow(lambda stream: add(stream, False), "n array<long>"), "counters")  # a row a task
+    few = partial.repartition(8).mapInArrow(lambda stream: add(stream, True), "n array<long>").collect()
+    return np.sum([np.zeros(COUNTERS, np.int64), *[np.array(r["n"]) for r in few]], axis=0)
+
+
+def _rare(rest: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """id, token: the rarest shingles of each text of the ids in ``rest``, as many as two linked sets can't do without sharing one.
+
+    A set of n has percent * n / 100 shingles in common with any that it is linked with, so of its n less so many, and one more,
+    the two share at least one, if both take theirs in the same order; any order will do, and rare ones first
+    leaves few to meet. A shingle that no other text has is left out.
+    """
+    ids = rest.select("id").distinct()
+    wanted = texts.join(F.broadcast(ids) if at_most(ids, BROADCAST_IDS) else ids, "id", "left_semi")
+
+    def cut(stream):
+        for b in batches(stream):
+            found = [shingles(t)[0].view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "h"])
+
+    sets = stash(wanted.mapInArrow(cut, "id long, h array<long>"), "sets")
+    often = rest.sparkSession.sparkContext.broadcast(_frequencies(sets).astype(np.int32))  # COUNTERS numbers
+
+    def first(stream):
+        for b in batches(stream):
+            out = []
+            for h in b.column(1):
+                h = h.values.to_numpy(zero_copy_only=False)
+                n = often.value[h & (COUNTERS - 1)]
+                order = np.lexsort((h, n))[: len(h) - -(-percent * len(h) // 100) + 1]
+                out.append(h[order][n[order] > 1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["id", "tokens"])
+
+    made = sets.mapInArrow(first, "id long, tokens array<long>").select("id", F.explode("tokens").alias("token")).distinct()
+    return stash(made, "rare", narrow=True)
+
+
+def _large_rest(rest: DataFrame, bins: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of large torn buckets in different components that can be linked, for (id, c).
+
+    Members that share one of their rarest shingles meet, those outside the largest component of such a
+    group the members of the others, by the bound of _possible(). That is done for pieces of both sides of
+    about UNIT rows, so that a task has bounded work and only pairs that pass are written.
     """
-    rest = rest.join(bins, "id")
-    sizes = rest.groupBy("main").agg(F.count("*").alias("rows"), F.count_if(F.col("c") != F.col("main")).alias("out"))
-    sizes = stash(sizes.select("main", F.ceil(F.col("rows") / UNIT).cast("int").alias("pieces"), F.ceil(F.col("out") / UNIT).cast("int").alias("blocks")), "sizes", narrow=True)
-    placed = rest.join(F.broadcast(sizes) if at_most(sizes, BROADCAST_IDS) else sizes, "main")
+    named = _rare(rest, texts, percent).join(rest, "id")
+    counts = named.groupBy("token", "c").agg(F.count("*").alias("k"))
+    sizes = counts.groupBy("token").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.sum("k").alias("rows"), F.max("k").alias("most")).where("rows > most")
+    sizes = stash(sizes.select("token", "main", F.ceil(F.col("rows") / UNIT).cast("int").alias("pieces"), F.ceil((F.col("rows") - F.col("most")) / UNIT).cast("int").alias("blocks")), "sizes", narrow=True)
+    placed = named.join(F.broadcast(sizes) if at_most(sizes, BROADCAST_IDS) else sizes, "token").join(bins, "id")
     own = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    inner = placed.select("main", own(F.col("pieces"), "piece").alias("piece"), every(F.col("blocks")).alias("block"), F.lit(False).alias("outer"), "id", "c", "bins")
-    outer = placed.where("c <> main").select("main", every(F.col("pieces")).alias("piece"), own(F.col("blocks"), "block").alias("block"), F.lit(True).alias("outer"), "id", "c", "bins")
+    inner = placed.select("token", own(F.col("pieces"), "piece").alias("piece"), every(F.col("blocks")).alias("block"), F.lit(False).alias("outer"), "id", "c", "bins")
+    outer = placed.where("c <> main").select("token", every(F.col("pieces")).alias("piece"), own(F.col("blocks"), "block").alias("block"), F.lit(True).alias("outer"), "id", "c", "bins")
 
     def meet(unit: pd.DataFrame) -> pd.DataFrame:
         a, b = unit[unit["outer"]], unit[~unit["outer"]]
@@ -338,7 +391,7 @@ def _large_rest(rest: DataFrame, bins: DataFrame, percent: int) -> DataFrame:
             found.append(np.stack([np.minimum(ids[ok], i), np.maximum(ids[ok], i)], 1))
         return pd.DataFrame(np.concatenate(found), columns=["a", "b"])
 
-    return inner.unionByName(outer).groupBy("main", "piece", "block").applyInPandas(meet, "a long, b long").distinct()
+    return inner.unionByName(outer).groupBy("token", "piece", "block").applyInPandas(meet, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
