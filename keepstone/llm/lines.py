@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepstone.functions.context import bound
 from keepstone.llm.common import stash
 
 #: Characters that a line is stripped of before it is compared.
@@ -62,14 +65,44 @@ def _key(x: Column) -> Column:
     return F.struct(x["a"].alias("a"), x["b"].alias("b"))
 
 
-def _steps(keys: str) -> Column:
+def _steps(keys: Column) -> Column:
     """Falling powers of two, from the largest that is no more than the number of keys."""
     return F.when(F.size(keys) > 0, F.transform(F.sequence(F.floor(F.log2(F.size(keys))).cast("int"), F.lit(0), F.lit(-1)), lambda e: F.pow(F.lit(2.0), e).cast("int")))
 
 
-def _last_upto(keys: str, steps: str, key: Column) -> Column:
-    """The place of the last of the sorted keys that is no more than this one, by bisection; -1 if there is none."""
-    return F.aggregate(steps, F.lit(-1), lambda at, step: F.when(F.get(keys, at + step) <= key, at + step).otherwise(at))
+def _last_upto(table: Column, key: Column) -> Column:
+    """The place of the last of the sorted keys k of a table (k, steps) that is no more than this one, by bisection; -1 if there is none."""
+    return F.aggregate(table["steps"], F.lit(-1), lambda at, step: F.when(F.get(table["k"], at + step) <= key, at + step).otherwise(at))
+
+
+def _table(rows: Column, use: Callable[[Column], Column]) -> Column:
+    """use(table) of rows that are sorted by their keys (a, b): rows r, keys k, steps."""
+    return bound(rows, lambda r: bound(F.transform(r, _key), lambda k: bound(F.struct(r.alias("r"), k.alias("k"), _steps(k).alias("steps")), use)))
+
+
+def left_over(text: Column, gone: Column) -> Column:
+    """The lines that stay and the number of others, as a struct (lines, removed): gone has (a, b, stays) of a text's boilerplate lines.
+
+    Whatever is looked up in is bound once for a text: the expression can be moved or repeated by the optimiser
+    without being computed for each line.
+    """
+    pieces = F.zip_with(F.split(text, "\n"), line_keys(text), lambda t, k: F.struct(t.alias("t"), k["a"].alias("a"), k["b"].alias("b")))
+
+    def kept(p: Column, of_gone: Column, of_firsts: Column) -> Column:
+        def stays(x: Column, i: Column) -> Column:
+            found = F.get(of_gone["r"], _last_upto(of_gone, _key(x)))
+            first_here = F.get(of_firsts["r"], _last_upto(of_firsts, _key(x)))["i"] == i
+            return F.when(x["a"].isNull() | ~_key(found).eqNullSafe(_key(x)), True).otherwise(found["stays"] & first_here)
+
+        lines = F.transform(F.filter(p, stays), lambda x: x["t"])
+        return bound(lines, lambda x: F.struct(x.alias("lines"), (F.size(p) - F.size(x)).alias("removed")))
+
+    def with_firsts(p: Column, of_gone: Column) -> Column:
+        order = F.when(F.exists(of_gone["r"], lambda g: g["stays"]), F.sort_array(F.transform(p, lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("i")))))
+        firsts = bound(order, lambda o: F.filter(o, lambda x, i: ~_key(x).eqNullSafe(_key(F.get(o, i - 1)))))
+        return _table(firsts, lambda of_firsts: kept(p, of_gone, of_firsts))
+
+    return F.when(gone.isNotNull(), bound(pieces, lambda p: _table(F.sort_array(gone), lambda of_gone: with_firsts(p, of_gone))))
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first: bool = True, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -90,21 +123,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, keep_first:
     plain = [f"d{i}" for i in range(len(names))]  # no column's name can clash with those used here
     ident, text = (F.col(plain[names.index(c)]) for c in (id_col, text_col))
     d = docs.toDF(*plain).join(gone, ident.eqNullSafe(F.col("g_id")) & (F.xxhash64(text) == F.col("text_hash")), "left").drop("g_id", "text_hash")
-    pieces = F.when(F.col("gone").isNotNull(), F.zip_with(F.split(text, "\n"), line_keys(text), lambda t, k: F.struct(t.alias("t"), k["a"].alias("a"), k["b"].alias("b"))))
-    d = d.withColumn("pieces", pieces).withColumn("gone", F.sort_array("gone"))
-    d = d.withColumn("gone_keys", F.transform("gone", _key)).withColumn("order", F.when(F.exists("gone", lambda g: g["stays"]), F.sort_array(F.transform("pieces", lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), i.alias("i"))))))
-    d = d.withColumn("firsts", F.filter("order", lambda x, i: ~_key(x).eqNullSafe(_key(F.get("order", i - 1)))))
-    d = d.withColumn("first_keys", F.transform("firsts", _key)).withColumn("gone_steps", _steps("gone_keys")).withColumn("first_steps", _steps("first_keys"))
-
-    def kept(x: Column, i: Column) -> Column:
-        found = F.get("gone", _last_upto("gone_keys", "gone_steps", _key(x)))
-        first_here = F.get("firsts", _last_upto("first_keys", "first_steps", _key(x)))["i"] == i
-        return F.when(x["a"].isNull() | ~_key(found).eqNullSafe(_key(x)), True).otherwise(found["stays"] & first_here)
-
-    d = d.withColumn("left_over", F.filter("pieces", kept))
+    d = d.withColumn("done", left_over(text, F.col("gone")))
     n_lines = F.coalesce(F.size(F.array_compact(line_keys(text))), F.lit(0))
-    n_removed = F.when(F.col("pieces").isNotNull(), F.size("pieces") - F.size("left_over")).otherwise(F.lit(0))
-    left = F.when(F.col("pieces").isNotNull(), F.array_join(F.transform("left_over", lambda x: x["t"]), "\n")).otherwise(text)
+    n_removed = F.coalesce("done.removed", F.lit(0))
+    left = F.when(F.col("done").isNotNull(), F.array_join("done.lines", "\n")).otherwise(text)
     out = [left.alias(n) if n == text_col else F.col(p).alias(n) for p, n in zip(plain, names, strict=True)]
     return d.select(*out, F.when(text.isNull(), F.lit(0)).otherwise(n_lines).cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
 
