@@ -224,7 +224,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             _MODELS.clear()
             _MODELS[key] = WordBPE(shared.value)
         model = _MODELS[key]
-        for b in batches(stream):
+        for b in batches(stream, 2 << 20):  # the words of a batch are objects of their own
             texts = [t or "" for t in b.column(1).to_pylist()]
             cols: dict = {n: [] for n, _ in fields}
             for n, ids, back in model.encode(texts):
