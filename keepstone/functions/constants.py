@@ -294,6 +294,9 @@ NO_TOPICS = (
     "early young important sure really actually yes see seen look looked let help helped keep kept still something nothing everything anything someone everyone anyone here there now then "
     "today yesterday tomorrow user assistant"
 ).split()
+# Choices that say that there is no answer; shares of an answer's words that count as found, and as partly found.
+NO_ANSWERS = ["not answerable", "none of the above", "cannot be determined"]
+FOUND, PARTLY_FOUND = 0.8, 0.4
 # What prefixes of embedded texts are made of: a topic word, a run of capitalised words inside a sentence, the ends of sentences, what isn't in a name, and what users say.
 TOPIC_WORD = r"\b[a-z][a-z0-9]{2,}\b"
 NAME_RUN = r"(?<![.!?\n]\s)(?<!\A)([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)"

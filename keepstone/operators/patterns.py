@@ -29,8 +29,8 @@ def weekday_habits(rows: DataFrame, least: int = 3, share: float = 0.5) -> DataF
 def regular_intervals(rows: DataFrame, variation: float = 0.4, least_days: float = 2.0) -> DataFrame:
     """tag, mean_days and cv of tags that recur evenly: whole days between neighbours, zeros left out."""
     t = rows.select(F.explode("tags").alias("tag"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    w = Window.partitionBy("tag").orderBy("t")
-    gaps = t.withColumn("gap", F.floor((F.col("t") - F.lag("t").over(w)) / 86_400_000_000))
+    d = previous(placed(t, ["tag", "t"]), ["tag", "t"])  # in one order over all tags, so that a frequent one isn't one task's
+    gaps = d.withColumn("gap", F.when(F.col("tag") == F.col("last.tag"), F.floor((F.col("t") - F.col("last.t")) / 86_400_000_000)))
     s = gaps.groupBy("tag").agg(F.count("*").alias("n"), F.avg(F.when(F.col("gap") > 0, F.col("gap"))).alias("mean_days"), F.stddev_pop(F.when(F.col("gap") > 0, F.col("gap"))).alias("sd"))
     s = s.withColumn("cv", F.col("sd") / F.col("mean_days"))
     return s.where((F.col("n") >= 3) & (F.col("mean_days") >= least_days) & (F.col("cv") < variation)).select("tag", "mean_days", "cv")

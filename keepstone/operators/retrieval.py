@@ -86,47 +86,21 @@ def _nearest(shared, k: int):
     return run
 
 
-def coverage(texts: DataFrame, items: DataFrame, k: int = 1, block: int = QUERY_BLOCK) -> DataFrame:
-    """item, id, coverage and rank of the k texts that have most of each item's distinct words, for (id, text) and (item, text).
+def coverage(words: DataFrame, ids: DataFrame, items: DataFrame, k: int = 1) -> DataFrame:
+    """item, id, coverage and rank of the k texts that have most of each item's distinct words.
 
-    Items are taken in blocks, whose words are sent to the workers; each counts for a text how
-    many words of which items it has, and keeps k texts for each item. Ties to the smaller id; texts without any of the words count as well.
+    words: (id, term), each once, such as stored postings; ids: all texts (id); items: (item, text). Ties to the smaller id. Texts
+    without any of the words count as well: of those only the smallest ids can be among an item's best.
     """
-    spark = texts.sparkSession
-    words = items.select("item", F.array_distinct(T.tokenize(F.col("text"))).alias("w"), F.pmod(F.xxhash64("item"), F.lit(1 << 20)).alias("h"))
-    n_blocks = max(1, -(-words.count() // block))
-    out = None
-    for i in range(n_blocks):
-        one = words.where(F.pmod("h", F.lit(n_blocks)) == i).collect()  # about ``block`` rows
-        told = spark.sparkContext.broadcast([(r["item"], list(r["w"])) for r in one])
-        part = texts.select("id", T.tokenize(F.col("text")).alias("t")).mapInArrow(_covering(told, k), "item long, id long, coverage double")
-        out = part if out is None else out.unionByName(part)
+    wanted = items.select("item", F.array_distinct(T.tokenize(F.col("text"))).alias("w"))
+    asked = wanted.select("item", F.size("w").alias("n"), F.explode("w").alias("term"))
+    some = words.select("id", "term").join(asked, "term").groupBy("item", "id").agg((F.count("*") / F.max("n")).alias("coverage"))
+    first = ids.select("id").orderBy("id").limit(2 * k)
+    none = items.select("item").join(F.broadcast(first), F.lit(True)).withColumn("coverage", F.lit(0.0))  # 2 x k rows
     w = Window.partitionBy("item").orderBy(F.desc("coverage"), "id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _covering(told, k: int):
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = told.value
-        having: dict[str, list[int]] = {}
-        for i, (_, words) in enumerate(items):
-            for w in words:
-                having.setdefault(w, []).append(i)
-        known = {w: np.array(v) for w, v in having.items()}
-        size = np.maximum(1, np.array([len(w) for _, w in items], np.float64))
-        best: list[list[tuple[float, int]]] = [[] for _ in items]
-        for b in parts:
-            for doc, terms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                hits = [known[t] for t in set(terms or ()) if t in known]
-                share = (np.bincount(np.concatenate(hits), minlength=len(items)) if hits else np.zeros(len(items))) / size
-                floor = np.array([x[-1][0] if len(x) == k else -1.0 for x in best]) if items else share
-                for i in np.flatnonzero(share >= floor):
-                    best[i] = sorted([*best[i], (float(share[i]), doc)], key=lambda x: (-x[0], x[1]))[:k]
-        rows = [(items[i][0], doc, s) for i, x in enumerate(best) for s, doc in x]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["item", "id", "coverage"])
-
-    return run
+    top = some.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("rank")
+    both = top.unionByName(none.select(*top.columns)).groupBy("item", "id").agg(F.max("coverage").alias("coverage"))
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def ranked(scores: DataFrame, signal: str, k: int) -> DataFrame:

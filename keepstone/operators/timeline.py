@@ -61,9 +61,9 @@ def supersede(facts: DataFrame, entity: str = "entity", attribute: str = "attrib
     w = Window.partitionBy(*key).orderBy(at, order)
     v = F.lower(F.col(value).cast("string"))
     d = facts.withColumn("_change", F.coalesce((F.lag(v).over(w) != v).cast("int"), F.lit(0)))
-    d = d.withColumn("_run", F.sum("_change").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    next_run = F.min(F.when(F.col("_change") == 1, F.struct(F.col("_run"), F.col(at)))).over(w.rowsBetween(1, Window.unboundedFollowing))
-    return d.withColumn("valid_until", next_run[at]).drop("_change", "_run")
+    # backwards, so that what has been seen grows by one row at a time
+    later = Window.partitionBy(*key).orderBy(F.desc(at), F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return d.withColumn("valid_until", F.last(F.when(F.col("_change") == 1, F.col(at)), ignorenulls=True).over(later)).drop("_change")
 
 
 def current_facts(facts: DataFrame, entity: str = "entity", attribute: str = "attribute") -> DataFrame:

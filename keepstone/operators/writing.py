@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from datetime import datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keepstone.functions import constants as K
@@ -31,6 +32,26 @@ def _bands(n: int, threshold: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(MISSED) / math.log(1 - same))
 
 
+def _keyed(rows: DataFrame, planes: np.ndarray, bits: int, bands: int) -> DataFrame:
+    """id and keys (one a band) of (id, embedding): the signs of its projections."""
+    shared = rows.sparkSession.sparkContext.broadcast(planes)  # dimensions x bits x bands numbers
+
+    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = 1 << np.arange(bits, dtype=np.int64)
+        for b in parts:
+            if b.num_rows:
+                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                sign = (v @ shared.value > 0).reshape(b.num_rows, bands, bits)
+                k = (sign @ weight) * bands + np.arange(bands)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, k.size + 1, bands, dtype=np.int32), pa.array(k.reshape(-1)))], ["id", "keys"])
+
+    return rows.select("id", F.col("embedding").cast("array<float>").alias("v")).mapInArrow(keys, "id long, keys array<long>")
+
+
+def _planes(dimensions: int, bits: int, bands: int) -> np.ndarray:
+    return np.random.default_rng(11).standard_normal((dimensions, bits * bands)).astype(np.float32)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, block: list[str]) -> DataFrame:
     """Pairs (a < b) within a block whose unit vectors (id, embedding) have a dot product of at least the threshold.
 
@@ -45,19 +66,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: list[str]) -> Dat
     if first is None:
         return members
     bits, bands = _bands(n, threshold)
-    planes = np.random.default_rng(11).standard_normal((first["n"], bits * bands)).astype(np.float32)
-    shared = vectors.sparkSession.sparkContext.broadcast(planes)  # dimensions x bits x bands numbers
-
-    def keys(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight = 1 << np.arange(bits, dtype=np.int64)
-        for b in parts:
-            if b.num_rows:
-                v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                sign = (v @ shared.value > 0).reshape(b.num_rows, bands, bits)
-                k = (sign @ weight) * bands + np.arange(bands)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(0, k.size + 1, bands, dtype=np.int32), pa.array(k.reshape(-1)))], ["id", "keys"])
-
-    keyed = reps.select("id", F.col("embedding").cast("array<float>").alias("v")).mapInArrow(keys, "id long, keys array<long>")
+    keyed = _keyed(reps, _planes(first["n"], bits, bands), bits, bands)
     spread = stash(reps.select("id", *block).join(keyed, "id").select("id", *block, F.explode("keys").alias("key")), "bands")
     x, y = spread.withColumnRenamed("id", "a"), spread.withColumnRenamed("id", "b")
     met = x.join(y, [*block, "key"]).where("a < b").select("a", "b").distinct()
@@ -66,6 +75,67 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: list[str]) -> Dat
     return near.unionByName(members)
 
 
+@dataclass
+class Groups:
+    """Groups of similar vectors that grow by batches: what has been added is kept below a path, by batch, and never read by pairs again.
+
+    bands (key, id) and vectors are written once; each batch meets them by key. Equal vectors are one: only the first of each is stored
+    for others to meet. labels (id, label) has a version for each batch, in which groups that a batch has joined are one.
+    """
+
+    spark: SparkSession
+    path: str
+    threshold: float
+    dimensions: int
+    bits: int
+    bands: int
+    batches: int = 0
+
+    @classmethod
+    def start(cls, spark: SparkSession, path: str, threshold: float, dimensions: int, expected: int) -> Groups:
+        """expected: rows that are to come in all, about; more make fuller buckets, not other results."""
+        bits, bands = _bands(expected, threshold)
+        return cls(spark, path, threshold, dimensions, bits, bands)
+
+    def _so_far(self, name: str, schema: str) -> DataFrame:
+        made = [f"{self.path}/{name}/{k}" for k in range(self.batches)]
+        return self.spark.read.schema(schema).parquet(*made) if made else self.spark.createDataFrame([], schema)
+
+    def labels(self) -> DataFrame:
+        """id and label, the smallest id of its group, after the batches so far."""
+        schema = "id long, label long"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/labels/{self.batches - 1}") if self.batches else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, name: str) -> DataFrame:
+        at = f"{self.path}/{name}/{self.batches}"
+        rows.write.mode("overwrite").parquet(at)  # a batch that is repeated after a failure takes its own place
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Take a batch of unit vectors (id, embedding), ids that aren't there yet; the labels after it."""
+        old_vectors, old_bands, old_labels = self._so_far("vectors", "id long, embedding array<double>, h long"), self._so_far("bands", "key long, id long"), self.labels()
+        rows = batch.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("h", F.xxhash64("embedding"))
+        firsts = rows.groupBy("h", "embedding").agg(F.min("id").alias("id"))
+        known = old_vectors.select(F.col("id").alias("there"), "h", F.col("embedding").alias("e"))
+        found = stash(firsts.join(known, (firsts["h"] == known["h"]) & (firsts["embedding"] == known["e"]), "left").select("id", "embedding", firsts["h"], "there"), "firsts")
+        rep = found.select("h", "embedding", F.coalesce("there", "id").alias("rep"))
+        equal = rows.join(rep, ["h", "embedding"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        new = self._write(found.where("there IS NULL").select("id", "embedding", "h"), "vectors")
+        own = self._write(_keyed(new, _planes(self.dimensions, self.bits, self.bands), self.bits, self.bands).select(F.explode("keys").alias("key"), "id"), "bands")
+        met = own.withColumnRenamed("id", "a").join(old_bands.unionByName(own).withColumnRenamed("id", "b"), "key").where("a <> b").select("a", "b").distinct()
+        every = old_vectors.unionByName(new)
+        va, vb = new.select(F.col("id").alias("a"), F.col("embedding").alias("va")), every.select(F.col("id").alias("b"), F.col("embedding").alias("vb"))
+        near = met.join(va, "a").join(vb, "b").where(dot("va", "vb") >= self.threshold).select("a", "b").unionByName(equal)
+        # groups that the batch joins: only their labels, and the batch's ids, are in the graph
+        ends = near.join(old_labels.toDF("b", "l"), "b", "left").select("a", F.coalesce("l", "b").alias("b"))
+        nodes = rows.select(F.col("id").alias("node")).union(ends.select("b")).distinct()
+        joined = stash(G.components(nodes, stash(ends, "ends"), lambda d: stash(d, "labels")), "joined").toDF("old", "to")
+        moved = old_labels.join(joined, old_labels["label"] == joined["old"], "left").select("id", F.coalesce("to", "label").alias("label"))
+        out = self._write(moved.unionByName(rows.select("id").join(joined, F.col("id") == joined["old"]).select("id", F.col("to").alias("label"))), "labels")
+        self.batches += 1
+        return out
+
+
 def clusters(nodes: DataFrame, pairs: DataFrame, least: int = 1) -> DataFrame:
     """id and cluster (the smallest id linked to it) of nodes (id) in clusters of at least ``least``."""
     labels = G.components(nodes.select(F.col("id").alias("node")), stash(pairs, "pairs"), lambda d: stash(d, "labels"))
@@ -158,21 +228,29 @@ def contradicted(new: DataFrame, old: DataFrame, candidates: DataFrame) -> DataF
     return c.select("new_id", "old_id", T.contradiction(F.col("text_a"), F.col("text_b"), F.col("score")).alias("confidence")).where("confidence IS NOT NULL")
 
 
-def reflect(facts: DataFrame, pairs: DataFrame, least: int = 3) -> DataFrame:
-    """id and state of (id, text, at): duplicate, contradicted, merged or kept, and summary for merged ones.
+def reflect(facts: DataFrame, duplicates: DataFrame, related: DataFrame | None = None, least: int = 3, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """States of facts (id, text, at): id, cluster, state, merged_into; and the summaries that this makes: id, n, text.
 
-    Duplicates (pairs) are superseded by the newest of their group; of what is left, the older one of two facts that
-    contradict each other; groups of ``least`` similar facts that are left make a summary of their distinct texts.
+    Duplicates (pairs a, b) are superseded by the newest of their group; of what is left, the older one of two facts that
+    contradict each other; of what is left then, groups of ``least`` or more related ones (pairs) are merged: a summary has their distinct
+    texts in the order of ids (the first ``most``; n counts all facts), and each says which one it went into. States: duplicate, contradicted, merged, kept.
     """
-    label = clusters(facts.select("id"), pairs)
-    d = facts.join(label, "id").withColumn("newest", F.max(F.struct("at", "id")).over(Window.partitionBy("cluster")))
-    d = stash(d.withColumn("duplicate", F.col("newest.id") != F.col("id")).drop("newest"), "reflected")
+    label = clusters(facts.select("id"), duplicates)
+    newest = label.join(facts.select("id", "at"), "id").groupBy("cluster").agg(F.max(F.struct("at", "id"))["id"].alias("newest"))
+    d = stash(facts.join(label, "id").join(newest, "cluster").withColumn("duplicate", F.col("newest") != F.col("id")).drop("newest"), "reflected")
     left = d.where("NOT duplicate").select("id", "text", "at")
     clash = contradiction_pairs(left)
     at = left.select("id", "at")
-    older = clash.join(at.toDF("a", "at_a"), "a").join(at.toDF("b", "at_b"), "b").select(F.when(F.col("at_a") >= F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("older", F.lit(True))
-    states = d.join(older, "id", "left").withColumn("state", F.when(F.col("duplicate"), "duplicate").when(F.col("older"), "contradicted").otherwise("kept"))
-    return states.select("id", "cluster", "state")
+    older = stash(clash.join(at.toDF("a", "at_a"), "a").join(at.toDF("b", "at_b"), "b").select(F.when(F.col("at_a") >= F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct(), "older")
+    active = stash(left.join(older, "id", "left_anti").select("id", F.trim("text").alias("text")), "active")
+    both = facts.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0) if related is None else related.join(active.select(F.col("id").alias("a")), "a").join(active.select(F.col("id").alias("b")), "b").select("a", "b")
+    groups = stash(clusters(active.select("id"), both, least).select("id", F.concat(F.lit("summary-"), F.col("cluster").cast("string")).alias("merged_into")), "merged")
+    told = active.join(groups, "id")
+    texts = _first_seen(told.select("merged_into", "text", F.lit(0).alias("same"), "id"), "merged_into", "text", ["same", "id"], most)
+    summaries_ = told.groupBy("merged_into").agg(F.count("*").alias("n")).join(texts, "merged_into").select(F.col("merged_into").alias("id"), "n", F.array_join("text", "; ").alias("text"))
+    states = d.join(older.withColumn("older", F.lit(True)), "id", "left").join(groups, "id", "left")
+    state = F.when(F.col("duplicate"), "duplicate").when(F.col("older"), "contradicted").when(F.col("merged_into").isNotNull(), "merged").otherwise("kept")
+    return states.select("id", "cluster", state.alias("state"), "merged_into"), summaries_
 
 
 def since(facts: DataFrame, cursor: int, order: str = "id") -> tuple[DataFrame, Callable[[], int]]:

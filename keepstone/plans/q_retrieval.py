@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
 from dataclasses import replace
 from datetime import datetime
 
@@ -16,7 +14,7 @@ from keepstone.operators import graph as G
 from keepstone.operators import retrieval as R
 from keepstone.operators import search as Q
 from keepstone.operators.summaries import summaries
-from keepstone.plans.data import MEMORIES_SQL, NOW, SAMPLES, memories, now, samples, texts
+from keepstone.plans.data import MEMORIES_SQL, NOW, memories, now, texts
 from keepstone.plans.q_events import all_events
 from keepstone.plans.q_graph import WALK_SQL, edges, raw_edges
 from keepstone.plans.q_memories import _AGE, _STRENGTH
@@ -42,12 +40,19 @@ tot{x} AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM tok{x}),
 bm{x} AS (SELECT id, sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM tf{x} JOIN df{x} USING (w), tot{x} GROUP BY id HAVING sum(f) > 0)"""
 
 
-_INDEXES: dict[tuple[str, str, bool], Q.Postings] = {}
+_INDEXES: dict[tuple, Q.Postings] = {}
+
+
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: another state of it gives another tuple."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at)))
 
 
 def index_of(spark: SparkSession, sf: str, stems: bool = False) -> Q.Postings:
-    """The index of the documents, built once for a session."""
-    key = spark.sparkContext.applicationId, sf, stems
+    """The index of the documents, built once for a session and a state of the table."""
+    key = spark.sparkContext.applicationId, sf, stems, files_of(spark, f"{sf}/documents.parquet")
     if key not in _INDEXES:
         _INDEXES[key] = Q.build_postings(docs(spark, sf), stems)
     return _INDEXES[key]
@@ -230,7 +235,7 @@ _COVERED = f"tok AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents), b
 
 def covering(spark: SparkSession, sf: str, k: int) -> DataFrame:
     items = table(spark, sf, "benchmark").select(F.col("item_id").alias("item"), "text")
-    return R.coverage(docs(spark, sf), items, k)
+    return R.coverage(spark.read.parquet(index_of(spark, sf).path), docs(spark, sf), items, k)
 
 
 @query("p21_diagnostics", f"WITH {_COVERED}, m AS (SELECT item_id, max(c) AS c FROM x GROUP BY item_id) SELECT item_id, round(c, 6) AS coverage, CASE WHEN c >= 0.8 THEN 'OK' WHEN c >= 0.5 THEN 'PARTIAL_RETRIEVAL' ELSE 'RETRIEVAL_FAIL' END AS mode FROM m")
@@ -255,48 +260,6 @@ def r22(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("item_id", "doc_id", R.choice_score(F.lit(""), F.col("ctx"), F.col("text"), F.col("other")).alias("score"))
 
 
-def _terms(text: str) -> list[str]:
-    words = [w for w in re.findall(r"[^\W]+", text.lower()) if re.fullmatch("[a-z0-9]{2,}", w) and w not in K.STOP_WORDS]
-    return words + [f"{x}_{y}" for x, y in zip(words, words[1:], strict=False)]
-
-
-def _recorded() -> tuple[dict[int, int], list[tuple[int, int, float]]]:
-    """Frequencies of buckets over the samples, and (id, bucket, value) of their embeddings: term by term, as the method is defined."""
-    terms = {-i - 1: _terms(t) for i, t in enumerate(SAMPLES)}
-    place = {t: (E.murmur3(t.encode()) % E.DIM, 1 if E.murmur3(t.encode(), 1) < 1 << 31 else -1) for ts in terms.values() for t in ts}
-    df: dict[int, int] = {}
-    for ts in terms.values():
-        for b in {place[t][0] for t in ts}:
-            df[b] = df.get(b, 0) + 1
-    out = []
-    for i, ts in terms.items():
-        v: dict[int, float] = {}
-        for t in ts:
-            b, sign = place[t]
-            v[b] = v.get(b, 0) + sign
-        w = {b: math.copysign(1 + math.log(abs(x)), x) * math.log(1 + len(SAMPLES) / (1 + df[b])) for b, x in v.items() if x}
-        norm = math.sqrt(sum(x * x for x in w.values()))
-        out += [(i, b, round(x / norm, 4)) for b, x in w.items()]
-    return df, out
-
-
-_DF, _VALUES = _recorded()
-
-
-@query("x3_embedded_samples", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {b}, {v:.4f}::DOUBLE)" for i, b, v in _VALUES) + ") t(id, bucket, value)")
-def x3_samples(spark: SparkSession, sf: str) -> DataFrame:
-    """Embeddings of the samples against values that were recorded term by term."""
-    t = samples(spark)
-    freq = {r["bucket"]: r["n"] for r in E.document_frequency(t).collect()}  # 256 rows
-    e = E.embed(t, len(SAMPLES), freq).select(F.col("id").cast("int").alias("id"), F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
-    return e.select("id", "bucket", F.round(F.col("value").cast("double"), 4).alias("value"))
-
-
-@query("x4_sample_frequency", "SELECT * FROM (VALUES " + ", ".join(f"({b}, {n})" for b, n in sorted(_DF.items())) + ") t(bucket, n)")
-def x4_samples(spark: SparkSession, sf: str) -> DataFrame:
-    return E.document_frequency(samples(spark)).select("bucket", F.col("n").cast("int").alias("n"))
-
-
 @query("x3_embed")
 def x3(spark: SparkSession, sf: str) -> DataFrame:
     """Feature-hashed embeddings with the corpus's own document frequencies."""

@@ -34,7 +34,7 @@ def _load() -> None:
 
 
 #: The modules that register queries when they are imported.
-MODULES: list[str] = ["q_text", "q_memories", "q_retrieval", "q_graph", "q_timeline", "q_io", "q_more", "q_events", "q_writing", "q_files"]
+MODULES: list[str] = ["q_text", "q_memories", "q_retrieval", "q_graph", "q_timeline", "q_io", "q_more", "q_events", "q_writing", "q_files", "q_questions", "q_state", "q_sources"]
 
 
 def queries() -> dict[str, Query]:

@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keepstone.functions.context import bound
+
 NO_TAGS = "array<string>"
 
 
@@ -160,24 +162,64 @@ def read_chat_messages(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.trim(body).alias("content"), F.array().cast(NO_TAGS).alias("tags"), F.coalesce("name", F.lit("")).alias("title"), F.lit("chat").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 10)
 
 
-def html_text(html: Column) -> Column:
-    """The visible text of a page: scripts, styles, heads, menus and tags go, blanks are joined."""
-    t = F.regexp_replace(html, r"(?is)<(script|style|head|nav|footer)\b.*?</\1>", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+def _bare(html: Column) -> Column:
+    """Html without scripts, styles, heads, menus, footers and comments."""
+    return F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style|head|nav|footer)\b.*?</\1>", " "), r"(?s)<!--.*?-->", " ")
+
+
+def _visible(html: Column) -> Column:
+    t = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
     for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
+def html_text(html: Column) -> Column:
+    """The visible text of a page: scripts, styles, heads, menus and tags go, blanks are joined."""
+    return _visible(_bare(html))
+
+
+#: Tags that begin or end a block of text.
+BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|td|th|section|aside|header|article|main|blockquote|pre|form|figure|body|html)\b[^>]*>"
+LINK = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
+
+
+def _n_words(text: Column) -> Column:
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
+
+
+def dense_text(html: Column) -> Column:
+    """The blocks of a page that are content by their length, their share of links and their neighbours', a line each.
+
+    The rule is the decision tree of Kohlschütter, Fankhauser and Nejdl (Boilerplate detection using shallow text features, 2010) on
+    words and the share of words in links of a block, the one before and the one after. Missing neighbours have no words.
+    """
+    cut = F.transform(F.split(_bare(html), BLOCK), lambda b: F.struct(_visible(b).alias("t"), _n_words(_visible(F.array_join(F.regexp_extract_all(b, F.lit(LINK), F.lit(1)), " "))).alias("l")))
+    cut = F.transform(F.filter(cut, lambda b: b["t"] != ""), lambda b: F.struct(b["t"].alias("t"), _n_words(b["t"]).alias("n"), (b["l"] / _n_words(b["t"])).alias("d")))
+
+    def kept(x: Column) -> Column:
+        def content(b: Column, i: Column) -> Column:
+            words = lambda j: F.coalesce(F.get(x, j)["n"], F.lit(0))
+            linked = F.coalesce(F.get(x, i - 1)["d"], F.lit(0.0)) > 0.555556
+            alone = (b["n"] > 16) | (words(i + 1) > 15) | (words(i - 1) > 4)
+            after_links = (b["n"] > 40) | (words(i + 1) > 17)
+            return (b["d"] <= 0.333333) & F.when(linked, after_links).otherwise(alone)
+
+        return F.array_join(F.transform(F.filter(x, content), lambda b: b["t"]), "\n")
+
+    return bound(cut, kept)
+
+
 #: What holds the main content of a page, and where a page tells its date.
 MAIN = r"(?is)<(?:main|article)\b[^>]*>(.*)</(?:main|article)\s*>"
 DATED = r"(?is)(?:<meta\b[^>]*(?:published_time|[\"'](?:date|dc\.date|pubdate)[\"'])[^>]*content=[\"']|<time\b[^>]*datetime=[\"'])(\d{4}-\d{2}-\d{2})"
 
 
 def main_text(html: Column) -> Column:
-    """The visible text of a page's main part or article; of the whole page if it has none."""
+    """The visible text of a page's main part or article; without one its dense blocks, and if there are none all of it."""
     inner = F.regexp_extract(html, MAIN, 1)
-    return html_text(F.when(inner != "", inner).otherwise(html))
+    dense = F.when(inner == "", dense_text(html))
+    return F.when(inner != "", html_text(inner)).when(dense != "", dense).otherwise(html_text(html))
 
 
 def web_pages(pages: DataFrame, least: int = 10) -> DataFrame:

@@ -66,7 +66,7 @@ def test_contradictions_and_reflection(spark):
     ]
     d = spark.createDataFrame(rows, "id long, text string, at int")
     assert {(r["a"], r["b"]) for r in W.contradiction_pairs(d).collect()} == {(1, 2)}
-    got = {r["id"]: r["state"] for r in W.reflect(d, spark.createDataFrame([(3, 4)], "a long, b long")).collect()}
+    got = {r["id"]: r["state"] for r in W.reflect(d, spark.createDataFrame([(3, 4)], "a long, b long"))[0].collect()}
     assert got == {1: "contradicted", 2: "kept", 3: "duplicate", 4: "kept", 5: "kept"}
     new, after = W.since(d, 3)
     assert sorted(r["id"] for r in new.collect()) == [4, 5] and after() == 5
@@ -254,3 +254,44 @@ def test_streams_of_repositories_and_caches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(batches) == 3
+
+
+def test_related_facts_are_merged_into_summaries(spark):
+    """A duplicate, two that contradict each other, three related ones of which two say the same, a pair too small to merge."""
+    rows = [
+        (1, "the cache is in redis", 1), (2, "the cache is in redis", 2), (3, "feature flags must always be enabled here", 3), (4, "feature flags must never be enabled here", 4),
+        (5, "boats need paint", 5), (6, " boats need paint ", 6), (7, "boats need red paint", 7), (8, "gardens need water", 8), (9, "gardens like water", 9),
+    ]
+    d = spark.createDataFrame(rows, "id long, text string, at long")
+    pairs = lambda p: spark.createDataFrame(p, "a long, b long")
+    states, made = W.reflect(d, pairs([(1, 2)]), pairs([(5, 6), (6, 7), (8, 9), (1, 5), (3, 5)]))
+    got = {x["id"]: (x["state"], x["merged_into"]) for x in states.collect()}
+    assert got == {1: ("duplicate", None), 2: ("kept", None), 3: ("contradicted", None), 4: ("kept", None), 5: ("merged", "summary-5"), 6: ("merged", "summary-5"), 7: ("merged", "summary-5"), 8: ("kept", None), 9: ("kept", None)}
+    assert [tuple(x) for x in made.collect()] == [("summary-5", 3, "boats need paint; boats need red paint")]
+    assert W.reflect(d, pairs([(1, 2)]))[1].collect() == []
+
+
+def test_groups_by_batches_equal_one_pass(spark, tmp_path):
+    """A batch that joins groups of earlier ones, copies within and between batches, a batch that is repeated, an empty one."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((40, 12))
+    x = np.concatenate([base, base[:20] + 0.25 * rng.standard_normal((20, 12)), base[:20] + 0.25 * rng.standard_normal((20, 12)), base[:6]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.arange(len(x))
+    near = x @ x.T >= 0.85
+    while True:
+        least = np.where(near, label[None, :], len(x)).min(1)
+        if (least == label).all():
+            break
+        label = least
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    g = W.Groups.start(spark, str(tmp_path / "g"), 0.85, 12, len(x))
+    for k in (2, 0, 3, 1):
+        part = d.where(f"id % 4 = {k}")
+        g.add(part)
+        if k == 0:  # as after a failure before the batch was counted
+            g.batches -= 1
+            g.add(part)
+    g.add(d.where("id < 0"))
+    assert {r["id"]: r["label"] for r in g.labels().collect()} == dict(enumerate(label.tolist())) and len(set(label.tolist())) < 60
+    assert W.Groups.start(spark, str(tmp_path / "h"), 0.85, 12, 1).labels().count() == 0
