@@ -33,10 +33,25 @@ def _byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-def merge_words(words: list[tuple[int, ...]], ranks: dict[int, tuple[int, int]], span: int) -> list[list[int]]:
+def _occurrences(symbols: list[int], following: list[int], active: np.ndarray, span: int) -> dict[int, list[int]]:
+    """For each pair of adjacent symbols that has a rank (active, sorted) the places where it occurs, in order."""
+    s, f = np.array(symbols, np.int64), np.array(following, np.int64)
+    at = np.flatnonzero(f >= 0)
+    pair = s[at] * span + s[f[at]]
+    has = active[np.minimum(np.searchsorted(active, pair), len(active) - 1)] == pair
+    at, pair = at[has], pair[has]
+    order = np.argsort(pair, kind="stable")
+    at, pair = at[order], pair[order]
+    cuts = np.flatnonzero(np.diff(pair, prepend=-1))
+    ends = [*cuts[1:].tolist(), len(at)]
+    at = at.tolist()
+    return {p: at[i:j] for p, i, j in zip(pair[cuts].tolist(), cuts.tolist(), ends, strict=True)} if len(at) else {}
+
+
+def merge_words(words: list[list[int]], ranks: dict[int, tuple[int, int]], active: np.ndarray, span: int) -> list[list[int]]:
     """Apply merges to many words at once.
 
-    words: the symbols of each word; ranks: first * span + second -> (rank, merged symbol).
+    words: the symbols of each word; ranks: first * span + second -> (rank, merged symbol); active: the keys of ranks, sorted.
     """
     symbols: list[int] = []
     following: list[int] = []
@@ -51,10 +66,7 @@ def merge_words(words: list[tuple[int, ...]], ranks: dict[int, tuple[int, int]],
         if n:
             following[-1] = -1
             preceding[at] = -1
-    places: dict[int, list[int]] = {}
-    for i, j in enumerate(following):
-        if j >= 0 and (pair := symbols[i] * span + symbols[j]) in ranks:
-            places.setdefault(pair, []).append(i)
+    places = _occurrences(symbols, following, active, span)
     heap = [(ranks[p][0], p) for p in places]
     heapq.heapify(heap)
     while heap:
@@ -76,21 +88,19 @@ def merge_words(words: list[tuple[int, ...]], ranks: dict[int, tuple[int, int]],
             if k >= 0:
                 preceding[k] = i
                 right = merged * span + symbols[k]
-                if right in ranks:
-                    if right in places:
-                        places[right].append(i)
-                    else:
-                        places[right] = [i]
-                        heapq.heappush(heap, (ranks[right][0], right))
+                if (known := places.get(right)) is not None:
+                    known.append(i)
+                elif right in ranks:
+                    places[right] = [i]
+                    heapq.heappush(heap, (ranks[right][0], right))
             h = preceding[i]
             if h >= 0:
                 left = symbols[h] * span + merged
-                if left in ranks:
-                    if left in places:
-                        places[left].append(h)
-                    else:
-                        places[left] = [h]
-                        heapq.heappush(heap, (ranks[left][0], left))
+                if (known := places.get(left)) is not None:
+                    known.append(h)
+                elif left in ranks:
+                    places[left] = [h]
+                    heapq.heappush(heap, (ranks[left][0], left))
     out = []
     for at, w in zip(starts, words, strict=True):
         ids = []
@@ -121,6 +131,8 @@ class WordBPE:
         for r, pair in enumerate(m["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.ranks.setdefault(self.vocab[a] * self.span + self.vocab[b], (r, self.vocab[a + b]))
+        self.active = np.array(sorted(self.ranks), np.int64)
+        self.numbers = {i: str(i) for i in self.tokens}
         self.pattern = regex.compile(d["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")")
         self.blank = regex.compile(r"\s+")
@@ -171,11 +183,15 @@ class WordBPE:
         """Encode words that aren't known yet."""
         new = [w for w in words if w not in self.known]
         laid = []
+        inner = self.inner.__getitem__
         for w in new:
             b = w.encode("utf-8")
-            laid.append((*(self.inner[x] for x in b[:-1]), self.final[b[-1]]))
-        for w, ids in zip(new, merge_words(laid, self.ranks, self.span), strict=True):
-            self.known[w] = (len(ids), " ".join(map(str, ids)), " ".join(self.tokens[i] for i in ids))
+            symbols = list(map(inner, b))
+            symbols[-1] = self.final[b[-1]]
+            laid.append(symbols)
+        number, token = self.numbers.__getitem__, self.tokens.__getitem__
+        for w, ids in zip(new, merge_words(laid, self.ranks, self.active, self.span), strict=True):
+            self.known[w] = (len(ids), " ".join(map(number, ids)), " ".join(map(token, ids)))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text: the number of ids, the ids joined by a blank, and what they decode to."""
