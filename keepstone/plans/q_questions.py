@@ -11,6 +11,8 @@ from keepstone.operators import graph as G
 from keepstone.operators import questions as A
 from keepstone.operators import search as Q
 from keepstone.operators.intervals import within
+from keepstone.operators.segments import Segments
+from keepstone.operators.store import scratch, stash
 from keepstone.plans.data import MEMORIES_SQL, NOW, TEXTS_SQL, hours_after, memories, now, sql_text, stamp, stamp_sql, texts
 from keepstone.plans.q_embed import embedded_sql
 from keepstone.plans.q_graph import EDGES_SQL, edges, raw_edges
@@ -194,6 +196,29 @@ def r18(spark: SparkSession, sf: str) -> DataFrame:
     return A.answers_as_of(q, A.build_history(versions(spark, sf)), 20).select("qid", "id", "rank", F.round("score", 9).alias("score"))
 
 
+@query(
+    "x4_followed_index",
+    f"WITH l AS (SELECT doc_id AS id, CASE WHEN doc_id % 5 = 2 THEN text || ' rewh rewh' ELSE text END AS text FROM documents WHERE doc_id % 9 <> 4), "
+    f"live AS (SELECT id, coalesce({tokens_sql('text')}, []) AS t FROM l), "
+    "post AS (SELECT id, w, any_value(n) AS n, count(*) AS f FROM (SELECT id, len(t) AS n, unnest(t) AS w FROM live) GROUP BY id, w), dfs AS (SELECT w, count(*) AS df FROM post GROUP BY w), tot AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM live), "
+    f"qt AS (SELECT item_id AS qid, unnest(list_distinct({tokens_sql('text')})) AS w FROM benchmark), "
+    "bm AS (SELECT qid, id, sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM qt JOIN post USING (w) JOIN dfs USING (w), tot GROUP BY qid, id) "
+    "SELECT qid, id, round(score, 9) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 10",
+)
+def x4_followed(spark: SparkSession, sf: str) -> DataFrame:
+    """An index that has followed five batches: texts in three of them, updates of some, deletions of others; the SQL indexes what is left."""
+    d = docs(spark, sf)
+    index = Segments(spark, scratch(spark, "segments"))
+    for k in range(3):
+        index.put(d.where(F.col("id") % 3 == k))
+    index.put(d.where("id % 5 = 2").select("id", F.concat("text", F.lit(" rewh rewh")).alias("text")))
+    index.delete(d.where("id % 9 = 4").select("id"))
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    scores = stash(index.scores(A.terms_of(q)), "scores")
+    top = A.best(scores, "text", 10)
+    return scores.join(top, ["qid", "id"], "left_semi").select("qid", "id", F.round("score", 9).alias("score"))
+
+
 # ---- spans and points
 
 

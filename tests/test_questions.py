@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from keepstone.operators import intervals
 from keepstone.operators import questions as A
 from keepstone.operators import search as Q
+from keepstone.operators.segments import Segments
 
 NOW = datetime(2024, 6, 12, 10, 0)
 START = datetime(2024, 1, 1)
@@ -132,6 +133,31 @@ def test_scores_as_of_equal_those_of_snapshots(spark):
     assert 999 not in got and len(got) > 6
 
 
+def test_followed_index_equals_a_fresh_one(spark, tmp_path):
+    """Adds, updates, deletions, ids that come back, deletions of what isn't there, and merges, one after the other."""
+    r = random.Random(12)
+    index, held = Segments(spark, str(tmp_path / "s")), {}
+    asked = spark.createDataFrame([(1, w) for w in WORDS[:3]] + [(2, "word5"), (3, "unknown")], "qid long, term string")
+    for step in range(11):
+        if step % 4 == 3:
+            ids = r.sample(range(60), 9)
+            index.delete(spark.createDataFrame([(i,) for i in ids], "id long"))
+            held = {i: t for i, t in held.items() if i not in ids}
+        else:
+            new = {i: " ".join(r.choice(WORDS[:8]) for _ in range(r.randint(0, 6))) or None for i in r.sample(range(60), r.choice([2, 20]))}
+            index.put(spark.createDataFrame(list(new.items()), "id long, text string"))
+            held |= new
+        assert index.total == len(held) and index.words == sum(len((t or "").split()) for t in held.values())
+        if step in (0, 5, 10):
+            fresh = Q.build_postings(spark.createDataFrame(list(held.items()), "id long, text string"))
+            got = {}
+            for x in index.scores(asked).collect():
+                got.setdefault(x["qid"], {})[x["id"]] = round(x["score"], 9)
+            for qid, words in ((1, WORDS[:3]), (2, ["word5"])):
+                assert got.get(qid, {}) == {x["id"]: round(x["score"], 9) for x in Q.bm25_scores(spark, fresh, words).collect()}
+    assert len(index.parts) < 8 and Segments(spark, str(tmp_path / "none")).scores(asked).collect() == []
+
+
 # ---- spans and points
 
 
