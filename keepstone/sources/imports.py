@@ -181,6 +181,8 @@ def html_text(html: Column) -> Column:
 
 #: Tags that begin or end a block of text.
 BLOCK = r"(?i)</?(?:p|div|h[1-6]|li|ul|ol|dl|dt|dd|table|tr|td|th|section|aside|header|article|main|blockquote|pre|form|figure|body|html)\b[^>]*>"
+#: Words of dense blocks in all that make them the content of a page.
+DENSE = 25
 LINK = r"(?is)<a\b[^>]*>(.*?)</a\s*>"
 
 
@@ -216,10 +218,10 @@ DATED = r"(?is)(?:<meta\b[^>]*(?:published_time|[\"'](?:date|dc\.date|pubdate)[\
 
 
 def main_text(html: Column) -> Column:
-    """The visible text of a page's main part or article; without one its dense blocks, and if there are none all of it."""
+    """The visible text of a page's main part or article; without one its dense blocks, and if those have few words all of it."""
     inner = F.regexp_extract(html, MAIN, 1)
-    dense = F.when(inner == "", dense_text(html))
-    return F.when(inner != "", html_text(inner)).when(dense != "", dense).otherwise(html_text(html))
+    dense = bound(F.when(inner == "", dense_text(html)), lambda t: F.when(F.size(F.split(t, r"\s")) > DENSE, t))
+    return F.when(inner != "", html_text(inner)).otherwise(F.coalesce(dense, html_text(html)))
 
 
 def web_pages(pages: DataFrame, least: int = 10) -> DataFrame:
