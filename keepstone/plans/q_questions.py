@@ -56,7 +56,8 @@ dfs AS (SELECT w, count(*) AS df FROM post GROUP BY w),
 tot AS (SELECT count(*) AS total, avg(len(t)) AS mean FROM tokd),
 qt AS (SELECT id AS qid, unnest(list_distinct(t)) AS w FROM et WHERE src = 1),
 bm AS (SELECT qid, id, sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM qt JOIN post USING (w) JOIN dfs USING (w), tot GROUP BY qid, id),
-vx AS (SELECT q.id AS qid, d.id, sum(CAST(q.x AS DOUBLE) * CAST(d.x AS DOUBLE)) AS score FROM emb q JOIN emb d ON q.b = d.b AND q.src = 1 AND d.src = 0 GROUP BY q.id, d.id),
+vs AS (SELECT q.id AS qid, d.id, sum(CAST(q.x AS DOUBLE) * CAST(d.x AS DOUBLE)) AS score FROM emb q JOIN emb d ON q.b = d.b AND q.src = 1 AND d.src = 0 GROUP BY q.id, d.id),
+vx AS (SELECT q.id AS qid, d.id, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT id FROM emb WHERE src = 1) q CROSS JOIN dt d LEFT JOIN vs s ON s.qid = q.id AND s.id = d.id),
 nm AS (SELECT qid, 'u1' AS node FROM qs WHERE kind = 2 UNION SELECT qid, 'u' || (qid % 10) FROM qs WHERE kind = 2),
 mn AS (SELECT n AS node, count(*) AS m FROM (SELECT source AS n FROM edges0 UNION ALL SELECT target FROM edges0) GROUP BY n),
 f0 AS (SELECT qid, node, least(m / 5.0, 2.0) AS boost FROM nm JOIN mn USING (node)),
