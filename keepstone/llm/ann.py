@@ -3,7 +3,8 @@
 Every codebook has full-dimensional entries; a vector is the sum of one entry of each. Encoding is
 a beam search over the residuals. The squared norm of each sum is stored, so that a cosine with a
 query needs a table of the query's products with all entries, and one look-up for each codebook.
-The best by this score are ranked again with the original vectors.
+The cosine between a vector and its sum is stored too: angles obey the triangle inequality, so a vector whose
+sum is too far from the query can't be among the nearest. All others are ranked by the original vectors.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ SAMPLE = 8_000
 BOOKS, ENTRIES = 16, 256
 #: Partial sums that the beam keeps.
 BEAM = 8
-#: Distinct vectors for each query that are ranked again, and queries that are handled at once.
-SHORTLIST, QUERY_BLOCK = 200, 2_048
+#: Queries that are handled at once.
+QUERY_BLOCK = 2_048
+#: What single precision may add to a cosine of a sum.
+SLACK = 1e-4
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -101,6 +104,14 @@ class AdditiveQuantiser:
             norm, dot = norms.reshape(n, -1)[rows, best], dots.reshape(n, -1)[rows, best]
         return codes[:, 0].astype(np.uint8 if k <= 256 else np.int64), norm[:, 0]
 
+    def compared(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared norms of the sums, and their cosines with the unit vectors that they stand for; -1 for a small sum, of which nothing follows."""
+        total = np.zeros(x.shape)
+        for i in range(len(self.books)):
+            total += self.books[i][codes[:, i]]
+        norm = (total * total).sum(1)
+        return norm, np.where(norm > 1e-2, (x * total).sum(1) / np.sqrt(np.maximum(norm, 1e-2)), -1.0)
+
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query its products with all entries: queries x books x entries."""
         return (q.astype(np.float32) @ self.flat.T).reshape(len(q), *self.books.shape[:2])
@@ -113,16 +124,16 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return d.where(finite).where(F.exists("v", lambda x: x != 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", shortlist: int = SHORTLIST, block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """The k nearest rows of ``vectors`` by cosine for each row of ``queries`` (both: id and vector), but itself.
 
     Returns query_id, rank, vec_id, score double (cosine of the original vectors in double
     precision), ties to the smaller id. Rows with null ids, null or zero vectors or with null or non-finite
     components take no part; vectors of a length other than the most frequent sampled one take none
     either. Codebooks are fitted on the SAMPLE rows of the smallest hash; every row is encoded.
-    Queries are taken in blocks of ``block``; each is broadcast and meets all codes, of
-    which a worker keeps the ``shortlist`` best distinct vectors and the k + 1 smallest ids of each
-    (equal vectors have equal codes and scores, so no result can lie among the other copies).
+    Queries are taken in blocks of ``block``; each is broadcast and meets all codes. A worker ranks by their original vectors
+    all rows that the angles between query, sum and vector don't rule out, and keeps k for each query: none of the nearest is
+    missed, however many rows have much the same code.
     Repeated ids are rows of their own; a repeated query id is asked with the smallest of its vectors. With fewer candidates than k
     all are returned. Scoring is exhaustive: each block of queries takes one pass over all codes (BOOKS bytes a row and a norm).
     """
@@ -145,18 +156,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         for b in batches(stream, max_rows=1024):
             v = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, dim)
             u = v / np.linalg.norm(v, axis=1, keepdims=True)
-            codes, norm = shared.value.encode(u)
-            schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("code", pa.binary()), ("norm", pa.float32())])
-            yield record_batch(schema, {"id": b.column(0), "v": b.column(1), "code": [c.tobytes() for c in codes], "norm": norm})
+            codes, _ = shared.value.encode(u)
+            norm, off = shared.value.compared(u, codes)
+            schema = pa.schema([("id", pa.int64()), ("v", pa.list_(pa.float64())), ("code", pa.binary()), ("norm", pa.float32()), ("off", pa.float64())])
+            yield record_batch(schema, {"id": b.column(0), "v": b.column(1), "code": [c.tobytes() for c in codes], "norm": norm, "off": off})
 
-    coded = stash(every.where(F.size("v") == dim).mapInArrow(encode, "id long, v array<double>, code binary, norm float"), "coded")
+    coded = stash(every.where(F.size("v") == dim).mapInArrow(encode, "id long, v array<double>, code binary, norm float, off double"), "coded")
     asked = stash(usable(queries, id_col, vec_col).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(1 << 30)).alias("h")), "asked", narrow=True)
     n_blocks = max(1, -(-asked.count() // block))
     parts = []
     for i in range(n_blocks):
         one = asked.where(F.pmod("h", F.lit(n_blocks)) == i).orderBy("id").toPandas()  # about ``block`` queries
         if len(one):
-            parts.append(stash(_block(coded, one, shared, k, shortlist), "nearest", narrow=True))
+            parts.append(stash(_block(coded, one, shared, k), "nearest", narrow=True))
     if not parts:
         return empty
     out = parts[0]
@@ -165,83 +177,76 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
     return out
 
 
-def _block(coded: DataFrame, one, shared, k: int, shortlist: int) -> DataFrame:
+def _block(coded: DataFrame, one, shared, k: int) -> DataFrame:
     """The result for one block of queries."""
-    spark = coded.sparkSession
     q_ids = one["id"].to_numpy(np.int64)
-    q = np.array(one["v"].tolist(), np.float64)
-    told = spark.sparkContext.broadcast((q_ids, (q / np.linalg.norm(q, axis=1, keepdims=True)).astype(np.float32)))
+    told = coded.sparkSession.sparkContext.broadcast((q_ids, np.array(one["v"].tolist(), np.float64)))
 
     def scan(stream):
         q_ids, q = told.value
-        tables = shared.value.tables(q)
+        unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+        tables = shared.value.tables(unit)
         books = tables.shape[1]
-        # for each query the best so far: score, vector's hash, id
-        best_s = np.full((len(q), 0), 0, np.float32)
-        best_h = np.zeros((len(q), 0), np.int64)
-        best_i = np.zeros((len(q), 0), np.int64)
+        # for each query the k best so far, score and id in order, and what the k-th has at least
+        best = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+        least = np.full(len(q), -np.inf)
         for b in batches(stream, max_rows=4096):
+            ids, off = b.column(0).to_numpy(zero_copy_only=False), b.column(4).to_numpy(zero_copy_only=False)
+            v = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             codes = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, books).astype(np.int64)
             norm = 1 / np.sqrt(np.maximum(b.column(3).to_numpy(zero_copy_only=False), 1e-12))
-            ids, hashes = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
-            keep_s, keep_h, keep_i = [], [], []
+            u = v / np.linalg.norm(v, axis=1, keepdims=True)
+            aside = np.sqrt(np.maximum(0, 1 - off * off))
             for j in range(len(q)):
                 s = tables[j, 0][codes[:, 0]].copy()
                 for m in range(1, books):
                     s += tables[j, m][codes[:, m]]
                 s *= norm
-                s = np.concatenate([best_s[j], s]) if best_s.shape[1] else s
-                h = np.concatenate([best_h[j], hashes]) if best_h.shape[1] else hashes
-                d = np.concatenate([best_i[j], ids]) if best_i.shape[1] else ids
-                keep = _shortlist(s, h, d, shortlist, k + 1)
-                keep_s.append(s[keep])
-                keep_h.append(h[keep])
-                keep_i.append(d[keep])
-            best_s, best_h, best_i = _ragged(keep_s, keep_h, keep_i)
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("h", pa.int64()), ("s", pa.float32())])
-        for j in range(len(q_ids) if best_s.shape[1] else 0):
-            ok = best_s[j] > -np.inf
-            yield record_batch(schema, {"query_id": np.full(int(ok.sum()), q_ids[j]), "vec_id": best_i[j][ok], "h": best_h[j][ok], "s": best_s[j][ok]})
-
-    near = stash(coded.select("id", F.xxhash64("v").alias("h"), "code", "norm").mapInArrow(scan, "query_id long, vec_id long, h long, s float"), "near", narrow=True)  # codes are scanned once
-    # the shortlist over all workers: distinct vectors by score; a worker has sent at most shortlist x (k + 1) rows for a query
-    heads = near.groupBy("query_id", "h").agg(F.max("s").alias("s"))
-    chosen = heads.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "h"))).where(F.col("r") <= shortlist).select("query_id", "h")
-    near = near.select("query_id", "vec_id", "h").join(chosen, ["query_id", "h"])
-    asked = spark.createDataFrame(one[["id", "v"]].assign(v=one["v"].map(list)), "id long, v array<double>").select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    pairs = near.where("query_id <> vec_id").join(coded.select(F.col("id").alias("vec_id"), "v", F.xxhash64("v").alias("h")), ["vec_id", "h"]).join(asked, "query_id")
-
-    def dot(a: str, b: str):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-    score = dot("qv", "v") / (F.sqrt(dot("qv", "qv")) * F.sqrt(dot("v", "v")))
+                own = ids == q_ids[j]
+                if least[j] == -np.inf and b.num_rows > 4 * k:  # a first bound, from the best sums
+                    some = np.flatnonzero(~own)
+                    some = some[np.argpartition(-s[some], 4 * k - 1)[: 4 * k]] if len(some) > 4 * k else some
+                    first = np.sort(u[some] @ unit[j])[::-1]
+                    least[j] = first[k - 1] - 1e-9 if len(first) >= k else -np.inf
+                rows = np.flatnonzero(_reachable(s, off, aside, least[j]) & ~own)
+                if not len(rows):
+                    continue
+                near = u[rows] @ unit[j]  # but for rounding
+                if len(rows) > k:
+                    least[j] = max(least[j], np.partition(near, len(near) - k)[len(near) - k] - 1e-9)
+                rows = rows[near >= least[j]]
+                score, i = np.concatenate([best[j][0], _cosine(q[j], v[rows])]), np.concatenate([best[j][1], ids[rows]])
+                top = np.lexsort((i, -score))[:k]
+                best[j] = score[top], i[top]
+                if len(top) == k:
+                    least[j] = max(least[j], score[top[-1]] - 1e-9)
+        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        for i in range(0, len(q), 512):
+            part = best[i : i + 512]
+            n = [len(x) for _, x in part]
+            if sum(n):
+                yield record_batch(schema, {"query_id": np.repeat(q_ids[i : i + 512], n), "vec_id": np.concatenate([x for _, x in part]), "score": np.concatenate([x for x, _ in part])})
+
+    near = coded.select("id", "v", "code", "norm", "off").mapInArrow(scan, "query_id long, vec_id long, score double")  # at most k rows a query from each worker
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.select("query_id", "vec_id", score.alias("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _shortlist(s: np.ndarray, h: np.ndarray, ids: np.ndarray, n: int, copies: int) -> np.ndarray:
-    """Places of the n best distinct vectors, of each the ``copies`` smallest ids."""
-    width = n
-    while True:
-        width = min(len(s), 4 * width)
-        top = np.argpartition(-s, width - 1)[:width]
-        if width == len(s) or len(np.unique(h[top])) >= n:
-            break
-    if width < len(s):
-        top = np.flatnonzero(s >= s[top].min())  # with all that tie with the last
-    order = top[np.lexsort((ids[top], h[top], -s[top]))]
-    new = np.r_[True, h[order][1:] != h[order][:-1]]
-    group = np.cumsum(new) - 1
-    start = np.flatnonzero(new)
-    return order[(group < n) & (np.arange(len(order)) - start[group] < copies)]
-
-
-def _ragged(s: list, h: list, ids: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    width = max(map(len, s), default=0)
-    out = np.full((len(s), width), -np.inf, np.float32), np.zeros((len(s), width), np.int64), np.zeros((len(s), width), np.int64)
-    for j, x in enumerate(s):
-        out[0][j, : len(x)], out[1][j, : len(x)], out[2][j, : len(x)] = x, h[j], ids[j]
-    return out
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _reachable(s: np.ndarray, off: np.ndarray, aside: np.ndarray, least: float) -> np.ndarray:
+    """Whether a vector can have a cosine of ``least`` with the query, whose cosine with its sum is s and its own with that sum ``off``.
+
+    The angle between query and sum is at most that between query and vector and that between vector and sum together.
+    """
+    if least <= -1:
+        return np.ones(len(s), bool)
+    most = min(least, 1.0)
+    return (s >= most * off - np.sqrt(1 - most * most) * aside - SLACK) | (most <= -off)
+
+
+def _cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Cosines of q and the rows of v, summed in the order of the dimensions: equal vectors get equal cosines, wherever they lie."""
+    dot = lambda x, y: np.cumsum(x * y, axis=-1)[..., -1]
+    return dot(q, v) / (np.sqrt(dot(q, q)) * np.sqrt(dot(v, v)))
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

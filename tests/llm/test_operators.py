@@ -60,6 +60,24 @@ def test_ann_hit_rate_ties_and_unusable_vectors(spark):
     assert [i for i, _ in got[700]] == [10, 701, 702, 703, 704]
 
 
+def test_ann_misses_none_of_the_nearest(spark):
+    """Rows that codes can't tell apart: dense groups of hundreds, vectors around one far point, and many dimensions."""
+    rng = np.random.default_rng(8)
+    dense = rng.standard_normal((3, 32))[rng.integers(0, 3, 3000)] + 1e-3 * rng.standard_normal((3000, 32))
+    far = 50 + rng.standard_normal((2000, 16))
+    wide = rng.standard_normal((2000, 256))
+    for x in (dense, far, wide):
+        e = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        got = {}
+        for r in ann.search(e, e.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append(r["vec_id"])
+        for q in range(0, len(x), 50):
+            s = u @ u[q]
+            s[q] = -2
+            assert got[q] == np.argsort(-s)[:5].tolist()
+
+
 def test_ann_few_candidates_and_empty(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0]), (50, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(v, v).orderBy("query_id").collect()] == [(0, 50), (50, 0)]
