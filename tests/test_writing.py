@@ -271,6 +271,22 @@ def test_related_facts_are_merged_into_summaries(spark):
     assert W.reflect(d, pairs([(1, 2)]))[1].collect() == []
 
 
+def test_similar_pairs_leave_their_bucket_only_where_they_are_near(spark, monkeypatch):
+    """3,000 vectors of which few are near: far fewer pairs leave the buckets than meet in them, also where buckets are cut."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 24))
+    x[2900:] = x[:100] + 0.3 * rng.standard_normal((100, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "id long, embedding array<double>, ns int")
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.8, 1)))}
+    met, inner = [], W._met
+    monkeypatch.setattr(W, "_met", lambda *a: met.append(inner(*a)) or met[-1])
+    assert {(r["a"], r["b"]) for r in W.similar_pairs(d, 0.8, ["ns"]).collect()} == want and len(want) > 50
+    assert met[-1].count() < 2 * len(want) + 20
+    monkeypatch.setattr(W, "PIECE", 16)
+    assert {(r["a"], r["b"]) for r in W.similar_pairs(d, 0.8, ["ns"]).collect()} == want
+
+
 def test_groups_by_batches_equal_one_pass(spark, tmp_path):
     """A batch that joins groups of earlier ones, copies within and between batches, a batch that is repeated, an empty one."""
     rng = np.random.default_rng(9)
