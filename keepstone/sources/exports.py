@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,17 +51,22 @@ def logseq(memories: DataFrame) -> DataFrame:
 
 
 def age(created: Column, now: Column) -> Column:
-    """Minutes, hours or days as 5m, 3h, 2d."""
+    """Minutes, hours or days as 5m, 3h, 2d; of times ahead of now days below zero."""
     s = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 1_000_000
     unit = lambda d, u: F.concat(F.floor(s / d).cast("string"), F.lit(u))
-    return F.when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+    return F.when((s >= 0) & (s < 3600), unit(60, "m")).when((s >= 0) & (s < 86400), unit(3600, "h")).otherwise(unit(86400, "d"))
 
 
-def context(memories: DataFrame, now: Column, tags: int = 20, recent: int = 20, important: int = 10) -> DataFrame:
+def age_in_days(created: Column, now: Column) -> Column:
+    """Whole days as 2d, whatever the age."""
+    return F.concat(F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))) / 86_400_000_000).cast("string"), F.lit("d"))
+
+
+def context(memories: DataFrame, now: Column, tags: int = 20, recent: int = 20, important: int = 10, aged: Callable[[Column, Column], Column] = age) -> DataFrame:
     """section, pos and text: frequent tags, recent memories with ages, contents of the most important ones. Few rows."""
     t = memories.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(tags)
     a = t.select(F.lit("tags").alias("section"), (-F.col("n")).cast("double").alias("pos"), F.concat("tag", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("text"))
-    r = memories.orderBy(F.desc("created_at"), F.desc("id")).limit(recent).select(F.lit("recent").alias("section"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).cast("double").alias("pos"), F.concat(F.lit("["), age(F.col("created_at"), now), F.lit("] "), F.substring("content", 1, 80)).alias("text"))
+    r = memories.orderBy(F.desc("created_at"), F.desc("id")).limit(recent).select(F.lit("recent").alias("section"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).cast("double").alias("pos"), F.concat(F.lit("["), aged(F.col("created_at"), now), F.lit("] "), F.substring("content", 1, 80)).alias("text"))
     p = memories.orderBy(F.desc("priority"), "id").limit(important).select(F.lit("facts").alias("section"), (-F.col("priority")).alias("pos"), F.substring("content", 1, 200).alias("text"))
     return a.unionByName(r).unionByName(p)
 

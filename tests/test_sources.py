@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from keepstone.functions import constants as K
 from keepstone.functions import spans as P
 from keepstone.plans.data import SAMPLES
-from keepstone.sources import imports, sync
+from keepstone.sources import exports, imports, sync
 
 SF = "/root/testdata/sf0.001"
 
@@ -122,3 +122,11 @@ def test_sync_of_every_combination(spark):
 def test_digests_ignore_blanks_around_a_content(spark):
     d = spark.createDataFrame([(" a b\n",), ("a b",), ("a  b",), (None,)], "c string").select(sync.digest(F.col("c")).alias("d")).collect()
     assert d[0]["d"] == d[1]["d"] != d[2]["d"] and d[3]["d"] is None
+
+
+def test_context_tells_ages_in_whole_days_also_of_times_ahead(spark):
+    d = spark.sql("SELECT id, 'x' AS content, array('t') AS tags, 0.5D AS priority, timestamp_ntz'2024-06-01 00:00:00' + make_dt_interval(0, h) AS created_at FROM VALUES (1, -30), (2, -2), (3, 2), (4, 50) AS t(id, h)")
+    now = F.expr("timestamp_ntz'2024-06-01 00:00:00'")
+    told = lambda **k: [r["text"] for r in exports.context(d, now, **k).where("section = 'recent'").orderBy("pos").collect()]
+    assert told(aged=exports.age_in_days) == ["[-3d] x", "[-1d] x", "[0d] x", "[1d] x"]
+    assert told() == ["[-3d] x", "[-1d] x", "[2h] x", "[1d] x"]
