@@ -242,3 +242,18 @@ def test_archives_are_searched_one_by_one(spark, tmp_path):
     states = {r["id"]: (r["state"], r["content"] is None, r["packed"] is None) for r in R2.aged(m, datetime(2024, 5, 1).date(), pack_after=4, keep=12).collect()}
     assert states == {1: ("packed", True, False), 2: ("fresh", False, True), 3: ("fresh", False, True), 4: ("pruned", True, True)}
     assert R2.age_in_months("2023_11", datetime(2024, 2, 1).date()) == 3
+
+
+def test_scores_are_added_in_the_order_of_the_question(spark):
+    """Sums to the last bit: the order in which rows come from files and shuffles bears on none of them."""
+    rng = np.random.default_rng(2)
+    words = ["omega", "beta", "zeta", "alpha", "kappa"]
+    d = spark.createDataFrame([(i, " ".join(rng.choice([*words, "x", "y"], 40))) for i in range(200)], "id long, text string")
+    index = Q.build_postings(d)
+    alone = {w: {r["id"]: r["score"] for r in Q.bm25_scores(spark, index, [w]).collect()} for w in words}
+    got = {r["id"]: r["score"] for r in Q.bm25_scores(spark, index, words).collect()}
+    want = {}
+    for w in words:
+        for i, s in alone[w].items():
+            want[i] = want.get(i, 0.0) + s
+    assert got == want
