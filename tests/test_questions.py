@@ -189,3 +189,13 @@ def test_long_spans_take_few_bins(spark):
     s = spark.createDataFrame([(0, 0.0, 1999.0), (1, 3.0, 3.0), (2, 5.0, 1000.0), (3, -1e12, 1e12)], "j long, lo double, hi double")
     d = intervals.within(p, s, "at", "lo", "hi")
     assert {x["j"]: x["count"] for x in d.groupBy("j").count().collect()} == {0: 2000, 1: 1, 2: 996, 3: 2000}
+
+
+def test_spans_are_never_broadcast(spark):
+    """Bins and pieces make many rows of each span, which the size of the spans' files doesn't tell."""
+    p = spark.range(2000).select(F.col("id").alias("i"), F.col("id").cast("double").alias("at"))
+    s = spark.createDataFrame([(0, 0.0, 1999.0), (1, 3.0, 3.0)], "j long, lo double, hi double")
+    d = intervals.within(p, s, "at", "lo", "hi")
+    assert len(d.collect()) == 2001
+    plan = d._jdf.queryExecution().executedPlan().toString()  # as it was run
+    assert "SortMergeJoin" in [x for x in plan.splitlines() if "Join" in x][0]
