@@ -48,12 +48,5 @@ def aged(memories: DataFrame, now: date, pack_after: int = PACK_AFTER, keep: int
 
 def search(spark: SparkSession, path: str, terms: list[str], limit: int = 10) -> DataFrame:
     """archive, id and score of the best memories over all archives; each archive ranks its own texts, by its own frequencies."""
-    months = [r["month"] for r in spark.read.parquet(path).select("month").distinct().orderBy("month").collect()]  # a row a month
-    every = None
-    for month in months:
-        own = spark.read.parquet(path).where(F.col("month") == month).select("id", F.col("content").alias("text"))
-        hits = R.bm25(own, terms).orderBy(F.desc("score"), "id").limit(limit).select(F.lit(month).alias("archive"), "id", "score")
-        every = hits if every is None else every.unionByName(hits)
-    if every is None:
-        return spark.createDataFrame([], "archive string, id long, score double")
-    return every.orderBy(F.desc("score"), "archive", "id").limit(limit)
+    texts = spark.read.parquet(path).select(F.col("month").alias("archive"), "id", F.col("content").alias("text"))
+    return R.bm25(texts, terms, by="archive").orderBy(F.desc("score"), "archive", "id").limit(limit)

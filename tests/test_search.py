@@ -257,3 +257,19 @@ def test_scores_are_added_in_the_order_of_the_question(spark):
         for i, s in alone[w].items():
             want[i] = want.get(i, 0.0) + s
     assert got == want
+
+
+def test_archives_are_searched_in_one_plan(spark, tmp_path, monkeypatch):
+    """One pass for all months, whose number grows with the memories; each has its own frequencies."""
+    d = spark.sql("SELECT id, IF(id % 3 = 0, 'home alone', 'home sweet home far away') AS content, timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(cast(id * 9 AS INT)) AS created_at FROM range(60)")
+    R2.archive(d, str(tmp_path / "a"))
+    want, rows = [], d.selectExpr("date_format(created_at, 'yyyy_MM') AS m", "id", "content AS text").collect()
+    for m in {r["m"] for r in rows}:
+        own = {r["id"]: r["text"].split() for r in rows if r["m"] == m}
+        want += [(m, i, s) for i, s in plain_bm25(own, ["home", "alone"]).items()]
+    asked, inner = [], R2.R.bm25
+    monkeypatch.setattr(R2.R, "bm25", lambda *a, **k: asked.append(1) or inner(*a, **k))
+    got = [tuple(r) for r in R2.search(spark, str(tmp_path / "a"), ["home", "alone"], 40).collect()]
+    want.sort(key=lambda x: (-round(x[2], 12), x[0], x[1]))
+    assert [x[:2] for x in got] == [x[:2] for x in want[:40]] and len({m for m, _, _ in got}) > 8
+    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want)) and len(asked) == 1
