@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from keepstone.operators import cards as K
 from keepstone.operators import graph as G
+from keepstone.operators import overlaps as O
 from keepstone.operators import profile as P
 from keepstone.operators import workspace as S
 from keepstone.operators import writing as W
@@ -43,6 +44,20 @@ def test_jaccard_pairs_equal_brute_force(spark):
     assert {(r["a"], r["b"]) for r in G.jaccard_pairs(d, 0.6).collect()} == want
 
 
+@pytest.mark.parametrize("threshold", [0.15, 0.6, 0.99])
+def test_similar_sets_in_small_blocks_equal_brute_force(spark, monkeypatch, threshold):
+    """Sets of all sizes, in classes that are cut into blocks; only pairs that are similar leave a task."""
+    monkeypatch.setattr(O, "BLOCK", 700)
+    rng = np.random.default_rng(2)
+    sets = [sorted({f"w{k}" for k in rng.zipf(1.3, rng.integers(1, 90)) % 400}) for _ in range(120)]
+    sets += [sorted({*s[: len(s) - 1 - i % 3], "new"}) for i, s in enumerate(sets[:40])] + sets[50:60] + [[]]
+    d = spark.createDataFrame(list(enumerate(sets)), "id long, terms array<string>")
+    want = {(a, b) for a, b in combinations(range(170), 2) if len({*sets[a]} & {*sets[b]}) / len({*sets[a]} | {*sets[b]}) >= threshold}
+    got = [(r["a"], r["b"]) for r in O.similar_sets(d, threshold).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 5
+    assert O.similar_sets(d.where("size(terms) = 0"), threshold).count() == 0
+
+
 def memory_rows(spark, rows):
     d = spark.createDataFrame(rows, "id long, content string, tags array<string>, day int")
     return d.select("id", "content", "tags", F.lit("t").alias("source"), F.lit(0.5).alias("priority"), F.lit("default").alias("namespace"), F.date_add(F.lit("2024-01-01").cast("date"), "day").cast("timestamp_ntz").alias("created_at"))
