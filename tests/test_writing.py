@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from keepstone.functions import text as T
 from keepstone.operators import cards as K
 from keepstone.operators import graph as G
 from keepstone.operators import overlaps as O
@@ -88,6 +89,23 @@ def test_contradictions_and_reflection(spark):
     assert W.since(d, 9)[1]() == 9
 
 
+def test_contradictions_in_small_blocks_equal_pairs_of_texts(spark, monkeypatch):
+    """Many facts that deny each other meet in blocks: pairs once each, with their scores, and the older ones without any pair."""
+    monkeypatch.setattr(O, "BLOCK", 60)
+    rng = np.random.default_rng(6)
+    words = "alpha beta gamma delta epsilon zeta always never no use avoid yes best worst".split()
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 8))), int(rng.integers(0, 30)), [float(i % 3 == 0), float(i % 3 != 0)]) for i in range(80)] + [(80, None, 3, [0.0, 1.0])]
+    d = spark.createDataFrame(rows, "id long, text string, at int, embedding array<float>")
+    p, q = d.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.col("at").alias("at_a")), d.select(F.col("id").alias("b"), F.col("text").alias("tb"), F.col("at").alias("at_b"))
+    both = p.join(q, F.col("a") < F.col("b")).withColumn("c", T.contradiction(F.col("ta"), F.col("tb"), F.lit(0.0))).where("c IS NOT NULL").collect()
+    want = {(r["a"], r["b"]) for r in both}
+    got = W.contradiction_pairs(d, vectors=d).collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(want) and len(want) > 50
+    assert all(r["score"] == float((r["a"] % 3 == 0) == (r["b"] % 3 == 0)) for r in got)
+    old = [r["id"] for r in W.outdated(d.select("id", "text", "at")).collect()]
+    assert sorted(old) == sorted({r["b"] if r["at_a"] >= r["at_b"] else r["a"] for r in both})
+
+
 def test_whole_path_of_writing(spark):
     old = memory_rows(spark, [(1, "The harbour office in Lisbon opens at nine", ["p"], 1)])
     new = memory_rows(spark, [(2, "The harbour office in Lisbon opens at nine", ["q"], 2), (3, "We decided to use postgres <private>pin</private> today", [], 2), (4, "x" * 1_000_001, [], 2)])
