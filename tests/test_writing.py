@@ -6,6 +6,7 @@ from datetime import datetime
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,6 +305,35 @@ def test_related_facts_are_merged_into_summaries(spark):
     assert W.reflect(d, pairs([(1, 2)]))[1].collect() == []
 
 
+def test_only_facts_that_are_left_are_asked_for_related_ones(spark):
+    """What gives the related pairs sees neither duplicates nor contradicted facts; the outcome is that of all pairs."""
+    rows = [
+        (1, "the cache is in redis", 1), (2, "the cache is in redis", 2), (3, "feature flags must always be enabled here", 3), (4, "feature flags must never be enabled here", 4),
+        (5, "boats need paint", 5), (6, "boats need more paint", 6), (7, "boats need red paint", 7),
+    ]
+    d = spark.createDataFrame(rows, "id long, text string, at long")
+    pairs = lambda p: spark.createDataFrame(p, "a long, b long")
+    every, asked = [(5, 6), (6, 7), (1, 5), (3, 5)], []
+
+    def related(left):
+        asked.extend(sorted(x["id"] for x in left.collect()))
+        return pairs([p for p in every if {*p} <= {*asked}])
+
+    states, made = W.reflect(d, pairs([(1, 2)]), related)
+    assert asked == [2, 4, 5, 6, 7]
+    whole = W.reflect(d, pairs([(1, 2)]), pairs(every))
+    assert sorted(map(tuple, states.collect())) == sorted(map(tuple, whole[0].collect())) and made.collect() == whole[1].collect()
+
+
+def test_postings_are_two_arrays_whatever_the_number_of_terms():
+    rows = pa.table({"id": [1, 2, 3], "side": [0, 0, 1], "terms": [[10, 20, 30], [20, 40], [20, 30, 50]]})
+    s = O.Sets(rows)
+    place, at = s.postings(np.array([0, 1]), s.n)
+    assert place.tolist() == [0, 0, 1, 0, 1] and at.tolist() == [0, 1, 3, 4, 5, 5]
+    assert O.counted((place, at), s.flat[s.at[2] : s.at[3]], 2).tolist() == [2, 1]
+    assert O.counted((place, at), s.flat[:0], 2).tolist() == [0, 0]
+
+
 def test_similar_pairs_leave_their_bucket_only_where_they_are_near(spark, monkeypatch):
     """3,000 vectors of which few are near: far fewer pairs leave the buckets than meet in them, also where buckets are cut."""
     rng = np.random.default_rng(6)
