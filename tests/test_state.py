@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,90 @@ def test_state_store_setting_comes_back(spark):
     with pytest.raises(RuntimeError), S.state_store(spark):
         raise RuntimeError
     assert spark.conf.get(S.PROVIDER, None) == before
+
+
+class _Counted:
+    """A handle that keeps values in memory and counts calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.values = 0, set(), {}
+
+    def _state(self, name):
+        outer = self
+
+        class State:
+            def exists(self):
+                outer.calls += 1
+                return name in outer.values
+
+            def get(self):
+                outer.calls += 1
+                return outer.values.get(name, [])
+
+            def update(self, value):
+                outer.calls += 1
+                outer.values[name] = value
+
+            def updateValue(self, key, value):  # noqa: N802
+                outer.calls += 1
+                outer.values.setdefault(name, {})[key] = value
+
+            def removeKey(self, key):  # noqa: N802
+                outer.calls += 1
+                del outer.values[name][key]
+
+            def iterator(self):
+                outer.calls += 1
+                return iter(list(outer.values.get(name, {}).items()))
+
+            def appendList(self, rows):  # noqa: N802
+                outer.calls += 1
+                outer.values.setdefault(name, []).extend(rows)
+
+            def clear(self):
+                outer.calls += 1
+                outer.values.pop(name, None)
+
+        return State()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self._state(name)
+
+    getMapState = getListState = getValueState  # noqa: N815
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.ms
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+def test_calls_to_the_state_do_not_grow_with_sessions():
+    """500 sessions of a user take a few calls to the state and one timer, and all that the watermark has passed end at once."""
+    ts = pd.Series([START + timedelta(hours=h) for h in range(500)]).astype("datetime64[us]")
+    rows = pd.DataFrame({"event_id": range(500), "ts": ts, "user_id": 7, "value": 1.0})
+    h, p = _Counted(), S.SessionsOfUser(1800, 3)
+    p.init(h)
+    list(p.handleInputRows((7,), iter([rows[::2], rows[1::2]]), _At(0)))
+    assert len(h.timers) == 1
+    watermark = int(pd.Timestamp(START + timedelta(hours=400)).value // 1_000_000)
+    told = list(p.handleExpiredTimer((7,), _At(watermark), _At(min(h.timers))))
+    assert [len(d) for d in told] == [400] and told[0]["no"].tolist() == list(range(1, 401))
+    assert len(h.timers) == 2 and max(h.timers) > watermark and h.calls <= 12
+
+
+def test_calls_to_the_state_do_not_grow_with_pieces():
+    ts = pd.Series([START] * 300).astype("datetime64[us]")
+    rows = pd.DataFrame({"call": "a", "ts": ts, "seq": range(300), "piece": "x", "last": False})
+    h, p = _Counted(), S.PiecesOfCall(60)
+    p.init(h)
+    list(p.handleInputRows(("a",), iter([rows]), _At(0)))
+    assert h.calls <= 6 and len(h.values["pieces"]) == 300
