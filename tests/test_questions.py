@@ -133,6 +133,33 @@ def test_scores_as_of_equal_those_of_snapshots(spark):
     assert 999 not in got and len(got) > 6
 
 
+def test_answers_as_of_are_the_best_of_all_scores(spark, monkeypatch):
+    """In small blocks of questions and texts, with equal texts and more than the limit; no postings are written for it."""
+    monkeypatch.setattr(A, "BLOCK_TERMS", 7)
+    monkeypatch.setattr(A, "TOGETHER", 2)
+    monkeypatch.setattr(A, "TEXTS", 9)
+    r = random.Random(5)
+    rows = []
+    for i in range(80):
+        at, until = START + timedelta(hours=r.randint(0, 40)), START + timedelta(hours=r.randint(40, 200))
+        text = " ".join(r.choice(WORDS[:6]) for _ in range(r.randint(0, 4)))
+        rows += [(i, text, at, until), (i, None if i % 9 == 0 else text + " word1", until, None if i % 4 else until + timedelta(hours=3)), (i, "word1", at, at)]
+    history = A.build_history(spark.createDataFrame(rows, "id long, text string, valid_from timestamp_ntz, valid_until timestamp_ntz"))
+    times = [START - timedelta(days=1), START + timedelta(hours=30), START + timedelta(hours=90), START + timedelta(days=400)]
+    asked = [(10 * j + k, q, t) for j, t in enumerate(times) for k, q in enumerate(("word1 word2", "word3", "unknown", "", None, "word1 word4 word5 unknown"))] + [(999, "word1", None)]
+    q = spark.createDataFrame(asked, "qid long, question string, at timestamp_ntz")
+    got = sorted((x["qid"], x["rank"], x["id"], round(x["score"], 9)) for x in A.answers_as_of(q, history, 5).collect())
+    assert not {"postings", "frequencies"} & {*vars(history)}
+    every = {}
+    for x in A.scores_as_of(q, history).collect():
+        every.setdefault(x["qid"], []).append((-round(x["score"], 9), x["id"]))
+    want = sorted((qid, n, i, -s) for qid, found in every.items() for n, (s, i) in enumerate(sorted(found)[:5], 1))
+    assert got == want and len(got) == 45
+    assert A.answers_as_of(q.limit(0), history, 5).collect() == []
+    none = A.build_history(spark.createDataFrame([], "id long, text string, valid_from timestamp_ntz, valid_until timestamp_ntz"))
+    assert A.answers_as_of(q, none, 5).collect() == []
+
+
 def test_followed_index_equals_a_fresh_one(spark, tmp_path):
     """Adds, updates, deletions, ids that come back, deletions of what isn't there, and merges, one after the other."""
     r = random.Random(12)
