@@ -273,3 +273,28 @@ def test_archives_are_searched_in_one_plan(spark, tmp_path, monkeypatch):
     want.sort(key=lambda x: (-round(x[2], 12), x[0], x[1]))
     assert [x[:2] for x in got] == [x[:2] for x in want[:40]] and len({m for m, _, _ in got}) > 8
     assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, want)) and len(asked) == 1
+
+
+def test_postings_are_counted_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(Q, "RUN_WORDS", 50)
+    d = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 40))) for i in range(300)] + [(300, None), (301, "")], "id long, text string")
+    made = Q.counted(Q.words_of(d))
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, R.postings(d).select("term", "id", "tf", "length").collect()))
+
+
+def test_nearest_rows_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    q, v = r.standard_normal((400, 8)), r.standard_normal((10_000, 8))
+    shared = type("Shared", (), {"value": (np.arange(400), q)})
+    b = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.ListArray.from_arrays(np.arange(0, 80_001, 8, dtype=np.int32), pa.array(v.reshape(-1)))], ["id", "v"])
+    tracemalloc.start()
+    got = next(R._nearest(shared, 3)(iter([b])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(got.column(1).to_numpy().reshape(400, 3), np.argsort(-(q @ v.T), axis=1, kind="stable")[:, :3])
+    assert peak < 30e6  # 400 x 10,000 numbers are 32 MB
