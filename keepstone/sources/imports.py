@@ -11,8 +11,10 @@ import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 from keepstone.functions.context import bound
 
 NO_TAGS = "array<string>"
+#: Rows of a database that are handed on at once.
+ROWS = 5_000
+_FIELD = pa.struct([("key", pa.string()), ("value", pa.string())])
 
 
 def _tags(c: Column) -> Column:
@@ -120,23 +125,28 @@ def read_notion(spark: SparkSession, path: str) -> DataFrame:
     read = spark.read.option("recursiveFileLookup", "true")
     files = read.format("binaryFile").option("pathGlobFilter", "*.{md,csv,zip}").load(path).select("path", "content")
 
-    def unpack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in parts:
-            for name, data in zip(d["path"], d["content"], strict=True):
-                members = [(name, bytes(data))]
-                if name.endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        members = [(n, z.read(n)) for n in z.namelist() if n.endswith((".md", ".csv"))]
-                for n, body in members:
-                    text = body.decode("utf-8", "replace")
-                    if n.endswith(".md"):
-                        yield pd.DataFrame({"value": [text], "fields": [None]})
-                        continue
-                    for row in csv.DictReader(io.StringIO(text)):
-                        yield pd.DataFrame({"value": [None], "fields": [[{"key": k, "value": v or ""} for k, v in row.items() if k]]})
-
-    every = files.mapInPandas(unpack, "value string, fields array<struct<key: string, value: string>>")
-    out = _notion_pages(every.where("value IS NOT NULL")).unionByName(_notion_rows(every.where("fields IS NOT NULL")))
+    def members(parts: Iterator[pa.RecordBatch], kind: str) -> Iterator[bytes]:
+        for b in parts:
+            for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if name.endswith(kind):
+                    yield data.as_py()
+                elif name.endswith(".zip"):
+                    with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
+                        yield from (z.read(n) for n in z.namelist() if n.endswith(kind))
+
+    def pages(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body in members(parts, ".md"):
+            yield pa.RecordBatch.from_arrays([pa.array([body.decode("utf-8", "replace")], pa.string())], ["value"])
+
+    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for body in members(parts, ".csv"):
+            told = csv.DictReader(io.TextIOWrapper(io.BytesIO(body), "utf-8", "replace", newline="\n"))
+            for some in batched(told, ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([[(k, v or "") for k, v in row.items() if k] for row in some], pa.list_(_FIELD))], ["fields"])
+
+    md = files.where("NOT endswith(path, '.csv')").mapInArrow(pages, "value string")
+    database = files.where("NOT endswith(path, '.md')").mapInArrow(rows, "fields array<struct<key: string, value: string>>")
+    out = _notion_pages(md).unionByName(_notion_rows(database))
     return out.select("l3", "content", "tags", F.lit("notion").alias("source"), F.lit(0.5).alias("priority")).where(F.length("content") >= 20)
 
 

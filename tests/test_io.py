@@ -106,3 +106,26 @@ def test_head_changes_stream(spark, tmp_path):
     rows = [("r", t + timedelta(seconds=i), h) for i, h in enumerate("aabbc")]
     got = run_stream(spark, spark.createDataFrame(rows, "repo string, ts timestamp, head string"), activity.head_changes, tmp_path)
     assert [(r["old"], r["new"]) for r in got] == [("a", "b"), ("b", "c")]
+
+
+def test_notion_databases_are_handed_on_in_batches(spark, tmp_path):
+    rows = "".join(f'"Row {i}","a long note of {i},\nand a second line"\n' for i in range(1_200))
+    for k in range(2):
+        put(tmp_path / f"n/d{k}.csv", "Name,Note\n" + rows)
+    put(tmp_path / "n/p.md", "# Page\nsome text that is long enough")
+    d = imports.read_notion(spark, str(tmp_path / "n"))
+    assert d.where("l3 = 'Page'").count() == 1
+    assert d.where("l3 = 'Row 7'").select("content").collect()[1]["content"] == "# Row 7\n**Note**: a long note of 7,\nand a second line"
+    assert d.count() == 2_401
+    assert "MapInPandas" not in d._jdf.queryExecution().toString()  # a frame for each row before
+
+
+def test_arrays_are_cut_into_files(spark, tmp_path):
+    path = str(tmp_path / "a")
+    for n in (0, 1, 9, 10, 11, 35):
+        d = spark.range(n).coalesce(1).select(F.to_json(F.struct(F.concat(F.lit("content "), F.col("id").cast("string")).alias("content"))).alias("line"))
+        exports.write_arrays(d, path, most=10)
+        files = [json.loads(f.read_text()) for f in (tmp_path / "a").glob("part-*")]
+        assert [len(f) for f in files if f] and max(map(len, files)) <= 10 if n else not any(files)
+        assert sorted(x["content"] for f in files for x in f) == sorted(f"content {i}" for i in range(n))
+        assert imports.read_json_array(spark, path).count() == n
