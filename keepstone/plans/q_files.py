@@ -34,10 +34,10 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s9_json_arrays", "SELECT md5(text) AS content_md5, 'a,b' AS tags, 'json' AS source, 0.5::DOUBLE AS priority FROM documents WHERE length(text) >= 5")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
-    """An array in each of several files; source and priority are missing."""
+    """Files that each hold an array of so many objects; source and priority are missing."""
     path = place(spark, "arrays")
     d = table(spark, sf, "documents").select(F.to_json(F.struct(F.col("text").alias("content"), F.array(F.lit("a"), F.lit("b")).alias("tags"))).alias("line"))
-    X.write_arrays(d.repartition(3), path)
+    X.write_arrays(d, path)
     return I.read_json_array(spark, path).select(F.md5("content").alias("content_md5"), F.array_join("tags", ",").alias("tags"), "source", "priority")
 
 
@@ -87,7 +87,7 @@ def s17(spark: SparkSession, sf: str) -> DataFrame:
     page = F.concat(F.lit("# Title "), F.col("item_id").cast("string"), F.lit("\nTags: a, b\n"), F.trim("text"))
     X.write_files(table(spark, sf, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".md")).alias("name"), page.alias("body")), path)
     rows = table(spark, sf, "customer").select(F.concat(F.lit("Row "), F.col("c_custkey").cast("string")).alias("Name"), F.lit("t").alias("Tags"), F.col("c_mktsegment").alias("Segment"), F.lit("a longer note").alias("Note"))
-    rows.write.csv(f"{path}/database", header=True, quoteAll=True, escape='"')
+    rows.write.option("maxRecordsPerFile", 100_000).csv(f"{path}/database", header=True, quoteAll=True, escape='"')
     return I.read_notion(spark, path).select("l3", F.md5("content").alias("content_md5"), F.array_join("tags", "|").alias("tags"))
 
 

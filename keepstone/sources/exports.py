@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 JSONL_FIELDS = ("id", "content", "l3", "tags", "source", "priority", "namespace", "memory_type", "created_at")
+#: Objects of a file that holds an array; one task reads it.
+ARRAY = 5_000
 
 def jsonl(memories: DataFrame) -> DataFrame:
     have = [c for c in JSONL_FIELDS if c in memories.columns]
@@ -107,18 +109,24 @@ def write_files(files: DataFrame, path: str) -> int:
     return n
 
 
-def write_arrays(objects: DataFrame, path: str, column: str = "line") -> None:
-    """JSON texts as files that each hold one array: a file for each partition."""
+def write_arrays(objects: DataFrame, path: str, column: str = "line", most: int = ARRAY) -> None:
+    """JSON texts as files that each hold one array: one for each partition, and more where it has more than ``most`` objects.
+
+    An array is a line for each object and one for its end, and Spark's writer begins a file after so many.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lead = "["
+        n = 0
         for d in parts:
+            lines = []
             for x in d[column]:
-                yield pd.DataFrame({"value": [lead + x]})
-                lead = ", "
-        yield pd.DataFrame({"value": ["]" if lead == ", " else "[]"]})
+                lines += ["]"] if n and n % most == 0 else []
+                lines.append(("[" if n % most == 0 else ", ") + x)
+                n += 1
+            yield pd.DataFrame({"value": lines}, dtype=object)
+        yield pd.DataFrame({"value": ["]" if n else "[]"]})
 
-    objects.select(column).mapInPandas(run, "value string").write.mode("overwrite").text(path)
+    objects.select(column).mapInPandas(run, "value string").write.mode("overwrite").option("maxRecordsPerFile", most + 1).text(path)
 
 
 def json_array(memories: DataFrame, path: str) -> None:
