@@ -226,3 +226,18 @@ def test_spans_are_never_broadcast(spark):
     assert len(d.collect()) == 2001
     plan = d._jdf.queryExecution().executedPlan().toString()  # as it was run
     assert "SortMergeJoin" in [x for x in plan.splitlines() if "Join" in x][0]
+
+
+def test_best_texts_and_walks_are_those_of_all_scores(spark, library):
+    q = _asked(spark).where("question IS NOT NULL").cache()
+    for k in (1, 4, 50):
+        ranks = lambda d: sorted((x["qid"], x["rank"], x["id"]) for x in A.best(d, "s", k).collect())  # noqa: B023, E731
+        assert ranks(A.text_top(q, library.postings, k)) == ranks(A.text_scores(q, library.postings)) != []
+        r = random.Random(k)
+        names = ["Alice", "Bob", *[f"N{i}" for i in range(5)]]
+        rows = [(r.randrange(60), r.choice(names), r.choice(names), r.choice([0.5, 0.25, 0.25 + 1e-10, r.random()])) for _ in range(400)]
+        e = spark.createDataFrame(rows, "memory_id long, source string, target string, weight double").withColumn("valid_until", F.lit(None).cast("timestamp")).withColumn("superseded_by", F.lit(None).cast("long"))
+        lib = replace(library, edges=e, entities=spark.createDataFrame([("Alice", 7), ("Bob", 1)], "name string, mentions long"))
+        assert ranks(A.walk_scores(q, lib, k=k)) == ranks(A.walk_scores(q, lib)) != []
+        assert A.walk_scores(q, lib, k=1).count() < A.walk_scores(q, lib).count()
+    assert "text_top" in A.signals.__code__.co_names
