@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from keepstone.functions import constants as K
 from keepstone.functions import text as T
+from keepstone.operators.search import counted
 
 #: Parts of about one size that are written together; sizes are alike within a factor of it.
 TIER = 4
@@ -67,8 +68,7 @@ class Segments:
         """Add texts (id, text; an id once), in the place of those of the same ids that are there."""
         cut = rows.select(F.col("id").cast("long").alias("id"), T.tokenize(F.coalesce("text", F.lit(""))).alias("t"))
         length = F.size("t").alias("length")
-        terms = cut.select("id", length, F.explode("t").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-        self._batch(terms, cut.select("id", length), cut.select("id"))
+        self._batch(counted(cut), cut.select("id", length), cut.select("id"))
 
     def delete(self, ids: DataFrame) -> None:
         none = lambda schema: self.spark.createDataFrame([], schema).drop("part")

@@ -241,3 +241,10 @@ def test_best_texts_and_walks_are_those_of_all_scores(spark, library):
         assert ranks(A.walk_scores(q, lib, k=k)) == ranks(A.walk_scores(q, lib)) != []
         assert A.walk_scores(q, lib, k=1).count() < A.walk_scores(q, lib).count()
     assert "text_top" in A.signals.__code__.co_names
+
+
+def test_parts_are_counted_without_a_shuffle(spark, tmp_path, monkeypatch):
+    plans = []
+    monkeypatch.setattr(Segments, "_batch", lambda self, postings, texts, gone: plans.append(postings._jdf.queryExecution().toString()))
+    Segments(spark, str(tmp_path)).put(spark.createDataFrame([(1, "word1 word2 word1"), (2, None)], "id long, text string"))
+    assert plans and "Exchange" not in plans[0]
