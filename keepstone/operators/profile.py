@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keepstone.functions import profile_values as P
+from keepstone.operators.store import stash
 
 #: Memories from which a profile is made.
 LEAST_EVIDENCE = 5
@@ -175,11 +176,14 @@ def build(memories: DataFrame) -> DataFrame:
     if n["n"] < LEAST_EVIDENCE:
         return empty
     code = memories.where(code_related(F.col("memory_type"), F.col("tags"), F.col("content"))).select("id", F.col("content").alias("text"))
-    s = styles(code).drop("libraries")
-    names = code.select(identifiers(F.col("text")).alias("names"))
-    counts = names.select(*[c.alias(k) for k, c in naming_counts(F.col("names")).items()]).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("snake_case", "camelCase", "PascalCase", "SCREAMING_CASE")])
+    longest = F.array_max(F.transform(F.split("text", r"\r?\n"), lambda x: F.length(x)))
+    t = F.col("text")
+    named = code.select("text", identifiers(t).alias("names"))
+    s = named.select(*[c.alias(k) for k, c in naming_counts(F.col("names")).items()], import_style(t).alias("imports"), error_style(t).alias("errors"), type_hints(t).alias("hints"), docstring_style(t).alias("docstrings"), longest.alias("m"))
+    s = stash(s, "styles")  # a few words of each text, found in one pass
+    counts = s.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("snake_case", "camelCase", "PascalCase", "SCREAMING_CASE")])
     variable = counts.select(F.to_json(F.struct(_first_most({k: F.col(k) for k in counts.columns}, "unknown").alias("dominant"), *counts.columns)).alias("value"))
-    line = code.select(F.array_max(F.transform(F.split("text", r"\r?\n"), lambda x: F.length(x))).alias("m")).agg(F.avg("m").alias("m"))
+    line = s.agg(F.avg("m").alias("m"))
     style = line.select(
         F.to_json(
             F.struct(

@@ -374,3 +374,11 @@ def test_groups_by_batches_equal_one_pass(spark, tmp_path):
     g.add(d.where("id < 0"))
     assert {r["id"]: r["label"] for r in g.labels().collect()} == dict(enumerate(label.tolist())) and len(set(label.tolist())) < 60
     assert W.Groups.start(spark, str(tmp_path / "h"), 0.85, 12, 1).labels().count() == 0
+
+
+def test_styles_of_a_profile_are_found_in_one_pass(spark, monkeypatch):
+    passes = []
+    monkeypatch.setattr(P, "stash", lambda d, name: passes.append(sorted(d.columns)) or d)
+    m = spark.createDataFrame([(i, "def some_name(x):\n    return x", "code", ["code"], "") for i in range(6)], "id long, content string, memory_type string, tags array<string>, l3 string")
+    assert P.build(m).count() == 8
+    assert passes == [sorted(["snake_case", "camelCase", "PascalCase", "SCREAMING_CASE", "imports", "errors", "hints", "docstrings", "m"])]
