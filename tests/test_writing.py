@@ -382,3 +382,25 @@ def test_styles_of_a_profile_are_found_in_one_pass(spark, monkeypatch):
     m = spark.createDataFrame([(i, "def some_name(x):\n    return x", "code", ["code"], "") for i in range(6)], "id long, content string, memory_type string, tags array<string>, l3 string")
     assert P.build(m).count() == 8
     assert passes == [sorted(["snake_case", "camelCase", "PascalCase", "SCREAMING_CASE", "imports", "errors", "hints", "docstrings", "m"])]
+
+
+def test_every_similar_pair_is_given_with_copies_at_the_threshold_and_in_small_pieces(spark, monkeypatch):
+    """Copies meet each other and what their vector is similar to; of pairs at the very threshold none is left out; nulls pair with nothing."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((400, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(200):  # at the threshold, within 1e-3
+        w = x[k + 200] - (x[k + 200] @ x[k]) * x[k]
+        c = 0.7 + (k - 100) * 1e-5
+        x[k + 200] = c * x[k] + np.sqrt(1 - c * c) * w / np.linalg.norm(w)
+    x = np.concatenate([x, x[:40], x[:40], x[200:220]])
+    rows = [(i, v.tolist(), i % 20 % 3) for i, v in enumerate(x)]
+    d = spark.createDataFrame([*rows, (900, None, 0), (901, x[0].tolist(), None), (902, x[0].tolist(), None)], "id long, embedding array<double>, ns int")
+    ns = np.array([r[2] for r in rows])
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu((x @ x.T >= 0.7) & (ns[:, None] == ns[None, :]), 1)))}
+    assert len(want) > 200
+    for piece in (W.PIECE, 128):
+        monkeypatch.setattr(W, "PIECE", piece)
+        got = [(r["a"], r["b"]) for r in W.every_similar_pair(d, 0.7, ["ns"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert W.every_similar_pair(d.limit(0), 0.7, ["ns"]).count() == 0
