@@ -1,5 +1,6 @@
 """Writing, reflection, cards, profiles, workspaces and files, against written-out cases and plain Python."""
 
+import hashlib
 import json
 import zlib
 from datetime import datetime
@@ -404,3 +405,14 @@ def test_every_similar_pair_is_given_with_copies_at_the_threshold_and_in_small_p
         got = [(r["a"], r["b"]) for r in W.every_similar_pair(d, 0.7, ["ns"]).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert W.every_similar_pair(d.limit(0), 0.7, ["ns"]).count() == 0
+
+
+def test_a_summary_has_all_texts_of_its_group(spark):
+    """260 related facts, of which some say the same: all distinct texts are told in the order of ids, as a text and as its digest."""
+    rows = [(i, f"boats need paint number {i if i % 9 else 0}", i) for i in range(260)] + [(300, None, 300)]
+    d = spark.createDataFrame(rows, "id long, text string, at long")
+    none, chain = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([(i, i + 1) for i in range(259)], "a long, b long")
+    want = "; ".join(dict.fromkeys(r[1] for r in rows[:260]))
+    assert len(want.split("; ")) > 200
+    assert [tuple(x) for x in W.reflect(d, none, chain)[1].collect()] == [("summary-0", 260, want)]
+    assert [tuple(x) for x in W.reflect(d, none, chain, digests=True)[1].collect()] == [("summary-0", 260, hashlib.md5(want.encode()).hexdigest())]
