@@ -416,3 +416,34 @@ def test_a_summary_has_all_texts_of_its_group(spark):
     assert len(want.split("; ")) > 200
     assert [tuple(x) for x in W.reflect(d, none, chain)[1].collect()] == [("summary-0", 260, want)]
     assert [tuple(x) for x in W.reflect(d, none, chain, digests=True)[1].collect()] == [("summary-0", 260, hashlib.md5(want.encode()).hexdigest())]
+
+
+def test_facts_that_meet_the_newest_first_are_outdated_as_by_all_pairs(spark, monkeypatch):
+    """What the newest facts leave meets all others, also where there are ties of time and facts that nothing contradicts."""
+    monkeypatch.setattr(O, "BLOCK", 300)
+    rng = np.random.default_rng(16)
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda always never no use avoid".split()
+    rows = [(int(i), " ".join(rng.choice(words, rng.integers(1, 7))), int(rng.integers(0, 40))) for i in rng.permutation(150)]
+    d = spark.createDataFrame(rows, "id long, text string, at long")
+    at = {r[0]: r[2] for r in rows}
+    pairs = W.contradiction_pairs(d.select("id", "text")).collect()
+    want = sorted({r["b"] if at[r["a"]] >= at[r["b"]] else r["a"] for r in pairs})
+    assert 20 < len(want) < 140
+    met, inner = [], W._against
+    monkeypatch.setattr(W, "_against", lambda left, right, *a: met.append((left.count(), right.count())) or inner(left, right, *a))
+    for newest in ((4, 16), (3,), ()):
+        met.clear()
+        monkeypatch.setattr(W, "NEWEST", newest)
+        assert sorted(r["id"] for r in W.outdated(d).collect()) == want
+        if newest:
+            assert met[0] == (2 * newest[0], 150) and met[-2][0] + met[-1][0] < 150  # what is left at last
+
+
+def test_blocks_that_meet_are_shuffled_once(spark, monkeypatch, tmp_path):
+    """Whatever the number of cells, a piece is packed once, and cells read it."""
+    monkeypatch.setattr(O, "BLOCK", 40)
+    packs, inner = [], O.packed
+    monkeypatch.setattr(O, "packed", lambda rows, n: packs.append((rows.count(), n)) or inner(rows, n))
+    d = spark.createDataFrame([(i, [f"w{(i + k) % 50}" for k in range(8)]) for i in range(60)], "id long, terms array<string>")
+    assert O.similar_sets(d, 0.6).count() > 20
+    assert [p[0] for p in packs] == [60] and packs[0][1] > 8
