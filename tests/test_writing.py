@@ -447,3 +447,21 @@ def test_blocks_that_meet_are_shuffled_once(spark, monkeypatch, tmp_path):
     d = spark.createDataFrame([(i, [f"w{(i + k) % 50}" for k in range(8)]) for i in range(60)], "id long, terms array<string>")
     assert O.similar_sets(d, 0.6).count() > 20
     assert [p[0] for p in packs] == [60] and packs[0][1] > 8
+
+
+def test_names_of_any_length_are_found_and_relations_stay_with_their_text(spark):
+    """A heading of 20,000 words and a path of as many parts take no stack; names end with a word; relations are those of entities found before."""
+    rows = [
+        (1, "start " + "Abc " * 20_000 + "end"), (2, "see " + "/ab" * 20_000), (3, "then Bob Lee Kim9 and Ann de Wit uses Tom Poe. Ann de Wit is a Tom Poe! Tom Poe built with Zed"),
+        (4, "no names here. uses this"), (5, None), (6, 'Mix "Red Fox" depends on "Big Cat"; Red Fox requires Big Cat\nRed Fox uses Red Fox'), (7, "of The Who and The The"),
+    ]
+    d = spark.createDataFrame(rows, "id long, text string")
+    names = {}
+    for r in G.extract_entities(d).collect():
+        names.setdefault(r["id"], set()).add(r["name"])
+    assert ("Abc " * 20_000).strip() in names[1] and "/ab" * 20_000 in names[2]
+    assert "Bob Lee" in names[3] and "Bob Lee Kim" not in names[3] and "Ann de Wit" in names[3]
+    few = d.where("id > 2")
+    got = sorted(map(tuple, G.extract_relationships(few).collect()))
+    assert got == sorted(map(tuple, G.extract_relationships(few, G.extract_entities(few)).collect())) and len(got) == len(set(got))
+    assert {(3, "Ann de Wit", "Tom Poe", "co_occurs"), (6, "Big Cat", "Red Fox", "co_occurs")} <= set(got)
