@@ -4,6 +4,7 @@ import random
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,3 +249,21 @@ def test_parts_are_counted_without_a_shuffle(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Segments, "_batch", lambda self, postings, texts, gone: plans.append(postings._jdf.queryExecution().toString()))
     Segments(spark, str(tmp_path)).put(spark.createDataFrame([(1, "word1 word2 word1"), (2, None)], "id long, text string"))
     assert plans and "Exchange" not in plans[0]
+
+
+def test_walks_of_many_nodes_keep_the_best_and_equal_questions_take_one(spark, library, monkeypatch):
+    """A hub with 60 neighbours of four memories each, with ties: the k best are those of all scores, far fewer rows are scored, and each set of entities is walked from once."""
+    rng = np.random.default_rng(8)
+    rows = [(m, "Alice", f"n{m % 60}", round(float(rng.integers(1, 9)) / 10, 1)) for m in range(120)] + [(200 + m, f"n{m % 60}", f"n{(m * 7) % 60}", round(float(rng.integers(-2, 12)) / 10, 1)) for m in range(240)]
+    e = spark.createDataFrame(rows, "memory_id long, source string, target string, weight double")
+    e = e.withColumn("valid_until", F.lit(None).cast("timestamp_ntz")).withColumn("superseded_by", F.lit(None).cast("long"))
+    lib = replace(library, edges=e, entities=spark.createDataFrame([("Alice", 7), ("Bob", 1)], "name string, mentions long"))
+    q = spark.createDataFrame([(1, 'what of "Alice"'), (2, 'and "Alice" then'), (3, 'is "Bob" here'), (4, 'both "Bob" and "Alice"')], "qid long, question string")
+    rows_of, inner = {}, A.stash
+    monkeypatch.setattr(A, "stash", lambda d, name: rows_of.setdefault(name, []).append(inner(d, name)) or rows_of[name][-1])
+    every = A.walk_scores(q, lib)
+    top = A.walk_scores(q, lib, k=5)
+    ranks = [sorted((r["qid"], r["id"], r["rank"]) for r in A.best(d, "graph", 5).collect()) for d in (every, top)]
+    assert ranks[0] == ranks[1] and {r[0] for r in ranks[0]} == {1, 2, 4}
+    assert top.count() < every.count() / 4
+    assert {r["walk"] for r in rows_of["frontier"][0].collect()} <= {1, 3, 4}
