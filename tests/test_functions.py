@@ -201,3 +201,13 @@ def test_context_of_a_long_text(spark):
     text = " ".join(f"word{i % 5000} Name{chr(97 + i % 26)}" for i in range(40_000))
     got = spark.createDataFrame([(text,)], "t string").select(prefix(F.col("t")).alias("x")).first()["x"]
     assert got.startswith("Discussion about namea, nameb, namec involving Namea, Nameb, Namec.")
+
+
+def test_embeddings_of_one_pass_are_those_of_two(spark):
+    texts = spark.createDataFrame([(1, "harbour office in Lisbon opens"), (2, "office hours: opens opens late"), (3, ""), (4, None), (5, "ünï x harbour")], "id long, text string")
+    rows = embed.hashed(texts).cache()
+    told = {r["bucket"]: r["n"] for r in embed.document_frequency(texts).collect()}
+    assert {r["bucket"]: r["n"] for r in embed.frequencies(rows).collect()} == told and max(told.values()) > 1
+    assert sorted(map(tuple, embed.embedded(rows, 5, told).collect())) == sorted(map(tuple, embed.embed(texts, 5, told).collect()))
+    one = embed.vector("office hours opens opens late office_hours hours_opens opens_opens opens_late".split(), 5, told)
+    assert [r["embedding"] for r in embed.embedded(rows, 5, told).where("id = 2").collect()] == [pytest.approx(one.tolist(), abs=1e-6)]
